@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, url_filter
+import public_tokenizers
+
+from . import bpe, chat_format, token_counts, url_filter
 from .common import table
+from .pretokens import read_ranks
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +17,19 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, url_filter.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    made = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    back = bpe.decode(made.withColumn("ids_sha256", F.sha2("ids", 256)), ranks)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        config = f.read()
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), config).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(chat_format.EXTRA))
     made = chat_format.format_turns(chat_format.to_turns(chat_format.records_of(rows)))
@@ -28,5 +44,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op10_chat_format": op10_chat_format}
+QUERIES = {
+    "op2_url_filter": op2_url_filter,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_token_counts": op5_token_counts,
+    "op10_chat_format": op10_chat_format,
+}
 ORACLES = {"op2_url_filter": url_filter.ORACLE, "op10_chat_format": chat_format.ORACLE}
