@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat_format, token_counts, url_filter
+from . import bpe, chat_format, decontaminate, line_dedup, token_counts, url_filter
 from .common import table
 from .pretokens import read_ranks
 
@@ -30,6 +30,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), config).withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return made.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(chat_format.EXTRA))
     made = chat_format.format_turns(chat_format.to_turns(chat_format.records_of(rows)))
@@ -48,6 +59,13 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES = {"op2_url_filter": url_filter.ORACLE, "op10_chat_format": chat_format.ORACLE}
+ORACLES = {
+    "op2_url_filter": url_filter.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
+    "op10_chat_format": chat_format.ORACLE,
+}
