@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat_format, decontaminate, line_dedup, token_counts, url_filter
-from .common import table
+from . import bpe, chat_format, decontaminate, language_id, line_dedup, token_counts, toxicity, url_filter
+from .common import crc_mod, table
 from .pretokens import read_ranks
 
 
@@ -17,6 +17,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, url_filter.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_mod("doc_id", 4) != 2)
+    made = toxicity.score(docs, toxicity.fit(docs, labels))
+    return made.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     made = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
@@ -30,6 +37,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), config).withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = language_id.fit(docs.where(crc_mod("doc_id", 5) != 0), f.read())
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -57,8 +71,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
