@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat_format, decontaminate, language_id, line_dedup, token_counts, toxicity, url_filter
+from . import ann, bpe, chat_format, decontaminate, language_id, line_dedup, simhash, token_counts, toxicity, url_filter
 from .common import crc_mod, table
 from .pretokens import read_ranks
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    books, index = ann.build_index(vectors)
+    return ann.search(vectors.where(F.col("id") % 50 == 0), books, index)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.url_filter(pages, url_filter.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -37,6 +43,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), config).withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
@@ -70,10 +81,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
