@@ -259,6 +259,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
     return df
 
 
+def cut_spans(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """df with its spans cut out of its texts. Null texts stay null."""
+    t, s = F.col(text_col), F.col(spans_col)
+    begin = F.concat(F.array(F.lit(0)), F.transform(s, lambda x: x["end"]))
+    end = F.concat(F.transform(s, lambda x: x["start"]), F.array(F.char_length(t)))
+    left = F.array_join(F.zip_with(begin, end, lambda a, b: F.substr(t, a + 1, b - a)), "")
+    return df.withColumn(text_col, F.when(F.coalesce(F.size(s), F.lit(0)) > 0, left).otherwise(t))
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
