@@ -19,7 +19,9 @@ tables give empty results. Unknown token ids fail in decoding.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shuffle_parts
-from .pretokens import Numbered, fragments, pattern
+from .pretokens import Numbered, fragments, pattern, spaced
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -63,27 +65,37 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[lis
 
 
 class _Chunk:
-    """A chunk's sorted distinct words, and its texts as fragment numbers."""
+    """A chunk's sorted distinct words and, if its documents are wanted, its texts as fragment numbers and its fragments as word numbers."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], documents: bool):
         find, seen = pattern().findall, Numbered()
         number, name = seen.__getitem__, xxhash.xxh3_64()
         self.frags = []
         for i, t in zip(ids, texts):
             name.update(f"{i}\0{len(t)}\0".encode() + t.encode())
-            if t:
-                first, *rest = fragments(t)
-                rest.insert(0, "\n" + first)  # no other fragment starts with white space; this one has no space in front
+            rest = fragments(t) if t else []
+            if rest:
+                rest[0] = "\n" + rest[0]  # no other fragment starts with white space; this one has no space in front
+            if documents:
                 self.frags.append(np.fromiter(map(number, rest), np.int32, len(rest)))
             else:
-                self.frags.append(np.zeros(0, np.int32))
+                seen.update(zip(rest, repeat(0)))
         self.key = int(np.array([name.intdigest()], np.uint64).view(np.int64)[0])
-        split = [find(f[1:]) if f[0] == "\n" else find(" " + f) for f in seen]
-        words = sorted({w for s in split for w in s})
-        at = {w: i for i, w in enumerate(words)}
-        self.words = [w.encode() for w in words]
-        self.sizes = np.array([len(s) for s in split], np.int32)
-        self.index = np.fromiter((at[w] for s in split for w in s), np.int32, int(self.sizes.sum()))
+        parts = (find(f[1:]) if f[0] == "\n" else spaced(f, find) for f in seen)
+        if not documents:
+            self.words = [w.encode() for w in sorted({w for s in parts for w in s})]
+            return
+        words, sizes, index = Numbered(), array("i"), array("i")
+        for s in parts:
+            sizes.append(len(s))
+            index.extend([words[w] for w in s])
+        del seen, number
+        listed = list(words)
+        order = sorted(range(len(listed)), key=listed.__getitem__)
+        place = np.empty(len(listed), np.int32)
+        place[order] = np.arange(len(listed), dtype=np.int32)
+        self.words = [listed[i].encode() for i in order]
+        self.sizes, self.index = np.array(sizes, np.int32), place[np.array(index, np.int64)]
 
     def by_bucket(self, n: int) -> list[tuple[int, np.ndarray]]:
         """The word numbers of each bucket, in order."""
@@ -93,7 +105,7 @@ class _Chunk:
         return [(int(h[o[0]]), o) for o in np.split(order, cuts) if len(o)]
 
 
-def encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern_text: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 24 << 20, buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern_text: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, buckets: int | None = None) -> DataFrame:
     """(id, n_tokens, ids) of every row; ids: the token ids as little-endian unsigned 32-bit integers in one BINARY.
 
     buckets: four for each shuffle partition unless given; a bucket's words must fit a task.
@@ -105,7 +117,7 @@ def encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern_text: str, i
 
     def words_of(batches):
         for ids, texts in _chunks(batches, chunk_bytes):
-            c = _Chunk(ids, texts)
+            c = _Chunk(ids, texts, False)
             found = c.by_bucket(n)
             blobs = [_pack(np.array([len(c.words[i]) for i in o], np.int32), np.frombuffer(b"".join(c.words[i] for i in o), np.uint8)) for _, o in found]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([c.key] * len(found), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "words"])
@@ -133,7 +145,7 @@ def encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern_text: str, i
 
     def docs_of(batches):
         for ids, texts in _chunks(batches, chunk_bytes):
-            c = _Chunk(ids, texts)
+            c = _Chunk(ids, texts, True)
             found = c.by_bucket(n)
             blob = _pack(c.sizes, c.index, np.array([b for b, _ in found], np.int32), np.array([len(o) for _, o in found], np.int32), np.concatenate([o for _, o in found] or [np.zeros(0, np.int64)]).astype(np.int32), np.array([len(f) for f in c.frags], np.int32), np.concatenate(c.frags))
             yield pa.RecordBatch.from_arrays([pa.array([c.key], pa.int64()), pa.array([ids], pa.list_(id_arrow)), pa.array([blob], pa.binary())], ["chunk", "doc_ids", "docs"])

@@ -36,6 +36,15 @@ def fragments(text: str) -> list[str]:
     return _CUT.split(text)
 
 
+def spaced(f: str, find) -> list[str]:
+    """The pre-tokens of a fragment with its space in front; letters alone, or with one stop after them, need no search."""
+    if f.isalpha():
+        return [" " + f]
+    if f[-1] in ".,;:!?" and f[:-1].isalpha():
+        return [" " + f[:-1], f[-1]]
+    return find(" " + f)
+
+
 class Numbered(dict):
     """Gives each new key the next number."""
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pretokens import fragments, pattern
+from .pretokens import fragments, pattern, spaced
 
 CACHE = 500_000
 
@@ -104,7 +104,7 @@ class _Counter:
         return n + sum(map(self.piece, self.find(first)))
 
     def spaced(self, f: str) -> int:
-        n = sum(map(self.piece, self.find(" " + f)))
+        n = sum(map(self.piece, spaced(f, self.find)))
         if len(f) < 100:
             self.cache[f] = n
         return n
