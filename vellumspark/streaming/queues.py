@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _marked(df: DataFrame, time: str, delay: str) -> DataFrame:
+    """With a watermark; streams want a timestamp with a zone for it, and batches have no late rows."""
+    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay) if df.isStreaming else df
+
+
 def keyed_queue(requests: DataFrame, keys: list[str], time: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """ST-1: a request for a key that is queued already is one with it, within the delay."""
-    return requests.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    marked = _marked(requests, time, delay)
+    return marked.dropDuplicatesWithinWatermark(keys) if requests.isStreaming else marked.dropDuplicates(keys)
 
 
 def latest_status(events: DataFrame, keys: list[str], time: str = "ts", status: str = "status") -> DataFrame:
@@ -24,7 +30,7 @@ def without_cancelled(work: DataFrame, cancelled: DataFrame, keys: list[str]) ->
 def windows(events: DataFrame, time: str, width: str, slide: str | None = None, delay: str = "10 minutes", keys: tuple[str, ...] = (), value: str = "value") -> DataFrame:
     """E-6: counts and sums by event-time window, late rows within the delay counted."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
-    g = events.withWatermark(time, delay).groupBy(w, *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    g = _marked(events, time, delay).groupBy(w, *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return g.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "total")
 
 
