@@ -182,3 +182,28 @@ def test_empty_search(spark):
     c = spark.createDataFrame([], "document_id long, chunk_id string, chunk_index int, content string, filename string")
     assert rt.keyword_lane(c, "a thing").collect() == []
     assert rt.keyword_lane(c, "").collect() == []
+
+
+def test_alignment():
+    from vellumspark.functions import align as al
+
+    t = "The  “Quick”\nbrown fox—jumped over"
+    assert t[slice(*al.find_span(t, 'the "quick" brown'))] == "The  “Quick”\nbrown"
+    assert t[slice(*al.find_span(t, "fox jumped"))] == "fox—jumped"
+    assert al.find_span(t, "absent") is None and al.find_span(None, "x") is None
+    long = " ".join(f"w{i}" for i in range(40))
+    assert al.find_span(long, long.replace("w20", "changed")) == (0, len(long))
+    assert al.highlight_ranges("a cat and a catalogue", "catalogue cat") == [(2, 5), (12, 21)]
+    assert al.balanced_json('x ```json\n{"a": {"b": 1}}\n``` {"c": 2}') == '{"a": {"b": 1}}' and al.balanced_json("{no") is None
+    assert al.region_run(["The qu", "ick br", "own"], "quick brown") == (0, 2)
+    assert al.minimal_edit("a b c", "a x c") == [("equal", "a "), ("delete", "b"), ("insert", "x"), ("equal", " c")]
+    assert al.unique_anchor("x y x", "x", before="y ") == 4 and al.unique_anchor("x x", "x") is None
+
+
+def test_compact(spark, tmp_path):
+    from vellumspark.operators import workspace as ws
+
+    spark.range(1000).repartition(20).write.parquet(str(tmp_path / "a"))
+    got = ws.compact(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert got["reclaimed"] > 0 and spark.read.parquet(str(tmp_path / "b")).count() == 1000
+    assert len([f for f in (tmp_path / "b").iterdir() if f.name.endswith(".parquet")]) == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import align as al
 from ..functions import text as tx
 from ..functions import values as vl
 from ..functions import vectors as vx
@@ -15,6 +16,7 @@ from ..operators import dml
 from ..operators import relational as rl
 from ..operators import retrieval as rt
 from ..operators import summaries as sm
+from ..operators import workspace as ws
 from ..operators.builder import from_table
 from ..sources import files as fl
 from ..sources import tables as tb
@@ -777,6 +779,148 @@ CASE WHEN n LIKE '%claimant%' THEN 'claimant' WHEN n LIKE '%respondent%' THEN 'r
     lambda s, d: sm.classify_documents(T(s, d, "customer").select("c_custkey", F.concat(F.element_at(F.array(*map(F.lit, ("Claimant_Brief_", "respondent-memorial-", "Exhibit ", "award ", "witness statement ", "misc ", "letter court "))), (F.col("c_custkey") % 7 + 1).cast("int")), F.col("c_custkey") % 300, F.lit(".pdf")).alias("filename"))).select("c_custkey", "doc_role", "party_role", "sequence_hint")
 )
 
+# --- lists of a workspace
+
+
+@query(
+    "selected_scope",
+    """SELECT n_name AS label, document_id, CASE WHEN document_id IS NULL THEN 'unknown' WHEN document_id % 2 = 0 THEN 'ok' ELSE 'out-of-scope' END AS status
+FROM (SELECT n_name, n_nationkey FROM nation UNION ALL SELECT 'NOWHERE', NULL) n LEFT JOIN (SELECT c_custkey AS document_id, c_custkey FROM customer WHERE c_custkey < 20) c ON c.c_custkey = n.n_nationkey""",
+)
+def _(s, d):
+    names = T(s, d, "nation").select(F.col("n_name").alias("label"), F.col("n_nationkey").cast("long").alias("document_id"))
+    docs = names.join(T(s, d, "customer").where("c_custkey < 20").select(F.col("c_custkey").alias("document_id")), "document_id", "left_semi").withColumnRenamed("label", "filename")
+    asked = names.select("label").unionByName(s.sql("SELECT 'NOWHERE' AS label"))
+    return ws.scope(asked, docs.where("document_id % 2 = 0"), docs)
+
+
+query("owned_and_shared", "SELECT o_orderkey, o_custkey = 7 AS own FROM orders WHERE o_custkey = 7 OR o_orderkey % 50 = 0")(
+    lambda s, d: ws.owned(T(s, d, "orders"), 7, T(s, d, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.lit(7).alias("with_user")), "o_custkey", "o_orderkey").select("o_orderkey", (~F.col("is_shared")).alias("own"))
+)
+query("list_search", "SELECT c_custkey FROM customer WHERE contains(lower(c_name), '42') OR contains(lower(c_mktsegment), '42')")(lambda s, d: ws.search_list(T(s, d, "customer"), " 42", "c_name", "c_mktsegment").select("c_custkey"))
+
+
+@query(
+    "recent_lists",
+    """WITH u AS (SELECT DISTINCT event_id, user_id, ts FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0) SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM u) WHERE k <= 5""",
+)
+def _(s, d):
+    e = T(s, d, "events").select("event_id", "user_id", "ts")
+    return ws.recents([e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0")], "user_id", "event_id", "ts", 5).select("event_id", "user_id")
+
+
+query("status_first", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")(
+    lambda s, d: ws.status_first(T(s, d, "orders"), ["o_custkey"], F.col("o_orderstatus") == "F", "o_orderkey").select("o_custkey", "o_orderkey")
+)
+query("focus_first", "SELECT event_id FROM events ORDER BY (user_id = 3) DESC, (event_type IS NOT NULL AND trim(event_type) <> '') DESC, event_id DESC LIMIT 30")(
+    lambda s, d: ws.focus_first(T(s, d, "events"), F.col("user_id") == 3, F.col("event_type"), "event_id").select("event_id")
+)
+
+
+@query(
+    "enriched_events",
+    """SELECT o_custkey, array_to_string(list(concat(o_orderkey, ':', coalesce(x.n, 0)) ORDER BY o_orderkey), ',') AS items FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) x ON x.l_orderkey = o_orderkey GROUP BY o_custkey""",
+)
+def _(s, d):
+    e = T(s, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey"))).alias("items"))
+    facts = T(s, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    out = ws.enrich(e, "items", "o_orderkey", facts, "l_orderkey", "o_custkey")
+    return out.select("o_custkey", F.array_join(F.transform("items", lambda x: F.concat(x["item"]["o_orderkey"].cast("string"), F.lit(":"), F.coalesce(x["n"], F.lit(0)).cast("string"))), ",").alias("items"))
+
+
+query("attachment_counts", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")(
+    lambda s, d: ws.attachments(T(s, d, "customer").select("c_custkey"), T(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+)
+
+
+@query(
+    "ready_members",
+    """SELECT c_custkey AS document_id, CASE WHEN c_custkey % 5 = 0 THEN 'missing' WHEN c_acctbal < 0 THEN 'not-ready' WHEN c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'not-linked' ELSE 'ok' END AS result FROM customer""",
+)
+def _(s, d):
+    c = T(s, d, "customer")
+    docs = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("document_id"), F.when(F.col("c_acctbal") < 0, "error").otherwise("ready").alias("status"))
+    return ws.ready_members(c.select(F.col("c_custkey").alias("document_id")), docs, T(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("document_id")))
+
+
+@query("vector_coverage", f"WITH {CHUNKS} SELECT document_id, count(*) AS chunks, sum(CASE WHEN document_id % 3 <> 0 AND chunk_index = 0 THEN 1 ELSE 0 END)::BIGINT AS ready FROM cid GROUP BY document_id")
+def _(s, d):
+    c = tb.chunks(s, d)
+    return ws.coverage_of_vectors(c, c.where("document_id % 3 <> 0").select("chunk_id", F.when(F.col("chunk_index") == 0, "ready").otherwise("pending").alias("status")), ["document_id"])
+
+
+@query(
+    "repeated_edges",
+    """WITH l AS (SELECT l_suppkey AS document_id, l_orderkey % 10 AS page, l_returnflag || l_linestatus AS text FROM lineitem), n AS (SELECT document_id, count(DISTINCT page) AS n FROM l GROUP BY 1)
+SELECT document_id, text, count(DISTINCT page) AS pages FROM l JOIN n USING (document_id) GROUP BY document_id, text, n HAVING count(DISTINCT page) >= greatest(2, ceil(0.6 * n))""",
+)
+def _(s, d):
+    return ws.repeated_edges(T(s, d, "lineitem").select(F.col("l_suppkey").alias("document_id"), (F.col("l_orderkey") % 10).alias("page"), F.concat("l_returnflag", "l_linestatus").alias("text")))
+
+
+query("weighted_line_size", "SELECT p_brand, round(sum(p_size * length(p_name)) / sum(length(p_name)), 6) AS size, bool_or(p_retailprice > 2000) AS bold FROM part GROUP BY p_brand")(
+    lambda s, d: ws.weighted_line(T(s, d, "part").select("p_brand", F.col("p_size").alias("size"), F.col("p_name").alias("text"), (F.col("p_retailprice") > 2000).alias("bold")), ["p_brand"])
+)
+
+
+@query(
+    "page_offset",
+    """WITH m AS (SELECT l_orderkey, list_sort(list(l_suppkey % 7 - l_linenumber)) AS ds FROM lineitem GROUP BY 1), k AS (SELECT *, ds[len(ds) // 2 + 1] AS mid FROM m)
+SELECT l_orderkey, CASE WHEN len(list_filter(ds, lambda x: abs(x - mid) <= 2)) >= 2 THEN mid END AS "offset" FROM k""",
+)
+def _(s, d):
+    return ws.page_offset(T(s, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 7).alias("body_page"), F.col("l_linenumber").cast("long").alias("toc_page")), ["l_orderkey"])
+
+
+query("toc_lines", "SELECT p_partkey, concat(p_partkey % 9, '.', p_partkey % 3, ' ', p_name) AS title, p_size AS toc_page, 2 AS depth FROM part")(
+    lambda s, d: ws.toc_lines(T(s, d, "part").select("p_partkey", F.concat(F.col("p_partkey") % 9, F.lit("."), F.col("p_partkey") % 3, F.lit(" "), "p_name", F.lit(" ..... "), "p_size").alias("line"))).select("p_partkey", "title", "toc_page", "depth")
+)
+
+
+@query(
+    "color_legend",
+    f"""WITH f AS (SELECT *, ({vl.FAMILIES!r})[c_custkey % 12 + 1] AS family FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey, family ORDER BY c_custkey DESC) AS k FROM f WHERE family IS NOT NULL)
+SELECT c_nationkey AS project_id, family, c_name AS meaning FROM r WHERE k = 1""",
+)
+def _(s, d):
+    fam = F.try_element_at(F.array(*map(F.lit, vl.FAMILIES)), (F.col("c_custkey") % 12 + 1).cast("int"))
+    rows = T(s, d, "customer").select(F.col("c_nationkey").alias("project_id"), fam.alias("family"), F.col("c_name").alias("meaning"), F.col("c_custkey").alias("updated_at"))
+    return ws.legend(rows, vl.FAMILIES).select("project_id", "family", "meaning")
+
+
+query("annotation_digest", f"WITH {_ANN} SELECT id, floor((row_number() OVER (ORDER BY created_at DESC, id) - 1) / 100)::INT AS page_no FROM (SELECT * FROM ann ORDER BY created_at DESC, id LIMIT 400)")(
+    lambda s, d: ws.digest(tb.annotations(s, d), [F.desc("created_at"), F.col("id")]).select("id", "page_no")
+)
+
+
+@query(
+    "evaluation_problems",
+    """SELECT item_id AS question_id, unnest(list_filter([CASE WHEN item_id % 4 = 0 THEN 'empty-question' END, CASE WHEN item_id % 3 = 0 THEN 'unknown-document' END, CASE WHEN item_id % 5 = 0 THEN 'bad-page' END], lambda x: x IS NOT NULL)) AS problem FROM benchmark""",
+)
+def _(s, d):
+    b = T(s, d, "benchmark")
+    q = b.select(F.col("item_id").alias("question_id"), F.when(F.col("item_id") % 4 == 0, " ").otherwise(F.col("text")).alias("question"), F.col("item_id").alias("gold_doc"), F.when(F.col("item_id") % 5 == 0, 0).otherwise(1).alias("gold_page"))
+    return ws.evaluation_problems(q, b.where("item_id % 3 <> 0").select(F.col("item_id").alias("document_id")))
+
+
+@query("aligned_quotes")
+def _(s, d):
+    c = T(s, d, "documents").select("doc_id", "text", F.upper(F.array_join(F.slice(F.split("text", "[ \\n]+"), 3, 6), "  ")).alias("q"))
+    return c.select("doc_id", al.aligned("text", "q").alias("p")).select("doc_id", "p.start", "p.end")
+
+
+@query("highlight_ranges")
+def _(s, d):
+    h = T(s, d, "benchmark").select("item_id", F.explode(al.highlights("text", F.lit("the of"))).alias("h"))
+    return h.select("item_id", "h.start", "h.end")
+
+
+@query("minimal_edits")
+def _(s, d):
+    e = T(s, d, "benchmark").select("item_id", F.posexplode(al.edits("text", F.regexp_replace("text", "the", "a"))).alias("i", "e"))
+    return e.select("item_id", "i", "e.op", "e.text")
+
+
 # --- sets, text, status
 
 query("set_union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")(lambda s, d: T(s, d, "customer").select(F.col("c_nationkey").alias("k")).union(T(s, d, "supplier").select("s_nationkey")).distinct())
