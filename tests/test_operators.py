@@ -207,3 +207,25 @@ def test_compact(spark, tmp_path):
     got = ws.compact(spark, str(tmp_path / "a"), str(tmp_path / "b"))
     assert got["reclaimed"] > 0 and spark.read.parquet(str(tmp_path / "b")).count() == 1000
     assert len([f for f in (tmp_path / "b").iterdir() if f.name.endswith(".parquet")]) == 1
+
+
+def test_evidence_helpers(spark):
+    from vellumspark.operators import evidence as ev
+
+    df = spark.createDataFrame([("1.2 Scope of Work", "SCOPE OF WORK."), ("A. Terms", "Other"), ("The general provisions here", "general provisions")], "a string, b string")
+    assert [r[0] for r in df.select(ev.same_heading(F.col("a"), F.col("b"))).collect()] == [True, False, True]
+    t = spark.createDataFrame([("x\n- It was [2] late [1]",)], "t string")
+    assert t.select(ev.claim_context(F.col("t"), F.instr("t", "[1]"))).first()[0] == "It was  late"
+    r = spark.createDataFrame([("<think>a\nb</think>\nYes.\nInternal: no\nEnd",)], "t string")
+    assert r.select(ev.strip_reasoning(F.col("t"))).first()[0] == "Yes.\nEnd"
+    b = spark.createDataFrame([(bytearray(b"0123456789"),)], "b binary")
+    got = b.select(*[ev.byte_range(F.col("b"), F.lit(x), F.lit(y).cast("int")) for x, y in ((0, 3), (8, None), (-2, None), (20, 30))]).first()
+    assert [x and bytes(x) for x in got] == [b"0123", b"89", b"89", None]
+    chars = spark.createDataFrame([(1, float(i * 10), 0.0, 10.0, 10.0, c) for i, c in enumerate("hello")], "p int, x double, y double, width double, height double, c string")
+    box = spark.createDataFrame([(1, 9.0, 2.0, 30.0, 10.0)], "p int, x double, y double, width double, height double")
+    assert ev.chars_in_rects(chars, box, ["p"]).first().quote == "ell"
+    two = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (1, 12.0, 0.0, 5.0, 10.0), (1, 40.0, 0.0, 5.0, 10.0)], "p int, x double, y double, width double, height double")
+    assert rows(ev.merge_rects(two, ["p"])) == [(1, 0.0, 0.0, 17.0, 10.0), (1, 40.0, 0.0, 45.0, 10.0)]
+    toc = spark.createDataFrame([(1, 0, "Intro", 1), (1, 1, "Method", 1)], "id int, toc_no int, title string, depth int")
+    sec = spark.createDataFrame([(1, 5, "1. Intro", 1), (1, 9, "2. Method", 1), (2, 3, "Alone", 2)], "id int, line_no int, title string, level int")
+    assert rows(ev.outline(toc, sec, ["id"])) == [(1, 0, "Intro", 1, 5), (1, 1, "Method", 1, 9), (2, 3, "Alone", 2, 3)]

@@ -13,6 +13,7 @@ from ..operators import annotations as an
 from ..operators import chunking as ch
 from ..operators import citations as ct
 from ..operators import dml
+from ..operators import evidence as ev
 from ..operators import relational as rl
 from ..operators import retrieval as rt
 from ..operators import summaries as sm
@@ -921,6 +922,90 @@ def _(s, d):
     return e.select("item_id", "i", "e.op", "e.text")
 
 
+# --- evidence
+
+
+@query(
+    "annotation_context",
+    f"""WITH {CHUNKS}, a AS (SELECT item_id AS id, item_id * 3 AS document_id, 'the' AS quote FROM benchmark),
+m AS (SELECT id, chunk_index, content, strpos(lower(content), 'the') AS p, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN chunk_index = 1 THEN 0 ELSE 1 END, chunk_index) AS k FROM a JOIN cid USING (document_id) WHERE strpos(lower(content), 'the') > 0)
+SELECT id, chunk_index, array_to_string(string_split(trim(regexp_replace(substr(content, greatest(p - 200, 1), p - greatest(p - 200, 1) + 3 + 200), '[ \t\n\r\f\x0b]+', ' ', 'g')), ' ')[1:50], ' ') AS context FROM m WHERE k = 1""",
+)
+def _(s, d):
+    a = T(s, d, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") * 3).alias("document_id"), F.lit(1).alias("page_number"), F.lit("the").alias("quote"))
+    return ev.context(a, tb.chunks(s, d).withColumn("page_number", F.col("chunk_index")))
+
+
+@query(
+    "quote_candidates",
+    f"""WITH {_SUPPORT}, r AS (SELECT claim_id, passage_id, round(score + CASE WHEN passage_id % 16 = claim_id % 16 THEN 2 ELSE 0 END + CASE WHEN passage_id > claim_id THEN 2 ELSE 0 END, 6)::DOUBLE AS points FROM sc)
+SELECT claim_id, passage_id, points FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY points DESC, passage_id) AS k FROM r) WHERE k <= 3""",
+)
+def _(s, d):
+    c, p = _claims(s, d)
+    c = c.withColumn("hint_doc", F.col("claim_id") % 16).withColumn("hint_page", F.lit(1))
+    j = c.join(p.select("g", "passage_id"), "g").where("claim_id <> passage_id").withColumn("hint_page", F.col("passage_id") > F.col("claim_id"))
+    facts = p.select("passage_id", "passage", (F.col("passage_id") % 16).alias("document_id"), F.lit(True).alias("page"))
+    return ev.candidates(j, facts, ["passage_id"]).select("claim_id", "passage_id", "points")
+
+
+@query(
+    "mapping_results",
+    f"""WITH {_SUPPORT}, m AS (SELECT item_id AS seq, item_id AS claim_id, item_id % 8 + CASE WHEN item_id % 3 = 0 THEN 1000 ELSE 0 END AS passage_id FROM benchmark)
+SELECT m.seq, m.claim_id, m.passage_id, CASE WHEN m.passage_id >= 1000 THEN 'unknown-passage' WHEN m.claim_id = m.passage_id THEN 'accepted' WHEN coalesce(sc.score, 0) < 0.3 THEN 'unsupported' ELSE 'accepted' END AS result
+FROM m LEFT JOIN sc ON sc.claim_id = m.claim_id AND sc.passage_id = m.passage_id""",
+)
+def _(s, d):
+    c, p = _claims(s, d)
+    m = T(s, d, "benchmark").select(F.col("item_id").alias("seq"), F.col("item_id").alias("claim_id"), (F.col("item_id") % 8 + F.when(F.col("item_id") % 3 == 0, 1000).otherwise(0)).alias("passage_id"))
+    return ev.apply_mapping(m, c, p)
+
+
+query("run_medians", "SELECT n_name AS scenario, median(c_acctbal) AS median, count(c_custkey) AS runs, count(DISTINCT c_mktsegment) = 1 AS same_model FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 2 = 0 GROUP BY n_name")(
+    lambda s, d: ev.run_medians(T(s, d, "customer").where("c_custkey % 2 = 0").join(T(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("scenario"), F.col("c_acctbal").alias("value"), F.col("c_mktsegment").alias("model")), T(s, d, "nation").select(F.col("n_name").alias("scenario")))
+)
+query("byte_overhead", "SELECT doc_id, (strlen(text) + strlen(source) - strlen(text))::BIGINT AS overhead FROM documents")(lambda s, d: ev.byte_overhead(T(s, d, "documents").withColumn("a", F.concat("text", "source")), "text", "a").select("doc_id", "overhead"))
+
+
+@query(
+    "answer_counters",
+    r"""SELECT conv_id, turn, len(list_filter(regexp_extract_all(t, '"([^"\n]*)"', 1), lambda q: regexp_matches(q, '\[[0-9]+\]')))::INT AS marks_in_quotes, 1 AS repeated_refs, len(regexp_extract_all(t, '\b([pa][0-9]+)\b', 1))::INT AS leaked_handles
+FROM (SELECT conv_id, turn, concat('"x [1]" [1] p', turn, ' "', role, '"') AS t FROM conversations)""",
+)
+def _(s, d):
+    c = T(s, d, "conversations").select("conv_id", "turn", F.concat(F.lit('"x [1]" [1] p'), "turn", F.lit(' "'), "role", F.lit('"')).alias("t"))
+    return ev.answer_counters(c, "t").drop("t")
+
+
+query("readiness", "SELECT 'has_rows' AS name, count(*) > 0 AS ok FROM orders UNION ALL SELECT 'all_open', bool_and(o_orderstatus = 'O') FROM orders")(
+    lambda s, d: ev.readiness(T(s, d, "orders"), has_rows=F.count("*") > 0, all_open=F.bool_and(F.col("o_orderstatus") == "O"))
+)
+query("partial_reads", "SELECT doc_id AS document_id, n_chars % 7 - coalesce(CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 END, 0) AS gap FROM documents WHERE n_chars % 7 - coalesce(CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 END, 0) > 0")(
+    lambda s, d: ev.partial_reads(T(s, d, "documents").select(F.col("doc_id").alias("document_id"), (F.col("n_chars") % 7).alias("scanned_pages"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 5).alias("processed_pages"))).select("document_id", "gap")
+)
+query("byte_range", "SELECT item_id, decode(encode(text)[11:40]) AS part FROM benchmark WHERE strlen(text) = length(text)")(
+    lambda s, d: T(s, d, "benchmark").where("octet_length(text) = char_length(text)").select("item_id", F.decode(ev.byte_range(F.encode("text", "UTF-8"), F.lit(10), F.lit(39)), "UTF-8").alias("part"))
+)
+
+
+@query("merged_segments", f"WITH {CHUNKS}, c AS (SELECT *, CASE WHEN chunk_index = 0 THEN 0 ELSE lag(end_char) OVER (PARTITION BY document_id ORDER BY chunk_index) END AS seen FROM cid) SELECT document_id, chunk_index, seen::BIGINT AS segment_start, end_char::BIGINT AS segment_end FROM c")
+def _(s, d):
+    return ev.merged_segments(tb.chunks(s, d), ["document_id"])
+
+
+@query("merged_rects")
+def _(s, d):
+    r = T(s, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 50).cast("double").alias("x"), (F.col("l_linenumber") % 2 * 12).cast("double").alias("y"), F.lit(8.0).alias("width"), F.lit(10.0).alias("height"))
+    return ev.merge_rects(r, ["l_orderkey"])
+
+
+query("cite_offsets", f"WITH {CHUNKS} SELECT chunk_id AS evidence_id, document_id, start_char + 5 AS start, start_char + 25 AS \"end\" FROM cid")(
+    lambda s, d: ev.cite_offsets(tb.chunks(s, d).select(F.col("chunk_id").alias("evidence_id"), "chunk_id", F.lit(5).alias("quote_start"), F.lit(25).alias("quote_end")), tb.chunks(s, d))
+)
+query("effective_setting", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_name END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, 'default') AS v FROM customer")(
+    lambda s, d: T(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(" ").alias("a"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("b"), F.lit("default").alias("c")).select("c_custkey", ev.effective_setting("a", "b", "c").alias("v"))
+)
+
 # --- sets, text, status
 
 query("set_union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")(lambda s, d: T(s, d, "customer").select(F.col("c_nationkey").alias("k")).union(T(s, d, "supplier").select("s_nationkey")).distinct())
