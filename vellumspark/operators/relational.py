@@ -13,7 +13,7 @@ def lacking(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def first_per(df: DataFrame, keys: list[str], *order: Column, n: int = 1) -> DataFrame:
     """J-5, W-2, W-8: the first n rows of each group."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    return df.withColumn("_place_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place_") <= n).drop("_place_")
 
 
 def neighbours(chunks: DataFrame, hits: DataFrame, radius: int = 1) -> DataFrame:
@@ -127,7 +127,7 @@ def unique_sequence(df: DataFrame, keys: list[str], hint: str) -> DataFrame:
 def margin(df: DataFrame, keys: list[str], score: str, *ties: Column) -> DataFrame:
     """W-17: each group's best row with its lead over the second (its own score if alone)."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), *ties)
-    return df.withColumn("_n", F.row_number().over(w)).withColumn("margin", F.col(score) - F.coalesce(F.lead(score).over(w), F.lit(0.0))).where("_n = 1").drop("_n")
+    return df.withColumn("_place_", F.row_number().over(w)).withColumn("margin", F.col(score) - F.coalesce(F.lead(score).over(w), F.lit(0.0))).where("_place_ = 1").drop("_place_")
 
 
 def budget_prefix(df: DataFrame, keys: list[str], order: str, size: Column, most: int) -> DataFrame:
