@@ -229,3 +229,18 @@ def test_evidence_helpers(spark):
     toc = spark.createDataFrame([(1, 0, "Intro", 1), (1, 1, "Method", 1)], "id int, toc_no int, title string, depth int")
     sec = spark.createDataFrame([(1, 5, "1. Intro", 1), (1, 9, "2. Method", 1), (2, 3, "Alone", 2)], "id int, line_no int, title string, level int")
     assert rows(ev.outline(toc, sec, ["id"])) == [(1, 0, "Intro", 1, 5), (1, 1, "Method", 1, 9), (2, 3, "Alone", 2, 3)]
+
+
+def test_engine_helpers(spark):
+    from vellumspark.operators import engine as en
+
+    items = spark.createDataFrame([(1, 0, 10.0, 10.0, "a"), (1, 1, 10.2, 10.0, "b"), (1, 2, 30.0, 12.0, "c")], "p int, seq int, y double, height double, text string")
+    assert [(r.line_no, r.text) for r in en.pdf_lines(items, ["p"]).orderBy("line_no").collect()] == [(0, "a b"), (1, "c")]
+    pts = spark.createDataFrame([(1, 7, "ABC1"), (2, 7, "abd1x"), (3, 7, "abc1")], "point_id int, document_id int, chunk_id string")
+    ch_ = spark.createDataFrame([(7, "abc1"), (7, "zzz9")], "document_id int, chunk_id string")
+    assert {r.point_id: r.found_id for r in en.recover_ids(pts, ch_).collect()} == {1: "abc1", 2: None, 3: "abc1"}
+    docs = spark.createDataFrame([("other", 0.3, "Witness Statement of X"), ("brief", 0.9, "award")], "doc_role string, confidence double, first_page string")
+    assert [r.doc_role for r in en.refine_role(docs).collect()] == ["statement", "brief"]
+    want = spark.createDataFrame([(1, 1), (2, 1)], "k int, content_revision int")
+    have, todo = en.cached(want, spark.createDataFrame([(1, 1, "x"), (2, 0, "y")], "k int, content_revision int, v string"), ["k"])
+    assert rows(have) == [(1, 1, "x")] and rows(todo) == [(2, 1)]

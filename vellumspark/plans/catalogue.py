@@ -13,6 +13,7 @@ from ..operators import annotations as an
 from ..operators import chunking as ch
 from ..operators import citations as ct
 from ..operators import dml
+from ..operators import engine as en
 from ..operators import evidence as ev
 from ..operators import relational as rl
 from ..operators import retrieval as rt
@@ -1006,6 +1007,84 @@ query("effective_setting", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 =
     lambda s, d: T(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(" ").alias("a"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("b"), F.lit("default").alias("c")).select("c_custkey", ev.effective_setting("a", "b", "c").alias("v"))
 )
 
+# --- entry points
+
+
+@query(
+    "search_filtered",
+    f"""WITH {CHUNKS}, {_BM25.replace("LIMIT 64", "LIMIT 200")}, k2 AS (SELECT * FROM kw WHERE project_id = 'en' AND split_part(filename, '_', 1) IN ('src0', 'src1', 'src2') ORDER BY score, chunk_id LIMIT 160),
+sc AS (SELECT * FROM cid WHERE project_id = 'en' AND split_part(filename, '_', 1) IN ('src0', 'src1', 'src2')),
+l AS (SELECT chunk_id, row_number() OVER (ORDER BY score, chunk_id) AS r, 'keyword' AS lane, 1 AS no FROM k2
+  UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY -((length(content) - length(replace(lower(content), '{QUERY}', ''))) / {len(QUERY)}.0), document_id, chunk_index), 'substring', 2 FROM sc WHERE contains(lower(content), '{QUERY}')),
+m AS (SELECT chunk_id, sum(1.0 / (60 + r)) AS rrf, min({{'no': no, 'r': r}}) AS f FROM l GROUP BY chunk_id)
+SELECT sc.document_id, sc.chunk_id, round(rrf + CASE WHEN contains(lower(content), '{QUERY}') THEN 0.03 ELSE 0 END + CASE WHEN {" AND ".join(f"contains(lower(content), '{t}')" for t in _TERMS)} THEN 0.01 ELSE 0 END, 6)::DOUBLE AS score
+FROM m JOIN sc USING (chunk_id) ORDER BY score DESC, f, chunk_id LIMIT 20""",
+)
+def _(s, d):
+    return en.search(tb.chunks(s, d), QUERY, 20, file_types=("en",), folders=("src0", "src1", "src2")).select("document_id", "chunk_id", "score")
+
+
+@query("search_with_neighbors")
+def _(s, d):
+    return en.search(tb.chunks(s, d), QUERY, 10, radius=1).select("document_id", "chunk_index", "match_index", "is_neighbor")
+
+
+@query("indexed_documents")
+def _(s, d):
+    return en.index_documents(T(s, d, "pages").select(F.col("page_id").alias("doc_id"), tx.html_to_markdown(F.col("html")).alias("text"))).select("doc_id", "chunk_index", "start_char", "section_path")
+
+
+query("reassembled_texts", f"WITH {CHUNKS} SELECT document_id, md5(array_to_string(ws, ' ')) AS h FROM w WHERE len(ws) > 0")(lambda s, d: en.reassemble(tb.chunks(s, d)).select("document_id", F.md5("text").alias("h")))
+
+
+@query("replaced_index", f"WITH {CHUNKS} SELECT document_id, chunk_index, CASE WHEN document_id % 2 = 0 THEN 'new' ELSE content END AS content FROM cid WHERE document_id % 2 = 1 OR chunk_index = 0")
+def _(s, d):
+    c = tb.chunks(s, d).select("document_id", "chunk_index", "content")
+    out = c.select("document_id").distinct().withColumn("status", F.when(F.col("document_id") % 2 == 0, "ready").otherwise("error"))
+    return en.replace_index(c, c.where("chunk_index = 0").withColumn("content", F.lit("new")), out)
+
+
+query("index_status_record", "SELECT count(*) AS documents, sum(n_chars)::BIGINT AS chunks, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'de') AS de FROM documents")(
+    lambda s, d: en.status_record(T(s, d, "documents").select(F.col("lang").alias("status"), F.col("n_chars").alias("chunk_count"), F.col("n_chars").alias("text_bytes"), F.lit(None).cast("string").alias("error"))).select("documents", "chunks", F.element_at("by_status", F.lit("en")).alias("en"), F.element_at("by_status", F.lit("de")).alias("de"))
+)
+query("documents_with_index", "SELECT d.doc_id AS document_id, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.toxic = 1")(
+    lambda s, d: en.with_index(T(s, d, "documents").select(F.col("doc_id").alias("document_id")), T(s, d, "labels").select(F.col("doc_id").alias("document_id"), "quality", F.when(F.col("toxic") == 1, "ready").otherwise("x").alias("status")), "ready").select("document_id", "quality")
+)
+query("active_version", "SELECT o_custkey AS document_id, max_by(o_orderkey, {'n': o_totalprice, 'v': o_orderkey}) AS version_id, max(o_totalprice) + 1 AS next_number FROM orders GROUP BY 1")(
+    lambda s, d: en.active_version(T(s, d, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("version_id"), F.col("o_totalprice").alias("version_number")))
+)
+query("embedded_chunks", f"WITH {CHUNKS} SELECT chunk_id, CASE WHEN document_id % 7 = 0 THEN 'error' ELSE 'ready' END AS status FROM cid")(
+    lambda s, d: en.embed(tb.chunks(s, d).withColumn("content", F.concat(F.when(F.col("document_id") % 7 == 0, "BAD ").otherwise(""), "content")), ["document_id"], _lengths).select("chunk_id", "status")
+)
+
+
+def _lengths(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding service: refuses some texts."""
+    if any(t.startswith("BAD ") for t in texts):
+        raise ValueError("refused")
+    return [[float(len(t)), 1.0] for t in texts]
+
+
+query("citation_block", "SELECT item_id, (item_id % 9)::INT AS ref, item_id::VARCHAR AS document_id, 2 AS page, 'q  x'.replace('  ', ' ') AS quote FROM benchmark WHERE item_id % 2 = 0")(
+    lambda s, d: en.citation_block(
+        T(s, d, "benchmark").select("item_id", F.concat(F.lit("Text <citations>["), F.when(F.col("item_id") % 2 == 0, F.to_json(F.struct((F.col("item_id") % 9).alias("ref"), F.col("item_id").cast("string").alias("document_id"), F.lit(2).alias("page"), F.lit("q  x").alias("quote")))).otherwise('{"page": 1}'), F.lit("]</citations>")).alias("t")),
+        "item_id", "t",
+    )
+)
+query("matrix_work", "SELECT r_regionkey AS issue_index, s AS side_label FROM region, (SELECT unnest(['a', 'b', 'c']) AS s) WHERE NOT (r_regionkey % 2 = 0 AND s = 'b')")(
+    lambda s, d: en.matrix_work(T(s, d, "region").select(F.col("r_regionkey").alias("issue_index")), s.sql("SELECT * FROM VALUES ('a'), ('b'), ('c') AS t(side_label)"), T(s, d, "region").where("r_regionkey % 2 = 0").select(F.col("r_regionkey").alias("issue_index"), F.lit("b").alias("side_label"), F.lit("done").alias("status"), F.lit("x").alias("content")))
+)
+
+
+@query("viewer_outline")
+def _(s, d):
+    ln = ch.lines(T(s, d, "pages").select("page_id", tx.html_to_markdown(F.col("html")).alias("text")), "page_id", "text").where("line <> ''")
+    ln = ln.select("page_id", F.lit(1).alias("page"), "line_no", F.col("line").alias("text"), F.when(F.length("line") < 60, 14.0).otherwise(10.0).alias("size"))
+    return en.viewer_outline(ln, ["page_id"])
+
+
+query("ext_approximate")(lambda s, d: en.approximate(T(s, d, "events"), ["event_type"], "value"))
+
 # --- sets, text, status
 
 query("set_union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")(lambda s, d: T(s, d, "customer").select(F.col("c_nationkey").alias("k")).union(T(s, d, "supplier").select("s_nationkey")).distinct())
