@@ -244,3 +244,11 @@ def test_engine_helpers(spark):
     want = spark.createDataFrame([(1, 1), (2, 1)], "k int, content_revision int")
     have, todo = en.cached(want, spark.createDataFrame([(1, 1, "x"), (2, 0, "y")], "k int, content_revision int, v string"), ["k"])
     assert rows(have) == [(1, 1, "x")] and rows(todo) == [(2, 1)]
+
+
+def test_small_functions(spark):
+    df = spark.createDataFrame([("ab", "한"), ("a b c", "x"), ("", "  ")], "a string, b string")
+    assert [tuple(r) for r in df.select(tx.long_enough(F.col("a")), tx.long_enough(F.col("b"))).collect()] == [(False, True), (True, False), (False, False)]
+    assert [r[0] for r in df.select(tx.first_term(F.col("a"), ["C", "b"])).collect()] == [2, 3, 0]
+    assert df.limit(1).select(tx.safe_name(F.lit('..a/b:"c"'))).first()[0] == "_a_b_c_"
+    assert df.limit(1).select(vl.clean_list(F.array(F.lit(" b "), F.lit(""), F.lit("a"), F.lit("b")))).first()[0] == ["b", "a"]

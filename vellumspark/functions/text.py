@@ -49,7 +49,7 @@ def fold(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """White-space words, in order (F-13 counts them)."""
+    """F-13 counts them: white-space words, in order."""
     return F.filter(F.split(c, WS), lambda w: w != "")
 
 
@@ -155,6 +155,22 @@ def support(claim: Column, passage: Column) -> Column:
     return F.when(near, 1.0).when((least == 0) | (shared < 2), 0.0).otherwise(shared / least)
 
 
+def long_enough(c: Column) -> Column:
+    """F-8: has Hangul, Han or kana, or three characters that are no white space."""
+    return (cjk_share(c) > 0) | (F.length(F.regexp_replace(c, WS, "")) >= 3)
+
+
+def first_term(c: Column, terms: list[str]) -> Column:
+    """F-5: the place (from 1) of the first of the terms in a text, 0 if there is none."""
+    at = [F.nullif(F.instr(F.lower(c), t.lower()), F.lit(0)) for t in terms]
+    return F.coalesce(F.least(*at) if len(at) > 1 else at[0] if at else F.lit(None), F.lit(0))
+
+
+def safe_name(c: Column) -> Column:
+    """F-23: a file name without path and control signs."""
+    return F.regexp_replace(F.regexp_replace(c, r'[\\/:*?"<>|\x00-\x1f]+', "_"), r"^\.+", "_")
+
+
 def cjk_share(c: Column) -> Column:
     """F-31: share of Hangul, Han and kana among letters."""
     letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))

@@ -11,8 +11,18 @@ def chunk_id(document: Column, version: Column, index: Column, content: Column)
     return F.sha2(F.concat_ws("\0", document.cast("string"), version.cast("string"), index.cast("string"), content), 256)
 
 
+def cache_key(*parts: Column) -> Column:
+    """H-2, H-3: SHA-256 of the parts as JSON."""
+    return F.sha2(F.to_json(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])), 256)
+
+
+def clean_list(c: Column) -> Column:
+    """H-18, U-5: trimmed, non-empty, distinct texts in their first order."""
+    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+
+
 def millis(c: Column) -> Column:
-    """H-7: epoch milliseconds of a timestamp text; 0 if it is none."""
+    """H-7, H-8: epoch milliseconds of a timestamp text; 0 if it is none."""
     return F.coalesce(F.unix_millis(F.try_to_timestamp(c)), F.lit(0))
 
 

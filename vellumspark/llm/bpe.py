@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_parts
+from .common import lean, shuffle_parts, small_batches
 from .pretokens import Numbered, fragments, pattern, spaced
 
 
@@ -111,6 +111,7 @@ def encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern_text: str, i
     buckets: four for each shuffle partition unless given; a bucket's words must fit a task.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = buckets or 4 * shuffle_parts(spark)
     table = spark.sparkContext.broadcast((dict(ranks), pattern_text))  # of a vocabulary's size
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -121,6 +122,7 @@ def encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern_text: str, i
             found = c.by_bucket(n)
             blobs = [_pack(np.array([len(c.words[i]) for i in o], np.int32), np.frombuffer(b"".join(c.words[i] for i in o), np.uint8)) for _, o in found]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([c.key] * len(found), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "words"])
+            del c, found, blobs  # before the next chunk is read
 
     def encode_bucket(group: pa.Table) -> pa.Table:
         import tiktoken
@@ -149,6 +151,7 @@ def encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern_text: str, i
             found = c.by_bucket(n)
             blob = _pack(c.sizes, c.index, np.array([b for b, _ in found], np.int32), np.array([len(o) for _, o in found], np.int32), np.concatenate([o for _, o in found] or [np.zeros(0, np.int64)]).astype(np.int32), np.array([len(f) for f in c.frags], np.int32), np.concatenate(c.frags))
             yield pa.RecordBatch.from_arrays([pa.array([c.key], pa.int64()), pa.array([ids], pa.list_(id_arrow)), pa.array([blob], pa.binary())], ["chunk", "doc_ids", "docs"])
+            del c, found, blob
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         got = {b.as_py(): x.as_py() for b, x in zip(right.column("bucket"), right.column("ids"))}
@@ -183,9 +186,9 @@ def encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern_text: str, i
 
     kind = docs.schema[id_col].dataType
     id_arrow = to_arrow_type(kind)
-    words = src.mapInArrow(words_of, "bucket int, chunk bigint, words binary")
+    words = src.mapInArrow(lean(words_of), "bucket int, chunk bigint, words binary")
     ids = words.groupBy("bucket").applyInArrow(encode_bucket, "chunk bigint, bucket int, ids binary")
-    packed = src.mapInArrow(docs_of, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("docs", T.BinaryType())]))
+    packed = src.mapInArrow(lean(docs_of), T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("docs", T.BinaryType())]))
     out = packed.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(reassemble, T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]))
     return out.withColumnRenamed("id", id_col)
 
@@ -211,4 +214,4 @@ def decode(encoded: DataFrame, ranks: list[tuple[bytes, int]], ids_col: str = "i
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(out, pa.binary())], [*kept, out_col])
 
     schema = T.StructType([*(encoded.schema[c] for c in kept), T.StructField(out_col, T.BinaryType())])
-    return encoded.select(*kept, ids_col).mapInArrow(run, schema)
+    return encoded.select(*kept, ids_col).mapInArrow(lean(run), schema)

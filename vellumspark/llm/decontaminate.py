@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, small_batches
+
 _FOLD = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
 
@@ -193,11 +195,12 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20, chunk_bytes: int = 24 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20, chunk_bytes: int = 8 << 20) -> DataFrame:
     """docs with n_words, n_hit, items (distinct ids of items with an occurring window) and spans (merged, in code points)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
+    small_batches(spark)
     src = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     n_blocks = max(1, -(-(src.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
     item_kind = items.schema[item_id].dataType
@@ -255,7 +258,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
         block = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in rows], window))
         last = i == n_blocks - 1
         more = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_kind)), T.StructField("spans", span)] if last else [T.StructField("_hits", T.BinaryType()), T.StructField("_items", T.ArrayType(item_kind))]
-        df = df.mapInArrow(step(block, last), T.StructType([*own, *more]))
+        df = df.mapInArrow(lean(step(block, last)), T.StructType([*own, *more]))
     return df
 
 

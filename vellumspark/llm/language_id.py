@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, small_batches
+
 MARK, BLOCK, ALPHA, LEAST = "▁", 32, 0.1, 1e-9
-CACHE = 300_000
+CACHE = 200_000
 
 
 def vocabulary(model: bytes) -> list[str]:
@@ -99,6 +101,7 @@ class Model:
 def fit(docs: DataFrame, vocabulary_model: bytes, max_fit: int = 1500, text_col: str = "text", lang_col: str = "lang") -> Model:
     """docs: the documents that may be learned from. The driver gets counts by language and piece, never texts."""
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = vocabulary(vocabulary_model)
     rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
     counts = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
@@ -120,7 +123,7 @@ def fit(docs: DataFrame, vocabulary_model: bytes, max_fit: int = 1500, text_col:
                 some = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([sp.id_to_piece(int(i)) for i in some], pa.string()), pa.array(n[some], pa.int64())], ["l", "p", "n"])
 
-    found = sample.mapInArrow(segment, "l string, p string, n bigint").groupBy("l", "p").agg(F.sum("n").alias("n")).collect()
+    found = sample.mapInArrow(lean(segment), "l string, p string, n bigint").groupBy("l", "p").agg(F.sum("n").alias("n")).collect()
     langs = sorted(counts)
     number, column = {p: i + 2 for i, p in enumerate(pieces)}, {k: i for i, k in enumerate(langs)}
     table = np.zeros((len(pieces) + 2, len(langs)))
@@ -148,7 +151,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         forward = Forward(m.pieces, m.table)
         place: dict[str, int] = {}
         logs = np.zeros((0, len(m.langs)))
-        for b in batches:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):  # so few texts' words at a time
             texts = b.column(at).to_pylist()
             judged = [bool(t) and bool(m.langs) and letter(t) is not None for t in texts]
             words = [blocks(t) if ok else [] for t, ok in zip(texts, judged)]
@@ -171,4 +174,5 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     base = docs.select(*kept)
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    small_batches(docs.sparkSession)
+    return base.mapInArrow(lean(run), T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

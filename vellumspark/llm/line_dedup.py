@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_parts, written
+from .common import lean, shuffle_parts, small_batches, written
 
 HEAVY = 2000
 _WS = b" \t\n\x0b\x0c\r"
@@ -130,7 +130,7 @@ def _line_rows(keyed: DataFrame, text_col: str, min_chars: int, shards: int, ski
             k = [np.repeat(b.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array((h[:, 0] % np.uint64(shards)).astype(np.int32)), pa.array(k[0]), pa.array(k[1]), pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64))], ["shard", "k1", "k2", "h1", "h2"])
 
-    return keyed.select("_k1", "_k2", text_col).mapInArrow(run, "shard int, k1 bigint, k2 bigint, h1 bigint, h2 bigint")
+    return keyed.select("_k1", "_k2", text_col).mapInArrow(lean(run), "shard int, k1 bigint, k2 bigint, h1 bigint, h2 bigint")
 
 
 def count_lines(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
@@ -152,6 +152,7 @@ def build_index(counts: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """docs with kept_text, n_lines and n_dropped. shards: four for each shuffle partition unless given; one must fit a task."""
     spark = docs.sparkSession
+    small_batches(spark)
     shards = shards or 4 * shuffle_parts(spark)
     counts = written(count_lines(docs, shards, id_col, text_col, min_chars), "line-counts")
     index = written(build_index(counts), "line-index")
@@ -191,7 +192,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*kept, "kept_text", "n_lines", "n_dropped"])
 
     schema = T.StructType([*(keyed.schema[c] for c in kept), T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return keyed.join(drops, ["_k1", "_k2"], "left").select(*kept, "_drops").mapInArrow(apply, schema)
+    return keyed.join(drops, ["_k1", "_k2"], "left").select(*kept, "_drops").mapInArrow(lean(apply), schema)
 
 
 ORACLE = r"""

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import lean, small_batches, written
 from .components import components
 
 SMALL, BLOCK = 16, 2048
@@ -105,7 +105,8 @@ def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, id_col: str = "
             f = fingerprints_of(b.column(1).to_pylist(), size, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(words))], ["id", *names])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, T.StructType([T.StructField("id", kind), *(T.StructField(n, T.LongType()) for n in names)]))
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(lean(run), T.StructType([T.StructField("id", kind), *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 # --- the plan of partitions and thresholds

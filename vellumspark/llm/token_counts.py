@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, small_batches
 from .pretokens import fragments, pattern, spaced
 
-CACHE = 500_000
+CACHE = 250_000
 
 
 def byte_chars() -> dict[int, str]:
@@ -120,6 +121,7 @@ def count_tokens(docs: DataFrame, config: str, id_col: str = "doc_id", text_col:
     """(id, n_bytes, n_tokens) of every row of docs. config: the content of the tokenizer's JSON file."""
     spark = docs.sparkSession
     checked(config)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((config, whole_tokens(config)))  # of a vocabulary's size
 
     def run(batches):
@@ -130,4 +132,4 @@ def count_tokens(docs: DataFrame, config: str, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)

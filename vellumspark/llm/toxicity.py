@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, small_batches
+
 _WORD = re.compile(r"\w+")
 _QUOTES = str.maketrans({c: '"' for c in "“”„«»‟"})
 #: fixed values: words of reporting in the languages served
@@ -38,7 +40,7 @@ REPORTING = frozenset(
     """said says say saying told wrote writes quote quoted quotes quoting called calls term word slur
     sagte schrieb zitat zitiert nannte wort dit disait cita citation mot appelle dijo escribe palabra llama""".split()
 )
-CACHE = 400_000
+CACHE = 200_000
 STEM_MIN, STEM_MAX = 4, 10
 
 
@@ -160,7 +162,7 @@ def features(text: str, known: _Words) -> list[float]:
     return [*(float(np.log1p(x)) for x in n), float(total > 0), 100.0 * total / max(20, len(words))]
 
 
-def _map_words(texts, flush=200_000):
+def _map_words(texts, flush=80_000):
     """Per word or beginning of a word: documents, and different words in documents; in portions."""
     docs, words = Counter(), Counter()
     for t in texts:
@@ -224,6 +226,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """labels: (id, 0/1), of the documents that may be learned from only."""
     spark = docs.sparkSession
+    small_batches(spark)
     lab = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     n = {r["_y"]: r["count"] for r in lab.groupBy("_y").count().collect() if r["_y"] in (0, 1)}
     if not n.get(0) or not n.get(1):
@@ -254,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000, id_col: str = "
 
     def lexicon_of(part: DataFrame) -> tuple[list[str], frozenset[str]]:
         n1, n0 = (max(1, part.where(f"_y = {k}").count()) for k in (1, 0))
-        counted = part.select("_t", "_y").mapInArrow(words, "w string, c1 bigint, c0 bigint, w1 bigint, w0 bigint").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("c1", "c0", "w1", "w0"))).cache()
+        counted = part.select("_t", "_y").mapInArrow(lean(words), "w string, c1 bigint, c0 bigint, w1 bigint, w0 bigint").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("c1", "c0", "w1", "w0"))).cache()
         n, w1, w0 = counted.agg(F.count("*"), F.sum("w1"), F.sum("w0")).first()
         odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
         likely = counted.where((F.col("c1") >= max(2, n1 // 200)) & (odds >= 2)).collect() if n else []
@@ -263,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000, id_col: str = "
         good = {r.w: r.c1 for r in likely if evidence(r.w1, r.w0, (w1 + 1) / (w1 + w0 + 2)) >= np.log(10 * n)}
         terms = choose(good)
         shared = spark.sparkContext.broadcast(terms)
-        clean = part.where("_y = 0").select("_t").mapInArrow(misspelt_in(shared), "w string").distinct()
+        clean = part.where("_y = 0").select("_t").mapInArrow(lean(misspelt_in(shared)), "w string").distinct()
         return terms, frozenset(r.w for r in clean.collect())
 
     second = spark.sparkContext.broadcast(lexicon_of(sample.where("_half = 0")))
@@ -273,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000, id_col: str = "
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([features(t or "", known) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))], ["y", "x"])
 
-    got = sample.where("_half = 1").select("_t", "_y").mapInArrow(rows, "y int, x array<double>").collect()
+    got = sample.where("_half = 1").select("_t", "_y").mapInArrow(lean(rows), "y int, x array<double>").collect()
     y, x = np.array([r.y for r in got], float), np.array([r.x for r in got], float).reshape(-1, FEATURES)
     terms, passed = lexicon_of(sample)
     if not len(y) or y.min() == y.max():
@@ -306,4 +309,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(out, pa.float64())], [*kept, "score"])
 
     base = docs.select(*kept)
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
+    small_batches(docs.sparkSession)
+    return base.mapInArrow(lean(run), T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -64,7 +64,7 @@ def filtered(annotations: DataFrame, q: AnnotationQuery, by_family: bool = True)
 
 
 def facets(annotations: DataFrame, q: AnnotationQuery) -> DataFrame:
-    """G-10: counts by colour family without the colour filter, and by document with it: (facet, value, n, place)."""
+    """G-10, S-16: counts by colour family without the colour filter, and by document with it: (facet, value, n, place)."""
     fam = filtered(annotations, q, by_family=False).groupBy("family").agg(F.count("*").alias("n"))
     place = F.when(F.col("family").isNull(), len(FAMILIES) + 1).otherwise(F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")))
     fam = fam.select(F.lit("color").alias("facet"), F.col("family").alias("value"), "n", place.cast("long").alias("place"))
@@ -96,7 +96,7 @@ def project_annotations(annotations: DataFrame, q: AnnotationQuery) -> DataFrame
 
 
 def deduped(annotations: DataFrame) -> DataFrame:
-    """W-8: the first of equal (document, page, quote, colour)."""
+    """W-8, A-3: the first of equal (document, page, quote, colour)."""
     return first_per(annotations, ["document_id", "page_number", "quote", "color"], F.col("created_at"), F.col("id"))
 
 

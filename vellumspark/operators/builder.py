@@ -14,7 +14,7 @@ OPS = ("eq", "neq", "gt", "gte", "lt", "lte", "like", "ilike", "is", "in", "cont
 
 
 def condition(column: str, op: str, value) -> Column:
-    """One predicate. neq drops nulls; an empty list is in nothing; like and ilike ignore ASCII case; contains is of arrays, or of text."""
+    """P-2..P-8, P-10, P-21, P-23: one predicate. neq drops nulls; an empty list is in nothing; like and ilike ignore ASCII case; contains is of arrays, or of text."""
     c = F.col(column)
     if op == "eq":
         return c == F.lit(value)
@@ -46,7 +46,7 @@ class ManyRows(ValueError):
 
 @dataclass(frozen=True)
 class Query:
-    """Immutable: each call returns a new one. Nothing runs before frame()'s result is used or single(), maybe_single() or count() is called."""
+    """Immutable: each call returns a new one. P-1, P-9, P-11..P-14, S-1, S-2. Nothing runs before frame()'s result is used or single(), maybe_single() or count() is called."""
 
     source: DataFrame
     columns: tuple[str, ...] = ("*",)

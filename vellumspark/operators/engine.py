@@ -15,7 +15,7 @@ ROLES = ("brief", "exhibit", "decision", "statement", "contract", "correspondenc
 
 
 def in_scope(chunks: DataFrame, file_types=(), folders=(), documents=None, doc_roles=(), party_roles=()) -> DataFrame:
-    """P-18: filters of a search; empty ones don't filter, unknown roles are left out. documents: a DataFrame of ids (J-6)."""
+    """P-18, U-3: filters of a search; empty ones don't filter, unknown roles are left out. documents: a DataFrame of ids (J-6)."""
     if file_types:
         chunks = chunks.where(F.lower(F.substring_index("filename", ".", -1)).isin([t.lower().lstrip(".") for t in file_types]))
     if folders:
@@ -35,7 +35,7 @@ def searchable(chunks: DataFrame, documents: DataFrame, index: DataFrame) -> Dat
 
 
 def search(chunks: DataFrame, query: str, limit: int = 8, vectors: DataFrame | None = None, query_vector: list[float] | None = None, group: bool = False, radius: int = 0, **filters) -> DataFrame:
-    """R-1: keyword, substring, title and, with a query vector, vector lanes; fused, grouped by document if asked; the ordered terms if no lane finds anything; neighbours within radius.
+    """R-1, X-3: keyword, substring, title and, with a query vector, vector lanes; fused, grouped by document if asked; the ordered terms if no lane finds anything; neighbours within radius.
 
     Word statistics are those of all chunks, filters apply to the lanes' rows. Returns (document_id, chunk_id, chunk_index, score, reasons), or documents, or hits with neighbours.
     """
@@ -100,7 +100,7 @@ def reassemble(chunks: DataFrame) -> DataFrame:
 
 
 def index_status(index: DataFrame) -> DataFrame:
-    """G-2: documents, chunks, bytes and errors by status."""
+    """G-1, G-2: documents, chunks, bytes and errors by status."""
     return index.groupBy("status").agg(F.count("*").alias("documents"), F.sum("chunk_count").alias("chunks"), F.sum("text_bytes").alias("text_bytes"), F.max("error").alias("error"))
 
 
@@ -209,7 +209,7 @@ def viewer_outline(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def requeue_empty(index: DataFrame) -> DataFrame:
-    """T-18: ready entries without text, to be read again after a change of reading scans."""
+    """T-18, G-31: ready entries without text, to be read again after a change of reading scans."""
     return index.where("status = 'ready' AND coalesce(text_bytes, 0) = 0").select("document_id", "version_id", F.lit("empty").alias("reason"))
 
 

@@ -66,7 +66,7 @@ def cell_changes(wanted: DataFrame, cells: DataFrame, keys: list[str]) -> DataFr
 
 
 def scan_changes(seen: DataFrame, linked: DataFrame, key: str, size: str = "size", mtime: str = "mtime") -> DataFrame:
-    """SRC-6, SRC-7: imported, updated, unchanged or missing, by size and time of change."""
+    """SRC-6, SRC-7, U-4: imported, updated, unchanged or missing, by size and time of change."""
     a = seen.select(key, F.col(size).alias("_s"), F.col(mtime).alias("_m"), F.lit(1).alias("_a"))
     b = linked.select(key, F.col(size).alias("_os"), F.col(mtime).alias("_om"), F.lit(1).alias("_b"))
     same = F.col("_s").eqNullSafe(F.col("_os")) & F.col("_m").eqNullSafe(F.col("_om"))
@@ -80,12 +80,12 @@ def mode(df: DataFrame, value: str, weight: Column | None = None) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, *shares: float) -> DataFrame:
-    """G-18: nearest-rank percentiles of non-null values."""
+    """G-17, G-18: nearest-rank percentiles of non-null values."""
     return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(100 * p)}") for p in shares])
 
 
 def islands(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """W-7: runs of consecutive integers as (first, last, size)."""
+    """W-7, G-24: runs of consecutive integers as (first, last, size)."""
     d = df.select(*keys, value).distinct()
     run = d.withColumn("_g", F.col(value) - F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
     return run.groupBy(*keys, "_g").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("size")).drop("_g")

@@ -32,7 +32,7 @@ def _begins(term: str):
 
 
 def keyword_lane(chunks: DataFrame, query: str, limit: int = 8) -> DataFrame:
-    """R-2: chunks with a token beginning with each term, by BM25 (less is better); statistics over all chunks."""
+    """R-2, F-3, F-11, S-3: chunks with a token beginning with each term, by BM25 (less is better); statistics over all chunks."""
     terms = query_terms(query)
     tk = chunks.withColumn("_tk", tokens(search_text(chunks)))
     counts = [F.size(F.filter("_tk", _begins(t))) for t in terms]
@@ -74,7 +74,7 @@ def ranked(lane: DataFrame, name: str, number: int, *order: Column) -> DataFrame
 
 
 def fuse(lanes: list[DataFrame], chunks: DataFrame, query: str, limit: int = 8) -> DataFrame:
-    """R-7, G-9, S-6: sum of 1/(60+rank) over lanes, boosts for the phrase, all terms and the file name, ties by lane and place."""
+    """R-7, G-9, S-5, S-6, U-1: sum of 1/(60+rank) over lanes, boosts for the phrase, all terms and the file name, ties by lane and place."""
     all_lanes = reduce(DataFrame.unionByName, lanes)
     merged = all_lanes.groupBy("chunk_id").agg(F.sum(rr(F.col("rank"))).alias("_rrf"), F.min(F.struct("lane_no", "rank")).alias("_first"), F.array_sort(F.collect_set("lane")).alias("reasons"))
     q, terms = query.strip().lower(), query_terms(query)
@@ -93,7 +93,7 @@ def group_documents(merged: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def basic_lane(chunks: DataFrame, query: str, limit: int = 8) -> DataFrame:
-    """R-9: the terms in this order with anything between."""
+    """R-9, F-4, P-22: the terms in this order with anything between."""
     pattern = ".*".join(rf"\Q{t}\E" for t in query_terms(query))
     return chunks.where(F.lower("content").rlike(f"(?s){pattern}") & F.lit(bool(pattern))).orderBy("document_id", "chunk_index").limit(limit)
 

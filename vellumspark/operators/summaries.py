@@ -113,7 +113,7 @@ def located(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
 
 
 def review_cells(cells: DataFrame) -> DataFrame:
-    """H-5, M-11: cells with decoded content."""
+    """H-5, M-11, P-16: cells with decoded content."""
     return cells.withColumn("_c", cell(F.col("content"))).select(*[c for c in cells.columns if c != "content"], "_c.summary", "_c.flag", "_c.reasoning")
 
 

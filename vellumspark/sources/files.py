@@ -19,7 +19,7 @@ TYPES = {
 
 
 def scan(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
-    """SRC-5: (path, relative_path, file_type, media_type, size, mtime[, content]) of allowed files, hidden ones left out. Contents are read only if asked for."""
+    """SRC-5, SRC-8: (path, relative_path, file_type, media_type, size, mtime[, content]) of allowed files, hidden ones left out. Contents are read only if asked for."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join([*TYPES, *map(str.upper, TYPES)]) + "}").load(folder)
     kind = F.lower(F.substring_index("path", ".", -1))
     media = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
@@ -73,7 +73,7 @@ def read_texts(files: DataFrame) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """SNK-2: JSON lines; never over an existing report."""
+    """SNK-2, SRC-16: JSON lines; never over an existing report."""
     df.write.mode("errorifexists").json(path)
 
 

@@ -9,6 +9,7 @@ from ..operators.chunking import chunk_words
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """SRC-2, SRC-3, CAT-2: one Parquet table; rows of all projects stand together under project_id."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

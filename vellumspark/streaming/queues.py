@@ -18,7 +18,7 @@ def keyed_queue(requests: DataFrame, keys: list[str], time: str = "ts", delay: s
 
 
 def latest_status(events: DataFrame, keys: list[str], time: str = "ts", status: str = "status") -> DataFrame:
-    """ST-2: the last status of each key; batch and stream (complete or update mode) alike."""
+    """ST-2, ST-6: the last status of each key; batch and stream (complete or update mode) alike."""
     return events.groupBy(*keys).agg(F.max_by(status, F.struct(F.col(time), F.col(status))).alias("status"), F.max(time).alias("at"), F.count("*").alias("n"))
 
 
@@ -28,7 +28,7 @@ def without_cancelled(work: DataFrame, cancelled: DataFrame, keys: list[str]) ->
 
 
 def windows(events: DataFrame, time: str, width: str, slide: str | None = None, delay: str = "10 minutes", keys: tuple[str, ...] = (), value: str = "value") -> DataFrame:
-    """E-6: counts and sums by event-time window, late rows within the delay counted."""
+    """E-6, ST-9: counts and sums by event-time window, late rows within the delay counted."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
     g = _marked(events, time, delay).groupBy(w, *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return g.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "total")
@@ -41,7 +41,7 @@ def sessions(events: DataFrame, time: str, gap: str, keys: list[str]) -> DataFra
 
 
 def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "append"):
-    """All that is there now, in micro-batches: sink(DataFrame, batch number)."""
+    """ST-3, ST-5, ST-7: all that is there now, in micro-batches: sink(DataFrame, batch number)."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
     return q
