@@ -43,7 +43,20 @@ def test_lines(stages):
             n[k] = n.get(k, 0) + 1
     for i, r in before.items():
         kept = "\n".join(x for x in (r.text or "").split("\n") if not low(x) or n[low(x)] < 10)
+        kept = kept if low(kept.replace("\n", "")) else r.text or ""
         assert after[i].text == kept and after[i].n_chars == len(kept)
+        if (r.text or "").strip():
+            assert (after[i].text or "").strip()
+
+
+def test_every_copied_text_stays_once(spark):
+    text = "a copied line that many documents share word for word\nand a second one that all of these copies have as well"
+    rows = [(i, text, "en", "s", len(text)) for i in range(12)] + [(50 + i, f"{text}\nown words {i} of one document alone", "en", "s", 1) for i in range(2)] + [(90, "", "en", "s", 0), (91, None, "en", "s", 0), (92, " \n ", "en", "s", 3)]
+    lines = cp.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    got = {r.doc_id: r.text for r in lines.collect()}
+    assert all(got[i] == text for i in range(12)) and got[50] == "own words 0 of one document alone" and got[90] == got[91] == "" and got[92] == " \n "
+    left = {r.doc_id: r.text for r in cp.drop_copies(spark, lines, SF).collect()}
+    assert sum(t == text for t in left.values()) == 1 and left[0] == text
 
 
 def shingles(text):
