@@ -39,10 +39,17 @@ class Forward:
     """Log probabilities of words in each language. table: pieces by languages, row 0 for no piece, row 1 for an unknown character."""
 
     def __init__(self, pieces: list[str], table: np.ndarray):
-        self.number = {p: i + 2 for i, p in enumerate(pieces)}
         self.table = table
-        self.longest = max(map(len, pieces), default=1)
-        self.starts = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        node = {"": 0}
+        for p in pieces:
+            for k in range(1, len(p) + 1):
+                node.setdefault(p[:k], len(node))
+        self.chars = np.array(sorted({ord(c) for p in pieces for c in p} | {0x110000}), np.int64)  # the last is no character
+        place = {chr(c): i for i, c in enumerate(self.chars[:-1].tolist())}
+        self.piece = np.zeros(len(node), np.int32)  # of each node of the trie, 0 for none
+        self.piece[[node[p] for p in pieces]] = np.arange(2, len(pieces) + 2)
+        edges = sorted((node[p[:-1]] * len(self.chars) + place[p[-1]], v) for p, v in node.items() if p)
+        self.keys, self.below = np.array([k for k, _ in edges] + [1 << 62], np.int64), np.array([v for _, v in edges] + [0], np.int64)
 
     def words(self, words: list[str]) -> np.ndarray:
         """Rows of log probabilities; words of at most BLOCK characters."""
@@ -57,31 +64,29 @@ class Forward:
         return out
 
     def _same(self, n: int, words: list[str]) -> np.ndarray:
-        width = min(n, self.longest)
-        where, what = [], []
-        get, starts = self.number.get, self.starts
-        for k, w in enumerate(words):
-            base = k * n * width
-            for i in range(n):
-                one = get(w[i])
-                where.append(base + i * width)
-                what.append(one or 1)
-                for j in range(i + 2, min(n, i + width) + 1):
-                    p = w[i:j]
-                    if p not in starts:
-                        break
-                    one = get(p)
-                    if one:
-                        where.append(base + i * width + j - i - 1)
-                        what.append(one)
-        piece = np.zeros(len(words) * n * width, np.int32)
-        piece[where] = what
-        piece = piece.reshape(len(words), n, width)
+        """All starts of all words walk down the trie together, a character at a time."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64).reshape(-1, n).T.ravel()  # by place, then word
+        letter = np.searchsorted(self.chars, codes)
+        letter[self.chars[letter] != codes] = len(self.chars) - 1
+        at, v, size, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0, []
+        while len(at):
+            key = v * len(self.chars) + letter[at + size * len(words)]
+            k = np.searchsorted(self.keys, key)
+            ok = self.keys[k] == key
+            at, v, size = at[ok], self.below[k[ok]], size + 1
+            piece = np.zeros(len(codes), np.int32)
+            piece[at] = self.piece[v]
+            found.append(piece.reshape(n, -1))
+            inside = at < (n - size) * len(words)
+            at, v = at[inside], v[inside]
+        found[0][found[0] == 0] = 1
         alpha = np.zeros((n + 1, len(words), self.table.shape[1]))
         alpha[0] = 1
         for j in range(1, n + 1):
-            for size in range(1, min(j, width) + 1):
-                alpha[j] += alpha[j - size] * self.table[piece[:, j - size, size - 1]]
+            for size in range(1, min(j, len(found)) + 1):
+                piece = found[size - 1][j - size]
+                some = np.flatnonzero(piece)
+                alpha[j][some] += alpha[j - size][some] * self.table[piece[some]]
         return np.log(alpha[n])
 
 
