@@ -94,6 +94,21 @@ def test_every_allocation_is_complete():
             assert len(used) == len(set(used))
 
 
+@pytest.mark.parametrize("n", [1000, 10**5, 10**7, 10**9])
+def test_wide_recall_is_the_same_at_every_size(n):
+    bits, share = 64 * simhash.WIDE, np.arccos(2 * 0.8 / 1.8) / np.pi
+    joint = (np.full((bits, bits), 0.25) + 0.25 * np.eye(bits)) * n
+    p = simhash.plan_wide(joint.astype(np.int64), n, share, bits)
+    assert len({len(b) for b, _ in p}) == 1 and all(len(set(b)) == len(b) for b, _ in p)
+    rng = np.random.default_rng(5)
+    off = rng.random((4000, bits)) < share
+    met = np.zeros(4000, bool)
+    for b, t in p:
+        met |= off[:, b].sum(1) <= t
+    assert met.mean() >= 0.98
+    assert sum(n / 2 * 2.0 ** -len(b) for b, t in p if not t) < 20_000  # candidates of a node by chance
+
+
 def test_wide_finds_copies(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(3000)]

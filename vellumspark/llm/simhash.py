@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from math import comb
+from math import comb, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -300,17 +300,61 @@ def near_duplicates(docs: DataFrame, size: int = 3, tau: int = 3, id_col: str =
     return _classes(prints, 1, lambda nodes: links(nodes, plan(*reversed(bit_statistics(nodes, 1)), tau), 1, tau)).withColumnRenamed("id", id_col)
 
 
-WIDE, WIDE_PART = 10, 16
+WIDE, RECALL = 10, 0.99
+
+
+def meetings(share: float, width: int, t: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For 0 .. most differing bits: their chance at this expected share, and the chance that a random group of width bits has at most t of them."""
+    bits = 64 * WIDE
+    log = np.array([lgamma(i + 1) for i in range(bits + 1)])
+    d = np.arange(min(most, bits - width) + 1)
+    chance = np.exp(log[bits] - log[d] - log[bits - d] + d * np.log(share) + (bits - d) * np.log1p(-share))
+    meet = np.zeros(len(d))
+    for j in range(t + 1):
+        x, rest = d[j:], bits - d[j:] - width + j
+        meet[j:] += np.exp(log[x] - log[j] - log[x - j] + log[bits - x] - log[width - j] - log[rest] - log[bits] + log[width] + log[bits - width])
+    return chance, np.minimum(meet, 1 - 1e-12)
+
+
+def recall_wide(share: float, width: int, t: int, parts: int, most: int) -> float:
+    """The chance that two fingerprints with this expected share of differing bits meet in one of parts random groups of width bits with threshold t, and differ by at most ``most`` bits."""
+    chance, meet = meetings(share, width, t, most)
+    return float((chance * -np.expm1(parts * np.log1p(-meet))).sum())
+
+
+def plan_wide(joint: np.ndarray, n: int, share: float, most: int, target: float = RECALL, pair_cost: float = 1.0, row_cost: float = 20.0) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of the partitions to probe: whatever n is, as many as find ``target`` of the pairs at that share.
+
+    Width and threshold are those of least estimated cost, in the measure of allocate(), with at most eight nodes a value
+    at random. More partitions than the bits make in one dealing are filled from further dealings of the shuffled bits.
+    """
+    bits, tried = 64 * WIDE, []
+    least = max(8, int(np.ceil(np.log2(max(n, 2)))) - 3)
+    for t in (0, 1):
+        for width in range(least, least + 16):
+            parts = 1
+            while recall_wide(share, width, t, parts, most) < target and parts < 1 << 14:
+                parts *= 2
+            low = parts // 2
+            while parts - low > 1:
+                mid = (low + parts) // 2
+                low, parts = (low, mid) if recall_wide(share, width, t, mid, most) >= target else (mid, parts)
+            chance = sum(comb(width, j) for j in range(t + 1)) / 2.0**width
+            tried.append((parts * (pair_cost * n / 2 * chance + row_cost * (1 + t * (1 + width))), width, t, parts))
+    _, width, t, parts = min(tried)
+    out, rng = group_bits(joint, n, min(parts, bits // width), width), np.random.default_rng(42)
+    while len(out) < parts:
+        mixed = rng.permutation(bits).tolist()
+        out += [sorted(mixed[i * width : (i + 1) * width]) for i in range(bits // width)]
+    return [(b, t) for b in out[:parts]]
 
 
 def near_duplicates_wide(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): components of texts whose shingle sets are estimated to have that Jaccard similarity or more.
 
     A Jaccard similarity j means a cosine of about 2j/(1+j), and so an expected share acos(cosine)/pi of differing bits;
-    on WIDE * 64 bits the estimate of j is within about 0.02. All partitions have threshold 0, which finds all pairs
-    within their number less one bit, and the more distant ones with the chance that one of the partitions agrees
-    (for 40 partitions of 16 bits: 0.94 at j = 0.8, 0.99 at 0.85, above 0.999 at 0.9).
-    Partitions get wider where there are so many nodes that a value would have more than four at random.
+    on WIDE * 64 bits the estimate of j is within about 0.02. plan_wide() takes so many partitions that RECALL of the pairs
+    of just that similarity meet in one, and more of those above it, at any number of texts.
     """
     prints = written(fingerprints(docs, size, WIDE, id_col, text_col), "fingerprints")
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
@@ -318,9 +362,7 @@ def near_duplicates_wide(docs: DataFrame, size: int = 5, similarity: float = 0.8
 
     def found(nodes: DataFrame) -> DataFrame:
         n, joint = bit_statistics(nodes, WIDE)
-        width = max(WIDE_PART, int(np.ceil(np.log2(max(n, 2)))) - 2)
-        parts = group_bits(joint, n, 64 * WIDE // width, width)
-        return links(nodes, [(b, 0) for b in parts], WIDE, most, 2, quick)
+        return links(nodes, plan_wide(joint, n, angle, 64 * WIDE), WIDE, most, 2, quick)
 
     return _classes(prints, WIDE, found).select(F.col("id").alias(id_col), "component_id")
 
