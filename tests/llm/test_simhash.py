@@ -127,6 +127,30 @@ def test_wide_finds_copies(spark):
     assert sum(got[i + 1] == i for i in sure) >= 0.97 * len(sure)
 
 
+@pytest.mark.parametrize("small", [16, 1])
+def test_wide_decides_by_the_sets(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    rows, high, low = [], [], []
+    for i in range(0, 600, 2):
+        a = rng.choices(words, k=260)
+        b = list(a)
+        for k in rng.sample(range(0, 255, 5), 5 if i % 4 else 6):
+            b[k + 4] = rng.choice(words)
+        rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+        x, y = ({tuple(t[k : k + 5]) for k in range(256)} for t in (a, b))
+        j = len(x & y) / len(x | y)
+        (high if j >= 0.8 else low).append(i)
+        assert 0.76 < j < 0.85
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(high) >= 100 and len(low) >= 100
+    assert sum(got[i + 1] == i for i in high) >= 0.97 * len(high)
+    assert all(got[i + 1] == i + 1 for i in low)
+    odd = spark.createDataFrame([(1, rows[0][1]), (1, "own"), (None, rows[1][1]), (None, None), (7, ""), (None, "own")], "doc_id long, text string")
+    assert len(simhash.near_duplicates_wide(odd).collect()) == 6
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     df = written(spark.createDataFrame(links, "a long, b long").repartition(7), "test")

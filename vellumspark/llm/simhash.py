@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import lean, small_batches, written
 from .components import components
 
-SMALL, BLOCK = 16, 2048
+SMALL, BLOCK, BLOCK_SHINGLES = 16, 2048, 1 << 19
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -95,18 +95,38 @@ def fingerprints_of(texts: list[str | None], size: int, words: int) -> np.ndarra
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, f0 .. f{words-1}): longs that hold the unsigned words."""
-    kind = docs.schema[id_col].dataType
+def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", key: bool = False) -> DataFrame:
+    """(id, f0 .. f{words-1}): longs that hold the unsigned words; with ``key`` also the text's XXH64."""
+    kind, more = docs.schema[id_col].dataType, ["key"] * key
     names = [f"f{k}" for k in range(words)]
 
     def run(batches):
         for b in batches:
             f = fingerprints_of(b.column(1).to_pylist(), size, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(words))], ["id", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(words)), *b.columns[2:]], ["id", *names, *more])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(lean(run), T.StructType([T.StructField("id", kind), *(T.StructField(n, T.LongType()) for n in names)]))
+    cols = [F.col(id_col).alias("id"), F.col(text_col), *(F.xxhash64(text_col).alias(k) for k in more)]
+    return docs.select(*cols).mapInArrow(lean(run), T.StructType([T.StructField("id", kind), *(T.StructField(n, T.LongType()) for n in [*names, *more])]))
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, s, k): the sorted distinct shingle hashes of the nodes' texts and their number. nodes: (node, least, key), the id and text hash of a row of docs."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(np.array(shingle_hashes(t.as_py(), size), np.uint64)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], ["node", "s", "k"])
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("key"))
+    met = rows.join(nodes, "key").where(F.col("_id").eqNullSafe(F.col("least"))).select("node", "_text")
+    return met.mapInArrow(lean(run), "node bigint, s binary, k bigint").dropDuplicates(["node"])
+
+
+def _alike(similarity: float, shared, k, other):
+    """Whether sets of k and other elements with so many in common have that Jaccard similarity; two empty sets have."""
+    return shared + 1e-9 >= similarity * (k + other - shared)
 
 
 # --- the plan of partitions and thresholds
@@ -223,8 +243,11 @@ def _value(fs: list, masks: list[int], flip: list[int]):
     return cols[0] if len(cols) == 1 else F.xxhash64(*cols)
 
 
-def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, most: int, quick_words: int = 2, quick_most: int | None = None) -> DataFrame:
-    """(a, b): links that connect all nodes within ``most`` bits that meet in a probe. nodes: (node long, f0 ..)."""
+def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, most: int, quick_words: int = 2, quick_most: int | None = None, sets_of=None, similarity: float = 0.0) -> DataFrame:
+    """(a, b): links that connect all nodes within ``most`` bits that meet in a probe. nodes: (node long, f0 ..).
+
+    With sets_of, a function from (node) to shingle_sets(), only those whose sets have that Jaccard similarity.
+    """
     fs = [f"f{k}" for k in range(words)]
     q = fs[: min(words, quick_words)]
     quick_most = most if len(q) == words else quick_most
@@ -258,14 +281,34 @@ def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, mos
             met = met.join(nodes.select(F.col("node").alias(side), *(F.col(x).alias(f"{side}_{x}") for x in fs)), side)
         met = met.where(reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in fs]) <= most).select("a", "b")
 
+    if sets_of:
+        met = written(met, "met")
+        sets = written(sets_of(met.select(F.col("a").alias("node")).union(met.select("b")).union(sig.join(size, ["part", "value"]).select("node")).distinct()), "shingle-sets")
+        for side in ("a", "b"):
+            met = met.join(sets.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}")), side)
+
+        def same(batches):
+            for b in batches:
+                x, y = ([np.frombuffer(v.as_py(), np.uint64) for v in b.column(i)] for i in (2, 3))
+                ok = pa.array([bool(_alike(similarity, len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))) for p, q in zip(x, y)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+
+        met = met.select("a", "b", "s_a", "s_b").mapInArrow(lean(same), "a bigint, b bigint")
+        total = sig.join(size, ["part", "value"]).join(sets.select("node", "k"), "node").groupBy("part", "value").agg(F.sum("k").alias("shingles"), F.first("n").alias("n"))
+        size = written(total.withColumn("n", F.greatest("n", F.ceil(F.col("shingles") * (BLOCK / BLOCK_SHINGLES)))).select("part", "value", "n"), "large-values")
+
+    exact = sets_of is not None
+    held = [*fs, "s"] if exact else fs
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     big = sig.join(size, ["part", "value"]).select("part", "value", "node", n_blocks.alias("m"))
     if len(q) == words:
         big = sig.join(size, ["part", "value"]).select("part", "value", "node", n_blocks.alias("m"), *fs)
     else:
         big = big.join(nodes, "node")
+    if sets_of:
+        big = big.join(sets, "node")
     big = big.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    big = big.select("part", "value", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "mine", *fs)
+    big = big.select("part", "value", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "mine", *held)
 
     def block(group: pa.Table) -> pa.Table:
         node, mine = group.column("node").to_numpy(), group.column("mine").to_numpy()
@@ -274,6 +317,23 @@ def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, mos
         inside = x == y
         left, first = np.unique(node, return_index=True)
         f, mine = f[first], mine[first]
+        if exact:
+            own = [np.frombuffer(v.as_py(), np.uint64) for v in group.column("s").take(pa.array(first))]
+            k = np.array([len(v) for v in own])
+            begin = np.cumsum(k) - k
+            codes = np.unique(np.concatenate(own), return_inverse=True)[1]
+            mark = np.zeros(len(codes), bool)
+
+        def alike(i: int, near: np.ndarray) -> np.ndarray:
+            """Those of near whose sets are like that of i."""
+            mine_codes = codes[begin[i] : begin[i] + k[i]]
+            mark[mine_codes] = True
+            owner = np.repeat(np.arange(len(near)), k[near])
+            at = np.arange(len(owner)) + np.repeat(begin[near] - (np.cumsum(k[near]) - k[near]), k[near])
+            shared = np.bincount(owner[mark[codes[at]]], minlength=len(near))
+            mark[mine_codes] = False
+            return near[_alike(similarity, shared, k[i], k[near])]
+
         todo = np.ones(len(left), bool)
         out_a, out_b = [], []
         for s in range(len(left)):
@@ -285,6 +345,8 @@ def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, mos
                 i = front.pop()
                 rest = np.flatnonzero(todo if inside else todo & (mine != mine[i]))
                 near = rest[np.bitwise_count(f[rest] ^ f[i]).sum(1, dtype=np.int32) <= most]
+                if exact and len(near):
+                    near = alike(i, near)
                 todo[near] = False
                 front.extend(near.tolist())
                 out_a.extend([left[i]] * len(near))
@@ -349,20 +411,27 @@ def plan_wide(joint: np.ndarray, n: int, share: float, most: int, target: float
     return [(b, t) for b in out[:parts]]
 
 
+# a text of four shingles and the same with a fifth: of all sizes, the largest share of bits by which sets of similarity 0.8 differ
+SHORT_SHARE = 3 / 16
+
+
 def near_duplicates_wide(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): components of texts whose shingle sets are estimated to have that Jaccard similarity or more.
+    """(id, component_id): components of texts whose shingle sets have that Jaccard similarity or more.
 
-    A Jaccard similarity j means a cosine of about 2j/(1+j), and so an expected share acos(cosine)/pi of differing bits;
-    on WIDE * 64 bits the estimate of j is within about 0.02. plan_wide() takes so many partitions that RECALL of the pairs
-    of just that similarity meet in one, and more of those above it, at any number of texts.
+    A Jaccard similarity j means a cosine of about 2j/(1+j), and so an expected share acos(cosine)/pi of differing bits.
+    plan_wide() takes so many partitions that RECALL of the pairs of just that similarity meet in one, and more of those
+    above it, at any number of texts. Bits only choose candidates, by a cut 3.5 deviations above the expected number;
+    links are decided by the sets of the texts' 64-bit shingle hashes.
     """
-    prints = written(fingerprints(docs, size, WIDE, id_col, text_col), "fingerprints")
+    prints = written(fingerprints(docs, size, WIDE, id_col, text_col, key=True), "fingerprints")
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most, quick = int(angle * 64 * WIDE), int(128 * angle + 3.5 * (128 * angle * (1 - angle)) ** 0.5)
+    far = max(angle, SHORT_SHARE)
+    most, quick = (int(bits * far + 3.5 * (bits * far * (1 - far)) ** 0.5) for bits in (64 * WIDE, 128))
 
     def found(nodes: DataFrame) -> DataFrame:
         n, joint = bit_statistics(nodes, WIDE)
-        return links(nodes, plan_wide(joint, n, angle, 64 * WIDE), WIDE, most, 2, quick)
+        named = nodes.select("node", "least", "key")
+        return links(nodes, plan_wide(joint, n, angle, most), WIDE, most, 2, quick, lambda wanted: shingle_sets(docs, named.join(wanted, "node"), size, id_col, text_col), similarity)
 
     return _classes(prints, WIDE, found).select(F.col("id").alias(id_col), "component_id")
 
@@ -370,12 +439,14 @@ def near_duplicates_wide(docs: DataFrame, size: int = 5, similarity: float = 0.8
 def _classes(prints: DataFrame, words: int, find) -> DataFrame:
     """prints with component_id, the least id of the component. Equal fingerprints are one node, named by a hash-free number: its least id, or for null ids its place among the negatives."""
     fs = [f"f{k}" for k in range(words)]
-    nodes = prints.groupBy(*fs).agg(F.min("id").cast("long").alias("least"))
+    keyed = "key" in prints.columns
+    first = F.struct(F.col("id").isNull(), F.col("id").cast("long"), "key") if keyed else None
+    nodes = prints.groupBy(*fs).agg(F.min("id").cast("long").alias("least"), *([F.min(first)["key"].alias("key")] if keyed else []))
     # without any id the fingerprint itself names the node, far from ids in use
     nodes = written(nodes.withColumn("node", F.coalesce("least", F.xxhash64(*fs))), "nodes")
     if nodes.isEmpty():
         return prints.withColumn("component_id", F.col("id").cast("long"))
-    roots = components(find(nodes.select("node", *fs)))
+    roots = components(find(nodes))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select(*fs, "component_id")
