@@ -151,6 +151,14 @@ def test_wide_decides_by_the_sets(spark, monkeypatch, small):
     assert len(simhash.near_duplicates_wide(odd).collect()) == 6
 
 
+def test_wide_counts_a_repeated_passage_once(spark):
+    passage = " ".join(f"p{i}" for i in range(34))
+    own = [" ".join(f"o{n}x{i}" for i in range(300)) for n in range(3)]
+    rows = [(i, f"{own[i]} " + " ".join([passage] * 20)) for i in range(2)] + [(2, f"{own[2]} {passage}"), (3, f"{own[2]} " + " ".join([passage] * 20))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     df = written(spark.createDataFrame(links, "a long, b long").repartition(7), "test")

@@ -1,6 +1,6 @@
 r"""SimHash near-dedup by a generalised pigeonhole.
 
-Fingerprints. Lower-cased (A-Z) words ``[^\x20\x09-\x0D]+`` in shingles, repeats included; a bit is 1 if it is set in
+Fingerprints. Lower-cased (A-Z) words ``[^\x20\x09-\x0D]+`` in shingles, repeats included (but for the wide search); a bit is 1 if it is set in
 over half of the shingles' hashes. One word of bits uses XXH64 (seed 42) itself; more words are mixed from it.
 
 Search. Bits are grouped into partitions, correlated bits together, from the bits' joint counts over all fingerprints.
@@ -61,8 +61,8 @@ def _bit_counts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(some, np.cumsum(parts) - parts, axis=0)
 
 
-def fingerprints_of(texts: list[str | None], size: int, words: int) -> np.ndarray:
-    """(texts, words) unsigned 64-bit."""
+def fingerprints_of(texts: list[str | None], size: int, words: int, distinct: bool = False) -> np.ndarray:
+    """(texts, words) unsigned 64-bit. distinct: each shingle of a text counts once."""
     out = np.zeros((len(texts), words), np.uint64)
     most = max(20_000, 400_000 // words)
     at, hashes, ids, starts, n = 0, [], [], [], 0
@@ -83,6 +83,8 @@ def fingerprints_of(texts: list[str | None], size: int, words: int) -> np.ndarra
 
     while at < len(texts):
         hs = shingle_hashes(texts[at], size)
+        if distinct:
+            hs = list(set(hs))
         if hs:
             ids.append(at)
             starts.append(n)
@@ -95,14 +97,14 @@ def fingerprints_of(texts: list[str | None], size: int, words: int) -> np.ndarra
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", key: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", key: bool = False, distinct: bool = False) -> DataFrame:
     """(id, f0 .. f{words-1}): longs that hold the unsigned words; with ``key`` also the text's XXH64."""
     kind, more = docs.schema[id_col].dataType, ["key"] * key
     names = [f"f{k}" for k in range(words)]
 
     def run(batches):
         for b in batches:
-            f = fingerprints_of(b.column(1).to_pylist(), size, words).view(np.int64)
+            f = fingerprints_of(b.column(1).to_pylist(), size, words, distinct).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(words)), *b.columns[2:]], ["id", *names, *more])
 
     small_batches(docs.sparkSession)
@@ -423,7 +425,7 @@ def near_duplicates_wide(docs: DataFrame, size: int = 5, similarity: float = 0.8
     above it, at any number of texts. Bits only choose candidates, by a cut 3.5 deviations above the expected number;
     links are decided by the sets of the texts' 64-bit shingle hashes.
     """
-    prints = written(fingerprints(docs, size, WIDE, id_col, text_col, key=True), "fingerprints")
+    prints = written(fingerprints(docs, size, WIDE, id_col, text_col, key=True, distinct=True), "fingerprints")
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     far = max(angle, SHORT_SHARE)
     most, quick = (int(bits * far + 3.5 * (bits * far * (1 - far)) ** 0.5) for bits in (64 * WIDE, 128))
