@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.llm import bpe, decontaminate, line_dedup, simhash, toxicity
-from vellumspark.llm.common import crc_mod, table, written
+from vellumspark.llm.common import LOWER, UPPER, crc_mod, table, written
 from vellumspark.llm.pretokens import read_ranks
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,12 +32,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that at least 10 documents have. A null text becomes the empty text.
 
-    A document that would lose every line that isn't blank is a copy as a whole: it stays as it is for the near-dedup
-    stage, which leaves one of its group. Else nothing of a text with ten or more copies would be left anywhere.
+    A document that would lose every line that isn't blank stays as it is if at least 10 documents have its whole sequence
+    of lines: the near-dedup stage leaves one of that group. Else nothing of a text with ten or more copies would be left.
     """
     made = line_dedup.dedup_lines(docs.select(*COLUMNS))
-    blank = F.col("kept_text").rlike(r"^[\x20\x09-\x0D]*$")
-    return _sized(made.withColumn("text", F.when((F.col("n_dropped") > 0) & blank, F.col("text")).otherwise(F.col("kept_text"))))
+    blank = (F.col("n_dropped") > 0) & F.col("kept_text").rlike(r"^[\x20\x09-\x0D]*$")
+    keys = F.filter(F.transform(F.split("text", "\n"), lambda x: F.translate(F.btrim(x, F.lit(" \t\n\x0b\x0c\r")), UPPER, LOWER)), lambda x: x != "")
+    made = made.withColumn("seq", F.when(blank, F.md5(F.array_join(keys, "\n").cast("binary"))))
+    made = made.withColumns({"whole": F.when(F.col("seq").isNotNull(), F.col("text")), "text": F.col("kept_text")})
+    made = written(made.select(*COLUMNS, "whole", "seq"), "lines-kept")
+    copied = made.where("seq is not null").groupBy("seq").count().where(F.col("count") >= 10).select("seq", F.lit(True).alias("copied"))
+    bare = made.where("seq is not null").join(copied, "seq", "left").withColumn("text", F.when(F.col("copied"), F.col("whole")).otherwise(F.col("text")))
+    return _sized(made.where("seq is null").select(*COLUMNS).unionByName(bare.select(*COLUMNS)))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

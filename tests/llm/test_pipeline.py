@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions on a small folder."""
 
+import itertools
 import re
 
 import corpus_pipeline as cp
@@ -59,6 +60,16 @@ def test_every_copied_text_stays_once(spark):
     assert sum(t == text for t in left.values()) == 1 and left[0] == text
 
 
+def test_mixes_of_shared_lines_lose_them(spark):
+    shared = [f"shared notice number {k} with some words" for k in range(4)]
+    mixes = [p for n in (2, 3, 4) for p in itertools.permutations(shared, n)]
+    rows = [(i, "\n".join(m)) for i, m in enumerate(mixes)] + [(100 + i, "\n \n".join(shared).upper() if i % 2 else "\n".join(shared)) for i in range(10)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in cp.drop_lines(spark, docs, SF).collect()}
+    whole = {i for i, t in rows if i >= 100 or t == "\n".join(shared)}
+    assert len(got) == len(rows) and all(got[i] == t if i in whole else got[i] == "" for i, t in rows)
+
+
 def shingles(text):
     w = (text or "").lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
