@@ -252,3 +252,13 @@ def test_small_functions(spark):
     assert [r[0] for r in df.select(tx.first_term(F.col("a"), ["C", "b"])).collect()] == [2, 3, 0]
     assert df.limit(1).select(tx.safe_name(F.lit('..a/b:"c"'))).first()[0] == "_a_b_c_"
     assert df.limit(1).select(vl.clean_list(F.array(F.lit(" b "), F.lit(""), F.lit("a"), F.lit("b")))).first()[0] == ["b", "a"]
+
+
+def test_filters_apply_before_the_keyword_limit(spark):
+    from vellumspark.operators import engine as en
+
+    far = "word " + "filler " * 30
+    data = [(i, f"c{i:04d}", 0, "word word word", "a.en", "big", None, None) for i in range(230)] + [(1000 + i, f"d{i}", 0, far, "b.en", "small", None, None) for i in range(5)]
+    chunks = spark.createDataFrame(data + [(5000 + i, f"e{i:04d}", 0, "none here", "c.en", "big", None, None) for i in range(600)], "document_id long, chunk_id string, chunk_index int, content string, filename string, folder string, doc_role string, party_role string")
+    got = en.search(chunks, "word", 10, folders=("small",)).collect()
+    assert {r.chunk_id for r in got} == {f"d{i}" for i in range(5)} and all("keyword" in r.reasons for r in got)

@@ -40,10 +40,9 @@ def search(chunks: DataFrame, query: str, limit: int = 8, vectors: DataFrame | N
     Word statistics are those of all chunks, filters apply to the lanes' rows. Returns (document_id, chunk_id, chunk_index, score, reasons), or documents, or hits with neighbours.
     """
     limit = max(1, min(200, limit))
-    n = retrieval.candidate_limit(limit)
     scoped = in_scope(chunks, **filters)
     ids = scoped.select("chunk_id")
-    kw = retrieval.keyword_lane(chunks, query, 200).join(ids, "chunk_id", "left_semi").orderBy("score", "chunk_id").limit(n) if filters else retrieval.keyword_lane(chunks, query, limit)
+    kw = retrieval.keyword_lane(chunks, query, limit, ids if filters else None)
     sub, title = retrieval.substring_lane(scoped, query, limit), retrieval.title_lane(scoped, query, limit)
     lanes = [
         retrieval.ranked(kw, "keyword", 1, F.col("score"), F.col("chunk_id")),

@@ -31,8 +31,8 @@ def _begins(term: str):
     return lambda x: x.startswith(term)
 
 
-def keyword_lane(chunks: DataFrame, query: str, limit: int = 8) -> DataFrame:
-    """R-2, F-3, F-11, S-3: chunks with a token beginning with each term, by BM25 (less is better); statistics over all chunks."""
+def keyword_lane(chunks: DataFrame, query: str, limit: int = 8, scope: DataFrame | None = None) -> DataFrame:
+    """R-2, F-3, F-11, S-3: chunks with a token beginning with each term, by BM25 (less is better); statistics over all chunks, hits only those of scope (chunk_id) if given."""
     terms = query_terms(query)
     tk = chunks.withColumn("_tk", tokens(search_text(chunks)))
     counts = [F.size(F.filter("_tk", _begins(t))) for t in terms]
@@ -45,6 +45,8 @@ def keyword_lane(chunks: DataFrame, query: str, limit: int = 8) -> DataFrame:
     length = K1 * (1 - B + B * F.col("_len") / float(stats.avg or 1))
     score = reduce(lambda a, b: a + b, [w * F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + length) for i, w in enumerate(idf)])
     hits = tk.where(reduce(lambda a, b: a & b, [F.col(f"_f{i}") > 0 for i in range(len(terms))])).withColumn("score", F.round(-score, 6))
+    if scope is not None:
+        hits = hits.join(scope.select("chunk_id"), "chunk_id", "left_semi")
     return hits.drop("_len", *[f"_f{i}" for i in range(len(terms))]).orderBy("score", "chunk_id").limit(candidate_limit(limit))
 
 
