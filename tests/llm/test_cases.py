@@ -148,14 +148,28 @@ def test_forward_sums_all_segmentations():
     words = ["\u2581abab", "\u2581", "\u2581xa", "ba", "\u2581aaabbbab"]
     assert np.allclose(np.exp(f.words(words)), [brute(w) for w in words])
 
+    def by_places(w):
+        logs = [np.zeros(2)]
+        for j in range(1, len(w) + 1):
+            ways = [logs[j - k] + np.log(table[at[w[j - k : j]]]) for k in range(1, min(j, 3) + 1) if w[j - k : j] in at]
+            logs.append(np.logaddexp.reduce(ways or [logs[j - 1] + np.log(language_id.LEAST)], axis=0))
+        return logs[-1]
+
+    rng = random.Random(8)
+    long = ["\u2581" + "".join(rng.choices("abx", k=k)) for k in (31, 32, 33, 100, 100, 700)] + ["x" * 200, "ab" * 4000]
+    assert np.allclose(f.words(long), [by_places(w) for w in long], rtol=1e-9)
+    cut = [f.parts(w) for w in long]
+    assert ["".join(p) for p in cut] == long and len(cut[6]) == 200 and len(cut[7]) == 1
+    assert np.allclose([f.words(p).sum(0) for p in cut], f.words(long), rtol=1e-9)
+
 
 def test_language_cases(spark):
     docs = spark.createDataFrame([("der hund und die katze " * 5, "de"), ("the dog and the cat " * 5, "en"), (None, "en"), ("x", None)], "text string, lang string")
     model = language_id.fit(docs, open(P.path("piece_bpe_32k.model"), "rb").read())
     assert model.langs == ["de", "en"]
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "123 !"), (4, "die katze"), (5, "the dog"), (6, "z" * 5000), (None, "the cat"), (5, "the dog")], "doc_id long, text string").withColumn("score", F.lit(9))
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "123 !"), (4, "die katze"), (5, "the dog"), (6, "z" * 5000), (7, "\U0001f600\ud55c\uae00" * 3000 + "a" * 9000), (None, "the cat"), (5, "the dog")], "doc_id long, text string").withColumn("score", F.lit(9))
     got = [(r.doc_id, r.lang_pred) for r in language_id.predict(df, model).collect()]
-    assert got[:5] == [(1, "und"), (2, "und"), (3, "und"), (4, "de"), (5, "en")] and got[6:] == [(None, "en"), (5, "en")]
+    assert got[:5] == [(1, "und"), (2, "und"), (3, "und"), (4, "de"), (5, "en")] and got[7:] == [(None, "en"), (5, "en")]
     none = language_id.fit(docs.where("lang = 'xx'"), open(P.path("piece_bpe_32k.model"), "rb").read())
     assert {r.lang_pred for r in language_id.predict(df, none).collect()} == {"und"}
 
