@@ -165,3 +165,32 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.root for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(1, 101)}, **{1000 + i: 1000 for i in range(1, 300)}}
     assert components(df.limit(0)).collect() == []
+
+
+def test_bit_statistics_use_all_parts(spark):
+    """Each part of the nodes is counted by a task of its own, and sums are added a few at a time."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    nodes = written(spark.range(0, 4000, 1, 40).select(F.xxhash64("id").alias("f0"), F.xxhash64("id", F.lit(1)).alias("f1")), "many-parts")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a part for each file
+    try:
+        spark.sparkContext.setJobGroup("bits", "bits")
+        n, joint = simhash.bit_statistics(nodes, 2)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    f = np.array([(r.f0, r.f1) for r in nodes.collect()], np.int64).view(np.uint8)
+    bits = np.unpackbits(f, axis=1, bitorder="little").astype(np.int64)
+    assert n == 4000 and (joint == bits.T @ bits).all()
+    status = spark.sparkContext.statusTracker()
+    tasks = [status.getStageInfo(k).numTasks for j in status.getJobIdsForGroup("bits") for k in status.getJobInfo(j).stageIds if status.getStageInfo(k)]
+    assert max(tasks) >= 40 and simhash.SUMS < 40
+    empty = simhash.bit_statistics(nodes.limit(0), 2)
+    assert empty[0] == 0 and not empty[1].any()
+
+
+def test_forests_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr("vellumspark.llm.components.FOREST", 7)
+    df = spark.createDataFrame([(i, i + 1) for i in range(200) if i % 50 != 49], "a long, b long").repartition(3)
+    assert {r.node: r.root for r in components(df).collect()} == {i: i // 50 * 50 for i in range(200) if i % 50}

@@ -2,7 +2,7 @@
 
 Each round joins links with the least neighbour of each end; the minimum is combined before the shuffle, and the
 joins are plain equi-joins that adaptive execution splits where one node has very many links. Before the first round
-each partition replaces its links by those of its own spanning forest. Rounds are written to the shared folder.
+each partition replaces its links by those of spanning forests of at most about FOREST nodes. Rounds are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, written
+from .common import drop_written, written
+
+FOREST = 500_000
 
 
 def _forest(batches):
-    """Links of a partition as (node, least node of its part) links."""
+    """Links of a partition as (node, least node of its part) links; a forest ends when it has FOREST nodes, so memory is bounded."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -24,14 +26,19 @@ def _forest(batches):
             x = p
         return x
 
+    def links() -> pa.RecordBatch:
+        rows = [(x, r) for x, r in ((x, root(x)) for x in list(parent)) if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64())], ["u", "v"])
+
     for b in batches:
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             x, y = root(x), root(y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    rows = [(x, root(x)) for x in list(parent)]
-    rows = [(x, r) for x, r in rows if x != r]
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64())], ["u", "v"])
+        if len(parent) >= FOREST:
+            yield links()
+            parent.clear()
+    yield links()
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -48,7 +55,6 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the least node of the component of each node that has a link. Nodes are longs; loops are ignored."""
-    spark = links.sparkSession
     now = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).mapInArrow(_forest, "u bigint, v bigint").distinct()
     now = written(now, "links")
     seen = None
@@ -57,8 +63,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark[0] == 0 or mark == seen:
             break
         seen = mark
-        old = now.inputFiles()
-        now = written(_star(_star(now, True), False), "links")
-        if old:  # the round before is read by nothing any more
-            drop_path(spark, old[0].rsplit("/", 1)[0])
+        old, now = now, written(_star(_star(now, True), False), "links")
+        drop_written(old)  # it is read by nothing any more
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -20,6 +20,7 @@ component unless alone (then null); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 from itertools import combinations
 from math import comb, lgamma
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, small_batches, written
+from .common import Scratch, lean, small_batches, written
 from .components import components
 
-SMALL, BLOCK, BLOCK_SHINGLES = 16, 2048, 1 << 19
+SMALL, BLOCK, BLOCK_SHINGLES, SUMS = 16, 2048, 1 << 19, 16
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -137,6 +138,10 @@ def _alike(similarity: float, shared, k, other):
 def bit_statistics(nodes: DataFrame, words: int) -> tuple[int, np.ndarray]:
     """Number of nodes and the joint counts of bits, over all nodes: (64 words)^2 numbers whatever the input."""
     names, width = [f"f{k}" for k in range(words)], 64 * words
+    upper = np.triu_indices(width)  # the counts are the same on both sides of the diagonal
+
+    def row(n: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["n", "total"])
 
     def run(batches):
         total, n = np.zeros((width, width)), 0
@@ -147,19 +152,26 @@ def bit_statistics(nodes: DataFrame, words: int) -> tuple[int, np.ndarray]:
                 total += bits.T @ bits
             n += len(f)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.astype(np.int64).tobytes()], pa.binary())], ["n", "total"])
+            yield row(n, total[upper].astype(np.int64))
 
     def add(batches):
-        total, n = np.zeros((width, width), np.int64), 0
+        total, n = np.zeros(len(upper[0]), np.int64), 0
         for b in batches:
             for m, t in zip(b.column(0).to_pylist(), b.column(1)):
                 n += m
-                total += np.frombuffer(t.as_py(), np.int64).reshape(width, width)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "total"])
+                total += np.frombuffer(zlib.decompress(t.as_py()), np.int64)
+        if n:
+            yield row(n, total)
 
     schema = "n bigint, total binary"
-    row = nodes.select(*names).mapInArrow(run, schema).coalesce(1).mapInArrow(add, schema).first()
-    return row.n, np.frombuffer(row.total, np.int64).reshape(width, width)
+    sums, left = nodes.select(*names).mapInArrow(lean(run), schema), (nodes.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
+    while left > 1:  # each part sums up by itself, then so many sums at a time
+        left = -(-left // SUMS)
+        sums = sums.repartition(left).mapInArrow(add, schema)
+    found = sums.collect()  # one row
+    joint = np.zeros((width, width), np.int64)
+    joint[upper] = np.frombuffer(zlib.decompress(found[0].total), np.int64) if found else 0
+    return sum(r.n for r in found), np.maximum(joint, joint.T)
 
 
 def group_bits(joint: np.ndarray, n: int, parts: int, width: int | None = None) -> list[list[int]]:
@@ -448,7 +460,8 @@ def _classes(prints: DataFrame, words: int, find) -> DataFrame:
     nodes = written(nodes.withColumn("node", F.coalesce("least", F.xxhash64(*fs))), "nodes")
     if nodes.isEmpty():
         return prints.withColumn("component_id", F.col("id").cast("long"))
-    roots = components(find(nodes))
+    with Scratch() as scratch:
+        roots = scratch.keep(components(find(nodes)))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select(*fs, "component_id")
