@@ -185,7 +185,7 @@ def test_perfect_hash():
     index = line_dedup.LineIndex.of(*line_dedup.LineIndex.build(h1, h2, n).row())
     place = index.place(index.levels, h1, h2)
     assert sorted(place.tolist()) == list(range(5000))
-    assert (index.probe(h1, h2) == np.minimum(n, 65535)).all()
+    assert (index.probe(h1, h2) == n).all()
     assert (index.probe(h2, h1) > 0).sum() <= 1
 
 
@@ -205,13 +205,32 @@ def test_lines(spark, monkeypatch):
         lines = (t or "").split("\n")
         kept = [x for x in lines if not key(x) or count[key(x)] < 10]
         want.append(repr((i, "\n".join(kept), len(lines), len(lines) - len(kept))))
-    for heavy in (2000, 3, 10**9):
+    for heavy, rows in ((2000, 2048), (3, 2), (10**9, 5)):  # one salt for each shard, and many for those of common lines
         monkeypatch.setattr(line_dedup, "HEAVY", heavy)
-        got = line_dedup.dedup_lines(df, shards=5).collect()
+        monkeypatch.setattr(line_dedup, "ROWS", rows)
+        got = line_dedup.dedup_lines(df.withColumn("_k1", F.lit(7)).withColumn("_drops", F.lit("x")), shards=5).collect()
         assert sorted(repr((r.doc_id, r.kept_text, r.n_lines, r.n_dropped)) for r in got) == sorted(want)
+        assert {(r["_k1"], r["_drops"]) for r in got} == {(7, "x")}
     assert line_dedup.dedup_lines(df.limit(0)).collect() == []
 
 
+def test_counts_beyond_16_bits(spark):
+    docs = spark.range(70_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 70_000, F.concat(F.lit("every\none "), "id")).otherwise("one 5").alias("text"))
+    for least, lost in ((70_000, 70_000), (70_001, 0)):
+        assert line_dedup.dedup_lines(docs, min_docs=least).agg(F.sum("n_dropped")).first()[0] == lost
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(docs, min_docs=1 << 32)
+
+
+def test_every_key_is_probed(spark, monkeypatch):
+    """Nothing is dropped but by the arrays: without them no line goes."""
+    docs = spark.createDataFrame([(i, "shared by all\nown %d" % i) for i in range(50)], "doc_id long, text string")
+    assert {r.n_dropped for r in line_dedup.dedup_lines(docs).collect()} == {1}
+    build = line_dedup.build_index
+    monkeypatch.setattr(line_dedup, "build_index", lambda c, n: build(c.withColumn("n", F.lit(1).cast("long")), n))
+    assert {r.n_dropped for r in line_dedup.dedup_lines(docs).collect()} == {0}
+
+
 # --- op9
 
 
