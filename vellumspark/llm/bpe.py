@@ -8,8 +8,11 @@ distinct pre-tokens a sorted list, so a pre-token is sent once a chunk however o
 3. reassemble: the chunk's documents, as positions into its word list, take the ids and are put together by position.
 
 Both sides of step 3 read the input on their own; the number of a chunk is a hash of its content, and a chunk whose
-halves don't fit fails the job, so an input that isn't deterministic cannot give wrong ids (write it first).
+halves don't fit fails the job, so an input that isn't deterministic cannot give wrong ids (``write_input`` writes it
+first; inputs that come from a shuffle need that, as their rows may come in another order each time).
 Texts themselves are never shuffled. A hot word counts once a chunk, a hot source or long text only by its length.
+Buckets grow with the input's bytes (one for BUCKET_BYTES of text, at least four for each shuffle partition), and
+chunks are dealt over four times as many partitions as there are chunks, so few meet in one task at any size.
 
 Decoding joins the token-byte table, which has a vocabulary's size, on the map side.
 
@@ -31,10 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, shuffle_parts, small_batches
+from .common import lean, shuffle_parts, small_batches, written
 from .pretokens import Numbered, fragments, pattern, spaced
 
 
+BUCKET_BYTES = 128 << 20
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     body = b"".join(np.int64(len(x)).tobytes() + np.int64(x.itemsize).tobytes() + x.tobytes() for x in arrays)
     return zstandard.ZstdCompressor(level=3).compress(body)
@@ -105,14 +111,19 @@ class _Chunk:
         return [(int(h[o[0]]), o) for o in np.split(order, cuts) if len(o)]
 
 
-def encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern_text: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern_text: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, buckets: int | None = None, write_input: bool = False) -> DataFrame:
     """(id, n_tokens, ids) of every row; ids: the token ids as little-endian unsigned 32-bit integers in one BINARY.
 
-    buckets: four for each shuffle partition unless given; a bucket's words must fit a task.
+    buckets: by the input's bytes unless given; a bucket's words must fit a task. write_input: read a written copy of
+    docs, for inputs that don't come in the same order twice.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = buckets or 4 * shuffle_parts(spark)
+    if write_input:
+        docs = written(docs.select(id_col, text_col), "texts")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = buckets or max(4 * shuffle_parts(spark), -(-size // BUCKET_BYTES))
+    parts = max(shuffle_parts(spark), 4 * (size // max(chunk_bytes, 1 << 20) + 1))
     table = spark.sparkContext.broadcast((dict(ranks), pattern_text))  # of a vocabulary's size
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -154,13 +165,15 @@ def encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern_text: str, i
             del c, found, blob
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        if right.num_rows and not left.num_rows:
+            raise ValueError("the input changed between two reads of it; use write_input")
         got = {b.as_py(): x.as_py() for b, x in zip(right.column("bucket"), right.column("ids"))}
         outs = []
         for doc_ids, blob in zip(left.column("doc_ids").to_pylist(), left.column("docs")):
             sizes, index, bs, counts, order, lens, frags = _unpack(blob.as_py())
-            parts = [_unpack(got[b]) for b in bs.tolist()]
+            parts = [_unpack(got[b]) for b in bs.tolist() if b in got]
             if [len(p[0]) for p in parts] != counts.tolist():
-                raise ValueError("the input changed between two reads of it; write it first")
+                raise ValueError("the input changed between two reads of it; use write_input")
             n_ids = np.zeros(len(order), np.int64)
             n_ids[order] = np.concatenate([p[0] for p in parts]) if parts else 0
             flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int32)
@@ -189,6 +202,7 @@ def encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern_text: str, i
     words = src.mapInArrow(lean(words_of), "bucket int, chunk bigint, words binary")
     ids = words.groupBy("bucket").applyInArrow(encode_bucket, "chunk bigint, bucket int, ids binary")
     packed = src.mapInArrow(lean(docs_of), T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("docs", T.BinaryType())]))
+    packed, ids = packed.repartition(parts, "chunk"), ids.repartition(parts, "chunk")
     out = packed.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(reassemble, T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]))
     return out.withColumnRenamed("id", id_col)
 
