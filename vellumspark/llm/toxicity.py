@@ -6,7 +6,7 @@ in their endings, come from the labels in whatever language.
 
 Matching. The trie of the lexicon and the Levenshtein automaton of each term (no error below 5 letters, 1 from 5, 2
 from 9) run as one automaton of (trie node, errors) pairs, made deterministic as it is used; a word is read once, a
-letter at a time. Stems match words that begin with them. Misspelt matches that clean documents of the fit use are
+letter at a time, and beyond STATES states the automaton begins anew. Stems match words that begin with them. Misspelt matches that clean documents of the fit use are
 words of their own and are left out.
 
 Context. Each hit is looked at in its window: inside quotation marks, or within five words after a word of reporting,
@@ -17,7 +17,8 @@ Fit: at most about ``max_fit`` labelled documents of each class, by a hash of th
 sample, the only thing that reaches the driver besides the lexicon. Scoring is map-only over whole texts.
 
 Cases: null and empty texts are scored as texts without hits; ids may be null or repeated (null ids have no label; of
-contradicting labels the toxic one holds); without labels of both classes all scores are 0; other columns are not read.
+contradicting labels the toxic one holds); without labels of both classes all scores are 0; other columns are kept as
+they are, but for one named score.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, small_batches
+from .common import lean, small_batches, unused, written
 
 _WORD = re.compile(r"\w+")
 _QUOTES = str.maketrans({c: '"' for c in "“”„«»‟"})
@@ -40,7 +41,7 @@ REPORTING = frozenset(
     """said says say saying told wrote writes quote quoted quotes quoting called calls term word slur
     sagte schrieb zitat zitiert nannte wort dit disait cita citation mot appelle dijo escribe palabra llama""".split()
 )
-CACHE = 200_000
+CACHE, STATES = 200_000, 50_000
 STEM_MIN, STEM_MAX = 4, 10
 
 
@@ -70,6 +71,10 @@ class Lexicon:
                 self.below[v] = max(self.below[v], budget(t))
             self.term[v] = budget(t)
         self.letters = {c for n in self.next for c in n}
+        self._restart()
+
+    def _restart(self) -> None:
+        """Forget the states made so far."""
         start = self._close({(0, 0)})
         self.sets: list[frozenset[tuple[int, int]]] = [start]
         self.number = {start: 0}
@@ -112,6 +117,8 @@ class Lexicon:
         return self.number[new]
 
     def match(self, word: str) -> int | None:
+        if len(self.sets) > STATES:
+            self._restart()
         s, letters = 0, self.letters
         for c in word:
             c = c if c in letters else "\0"
@@ -227,15 +234,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000, id_col: str = "
     """labels: (id, 0/1), of the documents that may be learned from only."""
     spark = docs.sparkSession
     small_batches(spark)
-    lab = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
-    n = {r["_y"]: r["count"] for r in lab.groupBy("_y").count().collect() if r["_y"] in (0, 1)}
+    y, half, text = unused([id_col, text_col], "y", "half", "t")
+    lab = written(labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias(y)), "labels")
+    n = {r[y]: r["count"] for r in lab.groupBy(y).count().collect() if r[y] in (0, 1)}
     if not n.get(0) or not n.get(1):
         return Model([], frozenset(), None)
     h = F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1 << 30))
-    share = F.when(F.col("_y") == 1, min(1.0, max_fit / n[1])).otherwise(min(1.0, max_fit / n[0]))
-    chosen = lab.where(F.col("_y").isin(0, 1) & (h < share * float(1 << 30))).withColumn("_half", F.pmod(F.xxhash64(F.lit("half"), id_col), F.lit(2)).cast("int"))
-    # about 2 * max_fit ids, whatever the tables' size
-    sample = docs.select(id_col, F.col(text_col).alias("_t")).join(F.broadcast(chosen), id_col).select("_t", "_y", "_half")
+    share = F.when(F.col(y) == 1, min(1.0, max_fit / n[1])).otherwise(min(1.0, max_fit / n[0]))
+    chosen = lab.where(F.col(y).isin(0, 1) & (h < share * float(1 << 30))).withColumn(half, F.pmod(F.xxhash64(F.lit("half"), id_col), F.lit(2)).cast("int"))
+    # about 2 * max_fit ids, whatever the tables' size; written, as it is gone through several times
+    sample = docs.select(id_col, F.col(text_col).alias(text)).join(F.broadcast(chosen), id_col).select(F.col(text).alias("_t"), F.col(y).alias("_y"), F.col(half).alias("_half"))
+    sample = written(sample, "labelled-sample")
 
     def words(batches):
         for b in batches:
