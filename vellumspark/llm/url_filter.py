@@ -5,15 +5,18 @@ A rule is a canonical URL, host and path prefix written together (``example.org/
 rule wins (ties: the longer host, then the smaller text). A URL that no rule fits gets ``default``.
 
 Method. Only keys that could equal a rule are made of a URL: for each (number of host labels, path length) that
-some rule has, the last labels of the host and the first characters of the path. Keys meet a register-blocked
+some rule has, the last labels of the host and the first characters of the path. These shapes (as many as URLs have
+numbers of labels and lengths, whatever the list's length) are one constant array of the plan. Keys meet a register-blocked
 Bloom filter (64-bit blocks, 4 bits a key; the block and the bits come from one xxhash64). The filter is a
 constant of the plan of at most ``max_blocks`` words whatever the list's length: a longer list gives more
 false positives, never a wrong verdict. Passing keys are joined exactly with the rules, on distinct
-(host, path) pairs, and the verdicts are joined back under a salt, so a hot URL is spread.
+(host, path) pairs, and the verdicts are joined back under a salt, so a hot URL is spread over ``salt`` tasks besides
+what adaptive execution splits.
 
 Cases: null URL or no ``://``: host and path are empty and the default applies. Null ids, repeated rows and
-further columns are kept as they are, except that input columns named like an output are replaced. Empty tables
-give empty results. An empty rule list gives the default everywhere.
+further columns are kept as they are, except that input columns named like an output (host, path, rule, verdict) are
+replaced. Empty tables give empty results. An empty rule list gives the default everywhere; a rule without ``/`` fits
+all paths of its host, a null rule nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, unused
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
@@ -55,13 +58,13 @@ def parse(url: Column) -> tuple[Column, Column]:
 def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", max_blocks: int = 4096, salt: int = 16) -> DataFrame:
     """pages with host, path, rule and verdict. rules: (rule string, verdict string); null or repeated rules count once."""
     rules = (
-        rules.where(F.col("rule").isNotNull() & (F.instr("rule", "/") > 0))
+        rules.where(F.col("rule").isNotNull())
         .groupBy("rule").agg(F.min("verdict").alias("verdict"))
         .withColumn("rule_host", F.substring_index("rule", "/", 1))
         .withColumn("n_labels", F.size(F.split("rule_host", r"\.")))
         .withColumn("n_path", F.length("rule") - F.length("rule_host"))
     )
-    # what is known of the list: its shapes (as many as URLs have lengths) and at most max_blocks filter words
+    # what the driver knows of the list: its shapes (as many as URLs have lengths) and at most max_blocks filter words
     shapes = sorted((r[0], r[1]) for r in rules.select("n_labels", "n_path").distinct().collect())
     n_rules = rules.count()
     n_blocks = 64
@@ -74,26 +77,32 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     host, path = parse(F.col(url))
     out = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     labels = F.size(F.split("host", r"\."))
-    keys = F.array(*[F.when((labels >= n) & (F.length("path") >= p), F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, p))) for n, p in shapes]) if shapes else F.array().cast("array<string>")
+    every = F.from_json(F.lit("[" + ",".join(f'{{"n":{n},"p":{p}}}' for n, p in shapes) + "]"), "array<struct<n int, p int>>")
+
+    def key(x: Column) -> Column:
+        end = F.call_function("substring_index", F.col("host"), F.lit("."), -x["n"])
+        return F.when((labels >= x["n"]) & (F.length("path") >= x["p"]), F.concat(end, F.substr(F.col("path"), F.lit(1), x["p"])))
 
     def may(k: Column) -> Column:
         m = _mask(_h(k))
         return k.isNotNull() & (F.element_at(bits, _block(_h(k), n_blocks) + 1).bitwiseAND(m) == m)
 
-    out = out.withColumn("_keys", F.filter(keys, may))
+    keys, salted = unused([*out.columns, "rule", "verdict"], "_keys", "_salt")
+    out = out.withColumn(keys, F.filter(F.transform(every, key), may))
     best = (
-        out.where(F.size("_keys") > 0).select("host", "path", "_keys").distinct()
-        .select("host", "path", F.explode("_keys").alias("rule"))
+        out.where(F.size(keys) > 0).select("host", "path", keys).distinct()
+        .select("host", "path", F.explode(keys).alias("rule"))
         .join(rules.select("rule", "verdict", "rule_host"), "rule")
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), "rule", "verdict")).alias("best"))
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        .withColumn(salted, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     )
-    # rows without a possible hit match nothing and are dealt out evenly by their own hash
-    spread = F.xxhash64(*[c for c, kind in pages.dtypes if kind in ("bigint", "int", "string") and c != "html"][:4])
-    out = out.withColumn("_salt", F.when(F.size("_keys") > 0, F.pmod(spread, F.lit(salt)).cast("int")).otherwise((-1 - F.pmod(spread, F.lit(1 << 20))).cast("int")))
-    return out.join(best, ["host", "path", "_salt"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop("_keys", "_salt")
+    # rows without a possible hit match nothing and are dealt out evenly by their own hash: the URL and the short columns
+    short = [c for c, kind in pages.dtypes if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp") or kind.startswith("decimal")]
+    spread = F.xxhash64(url, *(F.col(c) for c in short if c in out.columns)) if url in out.columns else F.xxhash64("host", "path", *(F.col(c) for c in short if c in out.columns))
+    out = out.withColumn(salted, F.when(F.size(keys) > 0, F.pmod(spread, F.lit(salt)).cast("int")).otherwise((-1 - F.pmod(spread, F.lit(1 << 20))).cast("int")))
+    return out.join(best, ["host", "path", salted], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop(keys, salted)
 
 
 def rules_frame(spark, rules=RULES) -> DataFrame:
