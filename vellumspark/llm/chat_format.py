@@ -1,16 +1,18 @@
 r"""Chat formatting by schema fingerprints. DataFrame functions only.
 
-A record (a VARIANT: parsed JSON or any struct) has a layout: its nested field paths. ``fingerprint`` hashes them,
-with all scalar types made one, and selects one of the declarative ``LAYOUTS``; its mapping turns the record into
-canonical turns, array<struct<role, text>>. ``format_turns`` writes each turn as
-``<|im_start|>role\ntext<|im_end|>\n`` and returns the loss spans of the assistant texts; ``read_turns`` and
-``read_loss`` invert it.
+A record (a VARIANT: parsed JSON or any struct) has nested field paths (``prompt``, ``messages[].role``, ``[].role``).
+Each of the declarative ``LAYOUTS`` names the paths that it maps. ``fingerprint`` hashes those of a record's paths that
+a layout names; equal to the hash of the layout's own, it selects that layout, the one of most paths first. So further
+fields of records and messages (ids, names, metadata) do no harm. The layout's mapping turns the record into canonical
+turns, array<struct<role, text>>. ``format_turns`` writes each turn as ``<|im_start|>role\ntext<|im_end|>\n`` and
+returns the loss spans of the assistant texts; ``read_turns`` and ``read_loss`` invert it.
 
 Escapes: in texts and roles ``<``, k backslashes and ``|`` get one backslash more, so no control string can occur in
 them and the inverse takes one away; in roles backslashes are doubled and line feeds written ``\n``.
 
 Cases: null or missing texts and roles are empty; a record of unknown layout gets a null layout and null turns
-(kept, for the caller to see); roles human, gpt, bot and model become user and assistant in chat-log layouts,
+(kept, for the caller to see); a list without elements has no paths of its elements and so no layout; input columns
+named like an output (layout, turns; formatted, loss) are replaced, all others stay; roles human, gpt, bot and model become user and assistant in chat-log layouts,
 other roles stay; no turns: an empty text. Repeated and tied turns keep all rows, ordered by (turn, role, text).
 """
 
@@ -21,16 +23,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role string, text string>>"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """shape: the record's field paths as fingerprint() sees them; turns: SQL over ``v`` that gives the canonical turns."""
+    """paths: the field paths that it maps, in order; turns: SQL over {v}, the record, that gives the canonical turns."""
 
     name: str
-    shape: str
+    paths: tuple[str, ...]
     turns: str
 
 
@@ -40,11 +44,11 @@ _ROLE = "CASE lower({0}) WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WH
 def _listed(path: str, role: str, text: str, mapped: bool = False) -> str:
     kind = f"array<struct<{role} string, {text} string>>"
     name = _ROLE.format(f"x.`{role}`") if mapped else f"x.`{role}`"
-    return f"transform(try_variant_get(v, '{path}', '{kind}'), x -> named_struct('role', coalesce({name}, ''), 'text', coalesce(x.`{text}`, '')))"
+    return f"transform(try_variant_get({{v}}, '{path}', '{kind}'), x -> named_struct('role', coalesce({name}, ''), 'text', coalesce(x.`{text}`, '')))"
 
 
 def _get(field: str) -> str:
-    return f"coalesce(try_variant_get(v, '$.{field}', 'string'), '')"
+    return f"coalesce(try_variant_get({{v}}, '$.{field}', 'string'), '')"
 
 
 def _pair(user: str, assistant: str, system: str | None = None) -> str:
@@ -53,40 +57,52 @@ def _pair(user: str, assistant: str, system: str | None = None) -> str:
 
 
 LAYOUTS = (
-    Layout("messages", "OBJECT<messages:ARRAY<OBJECT<content:*,role:*>>>", _listed("$.messages", "role", "content")),
-    Layout("bare_messages", "ARRAY<OBJECT<content:*,role:*>>", _listed("$", "role", "content")),
-    Layout("conversations", "OBJECT<conversations:ARRAY<OBJECT<from:*,value:*>>>", _listed("$.conversations", "from", "value", True)),
-    Layout("prompt_response", "OBJECT<prompt:*,response:*>", _pair(_get("prompt"), _get("response"))),
-    Layout("prompt_completion", "OBJECT<completion:*,prompt:*>", _pair(_get("prompt"), _get("completion"))),
-    Layout("question_answer", "OBJECT<answer:*,question:*>", _pair(_get("question"), _get("answer"))),
-    Layout("instruction", "OBJECT<instruction:*,output:*>", _pair(_get("instruction"), _get("output"))),
+    Layout("messages", ("messages[].content", "messages[].role"), _listed("$.messages", "role", "content")),
+    Layout("bare_messages", ("[].content", "[].role"), _listed("$", "role", "content")),
+    Layout("conversations", ("conversations[].from", "conversations[].value"), _listed("$.conversations", "from", "value", True)),
+    Layout("prompt_response", ("prompt", "response"), _pair(_get("prompt"), _get("response"))),
+    Layout("prompt_completion", ("completion", "prompt"), _pair(_get("prompt"), _get("completion"))),
+    Layout("question_answer", ("answer", "question"), _pair(_get("question"), _get("answer"))),
+    Layout("instruction", ("instruction", "output"), _pair(_get("instruction"), _get("output"))),
     Layout(
         "instruction_input",
-        "OBJECT<input:*,instruction:*,output:*>",
-        _pair(f"concat({_get('instruction')}, if({_get('input')} = '', '', concat('\\n', {_get('input')})))", _get("output")),
+        ("input", "instruction", "output"),
+        _pair(f"concat({_get('instruction')}, if({_get('input')} = '', '', concat('\n', {_get('input')})))", _get("output")),
     ),
-    Layout("system_prompt", "OBJECT<prompt:*,response:*,system:*>", _pair(_get("prompt"), _get("response"), _get("system"))),
+    Layout("system_prompt", ("prompt", "response", "system"), _pair(_get("prompt"), _get("response"), _get("system"))),
 )
 
 
-def shape(v: Column) -> Column:
-    """The nested field paths of a VARIANT as text; scalar types (nulls too) are all ``*``."""
-    s = F.regexp_replace(F.schema_of_variant(v), r"(: |ARRAY<|^)(?!OBJECT<|ARRAY<)[A-Z]+(\(\d+,\d+\)|\(\d+, \d+\))?", "$1*")
-    return F.regexp_replace(F.regexp_replace(s, ": ", ":"), ", ", ",")
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def paths(record: str, layouts=LAYOUTS) -> Column:
+    """The field paths of a record, sorted: its fields, and the fields of the elements of itself and of the lists that layouts name."""
+    v = _quoted(record)
+    lists = sorted({p.split("[]")[0] for x in layouts for p in x.paths if "[]" in p})
+    parts = [f"coalesce(map_keys(try_variant_get({v}, '$', 'map<string,variant>')), array())"]
+    for name in lists:
+        inner = f"try_variant_get({v}, '$.{name}' , 'array<map<string,variant>>')" if name else f"try_variant_get({v}, '$', 'array<map<string,variant>>')"
+        parts.append(f"transform(flatten(transform(coalesce({inner}, array()), x -> coalesce(map_keys(x), array()))), k -> concat('{name}[].', k))")
+    return F.expr(f"array_sort(array_distinct(concat({', '.join(parts)})))")
 
 
-def fingerprint(v: Column) -> Column:
-    return F.xxhash64(shape(v))
+def fingerprint(found: Column, layout: Layout) -> Column:
+    """The hash of those of the found paths that the layout maps."""
+    return F.xxhash64(F.array_join(F.array_intersect(F.array(*map(F.lit, layout.paths)), found), "\n"))
 
 
 def to_turns(records: DataFrame, record: str = "record", layouts=LAYOUTS) -> DataFrame:
     """records with ``layout`` (null if unknown) and canonical ``turns``; record: a VARIANT column."""
-    df = records.drop("layout", "turns", "_print", "v").withColumn("v", F.col(record)).withColumn("_print", fingerprint(F.col("v")))
+    keep = [c for c in records.columns if c not in ("layout", "turns") or c == record]
+    (found,) = unused([*keep, "layout", "turns"], "_paths")
+    df = records.select(*map(_quoted, keep)).withColumn(found, paths(record, layouts))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for x in reversed(layouts):
-        same = F.col("_print") == F.xxhash64(F.lit(x.shape))
-        name, turns = F.when(same, F.lit(x.name)).otherwise(name), F.when(same, F.expr(x.turns).cast(TURNS)).otherwise(turns)
-    return df.withColumns({"layout": name, "turns": turns}).drop("_print", "v")
+    for x in sorted(layouts, key=lambda x: len(x.paths)):
+        same = fingerprint(F.col(found), x) == F.xxhash64(F.lit("\n".join(x.paths)))
+        name, turns = F.when(same, F.lit(x.name)).otherwise(name), F.when(same, F.expr(x.turns.format(v=_quoted(record))).cast(TURNS)).otherwise(turns)
+    return df.select(*(_quoted(c) for c in keep if c not in ("layout", "turns")), name.alias("layout"), turns.alias("turns"))
 
 
 _ESC = r"""regexp_replace({0}, r'<(\\*)\|', r'<$1\\|')"""
@@ -111,12 +127,13 @@ def unescape_role(x: str) -> str:
 
 def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
     """Adds ``formatted`` and ``loss``: array<struct<turn, start, length>>, the place of each assistant text, in code points from its turn's start."""
-    t = f"coalesce({turns}, array())"
-    df = df.withColumn("_segs", F.expr(f"transform({t}, t -> named_struct('role', t.role, 'head', concat('{START}', {escape_role('t.role')}, '\\n'), 'body', {escape('t.text')}))"))
+    t = f"coalesce({_quoted(turns)}, array())"
+    (segs,) = unused(df.columns, "_segs")
+    df = df.withColumn(segs, F.expr(f"transform({t}, t -> named_struct('role', t.role, 'head', concat('{START}', {escape_role('t.role')}, '\\n'), 'body', {escape('t.text')}))"))
     return df.withColumns({
-        "formatted": F.expr(f"array_join(transform(_segs, s -> concat(s.head, s.body, '{END}\\n')), '')"),
-        "loss": F.expr("filter(transform(_segs, (s, i) -> named_struct('turn', i, 'start', char_length(s.head), 'length', if(s.role = 'assistant', char_length(s.body), -1))), x -> x.length >= 0)"),
-    }).drop("_segs")
+        "formatted": F.expr(f"array_join(transform({segs}, s -> concat(s.head, s.body, '{END}\\n')), '')"),
+        "loss": F.expr(f"filter(transform({segs}, (s, i) -> named_struct('turn', i, 'start', char_length(s.head), 'length', if(s.role = 'assistant', char_length(s.body), -1))), x -> x.length >= 0)"),
+    }).drop(segs)
 
 
 def _segments(formatted: str) -> str:
