@@ -10,12 +10,14 @@ stands the index: suffix array by prefix doubling, Burrows-Wheeler transform in
 sampled at run starts and every 8th word. All windows are searched at once by wavelet ranks, occurrences are located by
 walking to sampled positions, and overlapping removal spans are merged.
 
-Map-only: no text moves, and a document's cost is its own length. The benchmark reaches tasks in blocks of at most
-``block_bytes`` of item text; a larger one takes more passes over the documents, each adding to the same hits.
+Map-only: no text moves, and a document's cost is its own length. The benchmark's items, each once, are cut into pieces
+of PIECE windows and reach tasks in blocks of about ``block_bytes`` of text; a larger benchmark takes more passes over
+the documents, each adding to the same hits, and every CHAIN passes the documents are written, so a task holds at most
+that many blocks.
 
 Cases: null texts and texts without words have no words and no hits; items that are null or have no words are never
 found; repeated items count by their id; null ids stay; an empty benchmark or document table gives no hits or no rows;
-input columns named like an output are replaced.
+input columns named like an output (n_words, n_hit, items, spans) are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, small_batches
+from .common import lean, small_batches, unused, written
+
+PIECE, CHAIN = 4096, 4
 
 _FOLD = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -195,19 +199,36 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     return out
 
 
+def pieces(items: DataFrame, window: int) -> DataFrame:
+    """(i, t): the words of distinct (i, t) rows in pieces of at most PIECE windows, which together have all windows."""
+
+    def run(batches):
+        for b in batches:
+            at, out = [], []
+            for k, t in enumerate(b.column(1)):
+                w = words_of(t.as_py())
+                for s in range(0, max(1, len(w) - window + 1), PIECE):
+                    at.append(k)
+                    out.append(b" ".join(w[s : s + PIECE + window - 1]).decode())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string())], ["i", "t"])
+
+    return items.distinct().mapInArrow(run, T.StructType([items.schema["i"], T.StructField("t", T.StringType())]))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20, chunk_bytes: int = 8 << 20) -> DataFrame:
     """docs with n_words, n_hit, items (distinct ids of items with an occurring window) and spans (merged, in code points)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     small_batches(spark)
-    src = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
+    src = written(pieces(items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")), window), "phrases")
     n_blocks = max(1, -(-(src.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
     item_kind = items.schema[item_id].dataType
     item_arrow = to_arrow_type(item_kind)
-    kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans", "_hits", "_items")]
+    kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
+    hits_col, items_col = unused([*kept, "n_words", "n_hit", "items", "spans"], "_hits", "_items")
     at, width = kept.index(text_col), len(kept)
-    df = docs.select(*kept, F.lit(None).cast("binary").alias("_hits"), F.array().cast(T.ArrayType(item_kind)).alias("_items"))
+    df = docs.select(*kept, F.lit(None).cast("binary").alias(hits_col), F.array().cast(T.ArrayType(item_kind)).alias(items_col))
     own = [df.schema[c] for c in kept]
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -238,7 +259,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
                 if last:
                     yield pa.RecordBatch.from_arrays([*same, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(item_arrow)), pa.array(cols[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], [*kept, "n_words", "n_hit", "items", "spans"])
                 else:
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.list_(item_arrow))], [*kept, "_hits", "_items"])
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.list_(item_arrow))], [*kept, hits_col, items_col])
 
         def run(batches):
             held, size = [], 0
@@ -254,11 +275,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
         return run
 
     for i in range(n_blocks):
-        rows = src.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == i).collect()  # at most a block
+        rows = src.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == i).collect()  # about a block
         block = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in rows], window))
         last = i == n_blocks - 1
-        more = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_kind)), T.StructField("spans", span)] if last else [T.StructField("_hits", T.BinaryType()), T.StructField("_items", T.ArrayType(item_kind))]
+        more = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_kind)), T.StructField("spans", span)] if last else [T.StructField(hits_col, T.BinaryType()), T.StructField(items_col, T.ArrayType(item_kind))]
         df = df.mapInArrow(lean(step(block, last)), T.StructType([*own, *more]))
+        if i % CHAIN == CHAIN - 1 and not last:
+            df = written(df, "hits")
     return df
 
 
