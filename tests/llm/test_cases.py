@@ -41,11 +41,13 @@ def plain_url(url, rules):
 
 def test_urls(spark):
     urls = [None, "", "x", "http://", "HTTP://A.Example.ORG/es/1?x#y", "http://org", "http://org/", "https://xorg/", "ftp://m.com/fr/", "http://com/de/x", "http://a.b.example.org/en/15", "http://example.org?/es/", "x://É.org/", "http://e.org//", "http://a.org:80/"]
-    rules = [*url_filter.RULES, ("a.org:80/", "block"), (None, "block"), ("org/", "allow")]
-    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://x.org/a", "h"), (0, None, "h")], "page_id long, url string, host string")
+    rules = [*url_filter.RULES, ("a.org:80/", "block"), (None, "block"), ("org/", "allow"), ("m.com", "block")]
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://x.org/a", "h"), (0, None, "h"), (7, "http://m.com", "h"), (8, "http://a.m.com/x", "h")], "page_id long, url string, host string")
+    df = df.withColumn("_keys", F.lit(1)).withColumn("_SALT", F.lit(2))
     r = spark.createDataFrame(rules, "rule string, verdict string")
     for blocks in (64, 4096):
         got = url_filter.url_filter(df, r, max_blocks=blocks).collect()
+        assert {(x["_keys"], x["_SALT"]) for x in got} == {(1, 2)}
         assert sorted(repr((x.page_id, x.url, x.host, x.path, x.rule, x.verdict)) for x in got) == sorted(repr((x.page_id, x.url, *plain_url(x.url, [y for y in rules if y[0]]))) for x in df.collect())
     assert url_filter.url_filter(df.limit(0), r).collect() == []
     assert {x.verdict for x in url_filter.url_filter(df, r.limit(0)).collect()} == {"allow"}
@@ -270,6 +272,21 @@ def test_contamination(spark):
             inside = sum(brute_hits(r.text[s.start : s.end], [], 5)[0] for s in r.spans)
             assert inside == r.n_hit
     assert decontaminate.decontaminate(df.limit(0), bench).collect() == []
+
+
+def test_items_in_pieces_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 3)
+    monkeypatch.setattr(decontaminate, "CHAIN", 2)
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choices("abcdefg", k=k))) for i, k in enumerate((0, 1, 4, 5, 6, 7, 8, 40, 200))] * 2
+    docs = [(i, " ".join(rng.choices("abcdefg", k=60)) + " " + " ".join(rng.choice(items)[1].split()[:30])) for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    cut = decontaminate.pieces(bench.select(F.col("item_id").alias("i"), F.col("text").alias("t")), 5).collect()
+    assert max(len(r.t.split()) for r in cut) == 7 and {r.i for r in cut} == set(range(9))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_hits", F.lit("own")).repartition(2)
+    got = decontaminate.decontaminate(df, bench, window=5, block_bytes=300).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in got) == sorted((i, *brute_hits(t, items, 5)[:2], sorted(brute_hits(t, items, 5)[2])) for i, t in docs)
+    assert {r["_hits"] for r in got} == {"own"}
     assert {r.n_hit for r in decontaminate.decontaminate(df, bench.limit(0)).collect()} == {0}
 
 
@@ -281,6 +298,8 @@ def test_layouts(spark):
         '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":null}]}', '[{"role":"system","content":"s"}]', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}',
         '{"prompt":"p","response":"r"}', '{"response":"r","prompt":5}', '{"prompt":"p","completion":"c"}', '{"question":"q","answer":"a"}', '{"instruction":"i","input":"x","output":"o"}', '{"instruction":"i","input":"","output":"o"}',
         '{"instruction":"i","output":"o"}', '{"system":"s","prompt":"p","response":"r"}', '{"foo":1}', None,
+        '{"id":7,"messages":[{"role":"user","content":"hi","name":"n"},{"role":"assistant","content":"yo","meta":{"a":[1,{"role":2}]}}],"tags":["x"]}',
+        '{"instruction":"i","output":"o","source":{"prompt":"no"},"n":null}', '{"messages":[]}', '"prompt"', '[{"role":"user","content":"q","weight":1}]', '[1,2]', '{"messages":"text","prompt":"p","response":"r"}',
     ]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "id int, j string").withColumn("record", F.parse_json("j")).withColumn("turns", F.lit(1))
     got = {r.id: (r.layout, r.turns and [tuple(t) for t in r.turns]) for r in chat_format.to_turns(df).select("id", "layout", "turns").collect()}
@@ -289,7 +308,13 @@ def test_layouts(spark):
         0: ("messages", [u("hi"), a("")]), 1: ("bare_messages", [("system", "s")]), 2: ("conversations", [u("q"), a("a")]), 3: ("prompt_response", [u("p"), a("r")]), 4: ("prompt_response", [u("5"), a("r")]),
         5: ("prompt_completion", [u("p"), a("c")]), 6: ("question_answer", [u("q"), a("a")]), 7: ("instruction_input", [u("i\nx"), a("o")]), 8: ("instruction_input", [u("i"), a("o")]),
         9: ("instruction", [u("i"), a("o")]), 10: ("system_prompt", [("system", "s"), u("p"), a("r")]), 11: (None, None), 12: (None, None),
+        13: ("messages", [u("hi"), a("yo")]), 14: ("instruction", [u("i"), a("o")]), 15: (None, None), 16: (None, None), 17: ("bare_messages", [u("q")]), 18: (None, None), 19: ("prompt_response", [u("p"), a("r")]),
     }
+    for name in ("v", "_paths", "a`b", "turns"):
+        other = df.drop("turns").withColumn("v", F.lit(3)).withColumnRenamed("record", "r2").withColumn(name, F.col("r2"))
+        made = chat_format.to_turns(other, name)
+        assert {r.id: r.layout for r in made.select("id", "layout").collect()} == {i: x[0] for i, x in got.items()}
+        assert set(made.columns) == {*other.columns, "layout", "turns"}
 
 
 def test_format_is_reversible(spark):

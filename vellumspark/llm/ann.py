@@ -28,11 +28,14 @@ from pyspark.sql import types as T
 
 from .common import written
 
+GOAL = 0.95
+
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, v array<double>) of the rows that take part."""
+    """(id, v) of the rows that take part; v: array<float> if the vectors are that, else array<double>."""
     v = F.col("v")
-    ok = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(
+    kind = "array<float>" if vectors.schema[vec_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vec_col].dataType.containsNull) else "array<double>"
+    ok = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v")).where(
         F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     )
     dims = ok.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -88,8 +91,8 @@ class Codebooks:
         return cls(coarse, fine, edges, cls.needed(sample, coarse))
 
     @staticmethod
-    def needed(sample: np.ndarray, coarse: np.ndarray, asked: int = 400, k: int = 5, goal: float = 0.98) -> int:
-        """Lists to visit so that the sample's own neighbours are in them that often; in the full table neighbours are nearer."""
+    def needed(sample: np.ndarray, coarse: np.ndarray, asked: int = 400, k: int = 5, goal: float = GOAL) -> int:
+        """Lists to visit so that a share ``goal`` of the sample's own nearest neighbours is in them; in the full table neighbours are nearer."""
         q = sample[:asked]
         sims = q @ sample.T
         sims[np.arange(len(q)), np.arange(len(q))] = -np.inf
@@ -133,7 +136,7 @@ def build_index(vectors: DataFrame, max_fit: int = 20_000, n_sub: int = 16) -> t
                 at, codes = shared.value.encode(_unit(_matrix(b.column(1))))
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1)], ["list", "id", "codes", "v"])
 
-    return books, written(vectors.select("id", "v").mapInArrow(run, "list int, id bigint, codes binary, v array<double>"), "vectors")
+    return books, written(vectors.select("id", "v").mapInArrow(run, f"list int, id bigint, codes binary, v {vectors.schema['v'].dataType.simpleString()}"), "vectors")
 
 
 def search(queries: DataFrame, books: Codebooks | None, index: DataFrame, k: int = 5, n_probe: int | None = None, rerank: int = 100, min_seen: int = 1000, block_rows: int = 20_000, block_queries: int = 4096) -> DataFrame:
@@ -162,7 +165,7 @@ def search(queries: DataFrame, books: Codebooks | None, index: DataFrame, k: int
             yield pa.RecordBatch.from_arrays([pa.array(order[row, col].astype(np.int32)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], ["list", "qid", "q"])
 
     asked = queries.groupBy("id").agg(F.min("v").alias("v")).select("id", "v")
-    visits = written(asked.mapInArrow(probe, "list int, qid bigint, q array<double>"), "visits")
+    visits = written(asked.mapInArrow(probe, f"list int, qid bigint, q {queries.schema['v'].dataType.simpleString()}"), "visits")
     blocks = [(int(i), max(1, int(-(-s // block_rows)))) for i, s in enumerate(sizes)]
     q_blocks = {r["list"]: max(1, -(-r["count"] // block_queries)) for r in visits.groupBy("list").count().collect()}
     plan = spark.createDataFrame([(i, m, q_blocks.get(i, 1)) for i, m in blocks], "list int, vb int, qb int")  # a row for each centroid
