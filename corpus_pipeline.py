@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.llm import bpe, decontaminate, line_dedup, simhash, toxicity
-from vellumspark.llm.common import LOWER, UPPER, crc_mod, table, written
+from vellumspark.llm.common import LOWER, UPPER, Scratch, crc_mod, table, written
 from vellumspark.llm.pretokens import read_ranks
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -79,7 +79,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with Scratch() as scratch:  # the stage is written: what it made on its way is read no more
+            docs = scratch.keep(written(stage(spark, docs, sf_dir), f"stage-{name}"))
     return docs
 
 
