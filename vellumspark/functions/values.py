@@ -18,7 +18,7 @@ def cache_key(*parts: Column) -> Column:
 
 def clean_list(c: Column) -> Column:
     """H-18, U-5: trimmed, non-empty, distinct texts in their first order."""
-    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def millis(c: Column) -> Column:
