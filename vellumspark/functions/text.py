@@ -116,6 +116,18 @@ def window_snippet(c: Column, at: Column, before: int = 220, after: int = 800) -
     return F.concat(F.when(start > 1, "...").otherwise(""), F.substr(c, start, end - start), F.when(end <= F.length(c), "...").otherwise(""))
 
 
+def marked_snippet(c: Column, term: str, around: int = 200) -> Column:
+    """F-7: text around the first place of a term, which is marked; null if it isn't there."""
+    at, n = F.instr(F.lower(c), term.lower()), len(term)
+    start = F.greatest(at - around, F.lit(1))
+    return F.when(at > 0, F.concat(F.substr(c, start, at - start), F.lit("[[HL]]"), F.substr(c, at, F.lit(n)), F.lit("[[/HL]]"), F.substr(c, at + n, F.lit(around))))
+
+
+def regex_escape(c: Column) -> Column:
+    """F-22: the text as a pattern that matches just it."""
+    return F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+
+
 def clip(c: Column, most: int) -> Column:
     """F-25."""
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 1), F.lit("…"))).otherwise(c)

@@ -25,16 +25,19 @@ def page_segments(docs: DataFrame, text: str = "text") -> DataFrame:
     return parts.select(*[c for c in parts.columns if not c.startswith("_")], page.alias("page"), F.trim(F.regexp_replace(body, r"^[\n ]+|[\n ]+$", "")).alias("content"), F.col("_i").alias("segment")).where("content <> ''")
 
 
-def chunk_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP, version: int = 1) -> DataFrame:
-    """T-3, H-1: windows of ``size`` words, ``overlap`` shared, none after the one that reaches the end; positions in the collapsed text."""
+def chunk_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP, version: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """T-3, H-1: windows of ``size`` words, ``overlap`` shared, none after the one that reaches the end; positions in the collapsed text. keep: columns of docs that chunks get too.
+
+    A text's work is its own length: chunks are cut within the row, and places are sums of the lengths of whole steps.
+    """
     step = size - overlap
-    w = docs.select(F.col(id_col).alias("document_id"), words(F.coalesce(F.col(text), F.lit(""))).alias("_w")).where(F.size("_w") > 0)
+    w = docs.select(F.col(id_col).alias("document_id"), *keep, words(F.coalesce(F.col(text), F.lit(""))).alias("_w")).where(F.size("_w") > 0)
     last = F.greatest(F.ceil((F.size("_w") - size) / step), F.lit(0)).cast("int")
-    rows = w.select("document_id", "_w", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    content = F.array_join(F.slice("_w", F.col("chunk_index") * step + 1, F.lit(size)), " ")
-    before = F.array_join(F.slice("_w", F.lit(1), F.col("chunk_index") * step), " ")
-    start = F.when(F.col("chunk_index") == 0, 0).otherwise(F.length(before) + 1)
-    rows = rows.select("document_id", "chunk_index", content.alias("content"), start.cast("int").alias("start_char"), F.least(F.size("_w") - F.col("chunk_index") * step, F.lit(size)).alias("token_count"))
+    some = lambda i, n: F.array_join(F.slice("_w", i * step + 1, F.lit(n)), " ")
+    w = w.withColumn("_steps", F.transform(F.sequence(F.lit(0), last), lambda i: F.length(some(i, step)) + 1))
+    start = lambda i: F.aggregate(F.slice("_steps", F.lit(1), i), F.lit(0), lambda a, n: a + n)
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("chunk_index"), some(i, size).alias("content"), start(i).alias("start_char"), F.least(F.size("_w") - i * step, F.lit(size)).alias("token_count")))
+    rows = w.select("document_id", *keep, F.explode(cut).alias("_c")).select("document_id", "_c.*", *keep)
     rows = rows.withColumn("end_char", F.col("start_char") + F.length("content"))
     return rows.withColumn("chunk_id", chunk_id(F.col("document_id"), F.lit(version), F.col("chunk_index"), F.col("content")))
 

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import cite_key, support
+from ..functions.text import cite_key, lexical_set
+from ..sources.shared import written
 from .relational import margin
 
 MIN_SCORE, MIN_MARGIN = 0.3, 0.05
+SHORT = 10_000  # quotes of one or two words that meet all chunks together
 
 
 def markers(answers: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -51,16 +53,44 @@ def quote_hits(quotes: DataFrame, chunks: DataFrame, keyed: bool = True) -> Data
     words = c.withColumn("_lead", F.explode(F.array_distinct(F.split("_t", " "))))
     met = words.join(long.where("_lead IS NOT NULL").select("quote_id", "_q", "_lead"), "_lead").where(F.contains("_t", F.col("_q")))
     out = met.select("quote_id", "document_id", "chunk_id")
-    short = long.where("_lead IS NULL").select("quote_id", "_q")  # of one or two words
-    return out.unionByName(c.join(F.broadcast(short), F.contains("_t", F.col("_q"))).select("quote_id", "document_id", "chunk_id")).distinct()
+    short = written(long.where("_lead IS NULL").select("quote_id", "_q").distinct(), "short-quotes")  # of one or two words, in blocks
+    blocks = -(-short.count() // SHORT)
+    for i in range(blocks):
+        some = short.where(F.pmod(F.xxhash64("quote_id", "_q"), F.lit(blocks)) == i)
+        out = out.unionByName(c.join(F.broadcast(some), F.contains("_t", F.col("_q"))).select("quote_id", "document_id", "chunk_id"))
+    return out.distinct()
 
 
-def rebind(claims: DataFrame, passages: DataFrame, keys: list[str]) -> DataFrame:
-    """C-13, W-17: the best passage of each claim; ``bound`` if its support and lead suffice, else the claim abstains. A passage is no support of the claim of its own id."""
-    s = claims.join(passages, keys).where(F.col("claim_id") != F.col("passage_id")).withColumn("score", F.round(support(F.col("claim"), F.col("passage")), 6))
-    best = margin(s, ["claim_id"], "score", F.col("passage_id"))
-    ok = (F.col("score") >= MIN_SCORE) & (F.col("margin") >= MIN_MARGIN)
-    return best.select("claim_id", "passage_id", "score", F.round("margin", 6).alias("margin"), ok.alias("bound"))
+def supported(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """C-6 for two tables: (claim_id, passage_id, score) of all pairs (of one key, if keys are given) that have any support, but for those of one id.
+
+    Pairs are found by the stems they share, an equi-join with counts, and where one holds the other verbatim; no pair
+    without a shared word is ever made.
+    """
+
+    def stems(df: DataFrame, name: str, text: str) -> DataFrame:
+        return df.select(*keys, name, lexical_set(F.col(text)).alias("_s")).select(*keys, name, F.size("_s").alias(f"_n_{name}"), F.explode("_s").alias("_stem"))
+
+    met = stems(claims, "claim_id", "claim").join(stems(passages, "passage_id", "passage"), [*keys, "_stem"]).where(F.col("claim_id") != F.col("passage_id"))
+    met = met.groupBy(*keys, "claim_id", "passage_id").agg(F.count("*").alias("_n"), F.first("_n_claim_id").alias("_a"), F.first("_n_passage_id").alias("_b")).where("_n >= 2")
+    out = met.select("claim_id", "passage_id", F.round(F.col("_n") / F.least("_a", "_b"), 6).alias("score"))
+
+    def within(a: DataFrame, a_id: str, a_text: str, b: DataFrame, b_id: str, b_text: str) -> DataFrame:
+        q = a.where(F.length(cite_key(F.col(a_text))) >= 12).select(F.col(a_id).alias("quote_id"), F.col(a_text).alias("quote"))
+        hits = quote_hits(q, b.select(F.col(b_id).alias("chunk_id"), F.lit(0).alias("document_id"), F.col(b_text).alias("content")), keyed=False)
+        hits = hits.select(F.col("quote_id").alias(a_id), F.col("chunk_id").alias(b_id)).where(F.col(a_id) != F.col(b_id))
+        return hits.join(a.select(*keys, a_id), a_id).join(b.select(*keys, b_id), [*keys, b_id]).select("claim_id", "passage_id") if keys else hits.select("claim_id", "passage_id")
+
+    one = ("claim_id", "claim"), ("passage_id", "passage")
+    whole = within(claims, *one[0], passages, *one[1]).unionByName(within(passages, *one[1], claims, *one[0]))
+    return out.unionByName(whole.withColumn("score", F.lit(1.0))).groupBy("claim_id", "passage_id").agg(F.max("score").alias("score"))
+
+
+def rebind(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """C-13, W-17: the best passage of each claim; ``bound`` if its support and lead suffice, else (or without any) the claim abstains. A passage is no support of the claim of its own id."""
+    best = margin(supported(claims, passages, keys), ["claim_id"], "score", F.col("passage_id"))
+    score, lead = F.coalesce("score", F.lit(0.0)), F.coalesce(F.round("margin", 6), F.lit(0.0))
+    return claims.select("claim_id").join(best, "claim_id", "left").select("claim_id", "passage_id", score.alias("score"), lead.alias("margin"), ((score >= MIN_SCORE) & (lead >= MIN_MARGIN)).alias("bound"))
 
 
 def support_tier(score: Column) -> Column:

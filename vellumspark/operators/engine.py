@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, cross_script, heading_level
+from ..functions.text import collapse, cross_script, heading_level, tokens
 from ..functions.vectors import cosine
+from ..sources.shared import written
 from . import chunking, relational, retrieval
 
 ROLES = ("brief", "exhibit", "decision", "statement", "contract", "correspondence", "other")
 
 
+def indexed(chunks: DataFrame) -> DataFrame:
+    """D-1: the written index of chunks that searches read: chunks with their folded ``tokens``. Lanes then read only the columns they need."""
+    return written(chunks.withColumn("tokens", tokens(retrieval.search_text(chunks))), "chunk-index")
+
+
 def in_scope(chunks: DataFrame, file_types=(), folders=(), documents=None, doc_roles=(), party_roles=()) -> DataFrame:
     """P-18, U-3: filters of a search; empty ones don't filter, unknown roles are left out. documents: a DataFrame of ids (J-6)."""
     if file_types:
@@ -37,9 +43,10 @@ def searchable(chunks: DataFrame, documents: DataFrame, index: DataFrame) -> Dat
 def search(chunks: DataFrame, query: str, limit: int = 8, vectors: DataFrame | None = None, query_vector: list[float] | None = None, group: bool = False, radius: int = 0, **filters) -> DataFrame:
     """R-1, X-3: keyword, substring, title and, with a query vector, vector lanes; fused, grouped by document if asked; the ordered terms if no lane finds anything; neighbours within radius.
 
-    Word statistics are those of all chunks, filters apply to the lanes' rows. Returns (document_id, chunk_id, chunk_index, score, reasons), or documents, or hits with neighbours.
+    Word statistics are those of all chunks, filters apply to the lanes' rows. Chunks that aren't an index yet (no ``tokens``) are written as one first. Returns (document_id, chunk_id, chunk_index, score, reasons), or documents, or hits with neighbours.
     """
     limit = max(1, min(200, limit))
+    chunks = chunks if "tokens" in chunks.columns else indexed(chunks)
     scoped = in_scope(chunks, **filters)
     ids = scoped.select("chunk_id")
     kw = retrieval.keyword_lane(chunks, query, limit, ids if filters else None)
@@ -70,6 +77,13 @@ def chunk_window(chunks: DataFrame, document_id, chunk_index: int, radius: int =
     return chunks.where((F.col("document_id") == document_id) & F.col("chunk_index").between(chunk_index - r, chunk_index + r))
 
 
+def chunk_windows(chunks: DataFrame, asked: DataFrame, radius: int = 1) -> DataFrame:
+    """R-11, P-23 for many documents at once: of each asked (document_id, at) the chunks up to five on each side, by an equi-join on the places."""
+    r = max(0, min(5, radius))
+    places = asked.select("document_id", F.explode(F.sequence(F.col("at") - r, F.col("at") + r)).alias("chunk_index")).distinct()
+    return chunks.join(places, ["document_id", "chunk_index"], "left_semi")
+
+
 def index_text(c: Column) -> Column:
     """F-12, without the Unicode form: line ends, trailing blanks, at most one empty line, trimmed."""
     x = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[ \t]+\n", "\n")
@@ -195,6 +209,13 @@ def pdf_lines(items: DataFrame, keys: list[str], tolerance: float = 0.5) -> Data
     return r.groupBy(*keys, "line_no").agg(collapse(F.array_join(F.transform(parts, lambda x: x["text"]), " ")).alias("text"), F.round(F.sum(F.col("height") * F.length("text")) / F.greatest(F.sum(F.length("text")), F.lit(1)), 6).alias("size"))
 
 
+def page_text(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """SRC-11: a document's text from its lines: pages in order, each after its ``[Page N]`` mark. lines: (.., page, line_no, text)."""
+    one = lines.groupBy(*keys, "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("_t"))
+    every = F.transform(F.array_sort(F.collect_list(F.struct("page", "_t"))), lambda x: F.concat(F.lit("[Page "), x["page"].cast("string"), F.lit("]\n"), x["_t"]))
+    return one.groupBy(*keys).agg(F.array_join(every, "\n\n").alias("text"))
+
+
 def viewer_outline(lines: DataFrame, keys: list[str]) -> DataFrame:
     """T-9: lines larger than their document's usual size, or that read as headings, ranked by size; those on many pages are left out. lines: (.., page, line_no, text, size)."""
     usual = lines.groupBy(*keys, F.round(F.col("size") * 2, 0).alias("_s")).agg(F.sum(F.length("text")).alias("_w"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, support
+from .citations import supported
 from .relational import first_per
 
 
@@ -19,11 +20,15 @@ def context(annotations: DataFrame, chunks: DataFrame, radius: int = 200, words:
     return best.select("id", "chunk_index", F.array_join(F.slice(F.split(collapse(text), " "), 1, words), " ").alias("context"))
 
 
-def candidates(claims: DataFrame, passages: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
-    """C-7, C-8: the n best passages of each claim, two points for its document and two for its page."""
-    s = claims.join(passages, keys)
-    points = support(F.col("claim"), F.col("passage")) + F.when(F.col("hint_doc").eqNullSafe(F.col("document_id")), 2.0).otherwise(0.0) + F.when(F.col("hint_page").eqNullSafe(F.col("page")), 2.0).otherwise(0.0)
-    return first_per(s.withColumn("points", F.round(points, 6)), ["claim_id"], F.desc("points"), F.col("passage_id"), n=n)
+def candidates(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = (), n: int = 3) -> DataFrame:
+    """C-7, C-8: the n best passages of each claim that have any points: its support, two points for its document and two for its page."""
+    c, p = claims.select(*keys, "claim_id", "hint_doc", "hint_page"), passages.select(*keys, "passage_id", "document_id", "page")
+    by_text = supported(claims, passages, keys)
+    by_doc = c.join(p.withColumn("hint_doc", F.col("document_id")), [*keys, "hint_doc"]).select("claim_id", "passage_id", F.lit(2.0).alias("score"))
+    by_page = c.join(p.withColumn("hint_page", F.col("page")), [*keys, "hint_page"]).select("claim_id", "passage_id", F.lit(2.0).alias("score"))
+    both = by_text.unionByName(by_doc).unionByName(by_page).where(F.col("claim_id") != F.col("passage_id"))
+    points = both.groupBy("claim_id", "passage_id").agg(F.round(F.sum("score"), 6).alias("points"))
+    return first_per(points, ["claim_id"], F.desc("points"), F.col("passage_id"), n=n)
 
 
 def apply_mapping(mapping: DataFrame, claims: DataFrame, passages: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def lacking(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """J-3, R-12: rows of left without a partner."""
@@ -53,9 +55,13 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], start: str = "start
     return met.where(F.col("_cell") == F.floor(F.greatest(f"a_{start}", f"b_{start}") / width)).drop("_cell")
 
 
-def grid(left: DataFrame, right: DataFrame) -> DataFrame:
-    """J-12: every row with every row; both sides are axes of a matrix that a person reads."""
-    return left.crossJoin(F.broadcast(right))
+def grid(left: DataFrame, right: DataFrame, bound: int = 100_000) -> DataFrame:
+    """J-12: every row with every row; both sides are axes of a matrix that a person reads. The side that is sent to all tasks has at most ``bound`` rows, which is checked."""
+    if right.limit(bound + 1).count() <= bound:
+        return left.crossJoin(F.broadcast(right))
+    if left.limit(bound + 1).count() <= bound:
+        return right.crossJoin(F.broadcast(left)).select(*left.columns, *right.columns)
+    raise ValueError(f"both axes of a grid have more than {bound} rows")
 
 
 def cell_changes(wanted: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -151,9 +157,9 @@ def even_sample(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame
     return df.withColumn("_k", (total <= n) | keep).where("_k").drop("_k")
 
 
-def groups_of(df: DataFrame, order: str, n: int) -> DataFrame:
-    """W-18: rows dealt into n groups in turn."""
-    return df.withColumn("grp", F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(n)))
+def groups_of(df: DataFrame, keys: list[str], order: str, n: int = 4) -> DataFrame:
+    """W-18: each key's rows dealt into n groups in turn."""
+    return df.withColumn("grp", F.pmod(F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1, F.lit(n)))
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
@@ -170,15 +176,22 @@ def overlap_ratio(a: Column, b: Column, of: str = "max") -> Column:
     return F.when(n <= 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
-def tree_paths(nodes: DataFrame, id_col: str, parent: str, name: str, depth: int = 64, sep: str = "/") -> DataFrame:
-    """T-23: the path of every node. Parents are joined level by level; cycles and orphans have no path. depth guards the loop."""
-    spark = nodes.sparkSession
-    now = nodes.where(F.col(parent).isNull()).select(F.col(id_col), F.col(name).alias("path"), F.lit(1).alias("depth"))
-    out = now
+def tree_paths(nodes: DataFrame, id_col: str, parent: str, name: str, sep: str = "/") -> DataFrame:
+    """T-23: the path of every node. Parents are joined level by level, each level written once, until none is left; cycles and orphans have no path.
+
+    A node has one parent, so no level repeats a node; ids that stand twice could, which is an error.
+    """
+    now = written(nodes.where(F.col(parent).isNull()).select(F.col(id_col), F.col(name).alias("path"), F.lit(1).alias("depth")), "tree-level")
+    out, level, most, reached = now, 1, nodes.count(), now.count()
     child = nodes.select(F.col(id_col).alias("_id"), F.col(parent).alias("_p"), F.col(name).alias("_n"))
-    for level in range(2, depth + 1):
-        now = child.join(now, F.col("_p") == F.col(id_col)).select(F.col("_id").alias(id_col), F.concat("path", F.lit(sep), "_n").alias("path"), F.lit(level).alias("depth"))
-        if now.isEmpty():
-            break
+    while True:
+        level += 1
+        met = child.join(now, F.col("_p") == F.col(id_col)).select(F.col("_id").alias(id_col), F.concat("path", F.lit(sep), "_n").alias("path"), F.lit(level).alias("depth"))
+        now = written(met, "tree-level")
+        n = now.count()
+        if not n:
+            return out
+        reached += n
+        if reached > most:
+            raise ValueError("an id stands more than once")
         out = out.unionByName(now)
-    return out

@@ -32,22 +32,24 @@ def _begins(term: str):
 
 
 def keyword_lane(chunks: DataFrame, query: str, limit: int = 8, scope: DataFrame | None = None) -> DataFrame:
-    """R-2, F-3, F-11, S-3: chunks with a token beginning with each term, by BM25 (less is better); statistics over all chunks, hits only those of scope (chunk_id) if given."""
+    """R-2, F-3, F-11, S-3: (document_id, chunk_id, chunk_index, score): chunks with a token beginning with each term, by BM25 (less is better); statistics over all chunks, hits only those of scope (chunk_id) if given.
+
+    Only ids and token counts are kept of a chunk. Chunks with a ``tokens`` column (a written index) aren't tokenised again.
+    """
     terms = query_terms(query)
-    tk = chunks.withColumn("_tk", tokens(search_text(chunks)))
-    counts = [F.size(F.filter("_tk", _begins(t))) for t in terms]
-    tk = tk.withColumns({f"_f{i}": c for i, c in enumerate(counts)} | {"_len": F.size("_tk")}).drop("_tk")
-    stats = tk.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms))]).first()
+    tk = chunks.select("document_id", "chunk_id", "chunk_index", (F.col("tokens") if "tokens" in chunks.columns else tokens(search_text(chunks))).alias("_tk"))
+    hits = tk.withColumns({f"_f{i}": F.size(F.filter("_tk", _begins(t))) for i, t in enumerate(terms)} | {"_len": F.size("_tk")}).drop("_tk")
+    stats = hits.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms))]).first()
     if not terms or not stats.n:
-        return tk.where("false").withColumn("score", F.lit(0.0)).drop("_len")
+        return hits.where("false").select("document_id", "chunk_id", "chunk_index", F.lit(0.0).alias("score"))
     idf = [F.log((F.lit(float(stats.n)) - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5)) for i in range(len(terms))]
     idf = [F.when(x <= 0, 1e-6).otherwise(x) for x in idf]
     length = K1 * (1 - B + B * F.col("_len") / float(stats.avg or 1))
     score = reduce(lambda a, b: a + b, [w * F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + length) for i, w in enumerate(idf)])
-    hits = tk.where(reduce(lambda a, b: a & b, [F.col(f"_f{i}") > 0 for i in range(len(terms))])).withColumn("score", F.round(-score, 6))
+    hits = hits.where(reduce(lambda a, b: a & b, [F.col(f"_f{i}") > 0 for i in range(len(terms))])).withColumn("score", F.round(-score, 6))
     if scope is not None:
         hits = hits.join(scope.select("chunk_id"), "chunk_id", "left_semi")
-    return hits.drop("_len", *[f"_f{i}" for i in range(len(terms))]).orderBy("score", "chunk_id").limit(candidate_limit(limit))
+    return hits.select("document_id", "chunk_id", "chunk_index", "score").orderBy("score", "chunk_id").limit(candidate_limit(limit))
 
 
 def substring_lane(chunks: DataFrame, query: str, limit: int = 8) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import cell
+from .relational import first_per
 
 
 def chunk_problems(chunks: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def pack_batches(chunks: DataFrame, max_chars: int = 52_000, max_pages: int = 32
 
     The choice of each batch depends on the one before, so a document is packed in one task; only lengths and pages go there.
     """
-    schema = "document_id long, chunk_index int, batch int"
+    schema = f"document_id {dict(chunks.dtypes)['document_id']}, chunk_index int, batch int"
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk_index", kind="stable")
@@ -109,6 +110,12 @@ def located(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["start", "end"]).astype("Int32")
 
 
+def most_recent(results: DataFrame, keys: list[str], n: int = 8, key: str = "key", used: str = "used") -> DataFrame:
+    """M-10: what a cache of the n most recently used keys holds: of each key its last result."""
+    last = first_per(results, [*keys, key], F.desc(used))
+    return first_per(last, keys, F.desc(used), n=n)
+
+
 # --- matrices
 
 

@@ -138,7 +138,7 @@ kw AS (
 
 @query("search_keyword_bm25", f"WITH {CHUNKS}, {_BM25} SELECT document_id, chunk_id, score FROM kw")
 def _(s, d):
-    return rt.keyword_lane(tb.chunks(s, d), QUERY).select("document_id", "chunk_id", "score")
+    return rt.keyword_lane(en.indexed(tb.chunks(s, d)), QUERY).select("document_id", "chunk_id", "score")
 
 
 _SUB = f"sub AS (SELECT *, -((length(content) - length(replace(lower(content), '{PHRASE}', ''))) / {len(PHRASE)}.0)::DOUBLE AS score FROM cid WHERE contains(lower(content), '{PHRASE}') ORDER BY score, document_id, chunk_index LIMIT 64)"
@@ -190,7 +190,7 @@ fused AS (
 
 
 def _fused(s, d, limit):
-    c = tb.chunks(s, d)
+    c = en.indexed(tb.chunks(s, d))
     kw, sub = rt.keyword_lane(c, QUERY), rt.substring_lane(c, PHRASE)
     lanes = [rt.ranked(kw, "keyword", 1, F.col("score"), F.col("chunk_id")), rt.ranked(sub, "substring", 2, F.col("score"), F.col("document_id"), F.col("chunk_index"))]
     return rt.fuse(lanes, c, QUERY, limit)
@@ -223,20 +223,21 @@ n AS (SELECT c.document_id, c.chunk_index, c.chunk_id, h.chunk_index AS match_in
 SELECT document_id, chunk_index, chunk_id, match_index, chunk_index <> match_index AS is_neighbor FROM n WHERE k = 1""",
 )
 def _(s, d):
-    c = tb.chunks(s, d)
+    c = en.indexed(tb.chunks(s, d))
     kw = rt.keyword_lane(c, QUERY)
     hits = kw.select("document_id", "chunk_index", F.row_number().over(Window.orderBy("score", "chunk_id")).alias("rank"))
     return rl.neighbours(c, hits).select("document_id", "chunk_index", "chunk_id", "match_index", "is_neighbor")
 
 
-@query("read_chunk_window", f"WITH {CHUNKS} SELECT document_id, chunk_index, content FROM cid WHERE document_id % 10 = 0 AND chunk_index BETWEEN 1 AND 3")
+@query("read_chunk_window", f"WITH {CHUNKS}, top AS (SELECT document_id, max(chunk_index) AS m FROM cid GROUP BY document_id) SELECT c.document_id, c.chunk_index, c.content FROM cid c JOIN top t ON c.document_id = t.document_id AND c.chunk_index BETWEEN t.m - 5 AND t.m + 5")
 def _(s, d):
-    return tb.chunks(s, d).where((F.col("document_id") % 10 == 0) & F.col("chunk_index").between(1, 3)).select("document_id", "chunk_index", "content")
+    c = tb.chunks(s, d)
+    return en.chunk_windows(c, c.groupBy("document_id").agg(F.max("chunk_index").alias("at")), 9).select("document_id", "chunk_index", "content")
 
 
 @query("search_basic_fallback", f"WITH {CHUNKS} SELECT document_id, chunk_index FROM cid WHERE regexp_matches(lower(content), '(?s)of.*the.*ed') ORDER BY document_id, chunk_index LIMIT 30")
 def _(s, d):
-    c = tb.chunks(s, d)
+    c = en.indexed(tb.chunks(s, d))
     return rt.with_fallback(rt.keyword_lane(c, "zzzz qqqq"), rt.basic_lane(c, "of the ed", 30)).select("document_id", "chunk_index")
 
 
@@ -254,14 +255,15 @@ def _(s, d):
 
 
 _COS = "list_sum(list_transform(list_zip(e.embedding, q.v), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.v, lambda x: x::DOUBLE * x::DOUBLE))))"
-_RERANK = f"""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), h AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings WHERE vec_id BETWEEN 1 AND 40),
+_RERANK = f"""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), h AS (SELECT e.*, k.rank FROM (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT vec_id, round({_DOT}, 6) AS score FROM embeddings e, q ORDER BY score DESC, vec_id LIMIT 64)) k JOIN embeddings e USING (vec_id)),
 r AS (SELECT e.vec_id, e.rank, round({{0}}, 6) AS new_score FROM h e, q)
 SELECT vec_id, rank::INT AS rank, new_score, (row_number() OVER (ORDER BY new_score DESC, rank))::INT AS new_rank FROM r"""
 
 
 def _rerank(s, d, blend):
-    h = T(s, d, "embeddings").where("vec_id BETWEEN 1 AND 40").withColumn("rank", F.row_number().over(Window.orderBy("vec_id")))
-    return rt.rerank(h, _query_vector(s, d), blend=blend).select("vec_id", "rank", "new_score", "new_rank")
+    e, q = T(s, d, "embeddings"), _query_vector(s, d)
+    top = rt.semantic_lane(e, q, id_col="vec_id").select("vec_id", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).alias("rank"))  # a candidate limit of rows
+    return rt.rerank(e.join(F.broadcast(top), "vec_id"), q, blend=blend).select("vec_id", "rank", "new_score", "new_rank")
 
 
 query("rerank_cosine", _RERANK.format(_COS))(lambda s, d: _rerank(s, d, False))
@@ -491,11 +493,11 @@ def _(s, d):
 
 @query(
     "span_overlaps",
-    """WITH o AS (SELECT o_custkey, o_orderkey, epoch(o_orderdate)::BIGINT // 86400 AS s FROM orders WHERE o_custkey % 5 = 0)
+    """WITH o AS (SELECT o_custkey, o_orderkey, epoch(o_orderdate)::BIGINT // 86400 AS s FROM orders)
 SELECT a.o_custkey, a.o_orderkey AS a_o_orderkey, b.o_orderkey AS b_o_orderkey FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.s < b.s + 30 AND b.s < a.s + 30""",
 )
 def _(s, d):
-    o = T(s, d, "orders").where("o_custkey % 5 = 0").select("o_custkey", "o_orderkey", F.floor(F.unix_timestamp("o_orderdate") / 86400).alias("start")).withColumn("end", F.col("start") + 30)
+    o = T(s, d, "orders").select("o_custkey", "o_orderkey", F.floor(F.unix_timestamp("o_orderdate") / 86400).alias("start")).withColumn("end", F.col("start") + 30)
     return rl.overlapping(o, o, ["o_custkey"], width=64).select("o_custkey", "a_o_orderkey", "b_o_orderkey")
 
 
@@ -614,39 +616,37 @@ def _set_sql(c: str) -> str:
 _SUPPORT = f"""
 b AS (SELECT item_id, text, {_set_sql("text")} AS s, {_KEY.format("text")} AS k FROM benchmark),
 sc AS (SELECT x.item_id AS claim_id, y.item_id AS passage_id, CASE WHEN length(x.k) >= 12 AND (contains(y.k, x.k) OR contains(x.k, y.k)) THEN 1.0 WHEN least(len(x.s), len(y.s)) = 0 OR len(list_intersect(x.s, y.s)) < 2 THEN 0.0
-  ELSE len(list_intersect(x.s, y.s)) / least(len(x.s), len(y.s))::DOUBLE END AS score FROM b x JOIN b y ON x.item_id % 8 = y.item_id % 8 AND x.item_id <> y.item_id)
+  ELSE len(list_intersect(x.s, y.s)) / least(len(x.s), len(y.s))::DOUBLE END AS score FROM b x JOIN b y ON x.item_id <> y.item_id)
 """
 
 
 def _claims(s, d):
-    b = T(s, d, "benchmark").withColumn("g", F.col("item_id") % 8)
-    return b.select("g", F.col("item_id").alias("claim_id"), F.col("text").alias("claim")), b.select("g", F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
+    b = T(s, d, "benchmark")
+    return b.select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim")), b.select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
 
 
-@query("lexical_support", f"WITH {_SUPPORT} SELECT claim_id, passage_id, round(score, 6)::DOUBLE AS score FROM sc")
+@query("lexical_support", f"WITH {_SUPPORT} SELECT claim_id, passage_id, round(score, 6)::DOUBLE AS score FROM sc WHERE score > 0")
 def _(s, d):
-    c, p = _claims(s, d)
-    return c.join(p, "g").where("claim_id <> passage_id").select("claim_id", "passage_id", F.round(tx.support(F.col("claim"), F.col("passage")), 6).alias("score"))
+    return ct.supported(*_claims(s, d))
 
 
 @query(
     "rebind_margin",
-    f"""WITH {_SUPPORT}, r AS (SELECT claim_id, passage_id, round(score, 6) AS score FROM sc),
+    f"""WITH {_SUPPORT}, r AS (SELECT claim_id, passage_id, round(score, 6) AS score FROM sc WHERE score > 0),
 m AS (SELECT *, score - coalesce(lead(score) OVER (PARTITION BY claim_id ORDER BY score DESC, passage_id), 0) AS margin, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, passage_id) AS k FROM r)
-SELECT claim_id, passage_id, score::DOUBLE AS score, round(margin, 6)::DOUBLE AS margin, score >= 0.3 AND margin >= 0.05 AS bound FROM m WHERE k = 1""",
+SELECT item_id AS claim_id, passage_id, coalesce(score, 0)::DOUBLE AS score, coalesce(round(margin, 6), 0)::DOUBLE AS margin, coalesce(score >= 0.3 AND round(margin, 6) >= 0.05, false) AS bound FROM benchmark LEFT JOIN m ON claim_id = item_id AND k = 1""",
 )
 def _(s, d):
-    c, p = _claims(s, d)
-    return ct.rebind(c, p, ["g"])
+    return ct.rebind(*_claims(s, d))
 
 
-_MARKED = "SELECT conv_id AS id, concat(text, ' [', turn, '] and [', turn, ', ', turn + 2, ']') AS text FROM conversations WHERE turn < 3"
+_MARKED = "SELECT conv_id AS id, concat(text, ' [', turn, '] and [', turn, ', ', turn + 2, ']') AS text FROM conversations"
 _CITES = "SELECT conv_id AS id, turn AS ref, conv_id AS document_id FROM conversations UNION ALL SELECT conv_id, turn, conv_id FROM conversations WHERE turn = 1 AND conv_id % 3 = 0"
 _MARKS = rf"marks AS (SELECT id, (u - 1)::INT AS position, r[u]::INT AS ref FROM (SELECT id, r, unnest(range(1, len(r) + 1)) AS u FROM (SELECT id, flatten(list_transform(regexp_extract_all(text, '\[([0-9]+(?:, *[0-9]+)*)\]', 1), lambda g: regexp_split_to_array(g, ', *'))) AS r FROM ({_MARKED}))))"
 
 
 def _marked(s, d):
-    c = T(s, d, "conversations").where("turn < 3")
+    c = T(s, d, "conversations")
     return ct.markers(c.select(F.col("conv_id").alias("id"), F.concat("text", F.lit(" ["), "turn", F.lit("] and ["), "turn", F.lit(", "), F.col("turn") + 2, F.lit("]")).alias("text")), "id", "text")
 
 
@@ -706,10 +706,10 @@ def _(s, d):
     return c.select("chunk_id", sm.located("content", q).alias("p")).select("chunk_id", "p.start", "p.end")
 
 
-query("cells_cross", "SELECT c_custkey, s.seg FROM (SELECT c_custkey FROM customer WHERE c_custkey <= 50), (SELECT DISTINCT c_mktsegment AS seg FROM customer) s")(
-    lambda s, d: rl.grid(T(s, d, "customer").where("c_custkey <= 50").select("c_custkey"), T(s, d, "customer").select(F.col("c_mktsegment").alias("seg")).distinct())
+query("cells_cross", "SELECT c_custkey, s.seg FROM (SELECT c_custkey FROM customer), (SELECT DISTINCT c_mktsegment AS seg FROM customer) s")(
+    lambda s, d: rl.grid(T(s, d, "customer").select("c_custkey"), T(s, d, "customer").select(F.col("c_mktsegment").alias("seg")).distinct())
 )
-query("cells_missing", "SELECT c_custkey, s.seg FROM (SELECT c_custkey FROM customer WHERE c_custkey <= 50), (SELECT DISTINCT c_mktsegment AS seg FROM customer) s EXCEPT SELECT c_custkey, c_mktsegment FROM customer")(
+query("cells_missing", "SELECT c_custkey, s.seg FROM (SELECT c_custkey FROM customer), (SELECT DISTINCT c_mktsegment AS seg FROM customer) s EXCEPT SELECT c_custkey, c_mktsegment FROM customer")(
     lambda s, d: rl.lacking(QUERIES["cells_cross"](s, d), T(s, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg")), ["c_custkey", "seg"])
 )
 
@@ -787,11 +787,11 @@ CASE WHEN n LIKE '%claimant%' THEN 'claimant' WHEN n LIKE '%respondent%' THEN 'r
 @query(
     "selected_scope",
     """SELECT n_name AS label, document_id, CASE WHEN document_id IS NULL THEN 'unknown' WHEN document_id % 2 = 0 THEN 'ok' ELSE 'out-of-scope' END AS status
-FROM (SELECT n_name, n_nationkey FROM nation UNION ALL SELECT 'NOWHERE', NULL) n LEFT JOIN (SELECT c_custkey AS document_id, c_custkey FROM customer WHERE c_custkey < 20) c ON c.c_custkey = n.n_nationkey""",
+FROM (SELECT n_name, n_nationkey FROM nation UNION ALL SELECT 'NOWHERE', NULL) n LEFT JOIN (SELECT c_custkey AS document_id, c_custkey FROM customer) c ON c.c_custkey = n.n_nationkey""",
 )
 def _(s, d):
     names = T(s, d, "nation").select(F.col("n_name").alias("label"), F.col("n_nationkey").cast("long").alias("document_id"))
-    docs = names.join(T(s, d, "customer").where("c_custkey < 20").select(F.col("c_custkey").alias("document_id")), "document_id", "left_semi").withColumnRenamed("label", "filename")
+    docs = names.join(T(s, d, "customer").select(F.col("c_custkey").alias("document_id")), "document_id", "left_semi").withColumnRenamed("label", "filename")
     asked = names.select("label").unionByName(s.sql("SELECT 'NOWHERE' AS label"))
     return ws.scope(asked, docs.where("document_id % 2 = 0"), docs)
 
@@ -939,15 +939,13 @@ def _(s, d):
 
 @query(
     "quote_candidates",
-    f"""WITH {_SUPPORT}, r AS (SELECT claim_id, passage_id, round(score + CASE WHEN passage_id % 16 = claim_id % 16 THEN 2 ELSE 0 END + CASE WHEN passage_id > claim_id THEN 2 ELSE 0 END, 6)::DOUBLE AS points FROM sc)
-SELECT claim_id, passage_id, points FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY points DESC, passage_id) AS k FROM r) WHERE k <= 3""",
+    f"""WITH {_SUPPORT}, r AS (SELECT claim_id, passage_id, round(round(score, 6) + CASE WHEN passage_id % 16 = claim_id % 16 THEN 2 ELSE 0 END + CASE WHEN passage_id % 5 = claim_id % 5 THEN 2 ELSE 0 END, 6)::DOUBLE AS points FROM sc)
+SELECT claim_id, passage_id, points FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY points DESC, passage_id) AS k FROM r WHERE points > 0) WHERE k <= 3""",
 )
 def _(s, d):
     c, p = _claims(s, d)
-    c = c.withColumn("hint_doc", F.col("claim_id") % 16).withColumn("hint_page", F.lit(1))
-    j = c.join(p.select("g", "passage_id"), "g").where("claim_id <> passage_id").withColumn("hint_page", F.col("passage_id") > F.col("claim_id"))
-    facts = p.select("passage_id", "passage", (F.col("passage_id") % 16).alias("document_id"), F.lit(True).alias("page"))
-    return ev.candidates(j, facts, ["passage_id"]).select("claim_id", "passage_id", "points")
+    c = c.withColumn("hint_doc", F.col("claim_id") % 16).withColumn("hint_page", F.col("claim_id") % 5)
+    return ev.candidates(c, p.withColumn("document_id", F.col("passage_id") % 16).withColumn("page", F.col("passage_id") % 5))
 
 
 @query(
@@ -1012,7 +1010,7 @@ query("effective_setting", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 =
 
 @query(
     "search_filtered",
-    f"""WITH {CHUNKS}, {_BM25.replace("LIMIT 64", "LIMIT 200")}, k2 AS (SELECT * FROM kw WHERE project_id = 'en' AND split_part(filename, '_', 1) IN ('src0', 'src1', 'src2') ORDER BY score, chunk_id LIMIT 160),
+    f"""WITH {CHUNKS}, {_BM25.replace("LIMIT 64", "")}, k2 AS (SELECT * FROM kw WHERE project_id = 'en' AND split_part(filename, '_', 1) IN ('src0', 'src1', 'src2') ORDER BY score, chunk_id LIMIT 160),
 sc AS (SELECT * FROM cid WHERE project_id = 'en' AND split_part(filename, '_', 1) IN ('src0', 'src1', 'src2')),
 l AS (SELECT chunk_id, row_number() OVER (ORDER BY score, chunk_id) AS r, 'keyword' AS lane, 1 AS no FROM k2
   UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY -((length(content) - length(replace(lower(content), '{QUERY}', ''))) / {len(QUERY)}.0), document_id, chunk_index), 'substring', 2 FROM sc WHERE contains(lower(content), '{QUERY}')),
@@ -1133,12 +1131,12 @@ for _name, _sql in {
 
 @query(
     "ext_asof_join",
-    "SELECT e.event_id, e.ts, max(o.o_orderkey) AS o_orderkey FROM (SELECT event_id, ts, user_id FROM events WHERE event_id % 10 = 0) e LEFT JOIN (SELECT event_id AS o_orderkey, ts AS t, user_id AS u FROM events WHERE event_id % 10 = 5) o ON o.u = e.user_id AND o.t <= e.ts AND NOT EXISTS (SELECT 1 FROM events z WHERE z.event_id % 10 = 5 AND z.user_id = e.user_id AND z.ts <= e.ts AND z.ts > o.t) GROUP BY e.event_id, e.ts",
+    "SELECT e.event_id, e.ts, m.o_orderkey FROM events e ASOF LEFT JOIN (SELECT user_id, ts AS t, max(event_id) AS o_orderkey FROM events WHERE event_type = 'purchase' GROUP BY ALL) m ON m.user_id = e.user_id AND m.t <= e.ts",
 )
 def _(s, d):
     e = T(s, d, "events")
-    marks = e.where("event_id % 10 = 5").groupBy("user_id", F.col("ts").alias("t")).agg(F.max("event_id").alias("o_orderkey"))
-    return rl.latest_before(e.where("event_id % 10 = 0").select("event_id", "ts", "user_id"), marks, ["user_id"], "ts", "t", "o_orderkey").select("event_id", "ts", "o_orderkey")
+    marks = e.where("event_type = 'purchase'").groupBy("user_id", F.col("ts").alias("t")).agg(F.max("event_id").alias("o_orderkey"))
+    return rl.latest_before(e.select("event_id", "ts", "user_id"), marks, ["user_id"], "ts", "t", "o_orderkey").select("event_id", "ts", "o_orderkey")
 
 
 @query("ext_sessions")

@@ -66,8 +66,14 @@ def docx(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else docx_text(bytes(b)))
 
 
+def index_source(documents: DataFrame, path: str = "path", pdf: str = "pdf_path") -> DataFrame:
+    """SRC-9: the file that is indexed: of DOC and DOCX the PDF rendition where there is one, else the file itself."""
+    office = F.lower(F.substring_index(path, ".", -1)).isin("doc", "docx")
+    return documents.withColumn("source_path", F.when(office & F.col(pdf).isNotNull(), F.col(pdf)).otherwise(F.col(path)))
+
+
 def read_texts(files: DataFrame) -> DataFrame:
-    """SRC-9..SRC-12: files of scan(content=True) with text: TXT and MD decoded, DOCX by paragraphs; others are null (their text is an input elsewhere)."""
+    """SRC-10, SRC-12: files of scan(content=True) with text: TXT and MD decoded, DOCX by paragraphs; others are null (their text is an input elsewhere)."""
     text = F.when(F.col("file_type").isin("txt", "md"), F.decode("content", "UTF-8")).when(F.col("file_type") == "docx", docx("content"))
     return files.withColumn("text", text).drop("content")
 

@@ -21,8 +21,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The chunks of all documents with their file names."""
-    d = documents(spark, folder)
-    return chunk_words(d.select(F.col("document_id").alias("doc_id"), F.col("content").alias("text"))).join(d.select("document_id", "filename", "project_id", "folder"), "document_id")
+    return chunk_words(documents(spark, folder), "document_id", "content", keep=("filename", "project_id", "folder"))
 
 
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,3 +39,15 @@ def annotations(spark: SparkSession, folder: str) -> DataFrame:
 def project_of(spark: SparkSession, folder: str, document_id: int) -> DataFrame:
     """SRC-4: the project that holds a document."""
     return documents(spark, folder).where(F.col("document_id") == document_id).select("project_id").limit(1)
+
+
+def migrate(rows: DataFrame, path: str, project: str = "project_id") -> None:
+    """SRC-18: the rows of all projects copied into a folder for each; never over an existing copy."""
+    rows.write.mode("errorifexists").partitionBy(project).parquet(path)
+
+
+def pending_migrations(files: DataFrame, applied: DataFrame, name: str = "name") -> DataFrame:
+    """CAT-1: (name, number, status) of migration files that aren't applied yet: ``001_words.sql``, by number; others are misnamed, which the caller should treat as a failure."""
+    number = F.regexp_extract(name, r"^([0-9]{3})_[a-z0-9_]+\.sql$", 1)
+    left = files.join(applied.select(name), name, "left_anti")
+    return left.select(name, F.when(number != "", number.cast("int")).alias("number"), F.when(number != "", "pending").otherwise("misnamed").alias("status")).orderBy("number", name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,12 @@ class Watcher:
             return None
         self.state[key] = now
         return now
+
+
+def transitions(polls: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """ST-8 over a table of polled counts (pending, ready, error): the rows at which a queue's state changes, as Watcher tells them; nothing before the first wait."""
+    state = F.when(F.col("pending") > 0, "waiting").when(F.col("error") > 0, "error").when(F.col("ready") > 0, "complete")
+    w = Window.partitionBy(*keys).orderBy(order)
+    p = polls.withColumn("state", state).where("state IS NOT NULL")
+    p = p.withColumn("_began", F.max((F.col("state") == "waiting").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_began = 1")
+    return p.withColumn("_was", F.lag("state").over(w)).where(~F.col("state").eqNullSafe(F.col("_was"))).drop("_began", "_was")
