@@ -318,10 +318,10 @@ SELECT chunk_id, CASE WHEN one THEN strpos(content, q) - 1 END::INT AS start, CA
 # --- citations and summaries
 
 
-@query("recovered_quotes", "SELECT id, quote, document_id FROM (SELECT p_partkey AS id, concat('part number ', p_partkey, ' alone stands here') AS quote, p_partkey AS document_id FROM part WHERE p_partkey % 3 <> 2)")
+@query("recovered_quotes", "SELECT id, quote, document_id FROM (SELECT p_partkey AS id, concat('part number', p_partkey, ' alone stands here') AS quote, p_partkey AS document_id FROM part WHERE p_partkey % 3 <> 2)")
 def _(s, d):
     p = T(s, d, "part")
-    text = F.concat(F.lit("part number "), "p_partkey", F.lit(" alone stands here"))
+    text = F.concat(F.lit("part number"), "p_partkey", F.lit(" alone stands here"))
     answers = p.select(F.col("p_partkey").alias("id"), F.concat(F.when(F.col("p_partkey") % 3 == 2, 'It says "shared by all of them" and "too short".').otherwise(F.concat(F.lit('It says “'), text, F.lit('” and "no text has these words".')))).alias("answer"))
     chunks = p.select(F.col("p_partkey").alias("document_id"), F.concat(F.lit("c"), "p_partkey").alias("chunk_id"), F.concat(F.lit("Begin. "), F.initcap(text), F.lit(", shared by all of them.")).alias("content"))
     return ct.quoted_recovery(answers, chunks, "id", "answer")
