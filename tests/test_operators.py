@@ -1,6 +1,7 @@
 """Operators without SQL, and the cases at their edges."""
 
 import io
+import os
 import zipfile
 
 import pytest
@@ -262,3 +263,70 @@ def test_filters_apply_before_the_keyword_limit(spark):
     chunks = spark.createDataFrame(data + [(5000 + i, f"e{i:04d}", 0, "none here", "c.en", "big", None, None) for i in range(600)], "document_id long, chunk_id string, chunk_index int, content string, filename string, folder string, doc_role string, party_role string")
     got = en.search(chunks, "word", 10, folders=("small",)).collect()
     assert {r.chunk_id for r in got} == {f"d{i}" for i in range(5)} and all("keyword" in r.reasons for r in got)
+
+
+def test_places_of_quotes():
+    text = "One  two\nthree four. Five six seven one two"
+    assert sm.locate_quote(text, "three four") == (9, 19)
+    assert sm.locate_quote(text, "two three") == (5, 14) and sm.locate_quote(text, "two") is None
+    assert sm.locate_quote(text, "zero three four. Five nine") == (9, 25)
+    assert sm.locate_quote(text, "nothing of it here") is None and sm.locate_quote("", "a") is None and sm.locate_quote("a", "  ") is None
+
+
+def test_chunks_of_long_texts(spark):
+    words = [f"w{i}" * (i % 3 + 1) for i in range(5000)]
+    df = spark.createDataFrame([(1, " ".join(words), "a"), (2, "one", "b"), (3, None, "c"), (4, " ", "d")], "doc_id long, text string, own string")
+    got = [r for r in ch.chunk_words(df, keep=("own",)).orderBy("document_id", "chunk_index").collect()]
+    line = " ".join(words)
+    assert [r.document_id for r in got] == [1] * 11 + [2] and got[-1].own == "b"
+    for r in got[:-1]:
+        assert r.content == line[r.start_char : r.end_char] and r.content.split()[0] == words[r.chunk_index * 450] and r.token_count == min(600, 5000 - r.chunk_index * 450)
+
+
+def test_grid_needs_a_bounded_side(spark):
+    a, b = spark.range(5).toDF("a"), spark.range(4).toDF("b")
+    assert rl.grid(a, b).count() == 20 and rl.grid(b, a, bound=4).columns == ["b", "a"]
+    with pytest.raises(ValueError):
+        rl.grid(a, b, bound=3)
+
+
+def test_deep_trees(spark):
+    n = spark.createDataFrame([(str(i), str(i - 1) if i else None, str(i)) for i in range(12)] + [("x", "y", "X"), ("y", "x", "Y")], "id string, parent string, name string")
+    got = {r.id: r.depth for r in rl.tree_paths(n, "id", "parent", "name").collect()}
+    assert got == {str(i): i + 1 for i in range(12)}
+    with pytest.raises(ValueError):
+        rl.tree_paths(n.union(n.where("id = '5'")), "id", "parent", "name")
+
+
+def test_supported_pairs_within_keys(spark):
+    claims = spark.createDataFrame([(1, "a", "red houses stand near rivers"), (2, "a", "tall of it"), (3, "b", "red houses stand near rivers")], "claim_id long, answer string, claim string")
+    passages = spark.createDataFrame([(10, "a", "Rivers and red houses"), (11, "b", "houses, rivers"), (12, "a", "xred houses stand near riversx"), (13, "a", None)], "passage_id long, answer string, passage string")
+    got = {(r.claim_id, r.passage_id): r.score for r in ct.supported(claims, passages, ("answer",)).collect()}
+    assert got == {(1, 10): 1.0, (1, 12): 1.0, (3, 11): 1.0}
+    assert {r.claim_id: (r.passage_id, r.bound) for r in ct.rebind(claims, passages, ("answer",)).collect()} == {1: (10, False), 2: (None, False), 3: (11, True)}
+
+
+def test_short_quotes_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ct, "SHORT", 2)
+    quotes = spark.createDataFrame([(i, q) for i, q in enumerate(["one", "two words", "gone", "ne tw", "", None])], "quote_id int, quote string")
+    chunks = spark.createDataFrame([(1, "c", "One two words"), (2, "d", "none")], "document_id int, chunk_id string, content string")
+    assert {(r.quote_id, r.chunk_id) for r in ct.quote_hits(quotes, chunks, keyed=False).collect()} == {(0, "c"), (0, "d"), (1, "c"), (3, "c")}
+
+
+def test_shared_folder_is_asked_for_on_clusters(spark, monkeypatch):
+    from vellumspark.sources import shared
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Fake)
+    with shared.Scratch() as scratch:
+        kept, gone = scratch.keep(shared.written(spark.range(3), "kept")), shared.written(spark.range(3), "gone")
+        path = gone.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        assert os.path.isdir(path)
+    assert kept.count() == 3 and not os.path.isdir(path)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,24 +87,29 @@ def reduce_problems(points: DataFrame, evidence: DataFrame, batches: DataFrame)
 
 
 def locate_quote(text: str, quote: str) -> tuple[int, int] | None:
-    """M-3: the only place of a quote: exact, then without regard to white space, then by its longest run of words (3 or all)."""
-    import re
-
+    """M-3: the only place of a quote: exact, then without regard to white space, then by its longest run of words (3 or all; at most 25)."""
     if not quote or not text:
         return None
-    for pattern in (re.escape(quote), r"\s+".join(map(re.escape, quote.split()))):
-        if pattern:
-            found = [m.span() for m in re.finditer(pattern, text)]
-            if len(found) == 1:
-                return found[0]
-            if found:
-                return None
+    if (at := text.find(quote)) >= 0:
+        return (at, at + len(quote)) if text.find(quote, at + len(quote)) < 0 else None
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    line = " ".join(text[a:b] for a, b in spans)
+    begins = list(accumulate((b - a + 1 for a, b in spans), initial=0))
+
+    def place(i: int) -> int:
+        k = bisect_right(begins, i) - 1
+        return spans[k][0] + i - begins[k]
+
+    def only(run: str) -> tuple[int, int] | None:
+        return (place(at := line.find(run)), place(at + len(run) - 1) + 1) if line.count(run) == 1 else None
+
     w = quote.split()
+    if not w or line.count(whole := " ".join(w)):
+        return only(whole) if w else None
     for n in range(min(25, len(w)), min(3, len(w)) - 1, -1):
         for i in range(len(w) - n + 1):
-            found = [m.span() for m in re.finditer(r"\s+".join(map(re.escape, w[i : i + n])), text)]
-            if len(found) == 1:
-                return found[0]
+            if found := only(" ".join(w[i : i + n])):
+                return found
     return None
 
 
