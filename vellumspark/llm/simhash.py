@@ -9,9 +9,11 @@ dynamic programme picks the t_i (-1: a partition isn't probed) and the number of
 they are estimated to cost. Each fingerprint is filed under its value in each partition, probes all values within t_i,
 and candidates are verified on all bits.
 
-Sizes. Equal fingerprints are one node. Values with at most SMALL members are compared by a join that gives only
-verified links; larger ones are cut into blocks, each pair of blocks is compared in a task of bounded memory, and only
-a spanning forest of its links comes back. So no candidate is dropped and no group gives all its pairs.
+Sizes. Equal fingerprints are one node. Signatures are sorted by value and run through; members of values with at most
+SMALL of them are compared on the way; larger ones are cut into blocks, each pair of blocks is compared in a task of
+bounded memory, and only a spanning forest of its links comes back. So no candidate is dropped and no group gives all
+its pairs. Values of one component only are passed over. The wide search goes in three rounds, each with the components
+that the rounds before have found.
 
 Cases: null and empty texts, or texts without words, have fingerprint zero and are linked like any other; fewer words
 than a shingle: the whole sequence is one; repeated rows and ids keep all rows; a null id joins in but names no
@@ -35,7 +37,7 @@ from pyspark.sql import types as T
 from .common import Scratch, lean, small_batches, written
 from .components import components
 
-SMALL, BLOCK, BLOCK_SHINGLES, SUMS = 16, 2048, 1 << 19, 16
+SMALL, BLOCK, BLOCK_SHINGLES, SUMS, BROADCAST, BROADCAST_NODES = 16, 2048, 1 << 19, 16, 100_000, 500_000
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -114,7 +116,7 @@ def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, id_col: str = "
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, s, k): the sorted distinct shingle hashes of the nodes' texts and their number. nodes: (node, least, key), the id and text hash of a row of docs."""
+    """(node, s, k): the sorted distinct shingle hashes of the nodes' texts and their number. nodes: (node, least, key), the id and text hash of a row of docs; sent to all tasks if they are at most BROADCAST_NODES, so that no other text moves."""
 
     def run(batches):
         for b in batches:
@@ -123,8 +125,10 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("key"))
-    met = rows.join(nodes, "key").where(F.col("_id").eqNullSafe(F.col("least"))).select("node", "_text")
-    return met.mapInArrow(lean(run), "node bigint, s binary, k bigint").dropDuplicates(["node"])
+    n = nodes.count()
+    met = rows.join(F.broadcast(nodes) if n <= BROADCAST_NODES else nodes, "key").where(F.col("_id").eqNullSafe(F.col("least"))).select("node", "_text")
+    made = written(met.mapInArrow(lean(run), "node bigint, s binary, k bigint"), "shingle-sets")
+    return made if made.count() <= n else made.dropDuplicates(["node"])  # repeated rows
 
 
 def _alike(similarity: float, shared, k, other):
@@ -257,47 +261,94 @@ def _value(fs: list, masks: list[int], flip: list[int]):
     return cols[0] if len(cols) == 1 else F.xxhash64(*cols)
 
 
+def _close(quick: int, n_words: int):
+    """Rows (key, node, comp, data, quick words ..) by key: the (a, b) of different components within ``quick`` bits in groups of at most SMALL rows, and the keys of larger ones that have different components."""
+
+    def of_groups(x: list[np.ndarray]) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(x[0]) != 0])) if len(x[0]) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(x[0])))
+        mixed = np.minimum.reduceat(x[2], begin) != np.maximum.reduceat(x[2], begin) if len(begin) else size > 0
+        large = x[0][begin[(size > SMALL) & mixed]]
+        node, comp, data, *q = (c[np.repeat(size <= SMALL, size)] for c in x[1:])
+        size = size[size <= SMALL]
+        end, i, d, a, b = np.repeat(np.cumsum(size), size), np.arange(len(node)), 1, [large[:0]], [large[:0]]
+        while len(i := i[i + d < end[i]]):
+            j = i + d
+            near = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int32) for w in q) <= quick
+            near &= (comp[i] != comp[j]) & (data[i] | data[j])
+            a.append(np.minimum(node[i[near]], node[j[near]]))
+            b.append(np.maximum(node[i[near]], node[j[near]]))
+            d += 1
+        a, b = np.concatenate(a), np.concatenate(b)
+        none = pa.nulls(len(large), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), none]), pa.concat_arrays([pa.array(b), none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(large)])], ["a", "b", "key"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            x = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            x = [np.concatenate(y) for y in zip(held, x)] if held else x
+            if not len(x[0]):
+                continue
+            last = int(np.searchsorted(x[0], x[0][-1]))  # this group may go on; SMALL + 1 rows tell that it is large, two its components
+            yield of_groups([c[:last] for c in x])
+            ends = [last + int(f(x[2][last:])) for f in (np.argmin, np.argmax)]
+            some = np.unique([*ends, *range(last, min(len(x[0]), last + SMALL + 1))])
+            held = [c[some] for c in x]
+        if held:
+            yield of_groups(held)
+
+    return run
+
+
+def _only(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """rows with (or without) these keys; keys are sent to all tasks only if they are at most BROADCAST."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, keys.columns, how)
+
+
 def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, most: int, quick_words: int = 2, quick_most: int | None = None, sets_of=None, similarity: float = 0.0) -> DataFrame:
-    """(a, b): links that connect all nodes within ``most`` bits that meet in a probe. nodes: (node long, f0 ..).
+    """(a, b): links that connect all nodes within ``most`` bits that meet in a probe. nodes: (node long, f0 ..[, comp]).
+
+    comp: what is connected already; only links between different ones are looked for. With sets_of, a function from
+    (node) to shingle_sets(), only nodes whose sets have that Jaccard similarity are linked.
 
-    With sets_of, a function from (node) to shingle_sets(), only those whose sets have that Jaccard similarity.
+    Signatures are shuffled once, by value. Values of hot hash buckets (more than BLOCK rows, counted with a combine
+    before the shuffle) stay out of that and are dealt in blocks, as are the other values of more than SMALL rows.
     """
     fs = [f"f{k}" for k in range(words)]
     q = fs[: min(words, quick_words)]
     quick_most = most if len(q) == words else quick_most
+    nodes = nodes.select("node", *fs, F.col("comp") if "comp" in nodes.columns else F.col("node").alias("comp"))
+    keys = []
+    for i, (bits, t) in enumerate(probes):
+        m = _mask(bits, words)
+        for k in range(t + 1):
+            for e in combinations(bits, k):
+                keys.append(F.struct(F.xxhash64(F.lit(i), _value(fs, m, _mask(list(e), words))).alias("key"), F.lit(not e).alias("data")))
+    sig = nodes.select("node", "comp", *q, F.explode(F.array(*keys)).alias("k")).select("k.key", "node", "comp", "k.data", *q)
+
+    buckets = max(1, nodes.count() * len(keys) // (BLOCK // 4))
+    bucket = F.pmod("key", F.lit(buckets))
+    hot = written(sig.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("bucket"), "hot-buckets")
+    cold = _only(sig.withColumn("bucket", bucket), hot, "left_anti").select("key", "node", "comp", "data", *q)
+    close = written(cold.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_close(quick_most, len(q))), "a bigint, b bigint, key bigint"), "close")
+    met = close.where("a IS NOT NULL").select("a", "b").distinct()
+
+    # the values dealt in blocks, but for those of one component
+    big = _only(sig.withColumn("bucket", bucket), hot, "left_semi").select("key", "node", "comp", "data")
+    big = big.unionByName(_only(sig, close.where("key IS NOT NULL").select("key").distinct(), "left_semi").select("key", "node", "comp", "data"))
+    size = written(big.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("data").alias("d")).where("n > 1 AND lo <> hi AND d").select("key", "n"), "large-values")
+    big = big.join(size.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), "key")
 
-    def filed(flips: bool) -> DataFrame:
-        keys = []
-        for i, (bits, t) in enumerate(probes):
-            m = _mask(bits, words)
-            for k in range(0, (t if flips else 0) + 1):
-                for e in combinations(bits, k):
-                    if flips and not t:
-                        continue
-                    keys.append(F.struct(F.lit(i).alias("part"), _value(fs, m, _mask(list(e), words)).alias("value")))
-        return nodes.select("node", *q, F.explode(F.array(*keys)).alias("k")).select("node", *q, "k.part", "k.value")
-
-    asym = any(t > 0 for _, t in probes)
-    data = filed(False).withColumn("data", F.lit(True))
-    sig = data.unionByName(filed(True).withColumn("data", F.lit(False))) if asym else data
-    sig = written(sig, "signatures")
-    size = sig.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > SMALL)
-    size = written(size, "large-values")
-    small = sig.join(size, ["part", "value"], "left_anti")
-    a = small.select("part", "value", F.col("node").alias("a"), *(F.col(x).alias(f"a_{x}") for x in q))
-    b = small.where("data").select("part", "value", F.col("node").alias("b"), *(F.col(x).alias(f"b_{x}") for x in q))
-    far = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in q])
-    order = (F.col("a") < F.col("b")) if not asym else (F.col("a") != F.col("b"))
-    met = a.join(b, (a.part == b.part) & (a.value == b.value) & order & (far <= quick_most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if len(q) < words:
-        met = met.distinct()
         for side in ("a", "b"):
             met = met.join(nodes.select(F.col("node").alias(side), *(F.col(x).alias(f"{side}_{x}") for x in fs)), side)
         met = met.where(reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in fs]) <= most).select("a", "b")
 
-    if sets_of:
+    exact = sets_of is not None
+    if exact:
         met = written(met, "met")
-        sets = written(sets_of(met.select(F.col("a").alias("node")).union(met.select("b")).union(sig.join(size, ["part", "value"]).select("node")).distinct()), "shingle-sets")
+        sets = sets_of(written(met.select(F.col("a").alias("node")).union(met.select("b")).union(big.select("node")).distinct(), "wanted"))
         for side in ("a", "b"):
             met = met.join(sets.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}")), side)
 
@@ -308,29 +359,21 @@ def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, mos
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
         met = met.select("a", "b", "s_a", "s_b").mapInArrow(lean(same), "a bigint, b bigint")
-        total = sig.join(size, ["part", "value"]).join(sets.select("node", "k"), "node").groupBy("part", "value").agg(F.sum("k").alias("shingles"), F.first("n").alias("n"))
-        size = written(total.withColumn("n", F.greatest("n", F.ceil(F.col("shingles") * (BLOCK / BLOCK_SHINGLES)))).select("part", "value", "n"), "large-values")
+        total = big.join(sets.select("node", "k"), "node").groupBy("key").agg(F.sum("k").alias("shingles"), F.first("m").alias("m"))
+        total = written(total.select("key", F.greatest("m", F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("m")), "large-values")
+        big = big.drop("m").join(total, "key").join(sets.select("node", "s"), "node")
 
-    exact = sets_of is not None
     held = [*fs, "s"] if exact else fs
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    big = sig.join(size, ["part", "value"]).select("part", "value", "node", n_blocks.alias("m"))
-    if len(q) == words:
-        big = sig.join(size, ["part", "value"]).select("part", "value", "node", n_blocks.alias("m"), *fs)
-    else:
-        big = big.join(nodes, "node")
-    if sets_of:
-        big = big.join(sets, "node")
-    big = big.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    big = big.select("part", "value", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "mine", *held)
+    big = big.join(nodes.drop("comp"), "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    big = big.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "comp", "mine", *held)
 
     def block(group: pa.Table) -> pa.Table:
-        node, mine = group.column("node").to_numpy(), group.column("mine").to_numpy()
+        node, mine, comp = (group.column(c).to_numpy() for c in ("node", "mine", "comp"))
         f = np.stack([group.column(x).to_numpy() for x in fs], 1).view(np.uint64)
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
         inside = x == y
         left, first = np.unique(node, return_index=True)
-        f, mine = f[first], mine[first]
+        f, mine, comp = f[first], mine[first], comp[first]
         if exact:
             own = [np.frombuffer(v.as_py(), np.uint64) for v in group.column("s").take(pa.array(first))]
             k = np.array([len(v) for v in own])
@@ -357,17 +400,19 @@ def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, mos
             front = [s]
             while front:
                 i = front.pop()
-                rest = np.flatnonzero(todo if inside else todo & (mine != mine[i]))
+                joined = np.flatnonzero(todo & (comp == comp[i]))  # without a new link
+                rest = np.flatnonzero((todo if inside else todo & (mine != mine[i])) & (comp != comp[i]))
                 near = rest[np.bitwise_count(f[rest] ^ f[i]).sum(1, dtype=np.int32) <= most]
                 if exact and len(near):
                     near = alike(i, near)
-                todo[near] = False
+                todo[near] = todo[joined] = False
                 front.extend(near.tolist())
+                front.extend(joined.tolist())
                 out_a.extend([left[i]] * len(near))
                 out_b.extend(left[near].tolist())
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return met.unionByName(big.groupBy("part", "value", "x", "y").applyInArrow(block, "a bigint, b bigint"))
+    return met.unionByName(big.groupBy("key", "x", "y").applyInArrow(block, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, tau: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -445,7 +490,21 @@ def near_duplicates_wide(docs: DataFrame, size: int = 5, similarity: float = 0.8
     def found(nodes: DataFrame) -> DataFrame:
         n, joint = bit_statistics(nodes, WIDE)
         named = nodes.select("node", "least", "key")
-        return links(nodes, plan_wide(joint, n, angle, most), WIDE, most, 2, quick, lambda wanted: shingle_sets(docs, named.join(wanted, "node"), size, id_col, text_col), similarity)
+        probes = plan_wide(joint, n, angle, most)
+
+        def of(nodes: DataFrame, some: list) -> DataFrame:
+            return links(nodes, some, WIDE, most, 2, quick, lambda wanted: shingle_sets(docs, written(named.join(wanted, "node"), "wanted-nodes"), size, id_col, text_col), similarity)
+
+        # the first partitions connect most copies; those that follow look only for links between what isn't connected
+        cuts = [0, max(1, len(probes) // 10), max(2, 4 * len(probes) // 10), len(probes)]
+        now, all_links = nodes, None
+        for some in (probes[x:y] for x, y in zip(cuts, cuts[1:]) if x < y):
+            if all_links is not None:
+                met = nodes.join(components(all_links), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+                now = written(met, "nodes-met")
+            new = written(of(now, some), "links-found")
+            all_links = new if all_links is None else all_links.unionByName(new)
+        return all_links
 
     return _classes(prints, WIDE, found).select(F.col("id").alias(id_col), "component_id")
 
