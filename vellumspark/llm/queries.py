@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, chat_format, decontaminate, language_id, line_dedup, simhash, token_counts, toxicity, url_filter
+from . import ann, bpe, chat_format, decontaminate, hard_negatives, language_id, line_dedup, merkle, packing, simhash, token_counts, toxicity, url_filter
 from .common import crc_mod, table
 from .pretokens import read_ranks
 
@@ -80,6 +80,30 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(hard_negatives.quantised(rows), "id % 100 = 0")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    head = [merkle.field(F.col(c)) for c in ("doc_id", "source", "lang")]
+    leaf = lambda n: merkle.digest(*head, merkle.field(n), merkle.field(F.col("text")))
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    rows = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(hit, leaf(F.col("n_chars") + 1)).alias("tampered"))
+    made = merkle.manifest(rows, "leaf", "lang", ["doc_id"])
+    made = made.withColumn("folded", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    named = {c: merkle.hex_text(F.col(c)) for c in ("leaf", "subroot", "root")}
+    return made.select("doc_id", *(x.alias(c) for c, x in named.items()), F.sha2(merkle.path_text(F.col("path")), 256).alias("proof_sha256"), merkle.hex_text(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        config = f.read()
+    placed, _ = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), config, end_id=1)
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_url_filter": op2_url_filter,
@@ -91,10 +115,15 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle": op12_merkle,
+    "op13_packing": op13_packing,
 }
 ORACLES = {
     "op2_url_filter": url_filter.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }
