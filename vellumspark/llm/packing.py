@@ -21,26 +21,47 @@ library has it by default.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import lean, small_batches, unused, written
 from .pretokens import fragments, pattern, spaced
-from .token_counts import checked, model_text
+from .token_counts import byte_chars, checked, model_text
 
 CACHE = 400_000
 _RANK_BITS = 44
 
 
+def ordered_ranks(config: str) -> dict[bytes, int] | None:
+    """The vocabulary of a tokenizer file as the ranks of its byte strings, if merges come in the order of their ids, so that merging by least id is the same; else None."""
+    model = json.loads(config)["model"]
+    vocab, back = model["vocab"], {c: b for b, c in byte_chars().items()}
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if None in made or any(a >= b for a, b in zip(made, made[1:])) or len(vocab) < 256 or (made and min(made) < 256):
+        return None
+    ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if all(c in back for c in t)}
+    known = {ranks.get(bytes([b]), -1) for b in range(256)}
+    merged = {*made, *known}
+    return {t: i for t, i in ranks.items() if i in merged} if -1 not in known else None
+
+
 class Encoder:
-    """Token ids of texts as packed little-endian integers; pre-tokens and fragments are encoded once while they are kept."""
+    """Token ids of texts as packed little-endian integers; pre-tokens and fragments are encoded once while they are kept.
+
+    Where the vocabulary's ids are in the order of its merges, a rare pre-token is merged by its ranks, else by the
+    tokenizer's own model.
+    """
 
     def __init__(self, config: str):
         from tokenizers import Tokenizer
@@ -50,11 +71,20 @@ class Encoder:
         special = checked(config)
         self.special = {s: np.array([tokenizer.token_to_id(s)], self.kind).tobytes() for s in special}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
-        find, model, kind = pattern().findall, tokenizer.model, self.kind
+        find, model, kind = pattern().findall, tokenizer.model, self.kind.char
+        ranks = ordered_ranks(config)
+        if ranks:
+            merged = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
         class Pieces(dict):
             def __missing__(self, p: str) -> bytes:
-                ids = np.array([x.id for x in model.tokenize(model_text(p))], kind).tobytes()
+                if ranks:
+                    raw = p.encode()
+                    one = ranks.get(raw)
+                    found = merged(raw) if one is None else [one]
+                else:
+                    found = [x.id for x in model.tokenize(model_text(p))]
+                ids = array(kind, found).tobytes()
                 if len(p) < 100:
                     self[p] = ids
                 return ids
@@ -272,7 +302,8 @@ def place_pieces(pieces: DataFrame, plan: Plan, id_col: str = "doc_id") -> DataF
     placed = written(ranked.mapInArrow(run, T.StructType([*kept, *extra])), "placed")
     whole = placed.where("sequence_id >= 0").withColumn("piece_start", F.lit(0).cast("long")).drop("place")
     names = whole.columns
-    cut = placed.where("sequence_id < 0").join(pieces.select("part", "seq", "ids"), ["part", "seq"]).select("id", "start", "length", "doc_tokens", "part", "seq", "place", "ids")
+    # written, so that its size is known: the few pieces that are usually cut are broadcast and ids stay where they are
+    cut = written(placed.where("sequence_id < 0"), "cut").join(pieces.select("part", "seq", "ids"), ["part", "seq"]).select("id", "start", "length", "doc_tokens", "part", "seq", "place", "ids")
 
     def parts(batches):
         for b in batches:
