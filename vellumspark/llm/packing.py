@@ -116,6 +116,17 @@ class Encoder:
         return np.frombuffer(raw, self.kind)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(config: str) -> Encoder:
+    """The encoder of a configuration; a Python worker keeps its last one, with at most CACHE pre-tokens and fragments, for its next task."""
+    if config not in _encoders:
+        _encoders.clear()
+        _encoders[config] = Encoder(config)
+    return _encoders[config]
+
+
 class Capacities:
     """Segment tree over capacities 0..size with the number of open windows of each."""
 
@@ -248,7 +259,7 @@ def encode_pieces(docs: DataFrame, config: str, end_id: int, size: int = 2048, i
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, seq = Encoder(shared.value), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(shared.value), TaskContext.get().partitionId(), 0
         seen, cols, held = np.zeros(size + 1, np.int64), [[] for _ in names], 0
 
         def batch() -> pa.RecordBatch:
