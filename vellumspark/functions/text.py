@@ -23,7 +23,15 @@ def _accents() -> tuple[str, str]:
 
 ACCENTED, PLAIN = _accents()
 #: fixed values: words without weight in lexical comparison
-STOP_WORDS = "the a an of to in and or for on at by is was be with as it that this from".split()
+STOP_WORDS = (
+    "a an and are as at be been being by did do does for from had has have he her hers him his i in is it its may not of on or our "
+    "she that the their them there they this to was were will with would you your"
+).split()
+#: fixed values: words of file names that tell documents apart from nothing
+GENERIC_TITLE_TERMS = (
+    "agreement agreements contract contracts copy doc docs document documents draft file files final paper papers report reports text version "
+    "계약서 문건 문서 보고서 사본 자료 초안 최종 파일"
+).split()
 #: fixed values: operator words that are not search terms
 OPERATORS = ("and", "or", "not", "near")
 
@@ -38,6 +46,11 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(T.StringType())
+def nfkd(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
+
+
 def collapse(c: Column) -> Column:
     """F-1, without the Unicode form: outer white space off, inner runs one space."""
     return F.trim(F.regexp_replace(c, WS, " "))
@@ -86,21 +99,38 @@ def like_ci(c: Column, pattern: str) -> Column:
 
 
 def title_key(c: Column) -> Column:
-    """F-9: name without extension, lower case, other signs to single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, r"\.[A-Za-z0-9]{1,8}$", "")), r"[^\p{L}\p{N}]+", " "))
+    """F-9: name in compatibility form without extension, lower case, other signs to single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(nfkc(c), r"\.[\p{L}\p{N}]{1,10}$", "")), r"[^\p{L}\p{N}]+", " "))
+
+
+def title_query(query: str) -> str:
+    """F-9 for a query text."""
+    q = re.sub(r"\.[^\W_]{1,10}$", "", unicodedata.normalize("NFKC", query)).lower()
+    return re.sub(r"[\W_]+", " ", q).strip()
 
 
 def title_score(title: Column, query: str) -> Column:
-    """F-10: 500 equal, 450 contains, 400 is contained (of at least 4 letters), else all or part of the query's terms."""
-    q = re.sub(r"[^\w]+|_", " ", query.lower()).strip()
-    qs = list(dict.fromkeys(w for w in q.split() if len(w) > 1))
-    t = title_key(title)
-    if not qs:
-        return F.lit(0.0)
-    have = F.split(t, " ")
-    matched = sum((F.array_contains(have, w).cast("int") for w in qs), F.lit(0))
-    part = F.when(matched > 0, 200.0 + 100.0 * matched / len(qs) + matched).otherwise(0.0)
-    return F.when(t == q, 500.0).when(F.contains(t, F.lit(q)), 450.0).when((F.length(t) >= 4) & F.contains(F.lit(q), t), 400.0).otherwise(part)
+    """F-10: null if the title isn't meant by the query, else 500 equal, 450 the query holds the title, 400 the title begins with the query, or by the share of the title's terms.
+
+    Only terms that tell documents apart count: no generic ones, no single letters a-z. Of one such term the query needs it,
+    of more at least two and 60 percent. A title of one word alone must be the query.
+    """
+    q = title_query(query)
+    asked = list(dict.fromkeys(q.split()))
+    if not asked:
+        return F.lit(None).cast("double")
+
+    def scored(t: Column) -> Column:
+        every = F.split(t, " ")
+        own = F.array_distinct(F.filter(every, lambda w: (w != "") & ~w.isin(*GENERIC_TITLE_TERMS) & ~w.rlike("^[a-z]$")))
+        n, matched = F.size(own), F.size(F.filter(own, lambda w: w.isin(*asked)))
+        least = F.when(n == 1, 1).otherwise(F.greatest(F.lit(2), F.ceil(n * F.lit(0.6))))
+        ok = (t != "") & (n > 0) & ((n > 1) | (F.size(every) > 1) | (t == q)) & (matched >= least)
+        part = 200.0 + matched / n * 100.0 + matched
+        padded = F.concat(F.lit(" "), t, F.lit(" "))
+        return F.when(ok, F.when(t == q, 500.0).when(F.contains(F.lit(f" {q} "), padded), 450.0).when(F.startswith(t, F.lit(q + " ")), 400.0).otherwise(part))
+
+    return F.element_at(F.transform(F.array(title_key(title)), scored), 1)
 
 
 def snippet(c: Column, most: int = 800) -> Column:
@@ -150,21 +180,41 @@ def stem(w: Column) -> Column:
     """F-16: light endings off, with guards of length."""
     n = F.length(w)
     cut = lambda k: F.substr(w, F.lit(1), n - k)
-    return F.when((n >= 6) & w.endswith("ing"), cut(3)).when((n >= 5) & w.endswith("ed"), cut(2)).when((n >= 5) & w.endswith("es"), cut(2)).when((n >= 4) & w.endswith("s") & ~w.endswith("ss"), cut(1)).otherwise(w)
+    return F.when((n > 5) & w.endswith("ing"), cut(3)).when((n > 4) & w.endswith("ed"), cut(2)).when((n > 4) & w.endswith("es"), cut(2)).when((n > 3) & w.endswith("s"), cut(1)).otherwise(w)
+
+
+def lexical_text(c: Column) -> Column:
+    """F-16: the text decomposed, in lower case, without apostrophes, other signs (and marks) to single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(nfkd(c)), "[’']", ""), r"[^\p{L}\p{N}]+", " "))
+
+
+def text_stems(t: Column) -> Column:
+    """Distinct stems of a lexical_text: words of two letters or more that are no stop words."""
+    return F.array_distinct(F.transform(F.filter(F.split(t, " "), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS)), stem))
 
 
 def lexical_set(c: Column) -> Column:
-    """F-16: distinct stems of folded tokens of two letters or more that are no stop words."""
-    return F.array_distinct(F.transform(F.filter(tokens(c), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS)), stem))
+    """F-16: distinct stems of a text."""
+    return text_stems(lexical_text(c))
+
+
+def supports(a: Column, b: Column) -> Column:
+    """C-6 for two lexical_texts: struct(score, shared, near): near if one holds the other, then the score is 1, else shared stems over the smaller set."""
+    x, y = text_stems(a), text_stems(b)
+    shared = F.size(F.array_intersect(x, y))
+    near = (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
+    score = F.when((a == "") | (b == ""), 0.0).when(near, 1.0).otherwise(shared / F.greatest(F.least(F.size(x), F.size(y)), F.lit(1)))
+    return F.struct(score.alias("score"), F.when((a == "") | (b == ""), 0).otherwise(shared).alias("shared"), near.alias("near"))
 
 
 def support(claim: Column, passage: Column) -> Column:
-    """C-6: 1 if one holds the other verbatim, else shared words over the smaller set (0 below two shared words)."""
-    a, b = lexical_set(claim), lexical_set(passage)
-    shared, least = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
-    ca, cb = cite_key(claim), cite_key(passage)
-    near = (F.length(ca) >= 12) & (F.contains(cb, ca) | F.contains(ca, cb))
-    return F.when(near, 1.0).when((least == 0) | (shared < 2), 0.0).otherwise(shared / least)
+    """C-6: struct(score, shared, near) for two texts."""
+    return supports(lexical_text(claim), lexical_text(passage))
+
+
+def confirmed(s: Column, least: float = 0.3, shared: int = 2) -> Column:
+    """C-9, C-13: near-verbatim, or enough shared words and score."""
+    return s["near"] | ((s["shared"] >= shared) & (s["score"] >= least))
 
 
 def long_enough(c: Column) -> Column:
@@ -173,9 +223,8 @@ def long_enough(c: Column) -> Column:
 
 
 def first_term(c: Column, terms: list[str]) -> Column:
-    """F-5: the place (from 1) of the first of the terms in a text, 0 if there is none."""
-    at = [F.nullif(F.instr(F.lower(c), t.lower()), F.lit(0)) for t in terms]
-    return F.coalesce(F.least(*at) if len(at) > 1 else at[0] if at else F.lit(None), F.lit(0))
+    """F-5: the place (from 1) of the first listed term that a text has, 0 if it has none."""
+    return F.coalesce(*(F.nullif(F.instr(F.lower(c), t.lower()), F.lit(0)) for t in terms), F.lit(0))
 
 
 def safe_name(c: Column) -> Column:

@@ -40,7 +40,8 @@ def cell(c: Column, flags=("green", "yellow", "red", "grey")) -> Column:
 
 
 def rgb(c: Column) -> tuple[Column, Column, Column]:
-    h = F.when(c.rlike("^#[0-9A-Fa-f]{6}$"), F.substring(c, 2, 6))
+    t = F.trim(c)
+    h = F.when(t.rlike("^#[0-9A-Fa-f]{6}$"), F.substring(t, 2, 6))
     return tuple(F.conv(F.substring(h, i, 2), 16, 10).cast("int") for i in (1, 3, 5))
 
 
@@ -64,17 +65,17 @@ def color_family(c: Column) -> Column:
         return F.struct(sat.alias("sat"), hue.alias("hue"), x["light"].alias("light"), x["r"].alias("r"))
 
     def named(x: Column) -> Column:
-        hue, sat, light = x["hue"], x["sat"], x["light"]
+        hue, sat, light = x["hue"], x["sat"] * 100, x["light"] * 100
         return (
-            F.when(x["r"].isNull(), F.lit(None).cast("string")).when(light < 0.08, "black").when((sat < 0.12) & (light > 0.92), "white").when(sat < 0.12, "gray")
-            .when((hue < 15) | (hue >= 345), "red").when(hue < 45, "orange").when(hue < 70, "yellow").when(hue < 170, "green")
+            F.when(x["r"].isNull(), F.lit(None).cast("string")).when((sat <= 12) | (light <= 4) | (light >= 98), "gray")
+            .when((hue < 15) | (hue >= 345), "red").when(hue < 45, "orange").when(hue < 75, "yellow").when(hue < 165, "green")
             .when(hue < 255, "blue").when(hue < 290, "purple").otherwise("pink")
         )
 
     return _let(_let(_let(F.struct(r.alias("r"), g.alias("g"), b.alias("b")), spread), hued), named)
 
 
-FAMILIES = ["red", "orange", "yellow", "green", "blue", "purple", "pink", "black", "gray", "white"]
+FAMILIES = ["red", "orange", "yellow", "green", "blue", "purple", "pink", "gray"]
 
 
 def rects_ok(c: Column, most: int = 80) -> Column:

@@ -1,4 +1,4 @@
-"""A chainable query over one table (P-1..P-17, S-1, S-2). Conditions are Columns from the start, so there is nothing to parse."""
+"""A chainable query over one table (P-1..P-17, S-1, S-2). Conditions are Columns from the start; OR conditions may come as a text too."""
 
 from __future__ import annotations
 
@@ -36,6 +36,36 @@ def condition(column: str, op: str, value) -> Column:
     raise ValueError(f"unknown operator {op!r}")
 
 
+def parse_or(text: str) -> list[Column]:
+    """P-11: the conditions of an OR text: ``a.eq.1,b.in.(x,y),c.not.is.null``. Commas inside parentheses part nothing; values are texts, as they stand; a clause that isn't column, operator and value raises."""
+    parts, depth, now = [], 0, ""
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and depth == 0:
+            parts.append(now)
+            now = ""
+        else:
+            now += c
+    out = []
+    for part in [p for p in (*parts, now) if p]:
+        column, *rest = part.split(".", 1)
+        op, *value = rest[0].split(".", 1) if rest else [""]
+        negate = op == "not" and value
+        if negate:
+            op, *value = value[0].split(".", 1)
+        if not column or not value or not value[0] or op not in OPS:
+            raise ValueError(f"no condition: {part!r}")
+        v = value[0]
+        if op == "in":
+            v = v.removeprefix("(").removesuffix(")")
+            v = v.split(",") if v else []
+        elif op == "is" and v == "null":
+            v = None
+        got = condition(column, op, v)
+        out.append(~got if negate else got)
+    return out
+
+
 class NoRow(ValueError):
     """single() found none."""
 
@@ -74,6 +104,11 @@ class Query:
         """OR of conditions."""
         return self._with(where=(*self.where, reduce(lambda a, b: a | b, [condition(*c) for c in conditions], F.lit(False))))
 
+    def or_text(self, text: str) -> Query:
+        """P-11: OR of the conditions of a text; an empty text has none and keeps all rows."""
+        found = parse_or(text)
+        return self._with(where=(*self.where, reduce(lambda a, b: a | b, found))) if found else self
+
     def if_given(self, column: str, value) -> Query:
         """P-17: no condition where the value is None."""
         return self if value is None else self.filter(column, "eq", value)
@@ -103,9 +138,13 @@ class Query:
             df = df.limit(self.most)
         return df.select(*self.columns)
 
+    def count_frame(self) -> DataFrame:
+        """P-15 as a frame of one row (n): all matching rows, whatever the limit."""
+        return self._filtered().agg(F.count("*").alias("n"))
+
     def count(self) -> int:
         """P-15: all matching rows, whatever the limit."""
-        return self._filtered().count()
+        return self.count_frame().first().n
 
     def single(self):
         rows = self.frame().take(2)

@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import cite_key, lexical_set
+from ..functions.text import cite_key, confirmed, lexical_text, support, supports, text_stems
 from ..sources.shared import written
-from .relational import margin
+from .patterns import contained
 
-MIN_SCORE, MIN_MARGIN = 0.3, 0.05
-SHORT = 10_000  # quotes of one or two words that meet all chunks together
+MIN_SCORE, MIN_SHARED, MIN_MARGIN = 0.3, 2, 0.05
 
 
 def markers(answers: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -36,61 +35,92 @@ def contract(marks: DataFrame, citations: DataFrame, documents: DataFrame, id_co
 
 
 def quote_hits(quotes: DataFrame, chunks: DataFrame, keyed: bool = True) -> DataFrame:
-    """J-18: (quote_id, document_id, chunk_id) where the chunk holds the quote, by their keys for citing.
+    """J-18: (quote_id, document_id, chunk_id) where the chunk holds the quote, by their keys for citing; keyed: in the quote's own document.
 
-    keyed: quotes name their document, an equi-join. Else a block of quotes of a stated, small number meets all chunks in
-    one pass: the first words of the quotes are looked up among the chunks' words, and only those pairs are compared.
-    """
-    q = quotes.withColumn("_q", cite_key(F.col("quote"))).where("_q <> ''")
-    c = chunks.select("document_id", "chunk_id", cite_key(F.col("content")).alias("_t"))
-    if keyed:
-        return q.join(c, "document_id").where(F.contains("_t", F.col("_q"))).select("quote_id", "document_id", "chunk_id")
-    # a word inside the quote (never cut by its ends) leads to the chunks that have it; the longest is the rarest
-    inner = F.filter(F.split("_q", " "), lambda w: w != "")
-    mid = F.when(F.size(inner) > 2, F.slice(inner, F.lit(2), F.size(inner) - 2)).otherwise(F.array().cast("array<string>"))
-    lead = F.array_max(F.transform(mid, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    long = q.withColumn("_lead", lead)
-    words = c.withColumn("_lead", F.explode(F.array_distinct(F.split("_t", " "))))
-    met = words.join(long.where("_lead IS NOT NULL").select("quote_id", "_q", "_lead"), "_lead").where(F.contains("_t", F.col("_q")))
-    out = met.select("quote_id", "document_id", "chunk_id")
-    short = written(long.where("_lead IS NULL").select("quote_id", "_q").distinct(), "short-quotes")  # of one or two words, in blocks
-    blocks = -(-short.count() // SHORT)
-    for i in range(blocks):
-        some = short.where(F.pmod(F.xxhash64("quote_id", "_q"), F.lit(blocks)) == i)
-        out = out.unionByName(c.join(F.broadcast(some), F.contains("_t", F.col("_q"))).select("quote_id", "document_id", "chunk_id"))
-    return out.distinct()
-
-
-def supported(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """C-6 for two tables: (claim_id, passage_id, score) of all pairs (of one key, if keys are given) that have any support, but for those of one id.
-
-    Pairs are found by the stems they share, an equi-join with counts, and where one holds the other verbatim; no pair
-    without a shared word is ever made.
+    Quotes are an automaton that runs once over each chunk (operators.patterns), so no pair is ever tried.
     """
+    on = ("document_id",) if keyed else ()
+    q = quotes.select(*on, "quote_id", cite_key(F.col("quote")).alias("_q"))
+    c = chunks.select(F.struct("document_id", "chunk_id").alias("_c"), "document_id", cite_key(F.col("content")).alias("_k"))
+    hits = contained(q, c, "quote_id", "_q", "_c", "_k", on)
+    return hits.select("quote_id", "_c.document_id", "_c.chunk_id")
+
+
+def _stemmed(rows: DataFrame, keys: tuple[str, ...], id_col: str, text: str) -> DataFrame:
+    t = rows.select(*keys, F.col(id_col), lexical_text(F.col(text)).alias("_t"))
+    return written(t.withColumn("_s", text_stems(F.col("_t"))), "stems")
+
 
-    def stems(df: DataFrame, name: str, text: str) -> DataFrame:
-        return df.select(*keys, name, lexical_set(F.col(text)).alias("_s")).select(*keys, name, F.size("_s").alias(f"_n_{name}"), F.explode("_s").alias("_stem"))
+def _by_rarity(rows: DataFrame, often: DataFrame, keys: tuple[str, ...], id_col: str) -> DataFrame:
+    """(keys, id, stem, place, n): each row's n stems with their places from 1, rare stems first: an order that both tables share."""
+    e = rows.select(*keys, id_col, F.explode("_s").alias("_stem")).join(often, "_stem", "left")
+    g = e.groupBy(*keys, id_col).agg(F.array_sort(F.collect_set(F.struct(F.coalesce("_often", F.lit(0)).alias("f"), F.col("_stem").alias("s")))).alias("_o"))
+    return g.select(*keys, id_col, F.size("_o").alias("n"), F.posexplode("_o").alias("_i", "_e")).select(*keys, id_col, F.col("_e.s").alias("stem"), (F.col("_i") + 1).alias("place"), "n")
 
-    met = stems(claims, "claim_id", "claim").join(stems(passages, "passage_id", "passage"), [*keys, "_stem"]).where(F.col("claim_id") != F.col("passage_id"))
-    met = met.groupBy(*keys, "claim_id", "passage_id").agg(F.count("*").alias("_n"), F.first("_n_claim_id").alias("_a"), F.first("_n_passage_id").alias("_b")).where("_n >= 2")
-    out = met.select("claim_id", "passage_id", F.round(F.col("_n") / F.least("_a", "_b"), 6).alias("score"))
 
-    def within(a: DataFrame, a_id: str, a_text: str, b: DataFrame, b_id: str, b_text: str) -> DataFrame:
-        q = a.where(F.length(cite_key(F.col(a_text))) >= 12).select(F.col(a_id).alias("quote_id"), F.col(a_text).alias("quote"))
-        hits = quote_hits(q, b.select(F.col(b_id).alias("chunk_id"), F.lit(0).alias("document_id"), F.col(b_text).alias("content")), keyed=False)
-        hits = hits.select(F.col("quote_id").alias(a_id), F.col("chunk_id").alias(b_id)).where(F.col(a_id) != F.col(b_id))
-        return hits.join(a.select(*keys, a_id), a_id).join(b.select(*keys, b_id), [*keys, b_id]).select("claim_id", "passage_id") if keys else hits.select("claim_id", "passage_id")
+def candidate_pairs(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = (), least: float = MIN_SCORE, shared: int = MIN_SHARED) -> DataFrame:
+    """(keys, claim_id, passage_id): the pairs that may share ``shared`` stems and ``least`` of the smaller set, by prefix filtering. claims, passages: of _stemmed.
 
-    one = ("claim_id", "claim"), ("passage_id", "passage")
-    whole = within(claims, *one[0], passages, *one[1]).unionByName(within(passages, *one[1], claims, *one[0]))
-    return out.unionByName(whole.withColumn("score", F.lit(1.0))).groupBy("claim_id", "passage_id").agg(F.max("score").alias("score"))
+    With the stems of both in one order, rare first, a pair with an overlap of o has a common stem among the first n - o + 1
+    of each; o follows from the smaller set, whose prefix therefore lacks its most common stems. What comes after the first
+    common stem must be long enough on both sides for the rest of the overlap.
+    """
+    both = claims.select(F.explode("_s").alias("_stem")).unionByName(passages.select(F.explode("_s").alias("_stem")))
+    total = claims.count() + passages.count()
+    # stems of more than a thousandth of the rows: at most a thousand times a row's stems, however many rows there are
+    often = written(both.groupBy("_stem").agg(F.count("*").alias("_often")).where(F.col("_often") * 1000 > total), "common-stems")
+    often = F.broadcast(often) if often.count() <= 100_000 else often
+    a = _by_rarity(claims, often, keys, "claim_id").withColumnsRenamed({"place": "_pa", "n": "_na"})
+    b = _by_rarity(passages, often, keys, "passage_id").withColumnsRenamed({"place": "_pb", "n": "_nb"})
+    need = lambda n: F.greatest(F.lit(shared), F.ceil(F.lit(least) * n - 1e-9))
+    on = [*keys, "stem"]
+
+    def met(small: DataFrame, large: DataFrame, s: str, x: str, order) -> DataFrame:
+        """s and x: a or b, the sides of the smaller and the larger set."""
+        o, ps, ns, px, nx = need(F.col(f"_n{s}")), F.col(f"_p{s}"), F.col(f"_n{s}"), F.col(f"_p{x}"), F.col(f"_n{x}")
+        small, large = small.where(ps <= ns - o + 1), large.where(px <= nx - shared + 1)
+        fits = order & (px <= nx - o + 1) & (1 + F.least(ns - ps, nx - px) >= o) & (F.col("claim_id") != F.col("passage_id"))
+        return small.join(large, on).where(fits).select(*keys, "claim_id", "passage_id")
+
+    one = met(a, b, "a", "b", F.col("_na") <= F.col("_nb"))
+    return one.unionByName(met(b, a, "b", "a", F.col("_nb") < F.col("_na"))).distinct()
+
+
+def supported(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = (), least: float = MIN_SCORE, shared: int = MIN_SHARED) -> DataFrame:
+    """C-6 for two tables: (keys, claim_id, passage_id, score, shared, near) of all pairs (of equal keys) that are near-verbatim or share ``shared`` stems and ``least`` of the smaller set, but for those of one id.
+
+    Pairs come from prefix filtering over stems and from an automaton of the texts themselves; each is then scored.
+    """
+    a, b = _stemmed(claims, keys, "claim_id", "claim"), _stemmed(passages, keys, "passage_id", "passage")
+    holds = contained(b, a, "passage_id", "_t", "claim_id", "_t", keys).select(*keys, "claim_id", "passage_id")
+    held = contained(a, b, "claim_id", "_t", "passage_id", "_t", keys).select(*keys, "claim_id", "passage_id")
+    pairs = candidate_pairs(a, b, keys, least, shared).unionByName(holds).unionByName(held).distinct()
+    met = pairs.join(a.select(*keys, "claim_id", F.col("_t").alias("_a")), [*keys, "claim_id"]).join(b.select(*keys, "passage_id", F.col("_t").alias("_b")), [*keys, "passage_id"])
+    met = met.where("claim_id <> passage_id").withColumn("s", supports(F.col("_a"), F.col("_b")))
+    return met.where(confirmed(F.col("s"), least, shared)).select(*keys, "claim_id", "passage_id", "s.score", "s.shared", "s.near").distinct()
 
 
-def rebind(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """C-13, W-17: the best passage of each claim; ``bound`` if its support and lead suffice, else (or without any) the claim abstains. A passage is no support of the claim of its own id."""
-    best = margin(supported(claims, passages, keys), ["claim_id"], "score", F.col("passage_id"))
-    score, lead = F.coalesce("score", F.lit(0.0)), F.coalesce(F.round("margin", 6), F.lit(0.0))
-    return claims.select("claim_id").join(best, "claim_id", "left").select("claim_id", "passage_id", score.alias("score"), lead.alias("margin"), ((score >= MIN_SCORE) & (lead >= MIN_MARGIN)).alias("bound"))
+def rebind(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = (), current: str | None = None, semantic: DataFrame | None = None, top_k: int = 3) -> DataFrame:
+    """C-13, W-17: (claim_id, passage_id, score, margin, bound): each claim's best confirmed passage, and whether it may be bound to it.
+
+    Equal scores keep the order of passage_id. The best is bound if its lead over the next is MIN_MARGIN or more, or it is
+    near-verbatim and the next isn't; if it beats the passage named now (claims' column ``current``, null if unknown); and,
+    with semantic (claim_id, chunk_id, similarity), if its chunk (passages' column chunk_id) is among the claim's top_k.
+    """
+    found = supported(claims, passages, keys)
+    order = Window.partitionBy("claim_id").orderBy(F.desc("score"), "passage_id")
+    best = found.withColumns({"_k": F.row_number().over(order), "_next": F.lead("score").over(order), "_near2": F.lead("near").over(order)}).where("_k = 1")
+    ok = F.col("_next").isNull() | (F.col("near") & ~F.col("_near2")) | (F.col("score") - F.col("_next") >= MIN_MARGIN)
+    best = best.select("claim_id", "passage_id", "score", (F.col("score") - F.coalesce("_next", F.lit(0.0))).alias("margin"), ok.alias("bound"))
+    if current:
+        text = claims.select("claim_id", support(F.col("claim"), F.col(current))["score"].alias("_now"), F.col(current).isNull().alias("_none"))
+        best = best.join(text, "claim_id").withColumn("bound", F.col("bound") & (F.col("_none") | (F.col("score") > F.col("_now")))).drop("_now", "_none")
+    if semantic is not None:
+        near = Window.partitionBy("claim_id").orderBy(F.desc("similarity"), "chunk_id")
+        top = semantic.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= top_k).select("claim_id", "chunk_id", F.lit(True).alias("_in"))
+        best = best.join(passages.select("passage_id", "chunk_id").distinct(), "passage_id").join(top, ["claim_id", "chunk_id"], "left").withColumn("bound", F.col("bound") & F.coalesce("_in", F.lit(False))).drop("_in", "chunk_id")
+    score, lead = F.round(F.coalesce("score", F.lit(0.0)), 6), F.round(F.coalesce("margin", F.lit(0.0)), 6)
+    return claims.select("claim_id").join(best, "claim_id", "left").select("claim_id", "passage_id", score.alias("score"), lead.alias("margin"), F.coalesce("bound", F.lit(False)).alias("bound"))
 
 
 def support_tier(score: Column) -> Column:

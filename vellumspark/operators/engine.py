@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +12,15 @@ from ..functions.text import collapse, cross_script, heading_level, tokens
 from ..functions.vectors import cosine
 from ..sources.shared import written
 from . import chunking, relational, retrieval
+from .postings import SearchIndex
 
-ROLES = ("brief", "exhibit", "decision", "statement", "contract", "correspondence", "other")
+#: fixed values: roles of documents, roles and sides of parties
+ROLES = ("brief", "evidence", "other")
+PARTY_ROLES = (
+    "원고", "피고", "항소인", "피항소인", "상고인", "피상고인", "참가인", "제3자", "plaintiff", "defendant", "appellant", "appellee", "petitioner", "respondent",
+    "cross-appellant", "cross-appellee", "intervenor", "amicus", "third-party", "neutral",
+)
+PARTY_SIDES = ("A", "B")
 
 
 def indexed(chunks: DataFrame) -> DataFrame:
@@ -20,16 +28,21 @@ def indexed(chunks: DataFrame) -> DataFrame:
     return written(chunks.withColumn("tokens", tokens(retrieval.search_text(chunks))), "chunk-index")
 
 
-def in_scope(chunks: DataFrame, file_types=(), folders=(), documents=None, doc_roles=(), party_roles=()) -> DataFrame:
-    """P-18, U-3: filters of a search; empty ones don't filter, unknown roles are left out. documents: a DataFrame of ids (J-6)."""
-    if file_types:
-        chunks = chunks.where(F.lower(F.substring_index("filename", ".", -1)).isin([t.lower().lstrip(".") for t in file_types]))
-    if folders:
-        chunks = chunks.where(F.col("folder").isin(list(folders)))
-    if roles := [r for r in doc_roles if r in ROLES]:
-        chunks = chunks.where(F.col("doc_role").isin(roles))
-    if party_roles:
-        chunks = chunks.where(F.col("party_role").isin(list(party_roles)))
+def in_scope(chunks: DataFrame, file_types=(), folders=(), documents=None, doc_roles=(), party_roles=(), party_sides=()) -> DataFrame:
+    """P-18, U-3: filters of a search; empty ones don't filter. documents: a DataFrame of ids (J-6).
+
+    File types are of letters and digits and are compared with column file_type, or with the ending of the file name where
+    there is none; folders with folder_id, or folder. Roles and sides that aren't known are left out.
+    """
+    types = [t for t in (x.strip().lower().lstrip(".") for x in file_types) if re.fullmatch("[a-z0-9]+", t)]
+    roles = [r for r in (x.strip().lower() for x in doc_roles) if r in ROLES]
+    parties = [r for r in (x.strip() for x in party_roles) if r in PARTY_ROLES]
+    sides = [x for x in (x.strip().upper() for x in party_sides) if x in PARTY_SIDES]
+    own_type = F.col("file_type") if "file_type" in chunks.columns else F.lower(F.substring_index("filename", ".", -1))
+    folder = "folder_id" if "folder_id" in chunks.columns else "folder"
+    for column, values in ((own_type, types), (F.col(folder), list(folders)), (F.col("doc_role"), roles), (F.col("party_role"), parties), (F.col("party_side"), sides)):
+        if values:
+            chunks = chunks.where(column.isin(values))
     return chunks if documents is None else chunks.join(documents.select("document_id").distinct(), "document_id", "left_semi")
 
 
@@ -40,24 +53,32 @@ def searchable(chunks: DataFrame, documents: DataFrame, index: DataFrame) -> Dat
     return chunks.join(now, ["document_id", "version_id"], "left_semi").join(ok, ["document_id", "version_id"], "left_semi")
 
 
-def search(chunks: DataFrame, query: str, limit: int = 8, vectors: DataFrame | None = None, query_vector: list[float] | None = None, group: bool = False, radius: int = 0, **filters) -> DataFrame:
+def search(chunks: DataFrame | SearchIndex, query: str, limit: int = 8, vectors: DataFrame | None = None, query_vector: list[float] | None = None, group: bool = False, radius: int = 0, titles: DataFrame | None = None, **filters) -> DataFrame:
     """R-1, X-3: keyword, substring, title and, with a query vector, vector lanes; fused, grouped by document if asked; the ordered terms if no lane finds anything; neighbours within radius.
 
-    Word statistics are those of all chunks, filters apply to the lanes' rows. Chunks that aren't an index yet (no ``tokens``) are written as one first. Returns (document_id, chunk_id, chunk_index, score, reasons), or documents, or hits with neighbours.
+    chunks: a SearchIndex, or a table of chunks that is scanned. Word statistics are those of all chunks, filters apply to
+    the lanes' rows. titles: the first chunk of each document (first_chunks), where a caller keeps it. Returns
+    (document_id, chunk_id, chunk_index, score, reasons), or documents, or hits with neighbours.
     """
     limit = max(1, min(200, limit))
-    chunks = chunks if "tokens" in chunks.columns else indexed(chunks)
-    scoped = in_scope(chunks, **filters)
-    ids = scoped.select("chunk_id")
-    kw = retrieval.keyword_lane(chunks, query, limit, ids if filters else None)
-    sub, title = retrieval.substring_lane(scoped, query, limit), retrieval.title_lane(scoped, query, limit)
+    index = chunks if isinstance(chunks, SearchIndex) else None
+    every = index.chunks() if index else chunks if "tokens" in chunks.columns else indexed(chunks)
+    scoped = in_scope(every, **filters)
+    places = scoped.select("document_id", "chunk_index", "chunk_id")
+    if index:
+        kw = index.keyword(query, limit, places if filters else None)
+        sub = index.substring(query, limit, places if filters else None)
+    else:
+        kw, sub = retrieval.keyword_lane(every, query, limit, places if filters else None), retrieval.substring_lane(scoped, query, limit)
+    heads = retrieval.first_chunks(scoped) if titles is None else titles.join(places.select("chunk_id"), "chunk_id", "left_semi") if filters else titles
+    title = retrieval.title_lane(heads, query, limit)
     lanes = [
         retrieval.ranked(kw, "keyword", 1, F.col("score"), F.col("chunk_id")),
         retrieval.ranked(sub, "substring", 2, F.col("score"), F.col("document_id"), F.col("chunk_index")),
         retrieval.ranked(title, "title", 3, F.desc("score"), F.col("filename"), F.col("document_id")),
     ]
     if vectors is not None and query_vector:
-        near = retrieval.semantic_lane(vectors.join(ids, "chunk_id", "left_semi"), query_vector, limit)
+        near = retrieval.semantic_lane(vectors.join(places, "chunk_id", "left_semi"), query_vector, limit)
         lanes.append(retrieval.ranked(near, "semantic", 4, F.desc("score"), F.col("chunk_id")))
     cols = ["document_id", "chunk_id", "chunk_index", "score", "reasons"]
     found = retrieval.fuse(lanes, scoped, query, 200 if group else limit).select(*cols)
@@ -67,7 +88,7 @@ def search(chunks: DataFrame, query: str, limit: int = 8, vectors: DataFrame | N
         return retrieval.group_documents(found, limit)
     if radius:
         hits = found.select("document_id", "chunk_index", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).alias("rank"))  # limit rows
-        return relational.neighbours(chunks, hits, radius)
+        return relational.neighbours(every, hits, radius)
     return found
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, support
+from ..functions.text import collapse, confirmed, support
 from .citations import supported
 from .relational import first_per
 
@@ -21,13 +22,22 @@ def context(annotations: DataFrame, chunks: DataFrame, radius: int = 200, words:
 
 
 def candidates(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = (), n: int = 3) -> DataFrame:
-    """C-7, C-8: the n best passages of each claim that have any points: its support, two points for its document and two for its page."""
-    c, p = claims.select(*keys, "claim_id", "hint_doc", "hint_page"), passages.select(*keys, "passage_id", "document_id", "page")
-    by_text = supported(claims, passages, keys)
-    by_doc = c.join(p.withColumn("hint_doc", F.col("document_id")), [*keys, "hint_doc"]).select("claim_id", "passage_id", F.lit(2.0).alias("score"))
-    by_page = c.join(p.withColumn("hint_page", F.col("page")), [*keys, "hint_page"]).select("claim_id", "passage_id", F.lit(2.0).alias("score"))
-    both = by_text.unionByName(by_doc).unionByName(by_page).where(F.col("claim_id") != F.col("passage_id"))
-    points = both.groupBy("claim_id", "passage_id").agg(F.round(F.sum("score"), 6).alias("points"))
+    """C-7, C-8: the n best passages of each claim: its support, two points for its document and, within that, two for its page. A passage needs a shared word, the whole text or the document.
+
+    Pairs without support matter only in the order of passage_id, so of each document, and of each page of it, the first
+    n + 1 passages meet the claims that name it, not all of them.
+    """
+    c = claims.select(*keys, "claim_id", "hint_doc", "hint_page")
+    p = passages.select(*keys, "passage_id", "document_id", "page")
+    by_text = supported(claims, passages, keys, least=0.0, shared=1).select(*keys, "claim_id", "passage_id", "score")
+    heads = first_per(p, [*keys, "document_id"], F.col("passage_id"), n=n + 1).unionByName(first_per(p, [*keys, "document_id", "page"], F.col("passage_id"), n=n + 1)).distinct()
+    hinted = heads.withColumnRenamed("document_id", "hint_doc").join(c, [*keys, "hint_doc"])
+    hinted = hinted.where((F.col("claim_id") != F.col("passage_id"))).select(*keys, "claim_id", "passage_id", F.lit(0.0).alias("score"))
+    both = by_text.unionByName(hinted).groupBy(*keys, "claim_id", "passage_id").agg(F.max("score").alias("score"))
+    met = both.join(c, [*keys, "claim_id"]).join(p, [*keys, "passage_id"])
+    doc = F.coalesce(F.col("hint_doc") == F.col("document_id"), F.lit(False))
+    page = doc & F.coalesce(F.col("hint_page") == F.col("page"), F.lit(False))
+    points = met.select("claim_id", "passage_id", F.round(F.col("score") + F.when(doc, 2).otherwise(0) + F.when(page, 2).otherwise(0), 6).alias("points"))
     return first_per(points, ["claim_id"], F.desc("points"), F.col("passage_id"), n=n)
 
 
@@ -35,8 +45,8 @@ def apply_mapping(mapping: DataFrame, claims: DataFrame, passages: DataFrame) ->
     """C-9: each proposed (claim, passage) pair as accepted or why not: unknown claim, unknown passage, repeated, no support."""
     m = mapping.withColumn("_n", F.row_number().over(Window.partitionBy("claim_id", "passage_id").orderBy("seq")))
     m = m.join(claims.select("claim_id", "claim"), "claim_id", "left").join(passages.select("passage_id", "passage"), "passage_id", "left")
-    score = support(F.col("claim"), F.col("passage"))
-    why = F.when(F.col("claim").isNull(), "unknown-claim").when(F.col("passage").isNull(), "unknown-passage").when(F.col("_n") > 1, "repeated").when(score < 0.3, "unsupported").otherwise("accepted")
+    ok = confirmed(support(F.col("claim"), F.col("passage")))
+    why = F.when(F.col("claim").isNull(), "unknown-claim").when(F.col("passage").isNull(), "unknown-passage").when(F.col("_n") > 1, "repeated").when(~ok, "unsupported").otherwise("accepted")
     return m.select("seq", "claim_id", "passage_id", why.alias("result"))
 
 
@@ -141,15 +151,49 @@ def merged_segments(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return c.select(*keys, "chunk_index", (total - F.col("_new")).cast("long").alias("segment_start"), total.cast("long").alias("segment_end"))
 
 
-def merge_rects(rects: DataFrame, keys: list[str]) -> DataFrame:
-    """W-20: rectangles of one line (rounded top) joined where the gap is at most half their height: islands by the running right edge."""
-    r = rects.withColumn("_line", F.round(F.col("y") / F.greatest(F.col("height"), F.lit(1e-6)), 0))
-    w = Window.partitionBy(*keys, "_line").orderBy("x", "width")
-    right = F.max(F.col("x") + F.col("width")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    r = r.withColumn("_new", F.when(right.isNull() | (F.col("x") > right + F.col("height") / 2), 1).otherwise(0))
-    r = r.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = r.groupBy(*keys, "_line", "_island").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right"), F.max(F.col("y") + F.col("height")).alias("bottom"))
-    return g.drop("_line", "_island")
+def line_boxes(boxes: list[tuple[float, float, float, float]]) -> list[tuple[float, float, float, float]]:
+    """(x, y, right, top) boxes merged along their lines, highest line first, left to right.
+
+    A box joins the first line that has a box which it overlaps by more than half of the smaller height. Along a line
+    neighbours are joined where the gap is at most half of the smaller height.
+    """
+    lines: list[list[tuple[float, float, float, float]]] = []
+    for b in boxes:
+        for line in lines:
+            if any(min(b[3], o[3]) - max(b[1], o[1]) > 0.5 * min(b[3] - b[1], o[3] - o[1]) for o in line):
+                line.append(b)
+                break
+        else:
+            lines.append([b])
+    out = []
+    for line in sorted(lines, key=lambda k: -max(b[3] for b in k)):
+        line.sort(key=lambda b: b[0])
+        now = line[0]
+        for b in line[1:]:
+            if b[0] <= now[2] + 0.5 * min(now[3] - now[1], b[3] - b[1]):
+                now = (now[0], min(now[1], b[1]), max(now[2], b[2]), max(now[3], b[3]))
+            else:
+                out.append(now)
+                now = b
+        out.append(now)
+    return out
+
+
+def merge_rects(rects: DataFrame, keys: list[str], order: tuple[str, ...] = ("y", "x", "height", "width")) -> DataFrame:
+    """W-20: (keys, place, x, y, right, bottom): the rectangles of each key (name the page among them) merged along their lines, y growing upward.
+
+    Rectangles without area are left out; ``order`` is the order in which they come, place the reading order. A group is a page's marks.
+    """
+    r = rects.where("width > 0 AND height > 0")
+    box = F.struct(*[F.col(c).cast("double").alias(f"o{i}") for i, c in enumerate(order)], "x", "y", (F.col("x") + F.col("width")).alias("r"), (F.col("y") + F.col("height")).alias("t"))
+    g = r.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("b"))
+    part = "array<struct<x:double,y:double,right:double,bottom:double>>"
+
+    @F.pandas_udf(part)
+    def merged(boxes: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("x", "y", "right", "bottom"), map(float, b))) for b in line_boxes([(o["x"], o["y"], o["r"], o["t"]) for o in list_])] for list_ in boxes])
+
+    return g.select(*keys, F.posexplode(merged("b")).alias("place", "m")).select(*keys, "place", "m.*")
 
 
 def chars_in_rects(chars: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:

@@ -27,14 +27,23 @@ def search_text(chunks: DataFrame) -> Column:
     return F.concat_ws("\n", F.col("section_path"), F.col("content")) if "section_path" in chunks.columns else F.col("content")
 
 
+def bm25(frequencies: list[Column], length: Column, n: int, mean: float, found: list[int]) -> Column:
+    """F-11: the score of a chunk by how often it has each term, its length, and in how many of n chunks the terms are found."""
+    idf = [F.log((F.lit(float(n)) - d + 0.5) / (d + 0.5)) for d in found]
+    idf = [F.when(x <= 0, 1e-6).otherwise(x) for x in idf]
+    own = K1 * (1 - B + B * length / float(mean or 1))
+    return reduce(lambda a, b: a + b, [w * f * (K1 + 1) / (f + own) for w, f in zip(idf, frequencies)])
+
+
 def _begins(term: str):
     return lambda x: x.startswith(term)
 
 
 def keyword_lane(chunks: DataFrame, query: str, limit: int = 8, scope: DataFrame | None = None) -> DataFrame:
-    """R-2, F-3, F-11, S-3: (document_id, chunk_id, chunk_index, score): chunks with a token beginning with each term, by BM25 (less is better); statistics over all chunks, hits only those of scope (chunk_id) if given.
+    """R-2, F-3, F-11, S-3 without postings: (document_id, chunk_id, chunk_index, score): chunks with a token beginning with each term, by BM25 (less is better); statistics over all chunks, hits only those of scope (chunk_id) if given.
 
-    Only ids and token counts are kept of a chunk. Chunks with a ``tokens`` column (a written index) aren't tokenised again.
+    A scan of all tokens, for tables that are searched once; operators.postings gives the same rows from an index. Chunks
+    with a ``tokens`` column aren't tokenised again.
     """
     terms = query_terms(query)
     tk = chunks.select("document_id", "chunk_id", "chunk_index", (F.col("tokens") if "tokens" in chunks.columns else tokens(search_text(chunks))).alias("_tk"))
@@ -42,26 +51,36 @@ def keyword_lane(chunks: DataFrame, query: str, limit: int = 8, scope: DataFrame
     stats = hits.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms))]).first()
     if not terms or not stats.n:
         return hits.where("false").select("document_id", "chunk_id", "chunk_index", F.lit(0.0).alias("score"))
-    idf = [F.log((F.lit(float(stats.n)) - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5)) for i in range(len(terms))]
-    idf = [F.when(x <= 0, 1e-6).otherwise(x) for x in idf]
-    length = K1 * (1 - B + B * F.col("_len") / float(stats.avg or 1))
-    score = reduce(lambda a, b: a + b, [w * F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + length) for i, w in enumerate(idf)])
+    score = bm25([F.col(f"_f{i}") for i in range(len(terms))], F.col("_len"), stats.n, stats.avg, [stats[f"d{i}"] for i in range(len(terms))])
     hits = hits.where(reduce(lambda a, b: a & b, [F.col(f"_f{i}") > 0 for i in range(len(terms))])).withColumn("score", F.round(-score, 6))
     if scope is not None:
         hits = hits.join(scope.select("chunk_id"), "chunk_id", "left_semi")
     return hits.select("document_id", "chunk_id", "chunk_index", "score").orderBy("score", "chunk_id").limit(candidate_limit(limit))
 
 
+def spread_words(text: Column, query: str) -> Column:
+    """F-4: the query's words in their order with anything between, as a LIKE."""
+    words = query.strip().lower().split()
+    return text.like("%" + "%".join(w.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") for w in words) + "%") & F.lit(bool(words))
+
+
 def substring_lane(chunks: DataFrame, query: str, limit: int = 8) -> DataFrame:
-    """R-3: chunks that hold the query, most occurrences first."""
+    """R-3: chunks that hold the query, most occurrences first; if none does, those with its words in order."""
     text, q = F.lower(search_text(chunks)), query.strip().lower()
     n = (F.length(text) - F.length(F.replace(text, F.lit(q), F.lit("")))) / max(1, len(q))
-    return chunks.where(F.contains(text, F.lit(q)) & F.lit(bool(q))).withColumn("score", -n).orderBy("score", "document_id", "chunk_index").limit(candidate_limit(limit))
+    exact = chunks.where(F.contains(text, F.lit(q)) & F.lit(bool(q))).withColumn("score", -n).orderBy("score", "document_id", "chunk_index").limit(candidate_limit(limit))
+    if len(q.split()) < 2:
+        return exact
+    return with_fallback(exact, chunks.where(spread_words(text, q)).withColumn("score", F.lit(0.0)).orderBy("document_id", "chunk_index").limit(candidate_limit(limit)))
+
+
+def first_chunks(chunks: DataFrame) -> DataFrame:
+    """J-5: (document_id, filename, chunk_id, chunk_index) of each document's first chunk."""
+    return chunks.groupBy("document_id", "filename").agg(F.min_by("chunk_id", "chunk_index").alias("chunk_id"), F.min("chunk_index").alias("chunk_index"))
 
 
-def title_lane(chunks: DataFrame, query: str, limit: int = 8) -> DataFrame:
-    """R-5, J-5: the first chunk of documents whose name fits, best name first."""
-    first = chunks.groupBy("document_id", "filename").agg(F.min_by("chunk_id", "chunk_index").alias("chunk_id"), F.min("chunk_index").alias("chunk_index"))
+def title_lane(first: DataFrame, query: str, limit: int = 8) -> DataFrame:
+    """R-5: of first_chunks those of documents whose name fits, best name first."""
     return first.withColumn("score", title_score(F.col("filename"), query)).where("score > 0").orderBy(F.desc("score"), "filename", "document_id").limit(candidate_limit(limit))
 
 

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from itertools import accumulate
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -86,35 +85,111 @@ def reduce_problems(points: DataFrame, evidence: DataFrame, batches: DataFrame)
     return unknown.unionByName(omitted)
 
 
+def _tokens(text: str) -> list[tuple[str, int, int]]:
+    """Runs of letters and digits in compatibility form and lower case, with their places."""
+    return [(unicodedata.normalize("NFKC", m[0]).lower(), *m.span()) for m in re.finditer(r"[^\W_]+", text)]
+
+
+def _squeezed(text: str) -> tuple[str, list[int]]:
+    """The text's characters in compatibility form and lower case without white space, and the place of each in the text."""
+    out, places = [], []
+    for i, c in enumerate(text):
+        for x in unicodedata.normalize("NFKC", c).lower():
+            if not x.isspace():
+                out.append(x)
+                places.append(i)
+    return "".join(out), places
+
+
+class RunAutomaton:
+    """Suffix automaton of a token sequence: the longest run of it that ends at each token of another sequence, in linear time."""
+
+    def __init__(self, tokens: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.size = [-1], [0]
+        last = 0
+        for t in tokens:
+            new = self._state(self.size[last] + 1, {})
+            p = last
+            while p >= 0 and t not in self.next[p]:
+                self.next[p][t] = new
+                p = self.link[p]
+            if p < 0:
+                self.link[new] = 0
+            else:
+                q = self.next[p][t]
+                if self.size[q] == self.size[p] + 1:
+                    self.link[new] = q
+                else:  # q stands for longer runs too: part it
+                    part = self._state(self.size[p] + 1, dict(self.next[q]))
+                    self.link[part] = self.link[q]
+                    self.link[q] = self.link[new] = part
+                    while p >= 0 and self.next[p].get(t) == q:
+                        self.next[p][t] = part
+                        p = self.link[p]
+            last = new
+
+    def _state(self, size: int, following: dict[str, int]) -> int:
+        self.next.append(following)
+        self.link.append(0)
+        self.size.append(size)
+        return len(self.size) - 1
+
+    def longest(self, tokens: list[str]) -> tuple[int, list[int]]:
+        """(length, starts in tokens) of the longest runs that both sequences have."""
+        at, n, best, starts = 0, 0, 0, []
+        for i, t in enumerate(tokens):
+            while at and t not in self.next[at]:
+                at = self.link[at]
+                n = self.size[at]
+            if t in self.next[at]:
+                at, n = self.next[at][t], n + 1
+            if n > best:
+                best, starts = n, []
+            if n and n == best:
+                starts.append(i - n + 1)
+        return best, starts
+
+
+MOST_TOKENS = 25
+
+
+def _limited(text: str, start: int, end: int) -> tuple[int, int]:
+    """At most MOST_TOKENS tokens from start on, without white space at the end."""
+    tokens = _tokens(text[start:end])
+    if len(tokens) > MOST_TOKENS:
+        end = start + tokens[MOST_TOKENS - 1][2]
+    return start, start + len(text[start:end].rstrip())
+
+
 def locate_quote(text: str, quote: str) -> tuple[int, int] | None:
-    """M-3: the only place of a quote: exact, then without regard to white space, then by its longest run of words (3 or all; at most 25)."""
+    """M-3: the only place of a quote in a text, at most 25 tokens of it: exact, else without regard to white space, case and width, else a window of 25 tokens round its longest run of tokens (3 at least, or all), if that stands in one place only."""
     if not quote or not text:
         return None
-    if (at := text.find(quote)) >= 0:
-        return (at, at + len(quote)) if text.find(quote, at + len(quote)) < 0 else None
-    spans = [m.span() for m in re.finditer(r"\S+", text)]
-    line = " ".join(text[a:b] for a, b in spans)
-    begins = list(accumulate((b - a + 1 for a, b in spans), initial=0))
-
-    def place(i: int) -> int:
-        k = bisect_right(begins, i) - 1
-        return spans[k][0] + i - begins[k]
-
-    def only(run: str) -> tuple[int, int] | None:
-        return (place(at := line.find(run)), place(at + len(run) - 1) + 1) if line.count(run) == 1 else None
-
-    w = quote.split()
-    if not w or line.count(whole := " ".join(w)):
-        return only(whole) if w else None
-    for n in range(min(25, len(w)), min(3, len(w)) - 1, -1):
-        for i in range(len(w) - n + 1):
-            if found := only(" ".join(w[i : i + n])):
-                return found
-    return None
+    at = text.find(quote)
+    if at >= 0 and text.rfind(quote) == at:
+        return _limited(text, at, at + len(quote))
+    squeezed, places = _squeezed(text)
+    wanted, _ = _squeezed(quote)
+    if not wanted:
+        return None
+    at = squeezed.find(wanted)
+    if at >= 0 and squeezed.rfind(wanted) == at:
+        return _limited(text, places[at], places[at + len(wanted) - 1] + 1)
+    source, asked = _tokens(text), _tokens(quote)
+    if not source or not asked:
+        return None
+    n, starts = RunAutomaton([t for t, _, _ in asked]).longest([t for t, _, _ in source])
+    if n < min(len(asked), 3) or len(starts) != 1:
+        return None
+    first = max(0, starts[0] - max(0, MOST_TOKENS - n) // 2)
+    end = min(len(source), first + MOST_TOKENS)
+    return _limited(text, source[max(0, end - MOST_TOKENS)][1], source[end - 1][2])
 
 
 @F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 def located(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
+    """M-3 as a Column: struct(start, end), null where the quote has no single place."""
     rows = [locate_quote(t, q) or (None, None) for t, q in zip(text, quote)]
     return pd.DataFrame(rows, columns=["start", "end"]).astype("Int32")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from ..operators import citations as ct
 from ..operators import dml
 from ..operators import engine as en
 from ..operators import evidence as ev
+from ..operators import postings as po
 from ..operators import relational as rl
 from ..operators import retrieval as rt
 from ..operators import summaries as sm
@@ -22,6 +26,7 @@ from ..operators import workspace as ws
 from ..operators.builder import from_table
 from ..sources import files as fl
 from ..sources import tables as tb
+from ..sources.shared import shared_dir
 from ..streaming import queues as st
 
 QUERIES: dict = {}
@@ -136,9 +141,45 @@ kw AS (
 """
 
 
+_INDEXES: dict[tuple[str, str], po.SearchIndex] = {}
+
+
+def _index(s, d) -> po.SearchIndex:
+    """The search index of a folder's documents: written by the first search of a session, read by all others."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = po.SearchIndex.create(tb.chunks(s, d), f"{shared_dir(s)}/search-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 @query("search_keyword_bm25", f"WITH {CHUNKS}, {_BM25} SELECT document_id, chunk_id, score FROM kw")
 def _(s, d):
-    return rt.keyword_lane(en.indexed(tb.chunks(s, d)), QUERY).select("document_id", "chunk_id", "score")
+    return _index(s, d).keyword(QUERY).select("document_id", "chunk_id", "score")
+
+
+@query("search_keyword_scan", f"WITH {CHUNKS}, {_BM25} SELECT document_id, chunk_id, score FROM kw")
+def _(s, d):
+    return rt.keyword_lane(tb.chunks(s, d), QUERY).select("document_id", "chunk_id", "score")
+
+
+@query(
+    "search_after_update",
+    f"""WITH {CHUNKS.replace("FROM documents)", "FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 10 = 3 THEN text || ' thannda erlya' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 4))")}, {_BM25} SELECT document_id, chunk_id, score FROM kw""",
+)
+def _(s, d):
+    index = po.SearchIndex.create(tb.chunks(s, d), f"{shared_dir(s)}/search-{uuid.uuid4().hex}")
+    docs = tb.documents(s, d)
+    new = docs.where("document_id % 10 = 3").withColumn("content", F.concat("content", F.lit(" thannda erlya")))
+    index.update(ch.chunk_words(new, "document_id", "content", keep=("filename", "project_id", "folder")), docs.where("document_id % 10 = 4").select("document_id"))
+    return index.keyword(QUERY).select("document_id", "chunk_id", "score")
+
+
+@query(
+    "index_phrase",
+    f"WITH {CHUNKS}, tk AS (SELECT document_id, chunk_index, {_tokens_sql('content')} AS tk FROM cid), p AS (SELECT *, unnest(range(0, len(tk) - 1)) AS i FROM tk) SELECT document_id, chunk_index, i::INT AS place FROM p WHERE tk[i + 1] = 'of' AND tk[i + 2] = 'the'",
+)
+def _(s, d):
+    return _index(s, d).phrase(["of", "the"]).withColumnRenamed("at", "place")
 
 
 _SUB = f"sub AS (SELECT *, -((length(content) - length(replace(lower(content), '{PHRASE}', ''))) / {len(PHRASE)}.0)::DOUBLE AS score FROM cid WHERE contains(lower(content), '{PHRASE}') ORDER BY score, document_id, chunk_index LIMIT 64)"
@@ -146,23 +187,28 @@ _SUB = f"sub AS (SELECT *, -((length(content) - length(replace(lower(content), '
 
 @query("search_substring", f"WITH {CHUNKS}, {_SUB} SELECT document_id, chunk_id, score FROM sub")
 def _(s, d):
-    return rt.substring_lane(tb.chunks(s, d), PHRASE).select("document_id", "chunk_id", "score")
+    return _index(s, d).substring(PHRASE).select("document_id", "chunk_id", "score")
+
+
+query("search_substring_scan", f"WITH {CHUNKS}, {_SUB} SELECT document_id, chunk_id, score FROM sub")(lambda s, d: rt.substring_lane(tb.chunks(s, d), PHRASE).select("document_id", "chunk_id", "score"))
 
 
-TITLE = "src1 en"
-_TKEY = r"trim(regexp_replace(lower(regexp_replace(filename, '\.[A-Za-z0-9]{1,8}$', '')), '[^\p{L}\p{N}]+', ' ', 'g'))"
+TITLE = "the draft of src1 21 61 101 141 src2 2 42 82 src3 103"
+_TKEY = r"trim(regexp_replace(lower(regexp_replace(nfc_normalize(filename), '\.[\p{L}\p{N}]{1,10}$', '')), '[^\p{L}\p{N}]+', ' ', 'g'))"
+_GENERIC = ", ".join(f"'{w}'" for w in tx.GENERIC_TITLE_TERMS)
 _TITLE = f"""
 fc AS (SELECT document_id, filename, min_by(chunk_id, chunk_index) AS chunk_id, {_TKEY} AS t FROM cid GROUP BY document_id, filename),
-ts AS (SELECT *, (list_contains(string_split(t, ' '), 'src1')::INT + list_contains(string_split(t, ' '), 'en')::INT) AS m FROM fc),
+ts AS (SELECT *, list_distinct(list_filter(string_split(t, ' '), lambda w: w <> '' AND NOT list_contains([{_GENERIC}], w) AND NOT regexp_full_match(w, '[a-z]'))) AS own FROM fc),
+tm AS (SELECT *, len(own) AS n, len(list_filter(own, lambda w: list_contains(string_split('{TITLE}', ' '), w))) AS m FROM ts),
 title AS (
-  SELECT document_id, filename, chunk_id, CASE WHEN t = '{TITLE}' THEN 500.0 WHEN contains(t, '{TITLE}') THEN 450.0 WHEN length(t) >= 4 AND contains('{TITLE}', t) THEN 400.0
-    WHEN m > 0 THEN 200.0 + 100.0 * m / 2 + m ELSE 0.0 END::DOUBLE AS score FROM ts)
+  SELECT document_id, filename, chunk_id, CASE WHEN t = '{TITLE}' THEN 500.0 WHEN contains(' {TITLE} ', ' ' || t || ' ') THEN 450.0 WHEN starts_with(t, '{TITLE} ') THEN 400.0 ELSE 200 + m / n::DOUBLE * 100 + m END::DOUBLE AS score
+  FROM tm WHERE t <> '' AND n > 0 AND (n > 1 OR contains(t, ' ') OR t = '{TITLE}') AND m >= CASE WHEN n = 1 THEN 1 ELSE greatest(2, ceil(n * 0.6::DOUBLE)) END)
 """
 
 
-@query("search_title", f"WITH {CHUNKS}, {_TITLE} SELECT document_id, filename, chunk_id, score FROM title WHERE score > 0 ORDER BY score DESC, filename, document_id LIMIT 64")
+@query("search_title", f"WITH {CHUNKS}, {_TITLE} SELECT document_id, filename, chunk_id, score FROM title ORDER BY score DESC, filename, document_id LIMIT 64")
 def _(s, d):
-    return rt.title_lane(tb.chunks(s, d), TITLE).select("document_id", "filename", "chunk_id", "score")
+    return rt.title_lane(rt.first_chunks(tb.chunks(s, d)), TITLE).select("document_id", "filename", "chunk_id", "score")
 
 
 def _query_vector(spark, d):
@@ -190,10 +236,10 @@ fused AS (
 
 
 def _fused(s, d, limit):
-    c = en.indexed(tb.chunks(s, d))
-    kw, sub = rt.keyword_lane(c, QUERY), rt.substring_lane(c, PHRASE)
+    index = _index(s, d)
+    kw, sub = index.keyword(QUERY), index.substring(PHRASE)
     lanes = [rt.ranked(kw, "keyword", 1, F.col("score"), F.col("chunk_id")), rt.ranked(sub, "substring", 2, F.col("score"), F.col("document_id"), F.col("chunk_index"))]
-    return rt.fuse(lanes, c, QUERY, limit)
+    return rt.fuse(lanes, index.chunks_of(kw.select("document_id").unionByName(sub.select("document_id"))), QUERY, limit)
 
 
 @query("search_hybrid_rrf", f"WITH {CHUNKS}, {_BM25}, {_SUB}, {_FUSE} SELECT document_id, chunk_id, reasons, score FROM fused ORDER BY score DESC, f, chunk_id LIMIT 20")
@@ -223,10 +269,9 @@ n AS (SELECT c.document_id, c.chunk_index, c.chunk_id, h.chunk_index AS match_in
 SELECT document_id, chunk_index, chunk_id, match_index, chunk_index <> match_index AS is_neighbor FROM n WHERE k = 1""",
 )
 def _(s, d):
-    c = en.indexed(tb.chunks(s, d))
-    kw = rt.keyword_lane(c, QUERY)
-    hits = kw.select("document_id", "chunk_index", F.row_number().over(Window.orderBy("score", "chunk_id")).alias("rank"))
-    return rl.neighbours(c, hits).select("document_id", "chunk_index", "chunk_id", "match_index", "is_neighbor")
+    index = _index(s, d)
+    hits = po.ranked_places(index.keyword(QUERY))
+    return rl.neighbours(index.chunks_of(hits), hits).select("document_id", "chunk_index", "chunk_id", "match_index", "is_neighbor")
 
 
 @query("read_chunk_window", f"WITH {CHUNKS}, top AS (SELECT document_id, max(chunk_index) AS m FROM cid GROUP BY document_id) SELECT c.document_id, c.chunk_index, c.content FROM cid c JOIN top t ON c.document_id = t.document_id AND c.chunk_index BETWEEN t.m - 5 AND t.m + 5")
@@ -237,8 +282,8 @@ def _(s, d):
 
 @query("search_basic_fallback", f"WITH {CHUNKS} SELECT document_id, chunk_index FROM cid WHERE regexp_matches(lower(content), '(?s)of.*the.*ed') ORDER BY document_id, chunk_index LIMIT 30")
 def _(s, d):
-    c = en.indexed(tb.chunks(s, d))
-    return rt.with_fallback(rt.keyword_lane(c, "zzzz qqqq"), rt.basic_lane(c, "of the ed", 30)).select("document_id", "chunk_index")
+    index = _index(s, d)
+    return rt.with_fallback(index.keyword("zzzz qqqq"), rt.basic_lane(index.chunks(), "of the ed", 30)).select("document_id", "chunk_index")
 
 
 @query(
@@ -299,7 +344,10 @@ query("builder_is_null", "SELECT doc_id FROM documents WHERE lang IS NULL OR sou
 query("builder_range_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 40")(
     lambda s, d: from_table(T(s, d, "orders")).order("o_totalprice", False).order("o_orderkey").range(40, 59).select("o_orderkey", "o_totalprice").frame()
 )
-query("builder_count", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")(lambda s, d: s.range(1).select(F.lit(from_table(T(s, d, "orders")).match(o_orderstatus="F").limit(3).count()).cast("long").alias("n")))
+query("builder_or_text", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_orderpriority IN ('1-URGENT', '5-LOW') OR NOT (o_totalprice < 250000)) AND (o_custkey = 7 OR o_orderstatus <> 'P')")(
+    lambda s, d: from_table(T(s, d, "orders")).or_text("o_orderstatus.eq.F,o_orderpriority.in.(1-URGENT,5-LOW),o_totalprice.not.lt.250000").or_text("o_custkey.eq.7,o_orderstatus.neq.P").select("o_orderkey").frame()
+)
+query("builder_count", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")(lambda s, d: from_table(T(s, d, "orders")).match(o_orderstatus="F").limit(3).count_frame())
 query("builder_optional_filter", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY'")(lambda s, d: from_table(T(s, d, "customer")).if_given("c_nationkey", None).if_given("c_mktsegment", "MACHINERY").select("c_custkey").frame())
 
 # --- changes
@@ -522,8 +570,8 @@ ORACLES["folder_paths"] = ORACLES["folder_paths"].replace("RECURSIVE_t AS (SELEC
 
 def _family_sql(c: str) -> str:
     h = [f"(CASE WHEN regexp_full_match({c}, '#[0-9A-Fa-f]{{6}}') THEN ('0x' || substr({c}, {i}, 2))::INT END / 255.0)" for i in (2, 4, 6)]
-    return f"""(SELECT CASE WHEN r IS NULL THEN NULL WHEN l < 0.08 THEN 'black' WHEN sa < 0.12 AND l > 0.92 THEN 'white' WHEN sa < 0.12 THEN 'gray' WHEN hue < 15 OR hue >= 345 THEN 'red' WHEN hue < 45 THEN 'orange'
- WHEN hue < 70 THEN 'yellow' WHEN hue < 170 THEN 'green' WHEN hue < 255 THEN 'blue' WHEN hue < 290 THEN 'purple' ELSE 'pink' END FROM (
+    return f"""(SELECT CASE WHEN r IS NULL THEN NULL WHEN sa * 100 <= 12 OR l * 100 <= 4 OR l * 100 >= 98 THEN 'gray' WHEN hue < 15 OR hue >= 345 THEN 'red' WHEN hue < 45 THEN 'orange'
+ WHEN hue < 75 THEN 'yellow' WHEN hue < 165 THEN 'green' WHEN hue < 255 THEN 'blue' WHEN hue < 290 THEN 'purple' ELSE 'pink' END FROM (
  SELECT *, CASE WHEN dd = 0 THEN 0 WHEN hi = r THEN 60 * (((g - b) / dd + 6) % 6) WHEN hi = g THEN 60 * ((b - r) / dd + 2) ELSE 60 * ((r - g) / dd + 4) END AS hue, CASE WHEN dd = 0 THEN 0 ELSE dd / (1 - abs(2 * l - 1)) END AS sa FROM (
  SELECT *, hi - lo AS dd, (hi + lo) / 2 AS l FROM (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM (SELECT {h[0]} AS r, {h[1]} AS g, {h[2]} AS b)))))"""
 
@@ -545,7 +593,7 @@ query("color_family", f"WITH h AS (SELECT DISTINCT {_HEX} AS color FROM lineitem
 @query(
     "annotation_facets",
     f"""WITH {_ANN}, base AS (SELECT * FROM ann WHERE contains(lower(concat_ws(' ', quote, comment)), 'c'))
-SELECT 'color' AS facet, family AS value, count(*) AS n, CASE WHEN family IS NULL THEN 11 ELSE list_position({vl.FAMILIES!r}, family) END::BIGINT AS place FROM base GROUP BY family
+SELECT 'color' AS facet, family AS value, count(*) AS n, CASE WHEN family IS NULL THEN {len(vl.FAMILIES) + 1} ELSE list_position({vl.FAMILIES!r}, family) END::BIGINT AS place FROM base GROUP BY family
 UNION ALL SELECT 'document', filename, count(*), row_number() OVER (ORDER BY filename, document_id) FROM base WHERE family IN ('red', 'blue') GROUP BY document_id, filename""",
 )
 def _(s, d):
@@ -602,44 +650,72 @@ def _(s, d):
 
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+_DECOMPOSED = {c: d for c in map(chr, [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]) if (d := unicodedata.normalize("NFKD", c)) != c}
 
 
-def _stem_sql(w: str) -> str:
-    n = f"length({w})"
-    return f"CASE WHEN {n} >= 6 AND ends_with({w}, 'ing') THEN substr({w}, 1, {n} - 3) WHEN {n} >= 5 AND ends_with({w}, 'ed') THEN substr({w}, 1, {n} - 2) WHEN {n} >= 5 AND ends_with({w}, 'es') THEN substr({w}, 1, {n} - 2) WHEN {n} >= 4 AND ends_with({w}, 's') AND NOT ends_with({w}, 'ss') THEN substr({w}, 1, {n} - 1) ELSE {w} END"
+def _lexical_sql(c: str) -> str:
+    """A text in lexical form; decomposition by a table of Latin letters."""
+    keys, values = (", ".join(f"'{x}'" for x in xs) for xs in (_DECOMPOSED, _DECOMPOSED.values()))
+    apart = f"array_to_string(list_transform(string_split({c}, ''), lambda x: coalesce(MAP([{keys}], [{values}])[x], x)), '')"
+    return rf"trim(regexp_replace(regexp_replace(lower({apart}), '[’'']', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
-def _set_sql(c: str) -> str:
-    return f"list_distinct(list_transform(list_filter({_tokens_sql(c)}, lambda w: length(w) >= 2 AND NOT list_contains([{_STOP}], w)), lambda w: {_stem_sql('w')}))"
+def _stem_sql(w: str) -> str:
+    n = f"length({w})"
+    return f"CASE WHEN {n} > 5 AND ends_with({w}, 'ing') THEN substr({w}, 1, {n} - 3) WHEN {n} > 4 AND ends_with({w}, 'ed') THEN substr({w}, 1, {n} - 2) WHEN {n} > 4 AND ends_with({w}, 'es') THEN substr({w}, 1, {n} - 2) WHEN {n} > 3 AND ends_with({w}, 's') THEN substr({w}, 1, {n} - 1) ELSE {w} END"
 
 
+# claims are the benchmark's texts, passages the lines of all documents
 _SUPPORT = f"""
-b AS (SELECT item_id, text, {_set_sql("text")} AS s, {_KEY.format("text")} AS k FROM benchmark),
-sc AS (SELECT x.item_id AS claim_id, y.item_id AS passage_id, CASE WHEN length(x.k) >= 12 AND (contains(y.k, x.k) OR contains(x.k, y.k)) THEN 1.0 WHEN least(len(x.s), len(y.s)) = 0 OR len(list_intersect(x.s, y.s)) < 2 THEN 0.0
-  ELSE len(list_intersect(x.s, y.s)) / least(len(x.s), len(y.s))::DOUBLE END AS score FROM b x JOIN b y ON x.item_id <> y.item_id)
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents WHERE text IS NOT NULL),
+t AS (SELECT item_id AS id, true AS claim, text FROM benchmark UNION ALL SELECT (doc_id + 1) * 1000000 + no, false, line FROM l),
+k AS (SELECT *, {_lexical_sql("text")} AS k FROM t),
+b AS (SELECT *, list_distinct(list_transform(list_filter(string_split(k, ' '), lambda w: length(w) > 1 AND NOT list_contains([{_STOP}], w)), lambda w: {_stem_sql('w')})) AS s FROM k),
+so AS (SELECT x.id AS claim_id, y.id AS passage_id, x.k <> '' AND y.k <> '' AS full_, contains(y.k, x.k) OR contains(x.k, y.k) AS within, len(list_intersect(x.s, y.s)) AS shared, greatest(least(len(x.s), len(y.s)), 1) AS least_ FROM b x JOIN b y ON x.claim AND NOT y.claim),
+sc AS (SELECT claim_id, passage_id, full_ AND within AS near, CASE WHEN full_ THEN shared ELSE 0 END AS shared, CASE WHEN NOT full_ THEN 0.0 WHEN within THEN 1.0 ELSE shared / least_::DOUBLE END::DOUBLE AS score FROM so),
+ok AS (SELECT * FROM sc WHERE near OR shared >= 2 AND score >= 0.3)
 """
 
 
 def _claims(s, d):
     b = T(s, d, "benchmark")
-    return b.select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim")), b.select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
+    lines = T(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "passage"))
+    return b.select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim")), lines.select(((F.col("doc_id") + 1) * 1_000_000 + F.col("no")).alias("passage_id"), "passage")
 
 
-@query("lexical_support", f"WITH {_SUPPORT} SELECT claim_id, passage_id, round(score, 6)::DOUBLE AS score FROM sc WHERE score > 0")
+@query("lexical_support", f"WITH {_SUPPORT} SELECT claim_id, passage_id, round(score, 6)::DOUBLE AS score, shared::INT AS shared, near FROM ok")
 def _(s, d):
-    return ct.supported(*_claims(s, d))
+    return ct.supported(*_claims(s, d)).withColumn("score", F.round("score", 6))
 
 
 @query(
     "rebind_margin",
-    f"""WITH {_SUPPORT}, r AS (SELECT claim_id, passage_id, round(score, 6) AS score FROM sc WHERE score > 0),
-m AS (SELECT *, score - coalesce(lead(score) OVER (PARTITION BY claim_id ORDER BY score DESC, passage_id), 0) AS margin, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, passage_id) AS k FROM r)
-SELECT item_id AS claim_id, passage_id, coalesce(score, 0)::DOUBLE AS score, coalesce(round(margin, 6), 0)::DOUBLE AS margin, coalesce(score >= 0.3 AND round(margin, 6) >= 0.05, false) AS bound FROM benchmark LEFT JOIN m ON claim_id = item_id AND k = 1""",
+    f"""WITH {_SUPPORT},
+m AS (SELECT *, lead(score) OVER w AS s2, lead(near) OVER w AS n2, row_number() OVER w AS k FROM ok WINDOW w AS (PARTITION BY claim_id ORDER BY score DESC, passage_id))
+SELECT item_id AS claim_id, passage_id, coalesce(round(score, 6), 0)::DOUBLE AS score, coalesce(round(score - coalesce(s2, 0), 6), 0)::DOUBLE AS margin, coalesce(s2 IS NULL OR (near AND NOT n2) OR score - s2 >= 0.05::DOUBLE, false) AS bound FROM benchmark LEFT JOIN m ON claim_id = item_id AND k = 1""",
 )
 def _(s, d):
     return ct.rebind(*_claims(s, d))
 
 
+@query(
+    "rebind_current",
+    f"""WITH {_SUPPORT},
+m AS (SELECT *, lead(score) OVER w AS s2, lead(near) OVER w AS n2, row_number() OVER w AS k FROM ok WINDOW w AS (PARTITION BY claim_id ORDER BY score DESC, passage_id)),
+cur AS (SELECT claim_id, score AS now_ FROM sc WHERE passage_id = (claim_id * 7 % 100 + 1) * 1000000 AND claim_id % 3 <> 0),
+sem AS (SELECT claim_id, chunk_id FROM (SELECT item_id AS claim_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY (item_id + chunk_id * 5) % 7 DESC, chunk_id) AS r FROM benchmark, (SELECT unnest(range(6)) AS chunk_id)) WHERE r <= 3)
+SELECT item_id AS claim_id, m.passage_id, coalesce(round(score, 6), 0)::DOUBLE AS score, coalesce(round(score - coalesce(s2, 0), 6), 0)::DOUBLE AS margin,
+  coalesce((s2 IS NULL OR (near AND NOT n2) OR score - s2 >= 0.05::DOUBLE) AND (now_ IS NULL OR score > now_) AND sem.chunk_id IS NOT NULL, false) AS bound
+FROM benchmark LEFT JOIN m ON m.claim_id = item_id AND k = 1 LEFT JOIN cur ON cur.claim_id = item_id LEFT JOIN sem ON sem.claim_id = item_id AND sem.chunk_id = m.passage_id % 6""",
+)
+def _(s, d):
+    c, p = _claims(s, d)
+    named = p.select(F.col("passage_id").alias("now_id"), F.col("passage").alias("named"))
+    c = c.withColumn("now_id", F.when(F.col("claim_id") % 3 != 0, (F.col("claim_id") * 7 % 100 + 1) * 1_000_000)).join(named, "now_id", "left")
+    near = c.select("claim_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("chunk_id")).withColumn("similarity", ((F.col("claim_id") + F.col("chunk_id") * 5) % 7).cast("double"))
+    return ct.rebind(c, p.withColumn("chunk_id", (F.col("passage_id") % 6).cast("int")), current="named", semantic=near)
+
+
 _MARKED = "SELECT conv_id AS id, concat(text, ' [', turn, '] and [', turn, ', ', turn + 2, ']') AS text FROM conversations"
 _CITES = "SELECT conv_id AS id, turn AS ref, conv_id AS document_id FROM conversations UNION ALL SELECT conv_id, turn, conv_id FROM conversations WHERE turn = 1 AND conv_id % 3 = 0"
 _MARKS = rf"marks AS (SELECT id, (u - 1)::INT AS position, r[u]::INT AS ref FROM (SELECT id, r, unnest(range(1, len(r) + 1)) AS u FROM (SELECT id, flatten(list_transform(regexp_extract_all(text, '\[([0-9]+(?:, *[0-9]+)*)\]', 1), lambda g: regexp_split_to_array(g, ', *'))) AS r FROM ({_MARKED}))))"
@@ -939,8 +1015,9 @@ def _(s, d):
 
 @query(
     "quote_candidates",
-    f"""WITH {_SUPPORT}, r AS (SELECT claim_id, passage_id, round(round(score, 6) + CASE WHEN passage_id % 16 = claim_id % 16 THEN 2 ELSE 0 END + CASE WHEN passage_id % 5 = claim_id % 5 THEN 2 ELSE 0 END, 6)::DOUBLE AS points FROM sc)
-SELECT claim_id, passage_id, points FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY points DESC, passage_id) AS k FROM r WHERE points > 0) WHERE k <= 3""",
+    f"""WITH {_SUPPORT}, h AS (SELECT *, passage_id % 16 = claim_id % 16 AS doc, passage_id % 5 = claim_id % 5 AS page FROM sc),
+r AS (SELECT claim_id, passage_id, round(score + CASE WHEN doc THEN 2 ELSE 0 END + CASE WHEN doc AND page THEN 2 ELSE 0 END, 6)::DOUBLE AS points FROM h WHERE near OR shared > 0 OR doc)
+SELECT claim_id, passage_id, points FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY points DESC, passage_id) AS k FROM r) WHERE k <= 3""",
 )
 def _(s, d):
     c, p = _claims(s, d)
@@ -950,13 +1027,14 @@ def _(s, d):
 
 @query(
     "mapping_results",
-    f"""WITH {_SUPPORT}, m AS (SELECT item_id AS seq, item_id AS claim_id, item_id % 8 + CASE WHEN item_id % 3 = 0 THEN 1000 ELSE 0 END AS passage_id FROM benchmark)
-SELECT m.seq, m.claim_id, m.passage_id, CASE WHEN m.passage_id >= 1000 THEN 'unknown-passage' WHEN m.claim_id = m.passage_id THEN 'accepted' WHEN coalesce(sc.score, 0) < 0.3 THEN 'unsupported' ELSE 'accepted' END AS result
-FROM m LEFT JOIN sc ON sc.claim_id = m.claim_id AND sc.passage_id = m.passage_id""",
+    f"""WITH {_SUPPORT}, m AS (SELECT DISTINCT claim_id * 10000000000 + passage_id AS seq, claim_id, passage_id + CASE WHEN claim_id % 3 = 0 THEN 1 ELSE 0 END * 100000000000 AS passage_id FROM sc WHERE shared > 1)
+SELECT m.seq, m.claim_id, m.passage_id, CASE WHEN m.passage_id >= 100000000000 THEN 'unknown-passage' WHEN ok.claim_id IS NULL THEN 'unsupported' ELSE 'accepted' END AS result
+FROM m LEFT JOIN ok ON ok.claim_id = m.claim_id AND ok.passage_id = m.passage_id""",
 )
 def _(s, d):
     c, p = _claims(s, d)
-    m = T(s, d, "benchmark").select(F.col("item_id").alias("seq"), F.col("item_id").alias("claim_id"), (F.col("item_id") % 8 + F.when(F.col("item_id") % 3 == 0, 1000).otherwise(0)).alias("passage_id"))
+    proposed = ct.supported(c, p, least=0.0).where("shared > 1")
+    m = proposed.select((F.col("claim_id") * 10_000_000_000 + F.col("passage_id")).alias("seq"), "claim_id", (F.col("passage_id") + F.when(F.col("claim_id") % 3 == 0, 100_000_000_000).otherwise(0)).alias("passage_id"))
     return ev.apply_mapping(m, c, p)
 
 

@@ -174,7 +174,7 @@ query("term_overlap", f"WITH t AS (SELECT item_id, list_distinct({_tokens_sql('t
 # --- text and values
 
 query("text_clip", "SELECT doc_id, CASE WHEN length(text) > 50 THEN concat(substr(text, 1, 49), '…') ELSE text END AS t FROM documents")(lambda s, d: T(s, d, "documents").select("doc_id", tx.clip(F.col("text"), 50).alias("t")))
-query("text_first_term", "SELECT doc_id, coalesce(least(nullif(strpos(lower(text), 'the'), 0), nullif(strpos(lower(text), 'und'), 0)), 0)::INT AS at FROM documents")(lambda s, d: T(s, d, "documents").select("doc_id", tx.first_term(F.col("text"), ["the", "Und"]).cast("int").alias("at")))
+query("text_first_term", "SELECT doc_id, coalesce(nullif(strpos(lower(text), 'the'), 0), nullif(strpos(lower(text), 'und'), 0), 0)::INT AS at FROM documents")(lambda s, d: T(s, d, "documents").select("doc_id", tx.first_term(F.col("text"), ["the", "Und"]).cast("int").alias("at")))
 query("text_long_enough", r"SELECT p_partkey, regexp_matches(w, '[\p{Hangul}\p{Han}\p{Hiragana}\p{Katakana}]') OR length(regexp_replace(w, '[ \t\n\r\f\x0b]+', '', 'g')) >= 3 AS ok FROM (SELECT p_partkey, concat(' ', substr(p_name, 1, (p_partkey % 5)::INT), CASE WHEN p_partkey % 11 = 0 THEN '한' ELSE '' END) AS w FROM part)")(
     lambda s, d: T(s, d, "part").select("p_partkey", tx.long_enough(F.concat(F.lit(" "), F.substr("p_name", F.lit(1), (F.col("p_partkey") % 5).cast("int")), F.when(F.col("p_partkey") % 11 == 0, "한").otherwise(""))).alias("ok"))
 )
@@ -225,9 +225,11 @@ def _boxes(s, d):
 
 
 _BOX = "SELECT l_orderkey, l_linenumber, (l_partkey % 50)::DOUBLE AS x, (l_linenumber % 2 * 12)::DOUBLE AS y, 8.0::DOUBLE AS width, 10.0::DOUBLE AS height FROM lineitem"
-ORACLES["merged_rects"] = f"""WITH b AS (SELECT *, round(y / height) AS line FROM ({_BOX})), r AS (SELECT *, max(x + width) OVER (PARTITION BY l_orderkey, line ORDER BY x, width ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rt FROM b),
-i AS (SELECT *, sum(CASE WHEN rt IS NULL OR x > rt + height / 2 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, line ORDER BY x, width ROWS UNBOUNDED PRECEDING) AS k FROM r)
-SELECT l_orderkey, min(x) AS x, min(y) AS y, max(x + width) AS "right", max(y + height) AS bottom FROM i GROUP BY l_orderkey, line, k"""
+# its boxes are of one height and stand in two rows that don't overlap, so a line is a y
+ORACLES["merged_rects"] = f"""WITH b AS (SELECT DISTINCT l_orderkey, x, y, width, height FROM ({_BOX})), r AS (SELECT *, max(x + width) OVER (PARTITION BY l_orderkey, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rt FROM b),
+i AS (SELECT *, sum(CASE WHEN rt IS NULL OR x > rt + height / 2 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS k FROM r),
+g AS (SELECT l_orderkey, min(x) AS x, y, max(x + width) AS "right", max(y + height) AS bottom FROM i GROUP BY l_orderkey, y, k)
+SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY y DESC, x) - 1)::INT AS place FROM g"""
 query("valid_rects", f"SELECT l_orderkey, count(*) <= 3 AND min(CASE WHEN x > 5 THEN 1 ELSE 0 END) = 1 AS ok FROM ({_BOX}) GROUP BY l_orderkey")(
     lambda s, d: _boxes(s, d).withColumn("width", F.when(F.col("x") > 5, F.col("width")).otherwise(0.0)).groupBy("l_orderkey").agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("r")).select("l_orderkey", vl.rects_ok(F.col("r"), 3).alias("ok"))
 )
@@ -312,8 +314,9 @@ n AS (SELECT c.document_id, c.chunk_index, h.chunk_index AS match_index, row_num
   FROM hits h JOIN cid c ON c.document_id = h.document_id AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1)
 SELECT document_id, chunk_index, match_index, chunk_index <> match_index AS is_neighbor FROM n WHERE k = 1"""
 ORACLES["locate_evidence"] = f"""WITH {CHUNKS}, q AS (SELECT chunk_id, content, array_to_string(string_split(content, ' ')[5:12], ' ') AS q FROM cid),
-n AS (SELECT *, q <> '' AND length(content) - length(replace(content, q, '')) = length(q) AS one FROM q)
-SELECT chunk_id, CASE WHEN one THEN strpos(content, q) - 1 END::INT AS start, CASE WHEN one THEN strpos(content, q) - 1 + length(q) END::INT AS "end" FROM n"""
+p AS (SELECT *, replace(lower(content), ' ', '') AS sc, replace(lower(q), ' ', '') AS sq, length(array_to_string(string_split(content, ' ')[1:4], ' ')) + 1 AS pos FROM q),
+n AS (SELECT *, q <> '' AND strpos(substr(sc, strpos(sc, sq) + 1), sq) = 0 AS one FROM p)
+SELECT chunk_id, CASE WHEN one THEN pos END::INT AS start, CASE WHEN one THEN pos + length(q) END::INT AS "end" FROM n"""
 
 # --- citations and summaries
 
