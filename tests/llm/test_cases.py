@@ -65,6 +65,22 @@ def test_many_rules_and_false_positives(spark):
 # --- op3
 
 
+def test_a_bounded_sample_moves_no_score():
+    """Sampled classes weigh as much as all labelled rows: with 400 000 and 600 000 labels and 4000 of each taken, as with all of a small table."""
+    y = np.array([1] * 4000 + [0] * 4000)
+    w = toxicity.class_weights(y, {1: 400_000, 0: 600_000}, 4000)
+    assert abs(w[:4000].sum() / w.sum() - 0.4) < 1e-9 and abs(w.mean() - 1) < 1e-9
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(30_000, toxicity.FEATURES)), (rng.random(30_000) < 0.3).astype(int)
+    x[:, 0] += y
+    score = lambda m: 1 / (1 + np.exp(-(np.c_[np.ones(len(x)), x] @ m if len(m) > toxicity.FEATURES else x @ m)))
+    n, most = {1: int(y.sum()), 0: int((1 - y).sum())}, 3000
+    some = np.r_[rng.choice(np.flatnonzero(y == 1), most, False), rng.choice(np.flatnonzero(y == 0), most, False)]
+    full = toxicity.fit_weights(x, y.astype(float), toxicity.class_weights(y, n, 10**9))
+    part = toxicity.fit_weights(x[some], y[some].astype(float), toxicity.class_weights(y[some], n, most))
+    assert abs(score(np.asarray(part)).mean() / score(np.asarray(full)).mean() - 1) < 0.1
+
+
 def test_automaton():
     lex = toxicity.Lexicon(["idiot", "scum", "worthless"])
     found = {w: lex.match(w) for w in ("idiot", "idiots", "idot", "idi0t", "idiiot", "odiot", "iiott", "scum", "scumbag", "scam", "worthles", "worhtless", "wxrthlexs", "clean", "")}

@@ -290,8 +290,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000, id_col: str = "
     terms, passed = lexicon_of(sample)
     if not len(y) or y.min() == y.max():
         return Model(terms, passed, None)
-    weight = np.where(y == 1, min(1.0, 1 / share_of(max_fit, n[1])), 1 / share_of(max_fit, n[0]))
-    return Model(terms, passed, fit_weights(x, y, weight / weight.mean()))
+    return Model(terms, passed, fit_weights(x, y, class_weights(y, n, max_fit)))
+
+
+def class_weights(y: np.ndarray, n: dict[int, int], max_fit: int) -> np.ndarray:
+    """Weights with the mean 1 by which the sampled rows of each class stand for all n of its labelled rows, so that the bound of the sample moves no score."""
+    weight = np.where(y == 1, 1 / share_of(max_fit, n[1]), 1 / share_of(max_fit, n[0]))
+    return weight / weight.mean()
 
 
 def share_of(most: int, n: int) -> float:
