@@ -127,6 +127,41 @@ def test_wide_finds_copies(spark):
     assert sum(got[i + 1] == i for i in sure) >= 0.97 * len(sure)
 
 
+def test_prefixes_meet():
+    """Any two sets of at most SHORT elements with that similarity share one of the elements of their prefixes."""
+    rng = random.Random(6)
+    for _ in range(20_000):
+        k = rng.randrange(1, simhash.SHORT + 1)
+        a = set(rng.sample(range(10**6), k))
+        b = set(a)
+        for _ in range(rng.randrange(0, 1 + k // 4)):
+            b.discard(rng.choice(sorted(b))) if rng.random() < 0.5 and len(b) > 1 else b.add(rng.randrange(10**6))
+        if len(a & b) / len(a | b) >= 0.8 and len(b) <= simhash.SHORT:
+            assert set(simhash.prefix_of(list(a), 0.8, simhash.SHORT)) & set(simhash.prefix_of(list(b), 0.8, simhash.SHORT))
+    assert simhash.prefix_of([], 0.8, 40) == [0] and simhash.prefix_of(list(range(41)), 0.8, 40) == []
+
+
+@pytest.mark.parametrize("few", [0, 3])
+def test_short_texts_are_found_at_any_size(spark, monkeypatch, few):
+    """Short copies of similarity 0.8 and more are all found, even where the partitions are so few, as if they were very wide, that bits find next to none."""
+    plan = simhash.plan_wide
+    if few:
+        monkeypatch.setattr(simhash, "plan_wide", lambda *a, **b: [(list(range(64 * i, 64 * i + 64)), 0) for i in range(few)])
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    rows, pairs = [], []
+    for i in range(0, 600, 2):
+        a = rng.choices(words, k=rng.randrange(8, 16))
+        rows += [(i, " ".join(a)), (i + 1, " ".join([*a, rng.choice(words)]))]
+        pairs.append(i)
+    rows += [(1000 + i, "the same beginning of very many short texts and then " + rng.choice(words)) for i in range(300)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # one word more than n words: n - 4 of n - 3 shingles
+    sure = [i for i, r in zip(pairs, rows[::2]) if (len(r[1].split()) - 4) / (len(r[1].split()) - 3) >= 0.8]
+    assert len(sure) > 250 and sum(got[i + 1] == i for i in sure) >= 0.99 * len(sure)
+    assert plan is not None and all(got[1000 + i] == 1000 for i in range(300) if rows[600 + i][1].split()[-1] == rows[600][1].split()[-1])
+
+
 @pytest.mark.parametrize("small", [16, 1])
 def test_wide_decides_by_the_sets(spark, monkeypatch, small):
     monkeypatch.setattr(simhash, "SMALL", small)

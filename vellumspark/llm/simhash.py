@@ -64,8 +64,14 @@ def _bit_counts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(some, np.cumsum(parts) - parts, axis=0)
 
 
-def fingerprints_of(texts: list[str | None], size: int, words: int, distinct: bool = False) -> np.ndarray:
-    """(texts, words) unsigned 64-bit. distinct: each shingle of a text counts once."""
+def prefix_of(hashes: list[int], similarity: float, most: int) -> list[int]:
+    """The least hashes of a set of at most ``most``, one more than can be missing: sets of that Jaccard similarity share one of these. Of larger sets none; of an empty one the number 0, which stands for it."""
+    k = len(hashes)
+    return [] if k > most else sorted(hashes)[: k - int(np.ceil(similarity * k - 1e-9)) + 1] if k else [0]
+
+
+def fingerprints_of(texts: list[str | None], size: int, words: int, distinct: bool = False, prefixes: list | None = None, similarity: float = 0.8) -> np.ndarray:
+    """(texts, words) unsigned 64-bit. distinct: each shingle of a text counts once. prefixes: gets prefix_of() each text's shingles."""
     out = np.zeros((len(texts), words), np.uint64)
     most = max(20_000, 400_000 // words)
     at, hashes, ids, starts, n = 0, [], [], [], 0
@@ -88,6 +94,8 @@ def fingerprints_of(texts: list[str | None], size: int, words: int, distinct: bo
         hs = shingle_hashes(texts[at], size)
         if distinct:
             hs = list(set(hs))
+        if prefixes is not None:
+            prefixes.append(prefix_of(hs, similarity, SHORT))
         if hs:
             ids.append(at)
             starts.append(n)
@@ -100,27 +108,35 @@ def fingerprints_of(texts: list[str | None], size: int, words: int, distinct: bo
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", key: bool = False, distinct: bool = False) -> DataFrame:
-    """(id, f0 .. f{words-1}): longs that hold the unsigned words; with ``key`` also the text's XXH64."""
+def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", key: bool = False, distinct: bool = False, similarity: float | None = None) -> DataFrame:
+    """(id, f0 .. f{words-1}): longs that hold the unsigned words; with ``key`` also the text's XXH64, with ``similarity`` also the prefix of its shingles for that (prefix_of, as longs)."""
     kind, more = docs.schema[id_col].dataType, ["key"] * key
     names = [f"f{k}" for k in range(words)]
 
     def run(batches):
         for b in batches:
-            f = fingerprints_of(b.column(1).to_pylist(), size, words, distinct).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(words)), *b.columns[2:]], ["id", *names, *more])
+            found = [] if similarity else None
+            f = fingerprints_of(b.column(1).to_pylist(), size, words, distinct, found, similarity or 0).view(np.int64)
+            extra = [pa.array([np.array(p, np.uint64).view(np.int64) for p in found], pa.list_(pa.int64()))] if similarity else []
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(words)), *b.columns[2:], *extra], ["id", *names, *more, *["prefix"] * len(extra)])
 
     small_batches(docs.sparkSession)
     cols = [F.col(id_col).alias("id"), F.col(text_col), *(F.xxhash64(text_col).alias(k) for k in more)]
-    return docs.select(*cols).mapInArrow(lean(run), T.StructType([T.StructField("id", kind), *(T.StructField(n, T.LongType()) for n in [*names, *more])]))
+    fields = [T.StructField("id", kind), *(T.StructField(n, T.LongType()) for n in [*names, *more])]
+    fields += [T.StructField("prefix", T.ArrayType(T.LongType()))] if similarity else []
+    return docs.select(*cols).mapInArrow(lean(run), T.StructType(fields))
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, s, k): the sorted distinct shingle hashes of the nodes' texts and their number. nodes: (node, least, key), the id and text hash of a row of docs; sent to all tasks if they are at most BROADCAST_NODES, so that no other text moves."""
+    """(node, s, k): the sorted distinct shingle hashes of the nodes' texts, 32 bits of each, and their number. nodes: (node, least, key), the id and text hash of a row of docs; sent to all tasks if they are at most BROADCAST_NODES, so that no other text moves.
+
+    Of texts of k and l shingles k * l / 2**32 hashes are expected to be equal by chance: less than a thousandth of the
+    smaller set below four million shingles.
+    """
 
     def run(batches):
         for b in batches:
-            sets = [np.unique(np.array(shingle_hashes(t.as_py(), size), np.uint64)) for t in b.column(1)]
+            sets = [np.unique((np.array(shingle_hashes(t.as_py(), size), np.uint64) >> np.uint64(32)).astype(np.uint32)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], ["node", "s", "k"])
 
     small_batches(docs.sparkSession)
@@ -309,7 +325,7 @@ def _only(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, most: int, quick_words: int = 2, quick_most: int | None = None, sets_of=None, similarity: float = 0.0) -> DataFrame:
     """(a, b): links that connect all nodes within ``most`` bits that meet in a probe. nodes: (node long, f0 ..[, comp]).
 
-    comp: what is connected already; only links between different ones are looked for. With sets_of, a function from
+    prefix: further values of a node, an array. comp: what is connected already; only links between different ones are looked for. With sets_of, a function from
     (node) to shingle_sets(), only nodes whose sets have that Jaccard similarity are linked.
 
     Signatures are shuffled once, by value. Values of hot hash buckets (more than BLOCK rows, counted with a combine
@@ -318,14 +334,17 @@ def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, mos
     fs = [f"f{k}" for k in range(words)]
     q = fs[: min(words, quick_words)]
     quick_most = most if len(q) == words else quick_most
-    nodes = nodes.select("node", *fs, F.col("comp") if "comp" in nodes.columns else F.col("node").alias("comp"))
+    prefix = [F.transform("prefix", lambda x: F.struct(F.xxhash64(F.lit("shingle"), x).alias("key"), F.lit(True).alias("data")))] if "prefix" in nodes.columns else []
+    nodes = nodes.select("node", *fs, F.col("comp") if "comp" in nodes.columns else F.col("node").alias("comp"), *[x.alias("own") for x in prefix])
     keys = []
     for i, (bits, t) in enumerate(probes):
         m = _mask(bits, words)
         for k in range(t + 1):
             for e in combinations(bits, k):
                 keys.append(F.struct(F.xxhash64(F.lit(i), _value(fs, m, _mask(list(e), words))).alias("key"), F.lit(not e).alias("data")))
-    sig = nodes.select("node", "comp", *q, F.explode(F.array(*keys)).alias("k")).select("k.key", "node", "comp", "k.data", *q)
+    every = F.concat(F.array(*keys), F.coalesce("own", F.array())) if prefix else F.array(*keys)
+    sig = nodes.select("node", "comp", *q, F.explode(every).alias("k")).select("k.key", "node", "comp", "k.data", *q)
+    nodes = nodes.drop("own")
 
     buckets = max(1, nodes.count() * len(keys) // (BLOCK // 4))
     bucket = F.pmod("key", F.lit(buckets))
@@ -354,7 +373,7 @@ def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, mos
 
         def same(batches):
             for b in batches:
-                x, y = ([np.frombuffer(v.as_py(), np.uint64) for v in b.column(i)] for i in (2, 3))
+                x, y = ([np.frombuffer(v.as_py(), np.uint32) for v in b.column(i)] for i in (2, 3))
                 ok = pa.array([bool(_alike(similarity, len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))) for p, q in zip(x, y)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
@@ -375,7 +394,7 @@ def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, mos
         left, first = np.unique(node, return_index=True)
         f, mine, comp = f[first], mine[first], comp[first]
         if exact:
-            own = [np.frombuffer(v.as_py(), np.uint64) for v in group.column("s").take(pa.array(first))]
+            own = [np.frombuffer(v.as_py(), np.uint32) for v in group.column("s").take(pa.array(first))]
             k = np.array([len(v) for v in own])
             begin = np.cumsum(k) - k
             codes = np.unique(np.concatenate(own), return_inverse=True)[1]
@@ -422,6 +441,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, tau: int = 3, id_col: str =
 
 
 WIDE, RECALL = 10, 0.99
+SHORT = 40  # shingles of the texts that also meet by a prefix of their sets
 
 
 def meetings(share: float, width: int, t: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -479,10 +499,11 @@ def near_duplicates_wide(docs: DataFrame, size: int = 5, similarity: float = 0.8
 
     A Jaccard similarity j means a cosine of about 2j/(1+j), and so an expected share acos(cosine)/pi of differing bits.
     plan_wide() takes so many partitions that RECALL of the pairs of just that similarity meet in one, and more of those
-    above it, at any number of texts. Bits only choose candidates, by a cut 3.5 deviations above the expected number;
-    links are decided by the sets of the texts' 64-bit shingle hashes.
+    above it, at any number of texts. That holds for texts of many shingles; of few, bits differ more often, so texts of at
+    most SHORT shingles also meet by the prefixes of their sets, which all pairs of that similarity share. Bits only choose
+    candidates, by a cut 3.5 deviations above the expected number; links are decided by the sets of the texts' shingles.
     """
-    prints = written(fingerprints(docs, size, WIDE, id_col, text_col, key=True, distinct=True), "fingerprints")
+    prints = written(fingerprints(docs, size, WIDE, id_col, text_col, key=True, distinct=True, similarity=similarity), "fingerprints")
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     far = max(angle, SHORT_SHARE)
     most, quick = (int(bits * far + 3.5 * (bits * far * (1 - far)) ** 0.5) for bits in (64 * WIDE, 128))
@@ -497,10 +518,10 @@ def near_duplicates_wide(docs: DataFrame, size: int = 5, similarity: float = 0.8
 
         # the first partitions connect most copies; those that follow look only for links between what isn't connected
         cuts = [0, max(1, len(probes) // 10), max(2, 4 * len(probes) // 10), len(probes)]
-        now, all_links = nodes, None
+        now, all_links = nodes, None  # prefixes go with the first partitions
         for some in (probes[x:y] for x, y in zip(cuts, cuts[1:]) if x < y):
             if all_links is not None:
-                met = nodes.join(components(all_links), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+                met = nodes.drop("prefix").join(components(all_links), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
                 now = written(met, "nodes-met")
             new = written(of(now, some), "links-found")
             all_links = new if all_links is None else all_links.unionByName(new)
@@ -514,7 +535,7 @@ def _classes(prints: DataFrame, words: int, find) -> DataFrame:
     fs = [f"f{k}" for k in range(words)]
     keyed = "key" in prints.columns
     first = F.struct(F.col("id").isNull(), F.col("id").cast("long"), "key") if keyed else None
-    nodes = prints.groupBy(*fs).agg(F.min("id").cast("long").alias("least"), *([F.min(first)["key"].alias("key")] if keyed else []))
+    nodes = prints.groupBy(*fs).agg(F.min("id").cast("long").alias("least"), *([F.min(first)["key"].alias("key")] if keyed else []), *([F.min("prefix").alias("prefix")] if "prefix" in prints.columns else []))
     # without any id the fingerprint itself names the node, far from ids in use
     nodes = written(nodes.withColumn("node", F.coalesce("least", F.xxhash64(*fs))), "nodes")
     if nodes.isEmpty():
