@@ -16,6 +16,7 @@ from vellumspark.llm.pretokens import read_ranks
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC_FROM = 0.3
+BROADCAST_IDS = 1_000_000
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -53,8 +54,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs = docs.select(*COLUMNS)
     classes = simhash.near_duplicates_wide(docs.where(F.col("doc_id").isNotNull()))
-    first = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()))
+    rest = written(classes.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first").select("doc_id"), "copies")
+    # ids of copies are sent to the texts while they are few, else texts are shuffled
+    return docs.join(F.broadcast(rest) if rest.count() <= BROADCAST_IDS else rest, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
