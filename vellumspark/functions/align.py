@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
 import unicodedata
+from itertools import accumulate
+from os.path import commonprefix
 
 import pandas as pd
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,40 +103,171 @@ def largest_json(text: pd.Series) -> pd.Series:
     return text.map(balanced_json)
 
 
-def region_run(keys: list[str], quote: str, most: int = 64) -> tuple[int, int] | None:
-    """T-22: the shortest run of consecutive regions whose joined keys hold the quote's key."""
-    q, best = compact(quote)[0], None
-    if not q:
+_SIGNS = regex.compile(r"[\p{P}\p{S}\s]+")
+
+
+def region_key(text: str | None) -> str:
+    """T-22: compatibility form, lower case, without punctuation, symbols and white space."""
+    return _SIGNS.sub("", unicodedata.normalize("NFKC", text or "").lower())
+
+
+def region_run(texts: list[str | None], quote: str | None, most: int = 64) -> tuple[int, int] | None:
+    """T-22: the first region from which consecutive regions (64 at most) hold a quote of four or more characters, and the last of the fewest such regions.
+
+    The regions' keys are one text with offsets. A run that starts at a region ends with the first place of the quote at or
+    after the region's offset; as regions go on the place only moves on too, so the text is searched once. A run isn't
+    followed further than the region at which it is longer than twice the quote.
+    """
+    q = region_key(quote)
+    if len(q) < 4:
         return None
-    ks = [compact(k)[0] for k in keys]
-    for i in range(len(ks)):
-        s = ""
-        for j in range(i, min(len(ks), i + most)):
-            s += ks[j]
-            if q in s:
-                if best is None or j - i < best[1] - best[0]:
-                    best = (i, j)
-                break
-    return best
+    keys = [region_key(t) for t in texts]
+    ends = list(accumulate(map(len, keys)))
+    line, at, last = "".join(keys), -1, 0
+    for first in range(len(keys)):
+        start = ends[first] - len(keys[first])
+        if at < start:
+            at = line.find(q, start)
+            if at < 0:
+                return None
+        while ends[last] < at + len(q):
+            last += 1
+        # before the last region of the run the text must not be too long already
+        if last - first < most and (last == first or ends[last - 1] - start <= 2 * len(q)):
+            return first, last
+    return None
+
+
+def region_runs(regions: DataFrame, quotes: DataFrame, keys: list[str], order: str = "region_index", text: str = "text") -> DataFrame:
+    """T-22: (keys, quote_id, first, last): the run of regions of the quote's page that holds it, by their ``order``; quotes without one are left out.
+
+    regions: (keys, order, text); quotes: (keys, quote_id, quote). A page's regions come together once for all its quotes.
+    """
+    page = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_r"))
+    asked = quotes.groupBy(*keys).agg(F.collect_list(F.struct("quote_id", "quote")).alias("_q"))
+    kind = T.ArrayType(T.StructType([T.StructField("quote_id", quotes.schema["quote_id"].dataType), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
+
+    @F.pandas_udf(kind)
+    def found(rows: pd.Series, wanted: pd.Series) -> pd.Series:
+        out = []
+        for r, w in zip(rows, wanted):
+            texts = [x[text] for x in r]
+            runs = [(x["quote_id"], region_run(texts, x["quote"])) for x in w]
+            out.append([{"quote_id": i, "first": int(r[n[0]][order]), "last": int(r[n[1]][order])} for i, n in runs if n])
+        return pd.Series(out)
+
+    return page.join(asked, keys).select(*keys, F.explode(found("_r", "_q")).alias("_f")).select(*keys, "_f.*")
+
+
+def words_of(text: str) -> list[str]:
+    return re.findall(r"\s+|\w+|[^\w\s]", text)
+
+
+def _middle(a: list[str], b: list[str]) -> tuple[int, int, int, int, int]:
+    """(length, x, y, u, v): the length of a shortest edit script of a and b and a run (x, y)..(u, v) of equal words, maybe empty, in the middle of its path.
+
+    Two searches, one from each end, go on by one edit in turn until their furthest places meet; each keeps one number a
+    diagonal, so space is linear.
+    """
+    n, m = len(a), len(b)
+    most, delta = (n + m + 1) // 2, n - m
+    ahead, back = {1: 0}, {1: 0}
+    for d in range(most + 1):
+        for forth in (True, False):
+            mine, other = (ahead, back) if forth else (back, ahead)
+            for k in range(-d, d + 1, 2):
+                down = k == -d or k != d and mine.get(k - 1, -1) < mine.get(k + 1, -1)
+                x = mine[k + 1] if down else mine[k - 1] + 1
+                y = x - k
+                x0, y0 = x, y
+                while x < n and y < m and (a[x] == b[y] if forth else a[n - 1 - x] == b[m - 1 - y]):
+                    x, y = x + 1, y + 1
+                mine[k] = x
+                across = delta - k
+                if across in other and (abs(across) < d if forth else abs(across) <= d) and (delta % 2 != 0) == forth and x + other[across] >= n:
+                    edits = 2 * d - forth
+                    return (edits, x0, y0, x, y) if forth else (edits, n - x, m - y, n - x0, m - y0)
+    raise AssertionError("the searches always meet")
+
+
+def shortest_script(a: list[str], b: list[str]) -> list[tuple[str, list[str]]]:
+    """A script of fewest deleted and inserted words that turns a into b: (equal | delete | insert, words), in linear space."""
+    out: list[tuple[str, list[str]]] = []
+
+    def put(op: str, words: list[str]) -> None:
+        if words:
+            if out and out[-1][0] == op:
+                out[-1][1].extend(words)
+            else:
+                out.append((op, list(words)))
+
+    todo: list[tuple] = [(a, b)]
+    while todo:
+        item = todo.pop()
+        if len(item) == 3:
+            put("equal", item[2])
+            continue
+        a, b = item
+        head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        put("equal", a[:head])
+        a, b = a[head:], b[head:]
+        if not a or not b:
+            put("delete", a)
+            put("insert", b)
+            continue
+        _, x, y, u, v = _middle(a, b)
+        todo += [(a[u:], b[v:]), (None, None, a[x:u]), (a[:x], b[:y])]
+    return out
 
 
 def minimal_edit(old: str, new: str) -> list[tuple[str, str]]:
-    """T-24: (equal | delete | insert, text) pieces by words, shared ends kept."""
-    a, b = re.findall(r"\s+|\w+|[^\w\s]", old), re.findall(r"\s+|\w+|[^\w\s]", new)
-    out = []
-    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+    """T-24: (equal | delete | insert, text) pieces of fewest changed words; between two equal pieces what is deleted stands before what is inserted."""
+    out: list[tuple[str, str]] = []
+    gone, added = [], []
+
+    def flush() -> None:
+        out.extend((op, "".join(w)) for op, w in (("delete", gone), ("insert", added)) if w)
+        gone.clear()
+        added.clear()
+
+    for op, words in shortest_script(words_of(old), words_of(new)):
         if op == "equal":
-            out.append(("equal", "".join(a[i1:i2])))
+            flush()
+            out.append((op, "".join(words)))
         else:
-            out += [(k, t) for k, t in (("delete", "".join(a[i1:i2])), ("insert", "".join(b[j1:j2]))) if t]
+            (gone if op == "delete" else added).extend(words)
+    flush()
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType())])))
+def replaced_span(old: str, new: str) -> tuple[int, str, str]:
+    """T-24: (place, deleted, inserted): the one change between the longest common beginning and, after that, the longest common end."""
+    head = len(commonprefix([old, new]))
+    tail = len(commonprefix([old[head:][::-1], new[head:][::-1]]))
+    return head, old[head : len(old) - tail], new[head : len(new) - tail]
+
+
+_EDITS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType())]))
+_CHANGE = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("deleted", T.StringType()), T.StructField("inserted", T.StringType())])
+
+
+@F.pandas_udf(_EDITS)
 def edits(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([[{"op": o, "text": t} for o, t in minimal_edit(a or "", b or "")] for a, b in zip(old, new)])
 
 
+@F.pandas_udf(_CHANGE)
+def change(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([replaced_span(a or "", b or "") for a, b in zip(old, new)], columns=["place", "deleted", "inserted"])
+
+
+def resolved(script: Column, accept: Column | None = None) -> Column:
+    """T-24: the text that a script of ``edits`` leaves: all changes accepted, or those whose places (from 0, in the script) are in the array ``accept``; the others are rejected."""
+    taken = (lambda i: F.lit(True)) if accept is None else lambda i: F.array_contains(accept, i)
+    kept = F.filter(F.transform(script, lambda e, i: F.when((e["op"] == "equal") | F.when(e["op"] == "insert", taken(i)).otherwise(~taken(i)), e["text"])), lambda t: t.isNotNull())
+    return F.array_join(kept, "")
+
+
 def unique_anchor(text: str, target: str, before: str = "", after: str = "") -> int | None:
     """T-24: the only place of a text, with its context if it is needed; None if there is none or more than one."""
     at = [m.start() for m in re.finditer(re.escape(target), text)] if target else []
@@ -142,7 +276,7 @@ def unique_anchor(text: str, target: str, before: str = "", after: str = "") ->
     return at[0] if len(at) == 1 else None
 
 
-UDFS = {"aligned": aligned, "highlights": highlights, "largest_json": largest_json, "edits": edits}
+UDFS = {"aligned": aligned, "highlights": highlights, "largest_json": largest_json, "edits": edits, "change": change}
 
 
 def register(spark) -> None:

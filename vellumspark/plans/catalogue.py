@@ -999,6 +999,46 @@ def _(s, d):
     return e.select("item_id", "i", "e.op", "e.text")
 
 
+_REVISED = "regexp_replace(replace(text, 'of', 'of all'), '[aeiou]n ', 'on ', 'g')"
+
+
+@query("revised_texts", f"SELECT doc_id, {_REVISED} AS accepted, text AS rejected FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    """T-24: a script between a text and its revision gives the revision if it is accepted, the text if it is rejected."""
+    new = F.regexp_replace(F.replace("text", F.lit("of"), F.lit("of all")), "[aeiou]n ", "on ")
+    t = T(s, d, "documents").where("text is not null").withColumn("script", al.edits("text", new))
+    return t.select("doc_id", al.resolved(F.col("script")).alias("accepted"), al.resolved(F.col("script"), F.array().cast("array<int>")).alias("rejected"))
+
+
+@query(
+    "replaced_spans",
+    """WITH r AS (SELECT c_custkey, c_name AS a, concat(substr(c_name, 1, c_custkey % 5 + 2), 'zz', substr(c_name, c_custkey % 7 + 4)) AS b FROM customer),
+h AS (SELECT *, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, 1, i) = substr(b, 1, i))) AS head FROM r),
+t AS (SELECT *, len(list_filter(range(1, least(length(a), length(b)) - head + 1), lambda i: substr(a, -i) = substr(b, -i))) AS tail FROM h)
+SELECT c_custkey, head::INT AS place, substr(a, head + 1, length(a) - head - tail) AS deleted, substr(b, head + 1, length(b) - head - tail) AS inserted FROM t""",
+)
+def _(s, d):
+    k = F.col("c_custkey")
+    b = F.concat(F.substr("c_name", F.lit(1), (k % 5 + 2).cast("int")), F.lit("zz"), F.substr("c_name", (k % 7 + 4).cast("int")))
+    return T(s, d, "customer").select("c_custkey", al.change("c_name", b).alias("c")).select("c_custkey", "c.*")
+
+
+@query(
+    "region_runs",
+    """WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS i, l_shipmode || '-' || l_returnflag AS text FROM lineitem),
+k AS (SELECT *, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS key FROM r),
+q AS (SELECT l_orderkey, lower(regexp_replace(string_agg(text, '' ORDER BY i), '[^A-Za-z0-9]', '', 'g')) AS q FROM (SELECT * FROM r WHERE i BETWEEN 2 AND 3) GROUP BY l_orderkey),
+s AS (SELECT a.l_orderkey, a.i AS first, b.i AS last, any_value(q.q) AS q, string_agg(c.key, '' ORDER BY c.i) AS run, coalesce(string_agg(CASE WHEN c.i < b.i THEN c.key END, '' ORDER BY c.i), '') AS before_ FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND b.i >= a.i JOIN k c ON c.l_orderkey = a.l_orderkey AND c.i BETWEEN a.i AND b.i JOIN q ON q.l_orderkey = a.l_orderkey GROUP BY a.l_orderkey, a.i, b.i),
+f AS (SELECT l_orderkey, first, min(last) AS last FROM s WHERE contains(run, q) AND length(q) >= 4 AND length(before_) <= 2 * length(q) GROUP BY l_orderkey, first)
+SELECT l_orderkey, l_orderkey AS quote_id, min(first)::BIGINT AS first, arg_min(last, first)::BIGINT AS last FROM f GROUP BY l_orderkey""",
+)
+def _(s, d):
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    r = T(s, d, "lineitem").select("l_orderkey", place.alias("region_index"), F.concat("l_shipmode", F.lit("-"), "l_returnflag").alias("text"))
+    q = r.where("region_index BETWEEN 2 AND 3").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region_index", "text"))), lambda x: x["text"]), " ").alias("quote"))
+    return al.region_runs(r, q.withColumn("quote_id", F.col("l_orderkey")), ["l_orderkey"])
+
+
 # --- evidence
 
 
