@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, cross_script, heading_level, tokens
 from ..functions.vectors import cosine
+from ..sources.generations import Generations
 from ..sources.shared import written
 from . import chunking, relational, retrieval
 from .postings import SearchIndex
@@ -88,7 +89,7 @@ def search(chunks: DataFrame | SearchIndex, query: str, limit: int = 8, vectors:
         return retrieval.group_documents(found, limit)
     if radius:
         hits = found.select("document_id", "chunk_index", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).alias("rank"))  # limit rows
-        return relational.neighbours(every, hits, radius)
+        return relational.neighbours(every.drop("tokens"), hits, radius)
     return found
 
 
@@ -127,6 +128,11 @@ def replace_index(chunks: DataFrame, new: DataFrame, outcome: DataFrame) -> Data
     return chunks.join(good, "document_id", "left_anti").unionByName(new.join(good, "document_id", "left_semi").select(*chunks.columns))
 
 
+def publish_index(store: Generations, new: DataFrame, outcome: DataFrame) -> int:
+    """T-16, T-17, D-5 on a written table: the chunks of documents whose indexing ended well become current together; only their buckets are written, and the others keep their last complete chunks."""
+    return store.replace(new, outcome.where("status = 'ready'").select("document_id"))
+
+
 def reassemble(chunks: DataFrame) -> DataFrame:
     """T-21, W-5: (document_id, text) from overlapping chunks."""
     c = relational.deoverlap(chunks, ["document_id"], "chunk_index", "start_char", "end_char", "content")

@@ -195,3 +195,26 @@ def tree_paths(nodes: DataFrame, id_col: str, parent: str, name: str, sep: str =
         if reached > most:
             raise ValueError("an id stands more than once")
         out = out.unionByName(now)
+
+
+TREE = """
+WITH RECURSIVE tree(id, path, depth, seen) AS (
+  SELECT {id}, {name}, 1, array({id}) FROM {{nodes}} WHERE {parent} IS NULL
+  UNION ALL
+  SELECT n.{id}, concat(t.path, {sep}, n.{name}), t.depth + 1, array_append(t.seen, n.{id}) FROM tree t JOIN {{nodes}} n ON n.{parent} = t.id WHERE NOT array_contains(t.seen, n.{id})
+)
+SELECT id AS {id}, path, depth FROM tree
+"""
+
+
+def tree_query(nodes: DataFrame, id_col: str, parent: str, name: str, sep: str = "/", deepest: int = 1000) -> DataFrame:
+    """T-23, E-8: the paths of tree_paths by one recursive query. An id is never entered twice on a path, so cycles end; nodes below ``deepest`` levels are an error.
+
+    The session's limits of recursion are widened and stay so, as the query runs later.
+    """
+    spark = nodes.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    if int(spark.conf.get("spark.sql.cteRecursionLevelLimit", "100")) < deepest:
+        spark.conf.set("spark.sql.cteRecursionLevelLimit", str(deepest))
+    names = {k: f"`{v}`" for k, v in (("id", id_col), ("parent", parent), ("name", name))}
+    return spark.sql(TREE.format(**names, sep="'" + sep.replace("\\", "\\\\").replace("'", "\\'") + "'"), nodes=nodes)

@@ -26,6 +26,7 @@ from ..operators import workspace as ws
 from ..operators.builder import from_table
 from ..sources import files as fl
 from ..sources import tables as tb
+from ..sources.generations import Generations
 from ..sources.shared import shared_dir
 from ..streaming import queues as st
 
@@ -565,6 +566,44 @@ def _(s, d):
 
 ORACLES["folder_paths"] = ORACLES["folder_paths"].replace("RECURSIVE_t AS (SELECT 1)", "x AS (SELECT 1)")
 
+# each customer hangs below another one or a nation; some hang below each other and have no path
+_TREE = """SELECT concat('n', n_nationkey) AS id, NULL AS parent, n_name AS name FROM nation
+UNION ALL SELECT concat('c', c_custkey), CASE WHEN c_custkey % 50 = 7 THEN concat('c', c_custkey + 1) WHEN c_custkey % 50 = 8 THEN concat('c', c_custkey - 1) WHEN c_custkey % 10 = 0 THEN concat('n', c_nationkey) ELSE concat('c', c_custkey - 1) END, c_name FROM customer"""
+
+
+@query(
+    "ext_recursive",
+    f"""WITH RECURSIVE n AS ({_TREE}), t AS (SELECT id, name AS path, 1 AS depth, [id] AS seen FROM n WHERE parent IS NULL
+UNION ALL SELECT n.id, concat(t.path, '/', n.name), depth + 1, list_append(seen, n.id) FROM t JOIN n ON n.parent = t.id WHERE NOT list_contains(seen, n.id)) SELECT id, path, depth FROM t""",
+)
+def _(s, d):
+    n = T(s, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("n_name").alias("name"))
+    k, key = F.col("c_custkey"), lambda c: F.concat(F.lit("c"), c.cast("string"))
+    up = F.when(k % 50 == 7, key(k + 1)).when(k % 50 == 8, key(k - 1)).when(k % 10 == 0, F.concat(F.lit("n"), "c_nationkey")).otherwise(key(k - 1))
+    return rl.tree_query(n.unionByName(T(s, d, "customer").select(key(k).alias("id"), up.alias("parent"), F.col("c_name").alias("name"))), "id", "parent", "name")
+
+
+_LATERAL = "SELECT n_name, best, rich FROM {0} n, LATERAL (SELECT max(c_acctbal) AS best, count(*) AS rich FROM {1} c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > 1000 * n.n_regionkey) t"
+query("ext_lateral", _LATERAL.format("nation", "customer"))(lambda s, d: s.sql(_LATERAL.format("{nation}", "{customer}"), nation=T(s, d, "nation"), customer=T(s, d, "customer")))
+
+# --- generations
+
+
+@query(
+    "published_generation",
+    f"WITH {CHUNKS.replace('FROM documents)', 'FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 10 = 3 THEN concat(text, chr(32), lang) WHEN doc_id % 10 = 6 THEN NULL ELSE text END AS text FROM documents))')} SELECT document_id, chunk_index, content FROM cid",
+)
+def _(s, d):
+    """T-16, T-17: of three documents in ten one gets new chunks, one has none any more, and one whose indexing failed keeps what it has."""
+    docs = tb.documents(s, d)
+    keep = ("filename", "project_id")
+    store = Generations(s, f"{shared_dir(s)}/chunks-{uuid.uuid4().hex}", "document_id", buckets=16)
+    store.replace(ch.chunk_words(docs, "document_id", "content", keep=keep))
+    new = docs.where("document_id % 10 IN (3, 9)").withColumn("content", F.concat_ws(" ", "content", "project_id"))
+    outcome = docs.select("document_id", F.when(F.col("document_id") % 10 == 9, "error").otherwise("ready").alias("status")).where("document_id % 10 IN (3, 6, 9)")
+    en.publish_index(store, ch.chunk_words(new, "document_id", "content", keep=keep), outcome)
+    return store.read().select("document_id", "chunk_index", "content")
+
 # --- annotations
 
 
