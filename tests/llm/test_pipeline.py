@@ -5,6 +5,7 @@ import re
 
 import corpus_pipeline as cp
 import pytest
+from pyspark.sql import functions as F
 
 from vellumspark.llm import decontaminate
 from vellumspark.llm.common import written
@@ -36,18 +37,50 @@ def test_toxicity_keeps_texts(spark, stages):
 
 
 def test_lines(stages):
+    """Lines of ten documents go; a text that would be blank then stays whole if ten documents have its sequence of lines."""
     before, after = stages[1], stages[2]
     low = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(WS))
+    keys = {i: [low(x) for x in (r.text or "").split("\n")] for i, r in before.items()}
     n: dict = {}
-    for r in before.values():
-        for k in {low(x) for x in (r.text or "").split("\n")}:
+    whole: dict = {}
+    for ks in keys.values():
+        for k in set(ks):
             n[k] = n.get(k, 0) + 1
+        seq = tuple(k for k in ks if k)
+        whole[seq] = whole.get(seq, 0) + 1
     for i, r in before.items():
-        kept = "\n".join(x for x in (r.text or "").split("\n") if not low(x) or n[low(x)] < 10)
-        kept = kept if low(kept.replace("\n", "")) else r.text or ""
+        kept = "\n".join(x for x, k in zip((r.text or "").split("\n"), keys[i]) if not k or n[k] < 10)
+        lost = any(k and n[k] >= 10 for k in keys[i])
+        if lost and not low(kept.replace("\n", "")) and whole[tuple(k for k in keys[i] if k)] >= 10:
+            kept = r.text
         assert after[i].text == kept and after[i].n_chars == len(kept)
-        if (r.text or "").strip():
-            assert (after[i].text or "").strip()
+
+
+def odd_documents(spark):
+    """Nulls in every column, repeated and missing ids, empty and long texts, ties, and columns with the names of helpers."""
+    texts = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "text of some words that is here", "en", None, 3), (None, None, "en", "s", 1), (2, "again some words", "de", "s", 1), (2, "again some words", "de", "s", 1), (3, "long " * 40_000, "en", "s", 7), (4, "\n \n\t", "en", "s", 4)]
+    texts += [(10 + i, "one line that all of these have in common today\nown", "en", "s", 1) for i in range(12)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit(1) for c in ("score", "kept_text", "seq", "whole", "y", "half", "key", "node", "component_id", "ids", "n_tokens", "spans", "copied", "_t", "id", "first")})
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, name):
+    f, docs = dict(cp.STAGES)[name], odd_documents(spark)
+    out = f(spark, docs, SF)
+    rows = out.collect()
+    before = [r.doc_id for r in docs.collect()]
+    if name == "near_dedup":
+        left = [r.doc_id for r in rows]
+        assert left.count(None) == 2 and left.count(10) == 1 and not set(range(11, 22)) & set(left)
+        assert left.count(1) == 1 and 3 in left
+    else:
+        assert sorted(map(repr, before)) == sorted(repr(r.doc_id) for r in rows)
+    if name != "byte_bpe":
+        assert out.columns == cp.COLUMNS
+    else:
+        assert out.columns == ["doc_id", "n_tokens", "ids", "text"] and sum(r.n_tokens == 0 for r in rows) == 3
+    assert f(spark, docs.limit(0), SF).collect() == []
 
 
 def test_every_copied_text_stays_once(spark):
