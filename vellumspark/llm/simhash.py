@@ -518,12 +518,14 @@ def near_duplicates_wide(docs: DataFrame, size: int = 5, similarity: float = 0.8
 
         # the first partitions connect most copies; those that follow look only for links between what isn't connected
         cuts = [0, max(1, len(probes) // 10), max(2, 4 * len(probes) // 10), len(probes)]
-        now, all_links = nodes, None  # prefixes go with the first partitions
-        for some in (probes[x:y] for x, y in zip(cuts, cuts[1:]) if x < y):
+        rounds = [probes[x:y] for x, y in zip(cuts, cuts[1:]) if x < y]
+        now, all_links = nodes, None
+        for i, some in enumerate(rounds):
             if all_links is not None:
-                met = nodes.drop("prefix").join(components(all_links), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+                met = nodes.join(components(all_links), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
                 now = written(met, "nodes-met")
-            new = written(of(now, some), "links-found")
+            # prefixes once, when large groups of copies are connected already
+            new = written(of(now if i == min(1, len(rounds) - 1) else now.drop("prefix"), some), "links-found")
             all_links = new if all_links is None else all_links.unionByName(new)
         return all_links
 
