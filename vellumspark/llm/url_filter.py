@@ -71,17 +71,17 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     while n_blocks < max_blocks and n_blocks * 4 < n_rules:
         n_blocks *= 2
     h = _h(F.col("rule"))
+    if n_rules > 4 * max_blocks:
+        return _by_table(pages, rules, shapes, n_rules, url, default, salt)
     words = dict(rules.groupBy(_block(h, n_blocks).alias("b")).agg(F.bit_or(_mask(h)).alias("w")).collect())
     bits = F.from_json(F.lit("[" + ",".join(str(words.get(i, 0)) for i in range(n_blocks)) + "]"), "array<bigint>")
 
     host, path = parse(F.col(url))
     out = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    labels = F.size(F.split("host", r"\."))
     every = F.from_json(F.lit("[" + ",".join(f'{{"n":{n},"p":{p}}}' for n, p in shapes) + "]"), "array<struct<n int, p int>>")
 
     def key(x: Column) -> Column:
-        end = F.call_function("substring_index", F.col("host"), F.lit("."), -x["n"])
-        return F.when((labels >= x["n"]) & (F.length("path") >= x["p"]), F.concat(end, F.substr(F.col("path"), F.lit(1), x["p"])))
+        return _keys_of(x, F.col("host"), F.col("path"))
 
     def may(k: Column) -> Column:
         m = _mask(_h(k))
@@ -105,6 +105,40 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     return out.join(best, ["host", "path", salted], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop(keys, salted)
 
 
+def _keys_of(x: Column, host: Column, path: Column) -> Column:
+    """The rule that a URL would have to be under for a shape x, null if it is too short for it."""
+    end = F.call_function("substring_index", host, F.lit("."), -x["n"])
+    return F.when((F.size(F.split(host, r"\.")) >= x["n"]) & (F.length(path) >= x["p"]), F.concat(end, F.substr(path, F.lit(1), x["p"])))
+
+
+def _by_table(pages: DataFrame, rules: DataFrame, shapes: list[tuple[int, int]], n_rules: int, url: str, default: str, salt: int) -> DataFrame:
+    """url_filter for a list whose filter is too large for a plan's constant: a row a block, of four rules each on average.
+
+    Distinct keys of all URLs meet the filter by block number, those that pass the rules; what is left goes back to the
+    URLs. A key that very many URLs share is one row until then, and the way back is salted.
+    """
+    blocks = 1 << max(6, (n_rules // 4).bit_length())
+    h = _h(F.col("rule"))
+    words = rules.groupBy(_block(h, blocks).alias("b")).agg(F.bit_or(_mask(h)).alias("w"))
+    host, path = parse(F.col(url))
+    out = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    (salted,) = unused([*out.columns, "rule", "verdict"], "_salt")
+    out = out.withColumn(salted, F.pmod(F.xxhash64(url if url in out.columns else "host", F.monotonically_increasing_id()), F.lit(salt)).cast("int"))
+    every = F.from_json(F.lit("[" + ",".join(f'{{"n":{n},"p":{p}}}' for n, p in shapes) + "]"), "array<struct<n int, p int>>")
+    own = out.select("host", "path").distinct()
+    keys = own.select("host", "path", F.explode(F.filter(F.transform(every, lambda x: _keys_of(x, F.col("host"), F.col("path"))), lambda k: k.isNotNull())).alias("rule"))
+    asked = keys.select("rule").distinct().withColumn("b", _block(_h(F.col("rule")), blocks))
+    passed = asked.join(words, "b").where(F.col("w").bitwiseAND(_mask(_h(F.col("rule")))) == _mask(_h(F.col("rule")))).select("rule")
+    hits = passed.join(rules.select("rule", "verdict", "rule_host"), "rule")
+    best = (
+        keys.join(hits, "rule").groupBy("host", "path")
+        .agg(F.max(F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), "rule", "verdict")).alias("best"))
+        .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+        .withColumn(salted, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    )
+    return out.join(best, ["host", "path", salted], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop(salted)
+
+
 def rules_frame(spark, rules=RULES) -> DataFrame:
     rows = ", ".join(f"('{r}', '{v}')" for r, v in rules)
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(rule, verdict)")
