@@ -31,28 +31,62 @@ def neighbours(chunks: DataFrame, hits: DataFrame, radius: int = 1) -> DataFrame
 
 
 def latest_before(events: DataFrame, marks: DataFrame, keys: list[str], at: str, mark_at: str, value: str, first_after: bool = False) -> DataFrame:
-    """J-20, E-7: for each event the value of the last mark at or before it, by one window over both (no range join)."""
-    left = events.select("*", F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(marks.schema[value].dataType).alias("_v"))
-    right = marks.select(*keys, F.col(mark_at).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side")
-    out = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """J-20, E-7: for each event the value of the last mark at or before it (of equal times the greatest value; null values are no marks); first_after: that of the first mark after it where there is none.
+
+    Both sides are dealt in ranges of (keys, time), so a key with very many rows is many ranges. What a range begins with,
+    the last mark of its keys in the ranges before, is a row for each key and range; inside a range it is one window.
+    """
+    kind = marks.schema[value].dataType
+    left = events.select("*", F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_v"))
+    right = marks.where(F.col(value).isNotNull()).select(*keys, F.col(mark_at).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_row", F.monotonically_increasing_id())
+    ranged = written(both.repartitionByRange(*keys, "_t", "_side", "_row").withColumn("_part", F.spark_partition_id()), "as-of")
+    ends = ranged.where("_side = 0").groupBy(*keys, "_part").agg(F.max(F.struct("_t", "_v")).alias("_hi"), F.min(F.struct("_t", "_v")).alias("_lo"))
+    # a row for each key and range: those that have marks, and those that have events
+    ends = ranged.select(*keys, "_part").distinct().join(ends.withColumnsRenamed({k: f"_k_{k}" for k in keys}).withColumnRenamed("_part", "_p"), [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys)], "left")
+    by_part = Window.partitionBy(*keys).orderBy("_part")
+    before = F.last("_hi", ignorenulls=True).over(by_part.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_lo", ignorenulls=True).over(by_part.rowsBetween(1, Window.unboundedFollowing))
+    carry = ends.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_part").alias("_cp"), before["_v"].alias("_before"), after["_v"].alias("_after"))
+    met = ranged.join(carry, [F.col("_part") == F.col("_cp"), *(F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys)])
+    w = Window.partitionBy(*keys, "_part").orderBy("_t", "_side", "_v")
+    last = F.coalesce(F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
+    out = met.withColumn("_last", last)
     if first_after:
-        out = out.withColumn("_next", F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("_last", F.coalesce("_last", "_next"))
+        out = out.withColumn("_last", F.coalesce("_last", F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), "_after"))
     return out.where("_side = 1").select(*events.columns, F.col("_last").alias(value))
 
 
-def overlapping(a: DataFrame, b: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = 1024) -> DataFrame:
-    """J-19: pairs of spans of one key that overlap. Spans are filed under the stretches of ``width`` they touch; a pair is reported in the first it shares."""
+def overlapping(a: DataFrame, b: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """J-19: pairs of spans of one key that overlap; spans without length overlap nothing.
+
+    A span of a length up to 2**k touches at most two stretches of that width. It is filed under those, and for longer spans
+    to find it under the one or two that it touches of each larger width that any span needs. A pair meets at the width of
+    its longer span and is reported in the stretch where its overlap begins, so the work for a span is two rows a width.
+    """
 
-    def filed(df: DataFrame, p: str) -> DataFrame:
+    def named(df: DataFrame, p: str) -> DataFrame:
         df = df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys])
-        s, e = F.floor(F.col(f"{p}_{start}") / width), F.floor((F.col(f"{p}_{end}") - 1) / width)
-        return df.where(F.col(f"{p}_{end}") > F.col(f"{p}_{start}")).withColumn("_cell", F.explode(F.sequence(s, e)))
+        long = F.col(f"{p}_{end}") - F.col(f"{p}_{start}")
+        return df.where(long > 0).withColumn("_own", F.greatest(F.ceil(F.log2(long.cast("double"))), F.lit(0)).cast("int"))
 
-    met = filed(a, "a").join(filed(b, "b"), [*keys, "_cell"])
-    met = met.where((F.col(f"a_{start}") < F.col(f"b_{end}")) & (F.col(f"b_{start}") < F.col(f"a_{end}")))
-    return met.where(F.col("_cell") == F.floor(F.greatest(f"a_{start}", f"b_{start}") / width)).drop("_cell")
+    x, y = named(a, "a"), named(b, "b")
+    widths = sorted(r[0] for r in x.select("_own").union(y.select("_own")).distinct().collect())  # of 64 at most
+    every = F.array(*map(F.lit, widths)) if widths else F.array().cast("array<int>")
+
+    def filed(df: DataFrame, p: str, levels: Column) -> DataFrame:
+        df = df.withColumn("_level", F.explode(levels))
+        width = F.pow(F.lit(2.0), F.col("_level"))
+        first, last = F.floor(F.col(f"{p}_{start}") / width), F.ceil(F.col(f"{p}_{end}") / width) - 1
+        return df.withColumn("_cell", F.explode(F.sequence(first, last))).drop("_own")
+
+    own = F.array("_own")
+    up, above = (F.filter(every, lambda v: v >= F.col("_own")), F.filter(every, lambda v: v > F.col("_own")))
+    on = [*keys, "_level", "_cell"]
+    one = filed(x, "a", own).join(filed(y, "b", up), on)
+    two = filed(x, "a", above).join(filed(y, "b", own), on)
+    met = one.unionByName(two).where((F.col(f"a_{start}") < F.col(f"b_{end}")) & (F.col(f"b_{start}") < F.col(f"a_{end}")))
+    return met.where(F.col("_cell") == F.floor(F.greatest(f"a_{start}", f"b_{start}") / F.pow(F.lit(2.0), F.col("_level")))).drop("_cell", "_level")
 
 
 def grid(left: DataFrame, right: DataFrame, bound: int = 100_000) -> DataFrame:
@@ -97,10 +131,18 @@ def islands(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return run.groupBy(*keys, "_g").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("size")).drop("_g")
 
 
+STRETCH = 1000
+
+
 def missing_numbers(df: DataFrame, keys: list[str], value: str, total: str) -> DataFrame:
-    """G-25: the numbers from 1 to the group's total that no row has."""
-    have = df.groupBy(*keys).agg(F.max(total).alias("_n"), F.collect_set(value).alias("_have"))
-    return have.withColumn(value, F.explode(F.array_except(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")), F.transform("_have", lambda x: x.cast("long"))))).select(*keys, value)
+    """G-25: the numbers from 1 to the group's total that no row has: the gaps between neighbouring numbers, written out in stretches."""
+    end = df.groupBy(*keys).agg((F.max(total).cast("long") + 1).alias("_v")).where("_v IS NOT NULL")
+    have = df.where(F.col(value) >= 1).select(*keys, F.col(value).cast("long").alias("_v")).distinct().unionByName(end)
+    w = Window.partitionBy(*keys).orderBy("_v")
+    gaps = have.withColumn("_from", F.coalesce(F.lag("_v").over(w), F.lit(0).cast("long")) + 1)
+    gaps = gaps.join(end.withColumnRenamed("_v", "_end"), keys).withColumn("_to", F.least("_v", "_end") - 1).where("_from <= _to")
+    starts = gaps.withColumn("_s", F.explode(F.sequence("_from", "_to", F.lit(STRETCH).cast("long"))))
+    return starts.withColumn(value, F.explode(F.sequence("_s", F.least(F.col("_s") + STRETCH - 1, F.col("_to"))))).select(*keys, value)
 
 
 def deoverlap(df: DataFrame, keys: list[str], order: str, start: str, end: str, text: str) -> DataFrame:

@@ -547,7 +547,7 @@ SELECT a.o_custkey, a.o_orderkey AS a_o_orderkey, b.o_orderkey AS b_o_orderkey F
 )
 def _(s, d):
     o = T(s, d, "orders").select("o_custkey", "o_orderkey", F.floor(F.unix_timestamp("o_orderdate") / 86400).alias("start")).withColumn("end", F.col("start") + 30)
-    return rl.overlapping(o, o, ["o_custkey"], width=64).select("o_custkey", "a_o_orderkey", "b_o_orderkey")
+    return rl.overlapping(o, o, ["o_custkey"]).select("o_custkey", "a_o_orderkey", "b_o_orderkey")
 
 
 @query(
@@ -1064,7 +1064,7 @@ def _(s, d):
 
 @query(
     "region_runs",
-    """WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS i, l_shipmode || '-' || l_returnflag AS text FROM lineitem),
+    """WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS i, l_returnflag || '-' || l_partkey AS text FROM lineitem),
 k AS (SELECT *, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS key FROM r),
 q AS (SELECT l_orderkey, lower(regexp_replace(string_agg(text, '' ORDER BY i), '[^A-Za-z0-9]', '', 'g')) AS q FROM (SELECT * FROM r WHERE i BETWEEN 2 AND 3) GROUP BY l_orderkey),
 s AS (SELECT a.l_orderkey, a.i AS first, b.i AS last, any_value(q.q) AS q, string_agg(c.key, '' ORDER BY c.i) AS run, coalesce(string_agg(CASE WHEN c.i < b.i THEN c.key END, '' ORDER BY c.i), '') AS before_ FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND b.i >= a.i JOIN k c ON c.l_orderkey = a.l_orderkey AND c.i BETWEEN a.i AND b.i JOIN q ON q.l_orderkey = a.l_orderkey GROUP BY a.l_orderkey, a.i, b.i),
@@ -1073,7 +1073,7 @@ SELECT l_orderkey, l_orderkey AS quote_id, min(first)::BIGINT AS first, arg_min(
 )
 def _(s, d):
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
-    r = T(s, d, "lineitem").select("l_orderkey", place.alias("region_index"), F.concat("l_shipmode", F.lit("-"), "l_returnflag").alias("text"))
+    r = T(s, d, "lineitem").select("l_orderkey", place.alias("region_index"), F.concat("l_returnflag", F.lit("-"), "l_partkey").alias("text"))
     q = r.where("region_index BETWEEN 2 AND 3").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region_index", "text"))), lambda x: x["text"]), " ").alias("quote"))
     return al.region_runs(r, q.withColumn("quote_id", F.col("l_orderkey")), ["l_orderkey"])
 
