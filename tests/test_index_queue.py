@@ -105,3 +105,15 @@ def test_watch_tells_once(spark, tmp_path):
         stream(spark, tmp_path / "in", df.schema, tmp_path / "out", lambda s: iq.watch(s, ["k"]), tmp_path / "mark")
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("seq", "k", "state").collect())
     assert got == [(1, 1, "waiting"), (3, 1, "complete"), (6, 2, "waiting"), (7, 2, "error"), (8, 1, "waiting")]
+
+
+def test_queue_query_is_the_machine_event_by_event(spark):
+    from vellumspark.plans import entries
+
+    sf = "/root/testdata/sf0.001"
+    want, states = [], {}
+    for r in sorted(entries._queue_events(spark, sf).collect(), key=lambda r: r.seq):
+        states[r.user_id], made = iq.step(states.get(r.user_id, iq.NEW), r.kind, r.mode, r.rerun, 0, 0)
+        want += [(r.user_id, *a, r.seq) for a in made]
+    got = [tuple(r) for r in entries.QUERIES["index_queue_actions"](spark, sf).collect()]
+    assert sorted(got) == sorted(want) and len({r[1:4] for r in want}) > 3

@@ -567,7 +567,7 @@ def _(s, d):
 ORACLES["folder_paths"] = ORACLES["folder_paths"].replace("RECURSIVE_t AS (SELECT 1)", "x AS (SELECT 1)")
 
 # each customer hangs below another one or a nation; some hang below each other and have no path
-_TREE = """SELECT concat('n', n_nationkey) AS id, NULL AS parent, n_name AS name FROM nation
+_TREE = """SELECT concat('n', n_nationkey) AS id, NULL::VARCHAR AS parent, n_name AS name FROM nation
 UNION ALL SELECT concat('c', c_custkey), CASE WHEN c_custkey % 50 = 7 THEN concat('c', c_custkey + 1) WHEN c_custkey % 50 = 8 THEN concat('c', c_custkey - 1) WHEN c_custkey % 10 = 0 THEN concat('n', c_nationkey) ELSE concat('c', c_custkey - 1) END, c_name FROM customer"""
 
 

@@ -23,6 +23,7 @@ from ..operators import workspace as ws
 from ..sources import files as fl
 from ..sources import tables as tb
 from ..sources.shared import shared_dir
+from ..streaming import index_queue as iq
 from ..streaming import queues as st
 from .catalogue import _BM25, _FUSE, _HTML, CHUNKS, ORACLES, QUERIES, QUERY, T, _tokens_sql, query
 
@@ -411,3 +412,42 @@ def _(s, d):
     T(s, d, "customer").createOrReplaceTempView("vellum_customer")
     return s.sql("SELECT c_custkey, largest_json(concat('so: {\"k\": ', c_custkey, '} ok')) AS j FROM vellum_customer")
 
+
+
+def _queue_events(s, d):
+    e, n = T(s, d, "events"), F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("request", "started", "request", "finished", "failed"))), (n % 5 + 1).cast("int"))
+    return e.select("user_id", kind.alias("kind"), F.when(n % 2 == 0, "full").otherwise("deferred").alias("mode"), (n % 3 == 0).alias("rerun"), F.col("ts").cast("timestamp").alias("ts"), n.alias("seq"))
+
+
+@query("index_queue_actions")
+def _(s, d):
+    """ST-1: the queue's actions over all events, which come in four parts to a stream that is started anew for each."""
+    at, events = _folder(s), _queue_events(s, d)
+    last = events.agg(F.max("seq")).first()[0] or 0
+    for part in range(4):
+        events.where(F.floor(F.col("seq") * 4 / (last + 1)) == part).write.mode("append").parquet(f"{at}/in")
+        made = iq.queue_actions(s.readStream.schema(events.schema).parquet(f"{at}/in"), ["user_id"], delay="36500 days")
+        st.run_available(made, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), f"{at}/checkpoint")
+    return s.read.parquet(f"{at}/out").select("user_id", "action", "mode", "reason", "seq")
+
+
+_PICK = "(SELECT *, CASE WHEN pending > 0 THEN 'waiting' WHEN error > 0 THEN 'error' WHEN ready > 0 THEN 'complete' END AS state FROM (SELECT user_id, event_id AS seq, (event_type NOT IN ('error', 'purchase'))::INT AS pending, (event_type = 'purchase')::INT AS ready, (event_type = 'error')::INT AS error FROM events))"
+
+
+@query(
+    "watched_stream",
+    f"""WITH e AS {_PICK}, f AS (SELECT user_id, min(seq) AS f FROM e WHERE state = 'waiting' GROUP BY user_id),
+w AS (SELECT e.user_id, seq, state, lag(state) OVER (PARTITION BY e.user_id ORDER BY seq) AS b FROM e JOIN f USING (user_id) WHERE seq >= f)
+SELECT user_id, state, seq FROM w WHERE state IS DISTINCT FROM b""",
+)
+def _(s, d):
+    """ST-8 as a stream that is started anew for each of three parts of the polls."""
+    at = _folder(s)
+    one = lambda c: F.expr(f"CAST({c} AS INT)")
+    polls = T(s, d, "events").select("user_id", one("event_type NOT IN ('error', 'purchase')").alias("pending"), one("event_type = 'purchase'").alias("ready"), one("event_type = 'error'").alias("error"), F.col("event_id").alias("seq"))
+    last = polls.agg(F.max("seq")).first()[0] or 0
+    for part in range(3):
+        polls.where(F.floor(F.col("seq") * 3 / (last + 1)) == part).write.mode("append").parquet(f"{at}/in")
+        st.run_available(iq.watch(s.readStream.schema(polls.schema).parquet(f"{at}/in"), ["user_id"]), lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), f"{at}/checkpoint")
+    return s.read.parquet(f"{at}/out").select("user_id", "state", "seq")
