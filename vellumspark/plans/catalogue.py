@@ -158,6 +158,14 @@ def _(s, d):
     return _index(s, d).keyword(QUERY).select("document_id", "chunk_id", "score")
 
 
+@query("search_index_build", f"WITH {CHUNKS} SELECT count(*) AS chunks, coalesce(sum(len({_tokens_sql('content')})), 0)::BIGINT AS n_tokens FROM cid")
+def _(s, d):
+    """D-1: builds the index anew, which further searches of the session then read."""
+    _INDEXES.pop((s.sparkContext.applicationId, d), None)
+    now = _index(s, d)._current()
+    return s.createDataFrame([(now["n"], now["len"])], "chunks bigint, n_tokens bigint")
+
+
 @query("search_keyword_scan", f"WITH {CHUNKS}, {_BM25} SELECT document_id, chunk_id, score FROM kw")
 def _(s, d):
     return rt.keyword_lane(tb.chunks(s, d), QUERY).select("document_id", "chunk_id", "score")
