@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import lean, small_batches, unused, written
-from .pretokens import fragments, pattern, spaced
+from .pretokens import fragments, pattern
 from .token_counts import byte_chars, checked, model_text
 
-CACHE = 400_000
+CACHE = 600_000
 _RANK_BITS = 44
 
 
@@ -76,22 +76,29 @@ class Encoder:
         if ranks:
             merged = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
+        known = {t: array(kind, [i]).tobytes() for t, i in (ranks or {}).items()}
+
+        def code(p: str) -> bytes:
+            if ranks:
+                raw = p.encode()
+                return known.get(raw) or array(kind, merged(raw)).tobytes()
+            return array(kind, [x.id for x in model.tokenize(model_text(p))]).tobytes()
+
         class Pieces(dict):
             def __missing__(self, p: str) -> bytes:
-                if ranks:
-                    raw = p.encode()
-                    one = ranks.get(raw)
-                    found = merged(raw) if one is None else [one]
-                else:
-                    found = [x.id for x in model.tokenize(model_text(p))]
-                ids = array(kind, found).tobytes()
+                ids = code(p)
                 if len(p) < 100:
                     self[p] = ids
                 return ids
 
-        class Fragments(dict):
+        class Fragments(dict):  # fragments stand with a space in front; see pretokens.spaced
             def __missing__(self, f: str) -> bytes:
-                ids = b"".join(map(pieces.__getitem__, spaced(f, find)))
+                if f.isalpha():
+                    ids = code(" " + f)
+                elif f[-1] in ".,;:!?" and f[:-1].isalpha():
+                    ids = self[f[:-1]] + pieces[f[-1]]
+                else:
+                    ids = b"".join(map(pieces.__getitem__, find(" " + f)))
                 if len(f) < 100:
                     self[f] = ids
                 return ids
