@@ -71,7 +71,7 @@ def prefix_of(hashes: list[int], similarity: float, most: int) -> list[int]:
 
 
 def fingerprints_of(texts: list[str | None], size: int, words: int, distinct: bool = False, prefixes: list | None = None, similarity: float = 0.8) -> np.ndarray:
-    """(texts, words) unsigned 64-bit. distinct: each shingle of a text counts once. prefixes: gets prefix_of() each text's shingles."""
+    """(texts, words) unsigned 64-bit. distinct: each shingle of a text counts once. prefixes: gets the number and prefix_of() each text's shingles."""
     out = np.zeros((len(texts), words), np.uint64)
     most = max(20_000, 400_000 // words)
     at, hashes, ids, starts, n = 0, [], [], [], 0
@@ -95,7 +95,7 @@ def fingerprints_of(texts: list[str | None], size: int, words: int, distinct: bo
         if distinct:
             hs = list(set(hs))
         if prefixes is not None:
-            prefixes.append(prefix_of(hs, similarity, SHORT))
+            prefixes.append((len(hs), prefix_of(hs, similarity, SHORT)))
         if hs:
             ids.append(at)
             starts.append(n)
@@ -109,7 +109,7 @@ def fingerprints_of(texts: list[str | None], size: int, words: int, distinct: bo
 
 
 def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", key: bool = False, distinct: bool = False, similarity: float | None = None) -> DataFrame:
-    """(id, f0 .. f{words-1}): longs that hold the unsigned words; with ``key`` also the text's XXH64, with ``similarity`` also the prefix of its shingles for that (prefix_of, as longs)."""
+    """(id, f0 .. f{words-1}): longs that hold the unsigned words; with ``key`` also the text's XXH64, with ``similarity`` also the prefix of its shingles for that (prefix_of, as longs) and their number."""
     kind, more = docs.schema[id_col].dataType, ["key"] * key
     names = [f"f{k}" for k in range(words)]
 
@@ -117,13 +117,15 @@ def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, id_col: str = "
         for b in batches:
             found = [] if similarity else None
             f = fingerprints_of(b.column(1).to_pylist(), size, words, distinct, found, similarity or 0).view(np.int64)
-            extra = [pa.array([np.array(p, np.uint64).view(np.int64) for p in found], pa.list_(pa.int64()))] if similarity else []
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(words)), *b.columns[2:], *extra], ["id", *names, *more, *["prefix"] * len(extra)])
+            extra = []
+            if similarity:
+                extra = [pa.array([np.array(p, np.uint64).view(np.int64) for _, p in found], pa.list_(pa.int64())), pa.array([k for k, _ in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(words)), *b.columns[2:], *extra], ["id", *names, *more, *["prefix", "shingles"][: len(extra)]])
 
     small_batches(docs.sparkSession)
     cols = [F.col(id_col).alias("id"), F.col(text_col), *(F.xxhash64(text_col).alias(k) for k in more)]
     fields = [T.StructField("id", kind), *(T.StructField(n, T.LongType()) for n in [*names, *more])]
-    fields += [T.StructField("prefix", T.ArrayType(T.LongType()))] if similarity else []
+    fields += [T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("shingles", T.LongType())] if similarity else []
     return docs.select(*cols).mapInArrow(lean(run), T.StructType(fields))
 
 
@@ -325,7 +327,7 @@ def _only(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, most: int, quick_words: int = 2, quick_most: int | None = None, sets_of=None, similarity: float = 0.0) -> DataFrame:
     """(a, b): links that connect all nodes within ``most`` bits that meet in a probe. nodes: (node long, f0 ..[, comp]).
 
-    prefix: further values of a node, an array. comp: what is connected already; only links between different ones are looked for. With sets_of, a function from
+    prefix: further values of a node, an array; few: whether it has these only, and no probes. comp: what is connected already; only links between different ones are looked for. With sets_of, a function from
     (node) to shingle_sets(), only nodes whose sets have that Jaccard similarity are linked.
 
     Signatures are shuffled once, by value. Values of hot hash buckets (more than BLOCK rows, counted with a combine
@@ -335,16 +337,18 @@ def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, mos
     q = fs[: min(words, quick_words)]
     quick_most = most if len(q) == words else quick_most
     prefix = [F.transform("prefix", lambda x: F.struct(F.xxhash64(F.lit("shingle"), x).alias("key"), F.lit(True).alias("data")))] if "prefix" in nodes.columns else []
-    nodes = nodes.select("node", *fs, F.col("comp") if "comp" in nodes.columns else F.col("node").alias("comp"), *[x.alias("own") for x in prefix])
+    few = F.col("few") if "few" in nodes.columns else F.lit(False)
+    nodes = nodes.select("node", *fs, F.col("comp") if "comp" in nodes.columns else F.col("node").alias("comp"), *[x.alias("own") for x in prefix], few.alias("few"))
     keys = []
     for i, (bits, t) in enumerate(probes):
         m = _mask(bits, words)
         for k in range(t + 1):
             for e in combinations(bits, k):
                 keys.append(F.struct(F.xxhash64(F.lit(i), _value(fs, m, _mask(list(e), words))).alias("key"), F.lit(not e).alias("data")))
-    every = F.concat(F.array(*keys), F.coalesce("own", F.array())) if prefix else F.array(*keys)
+    probed = F.when(F.col("few"), F.array()).otherwise(F.array(*keys))
+    every = F.concat(probed, F.coalesce("own", F.array())) if prefix else probed
     sig = nodes.select("node", "comp", *q, F.explode(every).alias("k")).select("k.key", "node", "comp", "k.data", *q)
-    nodes = nodes.drop("own")
+    nodes = nodes.drop("own", "few")
 
     buckets = max(1, nodes.count() * len(keys) // (BLOCK // 4))
     bucket = F.pmod("key", F.lit(buckets))
@@ -500,7 +504,8 @@ def near_duplicates_wide(docs: DataFrame, size: int = 5, similarity: float = 0.8
     A Jaccard similarity j means a cosine of about 2j/(1+j), and so an expected share acos(cosine)/pi of differing bits.
     plan_wide() takes so many partitions that RECALL of the pairs of just that similarity meet in one, and more of those
     above it, at any number of texts. That holds for texts of many shingles; of few, bits differ more often, so texts of at
-    most SHORT shingles also meet by the prefixes of their sets, which all pairs of that similarity share. Bits only choose
+    most SHORT shingles meet by the prefixes of their sets, which all pairs of that similarity share (and by bits only where
+    their partners may be longer). Bits only choose
     candidates, by a cut 3.5 deviations above the expected number; links are decided by the sets of the texts' shingles.
     """
     prints = written(fingerprints(docs, size, WIDE, id_col, text_col, key=True, distinct=True, similarity=similarity), "fingerprints")
@@ -511,6 +516,8 @@ def near_duplicates_wide(docs: DataFrame, size: int = 5, similarity: float = 0.8
     def found(nodes: DataFrame) -> DataFrame:
         n, joint = bit_statistics(nodes, WIDE)
         named = nodes.select("node", "least", "key")
+        # all texts that are like one of so few shingles have prefixes too, so it needs no bits to meet them
+        nodes = nodes.withColumn("few", F.col("shingles") <= int(similarity * SHORT + 1e-9)).drop("shingles")
         probes = plan_wide(joint, n, angle, most)
 
         def of(nodes: DataFrame, some: list) -> DataFrame:
@@ -537,7 +544,7 @@ def _classes(prints: DataFrame, words: int, find) -> DataFrame:
     fs = [f"f{k}" for k in range(words)]
     keyed = "key" in prints.columns
     first = F.struct(F.col("id").isNull(), F.col("id").cast("long"), "key") if keyed else None
-    nodes = prints.groupBy(*fs).agg(F.min("id").cast("long").alias("least"), *([F.min(first)["key"].alias("key")] if keyed else []), *([F.min("prefix").alias("prefix")] if "prefix" in prints.columns else []))
+    nodes = prints.groupBy(*fs).agg(F.min("id").cast("long").alias("least"), *([F.min(first)["key"].alias("key")] if keyed else []), *([F.min("prefix").alias("prefix"), F.max("shingles").alias("shingles")] if "prefix" in prints.columns else []))
     # without any id the fingerprint itself names the node, far from ids in use
     nodes = written(nodes.withColumn("node", F.coalesce("least", F.xxhash64(*fs))), "nodes")
     if nodes.isEmpty():
