@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,7 +72,9 @@ def search(chunks: DataFrame | SearchIndex, query: str, limit: int = 8, vectors:
         sub = index.substring(query, limit, places if filters else None)
     else:
         kw, sub = retrieval.keyword_lane(every, query, limit, places if filters else None), retrieval.substring_lane(scoped, query, limit)
-    heads = retrieval.first_chunks(scoped) if titles is None else titles.join(places.select("chunk_id"), "chunk_id", "left_semi") if filters else titles
+    heads = titles if titles is not None else index.heads() if index else retrieval.first_chunks(scoped)
+    if filters and (titles is not None or index):
+        heads = retrieval.first_chunks(scoped)
     title = retrieval.title_lane(heads, query, limit)
     lanes = [
         retrieval.ranked(kw, "keyword", 1, F.col("score"), F.col("chunk_id")),
@@ -81,15 +84,21 @@ def search(chunks: DataFrame | SearchIndex, query: str, limit: int = 8, vectors:
     if vectors is not None and query_vector:
         near = retrieval.semantic_lane(vectors.join(places, "chunk_id", "left_semi"), query_vector, limit)
         lanes.append(retrieval.ranked(near, "semantic", 4, F.desc("score"), F.col("chunk_id")))
+    pool = scoped
+    if index:  # the lanes' documents are read, not the corpus
+        found_in = [x.select("document_id") for x in (kw, sub, title)]
+        if len(lanes) == 4:
+            found_in.append(places.join(F.broadcast(near.select("chunk_id")), "chunk_id").select("document_id"))  # a candidate limit of rows
+        pool = in_scope(index.chunks_of(reduce(DataFrame.unionByName, found_in)), **filters)
     cols = ["document_id", "chunk_id", "chunk_index", "score", "reasons"]
-    found = retrieval.fuse(lanes, scoped, query, 200 if group else limit).select(*cols)
+    found = retrieval.fuse(lanes, pool, query, 200 if group else limit).select(*cols)
     basic = retrieval.basic_lane(scoped, query, limit).select("document_id", "chunk_id", "chunk_index", F.lit(0.0).alias("score"), F.array(F.lit("basic")).alias("reasons"))
     found = retrieval.with_fallback(found, basic)
     if group:
         return retrieval.group_documents(found, limit)
     if radius:
         hits = found.select("document_id", "chunk_index", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).alias("rank"))  # limit rows
-        return relational.neighbours(every.drop("tokens"), hits, radius)
+        return relational.neighbours(index.chunks_of(hits) if index else every.drop("tokens"), hits, radius)
     return found
 
 

@@ -6,6 +6,7 @@ An index is a folder of segments. A segment holds, for the chunks that were adde
   term's places, the chunk's number of tokens and the places; top is the block's largest n. A block belongs to one
   hash range of documents, so a word that all chunks have is many rows.
 * ``grams``: (bucket, term, block, docs) of the distinct trigrams of the chunk's lower-case text.
+* ``heads``: each document's first chunk with its file name, for titles.
 * ``chunks``: the chunks themselves, ordered by document, so that a few documents are read by the files' own statistics.
 
 Buckets are ranges of terms; their bounds stand in the manifest, so a search names the partitions that can hold its
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from ..functions.text import query_terms, tokens
 from ..sources.generations import Manifests
 from ..sources.shared import written
-from .retrieval import bm25, candidate_limit, search_text, spread_words, with_fallback
+from .retrieval import bm25, candidate_limit, first_chunks, search_text, spread_words, with_fallback
 
 BLOCK = 4096
 BUCKET_ROWS = 500_000
@@ -83,6 +84,8 @@ class SearchIndex:
         counted = chunks.withColumn("_n_tokens", F.size(tokens(search_text(chunks))))
         counted.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).write.options(**zstd).parquet(f"{at}/chunks")
         kept = self.spark.read.schema(counted.schema).parquet(f"{at}/chunks")
+        if "filename" in kept.columns:
+            first_chunks(kept).write.options(**zstd).parquet(f"{at}/heads")
         text = search_text(kept)
         tk = kept.select(*PLACE, F.col("_n_tokens").alias("len"), tokens(text).alias("tk"))
         stats = kept.select(F.col("_n_tokens").alias("len")).agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len")).first()
@@ -134,6 +137,17 @@ class SearchIndex:
         few = [r[0] for r in rows.select("document_id").distinct().limit(FEW + 1).collect()]
         return self.chunks(few) if len(few) <= FEW else self.chunks().join(rows.select("document_id").distinct(), "document_id", "left_semi")
 
+    def heads(self) -> DataFrame:
+        """retrieval.first_chunks of all documents; an index of chunks without file names has none."""
+        segments, out = self._current()["segments"], []
+        kinds = self._rows([]).schema
+        if "filename" not in kinds.names:
+            raise ValueError("the chunks have no file names")
+        schema = T.StructType([kinds[c] for c in ("document_id", "filename", "chunk_id", "chunk_index")])
+        for i, s in enumerate(segments):
+            out.append(self._living(self.spark.read.schema(schema).parquet(f"{self.path}/{s['name']}/heads"), segments[i + 1 :]))
+        return reduce(DataFrame.unionByName, out)
+
     def stats(self) -> tuple[int, float]:
         """(chunks, their mean number of tokens), from the manifest."""
         now = self._current()

@@ -1173,23 +1173,31 @@ query("effective_setting", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 =
 # --- entry points
 
 
+def _own_query_sql(rows: str, limit: int) -> str:
+    """The substring lane for QUERY over some rows: its words in order where none has it whole."""
+    return f"""ex AS (SELECT *, -((length(content) - length(replace(lower(content), '{QUERY}', ''))) / {len(QUERY)}.0)::DOUBLE AS score FROM {rows} WHERE contains(lower(content), '{QUERY}') ORDER BY score, document_id, chunk_index LIMIT {limit}),
+sp AS (SELECT *, 0.0::DOUBLE AS score FROM {rows} WHERE lower(content) LIKE '%{QUERY.replace(" ", "%")}%' ORDER BY document_id, chunk_index LIMIT {limit}),
+sub AS (SELECT * FROM ex UNION ALL SELECT * FROM sp WHERE NOT EXISTS (SELECT 1 FROM ex))"""
+
+
 @query(
     "search_filtered",
     f"""WITH {CHUNKS}, {_BM25.replace("LIMIT 64", "")}, k2 AS (SELECT * FROM kw WHERE project_id = 'en' AND split_part(filename, '_', 1) IN ('src0', 'src1', 'src2') ORDER BY score, chunk_id LIMIT 160),
 sc AS (SELECT * FROM cid WHERE project_id = 'en' AND split_part(filename, '_', 1) IN ('src0', 'src1', 'src2')),
+{_own_query_sql("sc", 160)},
 l AS (SELECT chunk_id, row_number() OVER (ORDER BY score, chunk_id) AS r, 'keyword' AS lane, 1 AS no FROM k2
-  UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY -((length(content) - length(replace(lower(content), '{QUERY}', ''))) / {len(QUERY)}.0), document_id, chunk_index), 'substring', 2 FROM sc WHERE contains(lower(content), '{QUERY}')),
+  UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY score, document_id, chunk_index), 'substring', 2 FROM sub),
 m AS (SELECT chunk_id, sum(1.0 / (60 + r)) AS rrf, min({{'no': no, 'r': r}}) AS f FROM l GROUP BY chunk_id)
 SELECT sc.document_id, sc.chunk_id, round(rrf + CASE WHEN contains(lower(content), '{QUERY}') THEN 0.03 ELSE 0 END + CASE WHEN {" AND ".join(f"contains(lower(content), '{t}')" for t in _TERMS)} THEN 0.01 ELSE 0 END, 6)::DOUBLE AS score
 FROM m JOIN sc USING (chunk_id) ORDER BY score DESC, f, chunk_id LIMIT 20""",
 )
 def _(s, d):
-    return en.search(tb.chunks(s, d), QUERY, 20, file_types=("en",), folders=("src0", "src1", "src2")).select("document_id", "chunk_id", "score")
+    return en.search(_index(s, d), QUERY, 20, file_types=("en",), folders=("src0", "src1", "src2")).select("document_id", "chunk_id", "score")
 
 
 @query("search_with_neighbors")
 def _(s, d):
-    return en.search(tb.chunks(s, d), QUERY, 10, radius=1).select("document_id", "chunk_index", "match_index", "is_neighbor")
+    return en.search(_index(s, d), QUERY, 10, radius=1).select("document_id", "chunk_index", "match_index", "is_neighbor")
 
 
 @query("indexed_documents")

@@ -25,7 +25,7 @@ from ..sources import tables as tb
 from ..sources.shared import shared_dir
 from ..streaming import index_queue as iq
 from ..streaming import queues as st
-from .catalogue import _BM25, _FUSE, _HTML, CHUNKS, ORACLES, QUERIES, QUERY, T, _tokens_sql, query
+from .catalogue import _BM25, _FUSE, _HTML, _own_query_sql, CHUNKS, ORACLES, QUERIES, QUERY, T, _tokens_sql, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -308,7 +308,7 @@ sp AS (SELECT s.page_id, s.path, length({_COLLAPSED.format("substr(md.text, 1, s
 f AS (SELECT page_id, min_by(path, place) AS first_path FROM sp GROUP BY page_id)
 SELECT c.page_id AS doc_id, c.chunk_index, c.start_char, coalesce(max_by(s.path, s.place), any_value(f.first_path)) AS section_path FROM pc c LEFT JOIN sp s ON s.page_id = c.page_id AND s.place <= c.start_char LEFT JOIN f ON f.page_id = c.page_id GROUP BY 1, 2, 3"""
 ORACLES["search_with_neighbors"] = f"""WITH {CHUNKS}, {_BM25.replace("LIMIT 64", "LIMIT 80")},
-sub AS (SELECT *, -((length(content) - length(replace(lower(content), '{QUERY}', ''))) / {len(QUERY)}.0)::DOUBLE AS score FROM cid WHERE contains(lower(content), '{QUERY}') ORDER BY score, document_id, chunk_index LIMIT 80),
+{_own_query_sql("cid", 80)},
 {_FUSE}, top AS (SELECT * FROM fused ORDER BY score DESC, f, chunk_id LIMIT 10),
 hits AS (SELECT c.document_id, c.chunk_index, row_number() OVER (ORDER BY top.score DESC, chunk_id) AS rank FROM top JOIN cid c USING (chunk_id)),
 n AS (SELECT c.document_id, c.chunk_index, h.chunk_index AS match_index, row_number() OVER (PARTITION BY c.document_id, c.chunk_index ORDER BY h.rank, h.chunk_index) AS k
