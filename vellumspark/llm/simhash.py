@@ -360,6 +360,7 @@ def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, mos
     # the values dealt in blocks, but for those of one component
     big = _only(sig.withColumn("bucket", bucket), hot, "left_semi").select("key", "node", "comp", "data")
     big = big.unionByName(_only(sig, close.where("key IS NOT NULL").select("key").distinct(), "left_semi").select("key", "node", "comp", "data"))
+    big = written(big, "large-rows")  # they are gone through several times
     size = written(big.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("data").alias("d")).where("n > 1 AND lo <> hi AND d").select("key", "n"), "large-values")
     big = big.join(size.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), "key")
 
