@@ -149,3 +149,19 @@ def test_trees_by_recursion(spark):
     n = spark.createDataFrame([(str(i), str(i - 1) if i else None, f"n'{i}") for i in range(130)] + [("x", "y", "X"), ("y", "x", "Y"), ("z", "gone", "Z")], "id string, parent string, name string")
     got = {r.id: (r.path, r.depth) for r in rl.tree_query(n, "id", "parent", "name", sep="'").collect()}
     assert got == {str(i): ("'".join(f"n'{k}" for k in range(i + 1)), i + 1) for i in range(130)}
+
+
+def test_the_build_shuffles_blocks_instead_of_single_words(spark, tmp_path):
+    text = " ".join(f"word{i} and \U0001f600{i}" for i in range(60))
+    chunks = spark.createDataFrame([(i, f"c{i}", 0, f"{text} {i}", "f") for i in range(400)], "document_id long, chunk_id string, chunk_index int, content string, filename string").coalesce(1)
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    index = po.SearchIndex.create(chunks, f"{tmp_path}/index")
+    assert shuffled() - before < index._current()["len"] / 4  # before: a row each word and each trigram
+    assert index.keyword("word59 and").count() == 64 and index.substring("\U0001f6003 w").count() == 64
+    assert {(r.document_id, r.at) for r in index.phrase(["word7", "and"]).collect()} == {(i, 21) for i in range(400)}
