@@ -5,9 +5,11 @@ of their ids: the documented bound of the sample. The number of lists to visit i
 clustered vectors need few and structureless ones many. All vectors are indexed: each goes to the list of its nearest
 centroid, with one code byte for each subspace of its residual.
 
-Search. A query visits its nearest lists, at least ``n_probe`` and on until they hold ``min_seen`` vectors. Where a list
-meets its queries, tables of (query residual, codeword) distances are summed over the codes, the best ``rerank`` by that
-(ties: smaller id) are scored exactly in double precision on the original vectors, and each list returns k rows a query.
+Search. A query visits its nearest lists, at least ``n_probe`` (by the sample's and by the queries' own neighbours in it)
+and on until they hold ``min_seen`` vectors. Where a list meets its queries, tables of (query residual, codeword)
+distances are summed over the codes. A row's code is off by the length of what it leaves of the row, so by the triangle
+inequality all rows that may be among the k nearest are known; these, and at least the best ``rerank``, are scored exactly
+in double precision on the original vectors, however many rows have one code. Each list returns k rows a query.
 
 Sizes. Lists are dealt in blocks of at most ``block_rows`` vectors, and queries of a list in blocks of ``block_queries``,
 so a crowded list or a vector with very many copies is spread over tasks; list sizes (one number a centroid) are all
@@ -84,6 +86,10 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Codebooks:
     def __init__(self, coarse: np.ndarray, fine: list[np.ndarray], edges: list[int], n_probe: int = 1):
         self.coarse, self.fine, self.edges, self.n_probe = coarse, fine, edges, n_probe
+        self.sample: tuple[np.ndarray, np.ndarray] | None = None  # ids and unit vectors, on the driver only
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"sample": None}
 
     @classmethod
     def fit(cls, sample: np.ndarray, n_lists: int, n_sub: int, seed: int = 7) -> Codebooks:
@@ -96,11 +102,15 @@ class Codebooks:
         return cls(coarse, fine, edges, cls.needed(sample, coarse))
 
     @staticmethod
-    def needed(sample: np.ndarray, coarse: np.ndarray, asked: int = 400, k: int = 5, goal: float = GOAL) -> int:
-        """Lists to visit so that a share ``goal`` of the sample's own nearest neighbours is in them; in the full table neighbours are nearer."""
-        q = sample[:asked]
+    def needed(sample: np.ndarray, coarse: np.ndarray, asked: int = 400, k: int = 5, goal: float = GOAL, q: np.ndarray | None = None, own: np.ndarray | None = None) -> int:
+        """Lists to visit so that a share ``goal`` of the nearest neighbours in the sample is in them, of its own first rows or of q (own: which pairs are one row); in the full table neighbours are nearer."""
+        if q is None:
+            q = sample[:asked]
+            own = np.arange(len(q))[:, None] == np.arange(len(sample))[None]
+        if not len(q):
+            return 1
         sims = q @ sample.T
-        sims[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        sims[own] = -np.inf
         near = np.argsort(-sims, 1)[:, : min(k, len(sample) - 1)]
         order = np.argsort((coarse * coarse).sum(1) / 2 - q @ coarse.T, 1)
         place = np.argsort(order, 1)
@@ -114,6 +124,10 @@ class Codebooks:
         codes = [_nearest(np.ascontiguousarray(rest[:, a:b]), c) for c, a, b in zip(self.fine, self.edges, self.edges[1:])]
         return at, np.stack(codes, 1).astype(np.uint8)
 
+    def decode(self, at: int, codes: np.ndarray) -> np.ndarray:
+        """The rows of one list as their codes give them."""
+        return self.coarse[at] + np.concatenate([c[codes[:, j]] for j, c in enumerate(self.fine)], 1)
+
     def distances(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """(queries, rows) asymmetric squared distances to the rows of one list."""
         rest = queries - self.coarse[at]
@@ -129,10 +143,14 @@ def build_index(vectors: DataFrame, max_fit: int = 20_000, n_sub: int = 16) -> t
     spark = vectors.sparkSession
     n = vectors.count()
     h = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 30))
-    sample = vectors.where(h < min(1.0, max_fit / max(n, 1)) * float(1 << 30)).select("v").collect()
+    sample = vectors.where(h < min(1.0, max_fit / max(n, 1)) * float(1 << 30)).select("id", "v").collect()
     if n and not sample:
-        sample = vectors.select("v").limit(1).collect()
-    books = Codebooks.fit(_unit(np.array([r.v for r in sample], float)), max(1, min(4096, round(n**0.5))), n_sub) if n else None
+        sample = vectors.select("id", "v").limit(1).collect()
+    books = None
+    if n:
+        unit = _unit(np.array([r.v for r in sample], float))
+        books = Codebooks.fit(unit, max(1, min(4096, round(n**0.5))), n_sub)
+        books.sample = np.array([r.id for r in sample]), unit
     shared = spark.sparkContext.broadcast(books)
 
     def run(batches):
@@ -150,7 +168,14 @@ def search(queries: DataFrame, books: Codebooks | None, index: DataFrame, k: int
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if books is None:
         return spark.createDataFrame([], schema)
-    n_lists, n_probe = len(books.coarse), n_probe or books.n_probe
+    n_lists = len(books.coarse)
+    if n_probe is None:
+        n_probe = books.n_probe
+        if books.sample is not None:  # queries may lie elsewhere than the rows: a bounded number of them, by a hash
+            some = queries.orderBy(F.xxhash64(F.lit("asked"), "id"), "id").limit(400).collect()
+            q = _unit(np.array([r.v for r in some], float)) if some else np.zeros((0, books.coarse.shape[1]), np.float32)
+            ids, unit = books.sample
+            n_probe = max(n_probe, Codebooks.needed(unit, books.coarse, q=q, own=np.array([r.id for r in some])[:, None] == ids[None]))
     sizes = np.zeros(n_lists, np.int64)
     for r in index.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
@@ -193,19 +218,25 @@ def search(queries: DataFrame, books: Codebooks | None, index: DataFrame, k: int
             codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             v = _scaled(v)
             norms = np.sqrt((v * v).sum(1))
+            unit, at = _unit(v), rows.column("list")[0].as_py()
+            off = np.sqrt(((unit - books.decode(at, codes)) ** 2).sum(1))  # how far each code is from its row
             qids, q = asks.column("qid").to_numpy(), _scaled(_matrix(asks.column("q")))
-            at, step = rows.column("list")[0].as_py(), max(1, 4_000_000 // len(ids))
+            step = max(1, 4_000_000 // len(ids))
             for i in range(0, len(qids), step):
                 d = books.distances(_unit(q[i : i + step]), at, codes)
                 for row, qid, one in zip(d, qids[i : i + step], q[i : i + step]):
                     row[ids == qid] = np.inf
                     if len(row) > rerank:
                         edge = np.partition(row, rerank - 1)[rerank - 1]
-                        near = np.flatnonzero(row < edge)
-                        near = np.concatenate([near, np.flatnonzero(row == edge)[: rerank - len(near)]])
+                        far = np.sqrt(np.maximum(row, 0))
+                        most = np.partition(far + off, k - 1)[k - 1]  # the k nearest are no farther than this
+                        near = np.flatnonzero((row <= edge) | (far - off <= most + 1e-3))
                     else:
                         near = np.arange(len(row))
-                    near = np.sort(near[np.isfinite(row[near])])
+                    near = near[np.isfinite(row[near])]
+                    if len(near) > 4 * rerank:  # by products of 32 bits first, and their error
+                        s = unit[near] @ _unit(one[None])[0]
+                        near = near[s >= np.partition(s, -k)[-k] - 1e-5]
                     s = (v[near] * one).sum(1) / (norms[near] * np.sqrt((one * one).sum()))
                     best = np.lexsort((ids[near], -s))[:k]
                     out[0].extend([qid] * len(best))
