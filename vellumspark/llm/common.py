@@ -10,26 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import Scratch, drop_path, drop_written, shared_dir, written
+from ..sources.shared import Scratch, drop_path, drop_written, shared_dir, small_batches, written
 
 __all__ = ["Scratch", "crc_mod", "drop_path", "drop_written", "lean", "shared_dir", "shuffle_parts", "small_batches", "table", "unused", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-TEXT_BATCH = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of texts have 4 MB instead of up to 64: workers hold a few of them at a time.
-
-    The setting is the session's and stays, as plans run after the operator has returned; smaller values are kept.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(key)).rstrip("b")) > TEXT_BATCH:
-        spark.conf.set(key, str(TEXT_BATCH))
-
-
 def lean(run):
     """run, giving memory back at its end: its Python worker waits for other stages' tasks and counts as the executor's."""
 
