@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import cite_key, confirmed, lexical_text, support, supports, text_stems
 from ..sources.shared import written
 from .patterns import contained
 
 MIN_SCORE, MIN_SHARED, MIN_MARGIN = 0.3, 2, 0.05
+FEW_CLAIMS, FEW_BYTES = 20_000, 8 << 20
 
 
 def markers(answers: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -86,18 +90,70 @@ def candidate_pairs(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...
     return one.unionByName(met(b, a, "b", "a", F.col("_nb") < F.col("_na"))).distinct()
 
 
-def supported(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = (), least: float = MIN_SCORE, shared: int = MIN_SHARED) -> DataFrame:
-    """C-6 for two tables: (keys, claim_id, passage_id, score, shared, near) of all pairs (of equal keys) that are near-verbatim or share ``shared`` stems and ``least`` of the smaller set, but for those of one id.
-
-    Pairs come from prefix filtering over stems and from an automaton of the texts themselves; each is then scored.
+def _counted(claims: DataFrame, passages: DataFrame, least: float, shared: int, more: tuple[str, ...]) -> DataFrame:
+    """(more, passage_id, claim_id, score, shared, near) of the pairs that share ``shared`` stems and ``least`` of the smaller set: each passage's stems are looked up in lists of the claims that have them. claims (few), passages: of _stemmed."""
+    listed = claims.select("claim_id", "_t", "_s").where("claim_id IS NOT NULL AND _t IS NOT NULL").collect()  # at most FEW_CLAIMS and FEW_BYTES
+    having: dict[str, list[int]] = {}
+    for i, r in enumerate(listed):
+        for w in r["_s"]:
+            having.setdefault(w, []).append(i)
+    sent = claims.sparkSession.sparkContext.broadcast(([r["claim_id"] for r in listed], [r["_t"] for r in listed], np.array([len(r["_s"]) for r in listed]), {w: np.array(x) for w, x in having.items()}))
+    rows = passages.select(*more, "passage_id", "_t", "_s").where("passage_id IS NOT NULL AND _t IS NOT NULL")
+    found = [T.StructField("score", T.DoubleType()), T.StructField("shared", T.IntegerType()), T.StructField("near", T.BooleanType())]
+    schema = T.StructType([*rows.drop("_t", "_s").schema.fields, claims.schema["claim_id"], *found])
+
+    def run(batches):
+        ids, texts, sizes, lists = sent.value
+        ids = pa.array(ids, to_arrow_type(schema["claim_id"].dataType))
+        for whole in batches:
+            step = max(1, 1_000_000 // max(len(ids), 1))
+            for k in range(0, whole.num_rows, step):
+                b = whole.slice(k, step)
+                at, of, score, n, near = [], [], [], [], []
+                for i, (t, stems) in enumerate(zip(b.column("_t").to_pylist(), b.column("_s").to_pylist())):
+                    own = [lists[w] for w in stems if w in lists]
+                    if len(own) < shared:
+                        continue
+                    counts = np.bincount(np.concatenate(own), minlength=len(sizes))
+                    hit = np.flatnonzero(counts >= shared)
+                    c = counts[hit]
+                    s = c / np.maximum(np.minimum(sizes[hit], len(stems)), 1)
+                    ok = s >= least
+                    hit, c, s = hit[ok], c[ok], s[ok]
+                    within = np.array([t in texts[j] or texts[j] in t for j in hit.tolist()], bool)
+                    at.append(np.full(len(hit), i))
+                    of.append(hit)
+                    score.append(np.where(within, 1.0, s))
+                    n.append(c.astype(np.int32))
+                    near.append(within)
+                if at:
+                    place = pa.array(np.concatenate(at))
+                    kept = [b.column(j).take(place) for j in range(len(more) + 1)]
+                    yield pa.RecordBatch.from_arrays([*kept, ids.take(pa.array(np.concatenate(of))), *[pa.array(np.concatenate(x)) for x in (score, n, near)]], schema.names)
+
+    return rows.mapInArrow(run, schema).where("claim_id <> passage_id")
+
+
+def supported(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = (), least: float = MIN_SCORE, shared: int = MIN_SHARED, more: tuple[str, ...] = ()) -> DataFrame:
+    """C-6 for two tables: (keys, claim_id, passage_id, score, shared, near, more: columns of passages) of all pairs (of equal keys) that are near-verbatim or share ``shared`` stems and ``least`` of the smaller set, but for those of one id.
+
+    Pairs come from an automaton of the texts themselves and from the stems: by prefix filtering, each then scored; or, where
+    the claims are few and have no keys, by counts where the passages are read.
     """
-    a, b = _stemmed(claims, keys, "claim_id", "claim"), _stemmed(passages, keys, "passage_id", "passage")
+    a, b = _stemmed(claims, keys, "claim_id", "claim"), _stemmed(passages, (*keys, *more), "passage_id", "passage")
+    size = a.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_t")), F.lit(0)).alias("bytes")).first()
+    few = not keys and shared > 0 and size.n <= FEW_CLAIMS and size.bytes <= FEW_BYTES
     holds = contained(b, a, "passage_id", "_t", "claim_id", "_t", keys).select(*keys, "claim_id", "passage_id")
     held = contained(a, b, "claim_id", "_t", "passage_id", "_t", keys).select(*keys, "claim_id", "passage_id")
-    pairs = candidate_pairs(a, b, keys, least, shared).unionByName(holds).unionByName(held).distinct()
-    met = pairs.join(a.select(*keys, "claim_id", F.col("_t").alias("_a")), [*keys, "claim_id"]).join(b.select(*keys, "passage_id", F.col("_t").alias("_b")), [*keys, "passage_id"])
+    pairs = holds.unionByName(held).distinct()
+    if not few:
+        pairs = pairs.unionByName(candidate_pairs(a, b, keys, least, shared)).distinct()
+    met = pairs.join(a.select(*keys, "claim_id", F.col("_t").alias("_a")), [*keys, "claim_id"]).join(b.select(*keys, *more, "passage_id", F.col("_t").alias("_b")), [*keys, "passage_id"])
     met = met.where("claim_id <> passage_id").withColumn("s", supports(F.col("_a"), F.col("_b")))
-    return met.where(confirmed(F.col("s"), least, shared)).select(*keys, "claim_id", "passage_id", "s.score", "s.shared", "s.near").distinct()
+    out = met.where(confirmed(F.col("s"), least, shared)).select(*keys, "claim_id", "passage_id", "s.score", "s.shared", "s.near", *more)
+    if few:
+        out = out.unionByName(_counted(a, b, least, shared, more))  # near pairs may come twice
+    return out.distinct()
 
 
 def rebind(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = (), current: str | None = None, semantic: DataFrame | None = None, top_k: int = 3) -> DataFrame:
