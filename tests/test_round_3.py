@@ -8,6 +8,7 @@ import numpy as np
 
 from vellumspark.llm import ann
 from vellumspark.operators import chunking as ch
+from vellumspark.operators import citations as ct
 from vellumspark.plans import catalogue as ca
 
 
@@ -78,3 +79,17 @@ def test_search_of_a_list_finds_all_its_nearest(spark):
         s = y @ y[r[0]]
         s[r[0]] = -9
         assert set(r[1]) == set(np.argsort(-s)[:5].tolist())
+
+
+def test_few_claims_are_counted_where_passages_are_read(spark, monkeypatch):
+    claims = spark.createDataFrame([(1, "The rivers flooded stones"), (2, ""), (3, None), (4, "grey stones"), (5, "the of"), (4, "wet stone")], "claim_id long, claim string")
+    texts = ["a river floods", "grey stone", "stones", "", None, "the of", "rivers flooded stones and more grey stones", "wet"]
+    passages = spark.createDataFrame([(i, t) for i, t in enumerate(texts, 3)], "passage_id long, passage string")
+    for least, shared in ((0.3, 2), (0.0, 1)):
+        got = sorted(map(tuple, ct.supported(claims, passages, least=least, shared=shared).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(ct, "FEW_CLAIMS", -1)
+            assert got == sorted(map(tuple, ct.supported(claims, passages, least=least, shared=shared).collect())) and got
+            m.setattr(ct, "FEW_CLAIMS", 20_000)
+            m.setattr(ct, "candidate_pairs", None)  # no pair of rows is joined
+            assert got == sorted(map(tuple, ct.supported(claims, passages, least=least, shared=shared).collect()))

@@ -14,10 +14,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import cite_key, confirmed, lexical_text, support, supports, text_stems
 from ..sources.shared import written
-from .patterns import contained
+from .patterns import automaton, contained, found_in
 
 MIN_SCORE, MIN_SHARED, MIN_MARGIN = 0.3, 2, 0.05
-FEW_CLAIMS, FEW_BYTES = 20_000, 8 << 20
+FEW_CLAIMS, FEW_BYTES = 20_000, 1 << 20
 
 
 def markers(answers: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -91,7 +91,7 @@ def candidate_pairs(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...
 
 
 def _counted(claims: DataFrame, passages: DataFrame, least: float, shared: int, more: tuple[str, ...]) -> DataFrame:
-    """(more, passage_id, claim_id, score, shared, near) of the pairs that share ``shared`` stems and ``least`` of the smaller set: each passage's stems are looked up in lists of the claims that have them. claims (few), passages: of _stemmed."""
+    """(more, passage_id, claim_id, score, shared, near) of the pairs that are near-verbatim or share ``shared`` stems and ``least`` of the smaller set: each passage's stems are looked up in lists of the claims that have them. claims (few), passages: of _stemmed."""
     listed = claims.select("claim_id", "_t", "_s").where("claim_id IS NOT NULL AND _t IS NOT NULL").collect()  # at most FEW_CLAIMS and FEW_BYTES
     having: dict[str, list[int]] = {}
     for i, r in enumerate(listed):
@@ -105,6 +105,12 @@ def _counted(claims: DataFrame, passages: DataFrame, least: float, shared: int,
     def run(batches):
         ids, texts, sizes, lists = sent.value
         ids = pa.array(ids, to_arrow_type(schema["claim_id"].dataType))
+        same: dict[str, list[int]] = {}
+        for j, t in enumerate(texts):
+            if t:
+                same.setdefault(t, []).append(j)
+        patterns, every, none = list(same), "\n".join(same), np.zeros(0, np.int64)  # texts have no line feeds
+        claims_in = automaton(patterns)
         for whole in batches:
             step = max(1, 1_000_000 // max(len(ids), 1))
             for k in range(0, whole.num_rows, step):
@@ -112,15 +118,17 @@ def _counted(claims: DataFrame, passages: DataFrame, least: float, shared: int,
                 at, of, score, n, near = [], [], [], [], []
                 for i, (t, stems) in enumerate(zip(b.column("_t").to_pylist(), b.column("_s").to_pylist())):
                     own = [lists[w] for w in stems if w in lists]
-                    if len(own) < shared:
+                    close = {j for p in found_in(claims_in, t) for j in same[patterns[p]]}
+                    if t and t in every:
+                        close.update(j for p in patterns if t in p for j in same[p])
+                    if len(own) < shared and not close:
                         continue
-                    counts = np.bincount(np.concatenate(own), minlength=len(sizes))
-                    hit = np.flatnonzero(counts >= shared)
-                    c = counts[hit]
-                    s = c / np.maximum(np.minimum(sizes[hit], len(stems)), 1)
-                    ok = s >= least
-                    hit, c, s = hit[ok], c[ok], s[ok]
-                    within = np.array([t in texts[j] or texts[j] in t for j in hit.tolist()], bool)
+                    counts = np.bincount(np.concatenate(own) if own else none, minlength=len(sizes))
+                    s = counts / np.maximum(np.minimum(sizes, len(stems)), 1)
+                    near_ = np.zeros(len(sizes), bool)
+                    near_[list(close)] = True
+                    hit = np.flatnonzero(near_ | (counts >= shared) & (s >= least))
+                    c, s, within = counts[hit], s[hit], near_[hit]
                     at.append(np.full(len(hit), i))
                     of.append(hit)
                     score.append(np.where(within, 1.0, s))
@@ -143,16 +151,15 @@ def supported(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = ()
     a, b = _stemmed(claims, keys, "claim_id", "claim"), _stemmed(passages, (*keys, *more), "passage_id", "passage")
     size = a.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_t")), F.lit(0)).alias("bytes")).first()
     few = not keys and shared > 0 and size.n <= FEW_CLAIMS and size.bytes <= FEW_BYTES
+    if few:
+        return _counted(a, b, least, shared, more).select("claim_id", "passage_id", "score", "shared", "near", *more).distinct()
     holds = contained(b, a, "passage_id", "_t", "claim_id", "_t", keys).select(*keys, "claim_id", "passage_id")
     held = contained(a, b, "claim_id", "_t", "passage_id", "_t", keys).select(*keys, "claim_id", "passage_id")
     pairs = holds.unionByName(held).distinct()
-    if not few:
-        pairs = pairs.unionByName(candidate_pairs(a, b, keys, least, shared)).distinct()
+    pairs = pairs.unionByName(candidate_pairs(a, b, keys, least, shared)).distinct()
     met = pairs.join(a.select(*keys, "claim_id", F.col("_t").alias("_a")), [*keys, "claim_id"]).join(b.select(*keys, *more, "passage_id", F.col("_t").alias("_b")), [*keys, "passage_id"])
     met = met.where("claim_id <> passage_id").withColumn("s", supports(F.col("_a"), F.col("_b")))
     out = met.where(confirmed(F.col("s"), least, shared)).select(*keys, "claim_id", "passage_id", "s.score", "s.shared", "s.near", *more)
-    if few:
-        out = out.unionByName(_counted(a, b, least, shared, more))  # near pairs may come twice
     return out.distinct()
 
 
