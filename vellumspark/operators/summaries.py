@@ -154,28 +154,30 @@ class RunAutomaton:
 MOST_TOKENS = 25
 
 
-def _limited(text: str, start: int, end: int) -> tuple[int, int]:
-    """At most MOST_TOKENS tokens from start on, without white space at the end."""
-    tokens = _tokens(text[start:end])
-    if len(tokens) > MOST_TOKENS:
-        end = start + tokens[MOST_TOKENS - 1][2]
+def _limited(text: str, start: int, end: int, most: int | None) -> tuple[int, int]:
+    """At most so many tokens from start on, without white space at the end."""
+    tokens = _tokens(text[start:end]) if most else []
+    if most and len(tokens) > most:
+        end = start + tokens[most - 1][2]
     return start, start + len(text[start:end].rstrip())
 
 
-def locate_quote(text: str, quote: str) -> tuple[int, int] | None:
-    """M-3: the only place of a quote in a text, at most 25 tokens of it: exact, else without regard to white space, case and width, else a window of 25 tokens round its longest run of tokens (3 at least, or all), if that stands in one place only."""
+def locate_quote(text: str, quote: str, fuzzy: bool = True, most: int | None = MOST_TOKENS) -> tuple[int, int] | None:
+    """M-3: the only place of a quote in a text, at most 25 tokens of it (most: so many, None: all): exact, else without regard to white space, case and width, else, if fuzzy, a window of 25 tokens round its longest run of tokens (3 at least, or all), if that stands in one place only."""
     if not quote or not text:
         return None
     at = text.find(quote)
     if at >= 0 and text.rfind(quote) == at:
-        return _limited(text, at, at + len(quote))
+        return _limited(text, at, at + len(quote), most)
     squeezed, places = _squeezed(text)
     wanted, _ = _squeezed(quote)
     if not wanted:
         return None
     at = squeezed.find(wanted)
     if at >= 0 and squeezed.rfind(wanted) == at:
-        return _limited(text, places[at], places[at + len(wanted) - 1] + 1)
+        return _limited(text, places[at], places[at + len(wanted) - 1] + 1, most)
+    if not fuzzy:
+        return None
     source, asked = _tokens(text), _tokens(quote)
     if not source or not asked:
         return None
@@ -184,14 +186,18 @@ def locate_quote(text: str, quote: str) -> tuple[int, int] | None:
         return None
     first = max(0, starts[0] - max(0, MOST_TOKENS - n) // 2)
     end = min(len(source), first + MOST_TOKENS)
-    return _limited(text, source[max(0, end - MOST_TOKENS)][1], source[end - 1][2])
+    return _limited(text, source[max(0, end - MOST_TOKENS)][1], source[end - 1][2], most)
 
 
-@F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-def located(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
+def located(text: str | Column, quote: str | Column, fuzzy: bool = True, most: int | None = MOST_TOKENS) -> Column:
     """M-3 as a Column: struct(start, end), null where the quote has no single place."""
-    rows = [locate_quote(t, q) or (None, None) for t, q in zip(text, quote)]
-    return pd.DataFrame(rows, columns=["start", "end"]).astype("Int32")
+
+    @F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    def places(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
+        rows = [locate_quote(t, q, fuzzy, most) or (None, None) for t, q in zip(text, quote)]
+        return pd.DataFrame(rows, columns=["start", "end"]).astype("Int32")
+
+    return places(text, quote)
 
 
 def most_recent(results: DataFrame, keys: list[str], n: int = 8, key: str = "key", used: str = "used") -> DataFrame:
