@@ -66,3 +66,11 @@ def _filter_of(words):
     for n in sorted({len(w) for w in words}):
         sizes.setdefault(pt._level(n), []).append(n)
     return np.packbits(bits, bitorder="little"), {k: np.array(v) for k, v in sizes.items()}
+
+
+def test_files_are_made_and_read_in_many_tasks(spark, tmp_path):
+    rows = spark.range(25_000).selectExpr("id AS c_custkey", "concat('Customer ', id) AS c_name", "'BUILDING' AS c_mktsegment")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    made = entries.QUERIES["docx_texts"](spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == 3
+    assert made.where("c_custkey = 24999").first().text == "Customer 24999 BUILDING\n\tend" and made.select("c_custkey").distinct().count() == 25_000
