@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 
 from vellumspark.functions import align as al
+from vellumspark.operators import chunking as ch
 from vellumspark.operators import patterns as pt
 from vellumspark.operators import summaries as sm
 from vellumspark.plans import entries
@@ -110,3 +111,17 @@ def test_folding_keeps_places_and_is_fast():
     mine, began = time.process_time() - began, time.process_time()
     plain_folded(long)
     assert mine * 4 < time.process_time() - began
+
+
+def test_lines_are_cut_where_texts_are_read(spark):
+    texts = ["a\n\nbé\U0001d11e\nlast", "", None, "\n", "one", "# H\r\nx\n"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = ch.lines(df, "k", "t")
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    want = []
+    for k, t in enumerate(texts):
+        at = 0
+        for i, x in enumerate((t or "").split("\n")):
+            want.append((k, i, x, at))
+            at += len(x) + 1
+    assert sorted(tuple(r) for r in got.collect()) == want and got.dtypes == [("k", "bigint"), ("line_no", "int"), ("line", "string"), ("start", "bigint")]
