@@ -117,3 +117,11 @@ def test_queue_query_is_the_machine_event_by_event(spark):
         want += [(r.user_id, *a, r.seq) for a in made]
     got = [tuple(r) for r in entries.QUERIES["index_queue_actions"](spark, sf).collect()]
     assert sorted(got) == sorted(want) and len({r[1:4] for r in want}) > 3
+
+
+def test_rows_of_a_key_are_taken_in_order_without_a_frame_of_them_all(monkeypatch):
+    import pandas as pd
+
+    frames = [pd.DataFrame({"kind": ["b", "d"], "mode": ["full", None], "seq": [2, 4]}), pd.DataFrame({"kind": ["a", "c"], "mode": [None, "x"], "seq": [1, 3]})]
+    monkeypatch.setattr(pd, "concat", None)
+    assert [tuple(r) for r in iq.in_order(iter(frames), "kind", "mode", "seq")] == [("a", None, 1), ("b", "full", 2), ("c", "x", 3), ("d", None, 4)]

@@ -50,6 +50,11 @@ def step(state: tuple, kind: str, mode: str | None, rerun: bool, at: int, wait:
     return state, []
 
 
+def in_order(frames: Iterable[pd.DataFrame], *columns: str) -> list[tuple]:
+    """A key's rows of a micro-batch by their last column; plain values, as a key has few rows and a frame costs more than they do."""
+    return sorted((r for f in frames for r in zip(*(f[c].array for c in columns))), key=lambda r: r[-1])
+
+
 def due(state: tuple, now: int) -> tuple[tuple, list[tuple[str, str, str]]]:
     """What an idle key does at a time: a deferred job whose wait is over is queued in the full mode."""
     phase, own, _, _, at = state
@@ -75,14 +80,15 @@ def queue_actions(events: DataFrame, keys: list[str], wait: str = "10 minutes",
             now, made = due(now, max(mark, now[4]))
             out += [(*key, *a, None) for a in made]
         else:
-            rows = pd.concat(list(frames)).sort_values("seq")  # a key's part of a micro-batch
-            for kind, mode, rerun, at, seq in zip(rows["kind"], rows["mode"], rows["rerun"], rows["ms"], rows["seq"]):
+            for kind, mode, rerun, at, seq in in_order(frames, "kind", "mode", "rerun", "ms", "seq"):
                 now, made = step(now, kind, mode, bool(rerun), int(at), millis)
                 out += [(*key, *a, int(seq)) for a in made]
         state.update(now)
         if now[0] == IDLE and now[4]:
             state.setTimeoutTimestamp(max(now[4], mark + 1))
-        yield pd.DataFrame(out, columns=[*keys, *(n for n, _ in ACTIONS)]).astype({"seq": "Int64"})
+        if out:
+            columns = dict(zip([*keys, *(n for n, _ in ACTIONS)], map(list, zip(*out))))
+            yield pd.DataFrame(columns | {"seq": pd.array(columns["seq"], dtype="Int64")})
 
     schema = T.StructType([*(T.StructField(k, t) for k, t in kinds), *(T.StructField(n, T._parse_datatype_string(t)) for n, t in ACTIONS)])
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
@@ -104,13 +110,13 @@ def watch(polls: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         told, out = (state.get[0] if state.exists else ""), []
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for pending, ready, error, seq in zip(rows["pending"], rows["ready"], rows["error"], rows["seq"]):
+        for pending, ready, error, seq in in_order(frames, "pending", "ready", "error", "seq"):
             told, now = seen(told, int(pending), int(ready), int(error))
             if now:
                 out.append((*key, now, int(seq)))
         state.update((told,))
-        yield pd.DataFrame(out, columns=[*keys, "state", "seq"])
+        if out:
+            yield pd.DataFrame(dict(zip([*keys, "state", "seq"], map(list, zip(*out)))))
 
     schema = T.StructType([*kinds, T.StructField("state", T.StringType()), T.StructField("seq", T.LongType())])
     return polls.select(*keys, "pending", "ready", "error", "seq").groupBy(*keys).applyInPandasWithState(run, schema, "told string", "append", GroupStateTimeout.NoTimeout)
