@@ -229,3 +229,51 @@ def test_forests_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr("vellumspark.llm.components.FOREST", 7)
     df = spark.createDataFrame([(i, i + 1) for i in range(200) if i % 50 != 49], "a long, b long").repartition(3)
     assert {r.node: r.root for r in components(df).collect()} == {i: i // 50 * 50 for i in range(200) if i % 50}
+
+
+def test_signatures_are_made_once_a_round(spark, monkeypatch):
+    """What is written reads signatures; only one of its plans a round makes them."""
+    made = []
+
+    def keep(df, name):
+        made.append(df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode"))
+        return written(df, name)
+
+    monkeypatch.setattr(simhash, "written", keep)
+    df = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    simhash.near_duplicates(df).collect()
+    assert sum(made) == 1
+    made.clear()
+    monkeypatch.setattr(simhash, "plan_wide", lambda *a, **b: [(list(range(16 * i, 16 * i + 16)), 0) for i in range(20)])
+    simhash.near_duplicates_wide(df).collect()
+    assert sum(made) <= 2 * 3  # with the rows of blocks, in three rounds
+
+
+@pytest.mark.parametrize("constant", [1000, 0])
+def test_blocks_of_one_component_do_not_meet(spark, monkeypatch, constant):
+    """A value of very many nodes that are connected but for a few: rows for its blocks grow with the nodes, and no link is lost."""
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    monkeypatch.setattr(simhash, "CONSTANT", constant)
+    rng = random.Random(3)
+    one = rng.getrandbits(54) << 8
+    prints = [one ^ (1 << rng.randrange(8, 62)) ^ (1 << rng.randrange(8, 62)) for _ in range(700)]
+    far = [rng.getrandbits(54) << 8 for _ in range(6)]
+    prints += [x ^ (1 << 8) for x in far] + far + [one ^ 7 << 30]
+    comp = [0] * 700 + list(range(700, 713))
+    nodes = written(spark.createDataFrame([(i, f, c) for i, (f, c) in enumerate(zip(prints, comp))], "node long, f0 long, comp long").repartition(3), "nodes")
+    rows = []
+    in_blocks = simhash.in_blocks
+    monkeypatch.setattr(simhash, "in_blocks", lambda x: rows.append(in_blocks(x)) or rows[-1])
+    found = [(r.a, r.b) for r in simhash.links(nodes, [(list(range(8)), 0)], 1, 3).collect()]
+    assert rows[0].count() <= 2 * 700 + 13 * (100 + 2)
+    root = list(comp)
+    for a, b in found:
+        assert (prints[a] ^ prints[b]).bit_count() <= 3
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = [new if x == old else x for x in root]
+    want = brute(dict(enumerate(prints)), 3)
+    for i, r in enumerate(comp):  # what is connected already
+        if want[i] != want[r]:
+            old, new = max(want[i], want[r]), min(want[i], want[r])
+            want = {k: new if v == old else v for k, v in want.items()}
+    assert dict(enumerate(root)) == want and len(set(root)) < len(set(comp))

@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, lean, small_batches, written
+from .common import Scratch, drop_written, lean, small_batches, written
 from .components import components
 
-SMALL, BLOCK, BLOCK_SHINGLES, SUMS, BROADCAST, BROADCAST_NODES = 16, 2048, 1 << 19, 16, 100_000, 500_000
+SMALL, BLOCK, BLOCK_SHINGLES, SUMS, BROADCAST, BROADCAST_NODES, CONSTANT = 16, 2048, 1 << 19, 16, 100_000, 500_000, 1000
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -324,21 +324,50 @@ def _only(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, keys.columns, how)
 
 
+def _split(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows without and with these keys, a long each; at most CONSTANT of them are a constant of the plan, which takes no join."""
+    name = keys.columns[0]
+    some = [r[0] for r in keys.limit(CONSTANT + 1).collect()]
+    if len(some) > CONSTANT:
+        return _only(rows, keys, "left_anti"), _only(rows, keys, "left_semi")
+    return rows.where(~F.col(name).isin(some)), rows.where(F.col(name).isin(some))
+
+
+def block_numbers(rows: DataFrame) -> DataFrame:
+    """(key, top, apart, m) of the values of rows (key, comp, data, shingles) that have different components and data. m is the number of blocks; the first ``apart`` of them hold the value's largest component ``top``, none if that fits into one block."""
+    blocks = lambda n, k: F.greatest(F.ceil(n / BLOCK), F.ceil(k / BLOCK_SHINGLES)).cast("int")
+    each = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("shingles").alias("k"), F.bool_or("data").alias("data"))
+    each = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.max(F.struct("n", "k", "comp")).alias("top"), F.count("*").alias("comps"), F.bool_or("data").alias("data")).where("comps > 1 AND data")
+    own = blocks(F.col("top.n"), F.col("top.k"))
+    each = each.withColumn("apart", F.when(own > 1, own).otherwise(0))
+    rest = F.when(F.col("apart") > 0, blocks(F.col("n") - F.col("top.n"), F.col("k") - F.col("top.k"))).otherwise(blocks(F.col("n"), F.col("k")))
+    return each.select("key", F.col("top.comp").alias("top"), "apart", (F.col("apart") + rest).alias("m"))
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows with their block ``mine`` and a row for each other block that it meets, ``other``: all blocks, but those of one component not each other."""
+    of_top = (F.col("comp") == F.col("top")) & (F.col("apart") > 0)
+    place = F.xxhash64("node")
+    mine = F.when(of_top, F.pmod(place, "apart")).otherwise(F.col("apart") + F.pmod(place, F.col("m") - F.col("apart"))).cast("int")
+    return rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.when(of_top, F.col("apart")).otherwise(0), F.col("m") - 1)))
+
+
 def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, most: int, quick_words: int = 2, quick_most: int | None = None, sets_of=None, similarity: float = 0.0) -> DataFrame:
     """(a, b): links that connect all nodes within ``most`` bits that meet in a probe. nodes: (node long, f0 ..[, comp]).
 
-    prefix: further values of a node, an array; few: whether it has these only, and no probes. comp: what is connected already; only links between different ones are looked for. With sets_of, a function from
+    prefix: further values of a node, an array; few: whether it has these only, and no probes; shingles: their number. comp: what is connected already; only links between different ones are looked for. With sets_of, a function from
     (node) to shingle_sets(), only nodes whose sets have that Jaccard similarity are linked.
 
-    Signatures are shuffled once, by value. Values of hot hash buckets (more than BLOCK rows, counted with a combine
-    before the shuffle) stay out of that and are dealt in blocks, as are the other values of more than SMALL rows.
+    Signatures are made and written once, then shuffled by value. Values of hot hash buckets (more than BLOCK rows, counted
+    with a combine before the shuffle) stay out of that and are dealt in blocks, as are the other values of more than SMALL
+    rows. Where a value's largest component takes more than one block its blocks meet those of the other rows only.
     """
     fs = [f"f{k}" for k in range(words)]
     q = fs[: min(words, quick_words)]
     quick_most = most if len(q) == words else quick_most
     prefix = [F.transform("prefix", lambda x: F.struct(F.xxhash64(F.lit("shingle"), x).alias("key"), F.lit(True).alias("data")))] if "prefix" in nodes.columns else []
     few = F.col("few") if "few" in nodes.columns else F.lit(False)
-    nodes = nodes.select("node", *fs, F.col("comp") if "comp" in nodes.columns else F.col("node").alias("comp"), *[x.alias("own") for x in prefix], few.alias("few"))
+    nodes = nodes.select("node", *fs, F.col("comp") if "comp" in nodes.columns else F.col("node").alias("comp"), F.col("shingles") if "shingles" in nodes.columns else F.lit(0).alias("shingles"), *[x.alias("own") for x in prefix], few.alias("few"))
     keys = []
     for i, (bits, t) in enumerate(probes):
         m = _mask(bits, words)
@@ -347,22 +376,25 @@ def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, mos
                 keys.append(F.struct(F.xxhash64(F.lit(i), _value(fs, m, _mask(list(e), words))).alias("key"), F.lit(not e).alias("data")))
     probed = F.when(F.col("few"), F.array()).otherwise(F.array(*keys))
     every = F.concat(probed, F.coalesce("own", F.array())) if prefix else probed
-    sig = nodes.select("node", "comp", *q, F.explode(every).alias("k")).select("k.key", "node", "comp", "k.data", *q)
-    nodes = nodes.drop("own", "few")
+    sig = nodes.select("node", "comp", "shingles", *q, every.alias("every")).select("node", "comp", "shingles", *q, F.explode("every").alias("k"))
+    sig = written(sig.select("k.key", "node", "comp", "k.data", "shingles", *q), "signatures")  # they are gone through several times
+    nodes = nodes.select("node", *fs)
 
     buckets = max(1, nodes.count() * len(keys) // (BLOCK // 4))
     bucket = F.pmod("key", F.lit(buckets))
     hot = written(sig.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("bucket"), "hot-buckets")
-    cold = _only(sig.withColumn("bucket", bucket), hot, "left_anti").select("key", "node", "comp", "data", *q)
+    cold, big = _split(sig.withColumn("bucket", bucket), hot)
+    cold = cold.select("key", "node", "comp", "data", *q)
     close = written(cold.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_close(quick_most, len(q))), "a bigint, b bigint, key bigint"), "close")
     met = close.where("a IS NOT NULL").select("a", "b").distinct()
 
     # the values dealt in blocks, but for those of one component
-    big = _only(sig.withColumn("bucket", bucket), hot, "left_semi").select("key", "node", "comp", "data")
-    big = big.unionByName(_only(sig, close.where("key IS NOT NULL").select("key").distinct(), "left_semi").select("key", "node", "comp", "data"))
-    big = written(big, "large-rows")  # they are gone through several times
-    size = written(big.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("data").alias("d")).where("n > 1 AND lo <> hi AND d").select("key", "n"), "large-values")
-    big = big.join(size.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), "key")
+    big = big.unionByName(_only(sig, close.where("key IS NOT NULL").select("key").distinct(), "left_semi").withColumn("bucket", bucket))
+    large = written(big.select("key", "node", "comp", "data", "shingles"), "large-rows")
+    drop_written(sig)
+    values = written(block_numbers(large), "large-values")
+    big = written(large.select("key", "node", "comp").join(values, "key"), "mixed-rows")
+    drop_written(large)
 
     if len(q) < words:
         for side in ("a", "b"):
@@ -383,12 +415,11 @@ def links(nodes: DataFrame, probes: list[tuple[list[int], int]], words: int, mos
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
         met = met.select("a", "b", "s_a", "s_b").mapInArrow(lean(same), "a bigint, b bigint")
-        total = big.join(sets.select("node", "k"), "node").groupBy("key").agg(F.sum("k").alias("shingles"), F.first("m").alias("m"))
-        total = written(total.select("key", F.greatest("m", F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("m")), "large-values")
-        big = big.drop("m").join(total, "key").join(sets.select("node", "s"), "node")
+
+        nodes = nodes.join(sets.select("node", "s"), "node")
 
     held = [*fs, "s"] if exact else fs
-    big = big.join(nodes.drop("comp"), "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    big = in_blocks(big.join(nodes, "node"))
     big = big.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "comp", "mine", *held)
 
     def block(group: pa.Table) -> pa.Table:
@@ -518,7 +549,7 @@ def near_duplicates_wide(docs: DataFrame, size: int = 5, similarity: float = 0.8
         n, joint = bit_statistics(nodes, WIDE)
         named = nodes.select("node", "least", "key")
         # all texts that are like one of so few shingles have prefixes too, so it needs no bits to meet them
-        nodes = nodes.withColumn("few", F.col("shingles") <= int(similarity * SHORT + 1e-9)).drop("shingles")
+        nodes = nodes.withColumn("few", F.col("shingles") <= int(similarity * SHORT + 1e-9))
         probes = plan_wide(joint, n, angle, most)
 
         def of(nodes: DataFrame, some: list) -> DataFrame:
