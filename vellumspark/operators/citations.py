@@ -50,9 +50,13 @@ def quote_hits(quotes: DataFrame, chunks: DataFrame, keyed: bool = True) -> Data
     return hits.select("quote_id", "_c.document_id", "_c.chunk_id")
 
 
-def _stemmed(rows: DataFrame, keys: tuple[str, ...], id_col: str, text: str) -> DataFrame:
+def _stems(rows: DataFrame, keys: tuple[str, ...], id_col: str, text: str) -> DataFrame:
     t = rows.select(*keys, F.col(id_col), lexical_text(F.col(text)).alias("_t"))
-    return written(t.withColumn("_s", text_stems(F.col("_t"))), "stems")
+    return t.withColumn("_s", text_stems(F.col("_t")))
+
+
+def _stemmed(rows: DataFrame, keys: tuple[str, ...], id_col: str, text: str) -> DataFrame:
+    return written(_stems(rows, keys, id_col, text), "stems")
 
 
 def _by_rarity(rows: DataFrame, often: DataFrame, keys: tuple[str, ...], id_col: str) -> DataFrame:
@@ -91,14 +95,14 @@ def candidate_pairs(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...
 
 
 def _counted(claims: DataFrame, passages: DataFrame, least: float, shared: int, more: tuple[str, ...]) -> DataFrame:
-    """(more, passage_id, claim_id, score, shared, near) of the pairs that are near-verbatim or share ``shared`` stems and ``least`` of the smaller set: each passage's stems are looked up in lists of the claims that have them. claims (few), passages: of _stemmed."""
+    """(more, passage_id, claim_id, score, shared, near) of the pairs that are near-verbatim or share ``shared`` stems and ``least`` of the smaller set: each passage's stems are looked up in lists of the claims that have them. claims (few): of _stemmed, passages: of _stems, without nulls."""
     listed = claims.select("claim_id", "_t", "_s").where("claim_id IS NOT NULL AND _t IS NOT NULL").collect()  # at most FEW_CLAIMS and FEW_BYTES
     having: dict[str, list[int]] = {}
     for i, r in enumerate(listed):
         for w in r["_s"]:
             having.setdefault(w, []).append(i)
     sent = claims.sparkSession.sparkContext.broadcast(([r["claim_id"] for r in listed], [r["_t"] for r in listed], np.array([len(r["_s"]) for r in listed]), {w: np.array(x) for w, x in having.items()}))
-    rows = passages.select(*more, "passage_id", "_t", "_s").where("passage_id IS NOT NULL AND _t IS NOT NULL")
+    rows = passages.select(*more, "passage_id", "_t", "_s")
     found = [T.StructField("score", T.DoubleType()), T.StructField("shared", T.IntegerType()), T.StructField("near", T.BooleanType())]
     schema = T.StructType([*rows.drop("_t", "_s").schema.fields, claims.schema["claim_id"], *found])
 
@@ -146,13 +150,18 @@ def supported(claims: DataFrame, passages: DataFrame, keys: tuple[str, ...] = ()
     """C-6 for two tables: (keys, claim_id, passage_id, score, shared, near, more: columns of passages) of all pairs (of equal keys) that are near-verbatim or share ``shared`` stems and ``least`` of the smaller set, but for those of one id.
 
     Pairs come from an automaton of the texts themselves and from the stems: by prefix filtering, each then scored; or, where
-    the claims are few and have no keys, by counts where the passages are read.
+    the claims are few and have no keys, by counts where the passages are read; those pairs are shuffled only if an id has
+    several rows, as only then a pair can come twice.
     """
-    a, b = _stemmed(claims, keys, "claim_id", "claim"), _stemmed(passages, (*keys, *more), "passage_id", "passage")
-    size = a.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_t")), F.lit(0)).alias("bytes")).first()
+    a = _stemmed(claims, keys, "claim_id", "claim")
+    size = a.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_t")), F.lit(0)).alias("bytes"), (F.count("claim_id") > F.countDistinct("claim_id")).alias("again")).first()
     few = not keys and shared > 0 and size.n <= FEW_CLAIMS and size.bytes <= FEW_BYTES
     if few:
-        return _counted(a, b, least, shared, more).select("claim_id", "passage_id", "score", "shared", "near", *more).distinct()
+        b = passages.where("passage_id IS NOT NULL AND passage IS NOT NULL")
+        again = size.again or not b.groupBy("passage_id").count().where("count > 1").isEmpty()
+        out = _counted(a, _stems(b, more, "passage_id", "passage"), least, shared, more).select("claim_id", "passage_id", "score", "shared", "near", *more)
+        return out.distinct() if again else out
+    b = _stemmed(passages, (*keys, *more), "passage_id", "passage")
     holds = contained(b, a, "passage_id", "_t", "claim_id", "_t", keys).select(*keys, "claim_id", "passage_id")
     held = contained(a, b, "claim_id", "_t", "passage_id", "_t", keys).select(*keys, "claim_id", "passage_id")
     pairs = holds.unionByName(held).distinct()
