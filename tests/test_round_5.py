@@ -6,7 +6,9 @@ import time
 import duckdb
 
 from vellumspark.functions import align as al
+from vellumspark.functions import values as vl
 from vellumspark.operators import evidence as ev
+from vellumspark.operators import workspace as ws
 from vellumspark.plans import entries
 
 
@@ -79,3 +81,13 @@ def test_edits_of_long_texts_take_linear_time():
     script = al.minimal_edit(long, revised)
     assert time.process_time() - began < 10  # tens of minutes by the search of the whole text
     assert "".join(t for o, t in script if o != "delete") == revised and "".join(t for o, t in script if o != "insert") == long
+
+
+def test_every_customer_takes_part_in_the_legend(spark, tmp_path):
+    rows = spark.range(8, 12).selectExpr("id AS c_custkey", "concat('Customer ', id) AS c_name", "1 AS c_nationkey")
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    got, want = rows_and_sql(spark, tmp_path, "color_legend", "customer")
+    assert got == want and len(got) == 4
+    # what names no family of the eight, or says nothing, is still refused
+    r = spark.createDataFrame([(1, "black", "x", 1), (1, None, "x", 2), (1, "red", " ", 3), (1, "red", "debts", 2), (1, "red", "old", 1)], "project_id int, family string, meaning string, updated_at int")
+    assert [(x.family, x.meaning) for x in ws.legend(r, vl.FAMILIES).collect()] == [("red", "debts")]
